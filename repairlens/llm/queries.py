@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from repairlens.llm.decontaminate import decontaminate
+from repairlens.llm.substrings import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate,)}
+    return {f.__name__: f for f in (op4_substring_dedup, op5_decontaminate)}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"regexp_extract_all({_ASCII_LOWER.format('coalesce(text, {q})')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".replace("{q}", "''")
 
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM win) WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
@@ -43,4 +60,4 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def oracle_sql() -> dict:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL}
