@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from repairlens.llm.decontaminate import decontaminate
+from repairlens.llm.near_dedup import near_duplicates
 from repairlens.llm.substrings import remove_repeats
 
 
@@ -20,8 +21,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_substring_dedup, op5_decontaminate)}
+    return {f.__name__: f for f in (op4_substring_dedup, op5_decontaminate, op6_near_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -58,6 +63,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _ASCII_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 85 * (nx.n + ny.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.y, c.root FROM c JOIN e ON e.x = c.node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, r AS component_id, d.doc_id = r AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS r FROM c GROUP BY node) ON node = d.doc_id
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL}
