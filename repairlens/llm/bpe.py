@@ -32,6 +32,7 @@ _CLASS = np.array([_class(c) for c in range(_END)], np.uint8)
 _LOWER = np.array([ord(chr(c).lower()) if _class(c) == LETTER else c for c in range(_END)], np.int64)
 _FIRST = np.full(256, UNSAFE, np.uint8)
 _FIRST[:128] = _CLASS[:128]
+NONE = np.int32(2**31 - 1)
 _LONGEST = 2000  # pieces of more bytes go to the library
 
 
@@ -128,15 +129,11 @@ class Merges:
         names = dict((i, t) for t, i in self.library.get_vocab(with_added_tokens=True).items())
         self.names = [names[i] for i in range(self.size)]
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
-        a, b, made = np.array(pairs, np.int64).T
-        keys = a * self.size + b
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], np.int32(2**31 - 1))
+        a, b, self.made = np.array(pairs, np.int64).T
+        self.table = _PairTable(a, b, self.size)
+        left, right = np.repeat(np.arange(256), 256), np.tile(np.arange(256), 256)
+        self.first_ranks = self.table.rank(self.base[left], self.base[right])
+        self.last_ranks = self.table.rank(self.base[left], self.last[right])
 
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, how many of each piece)."""
@@ -159,46 +156,96 @@ class Merges:
         return ids[order], np.bincount(owner, minlength=len(starts))
 
     def _merge(self, data, starts, size, owner, parts, owners):
-        """Per piece and round, the leftmost pair of least rank is merged, until none is left."""
-        width = int(size.max())
+        """Per piece and round, the leftmost pair of least rank is merged, until none is left.
+
+        Each row of ``tok`` has a column before and one behind it that pair with nothing; ``back``
+        and ``ahead`` lead from each token to its neighbours that still stand.
+        """
+        n, width = len(starts), int(size.max())
+        w = width + 2
         cols = np.arange(width)
-        tok = self.base[data[np.minimum(starts[:, None] + cols, len(data) - 1)]]
-        rows = np.arange(len(starts))
-        tok[rows, size - 1] = self.last[data[starts + size - 1]]
-        none = np.int32(2**31 - 1)
-        rank = np.full((len(starts), width), none, np.int32)
+        letters = data[np.minimum(starts[:, None] + cols, len(data) - 1)].astype(np.int64)
+        rows = np.arange(n)
+        tok = np.full((n, w), self.size, np.int64)
+        tok[:, 1:-1] = self.base[letters]
+        tok[rows, size] = self.last[letters[rows, size - 1]]
+        standing = np.zeros((n, w), bool)
+        standing[:, 1:-1] = cols[None, :] < size[:, None]
+        tok[~standing] = self.size
+        rank = np.full((n, w), NONE, np.int32)
         if width > 1:
-            rank[:, :-1] = self.rank(tok[:, :-1], tok[:, 1:])
-            rank[cols[None, :] >= size[:, None] - 1] = none
-        while len(tok):
-            j = rank.argmin(axis=1)
-            best = rank[np.arange(len(tok)), j]
-            done = best == none
-            if done.any():
-                live = cols[None, : tok.shape[1]] < size[done][:, None]
-                parts.append(tok[done][live])
-                owners.append(np.repeat(owner[done], size[done]))
-                keep = ~done
-                tok, rank, size, owner, j, best = tok[keep], rank[keep], size[keep], owner[keep], j[keep], best[keep]
-                if not len(tok):
-                    return
-            rows = np.arange(len(tok))
+            pair = letters[:, :-1] * 256 + letters[:, 1:]
+            rank[:, 1:-2] = self.first_ranks[pair]
+            some = size > 1
+            rank[rows[some], size[some] - 1] = self.last_ranks[pair[rows[some], size[some] - 2]]
+            rank[:, 1:-1][cols[None, :] >= size[:, None] - 1] = NONE
+        back = np.tile(np.arange(-1, w - 1, dtype=np.int64), (n, 1)).ravel()
+        ahead = np.tile(np.arange(1, w + 1, dtype=np.int64), (n, 1)).ravel()
+        tok, stand, flat = tok.ravel(), standing.ravel(), rank.ravel()
+        row = rows
+        while len(row):
+            mine = rank if len(row) == n else rank[row]
+            j = mine.argmin(axis=1)
+            at = row * w + j
+            best = flat[at]
+            go = best != NONE
+            if not go.all():
+                row, at, best = row[go], at[go], best[go]
+            if not len(row):
+                break
+            home = row * w
+            gone = home + ahead[at]
+            after = home + ahead[gone]
+            before = home + back[at]
             new = self.made[best]
-            w = tok.shape[1]
-            shift = np.minimum(cols[None, :w] + (cols[None, :w] > j[:, None]), w - 1)
-            tok = np.take_along_axis(tok, shift, 1)
-            rank = np.take_along_axis(rank, shift, 1)
-            tok[rows, j] = new
-            size = size - 1
-            right = j + 1 < size
-            rank[rows, j] = none
-            rank[rows[right], j[right]] = self.rank(new[right], tok[rows[right], j[right] + 1])
-            left = j > 0
-            rank[rows[left], j[left] - 1] = self.rank(tok[rows[left], j[left] - 1], new[left])
-            most = int(size.max())
-            if most < w:
-                tok, rank = tok[:, :most], rank[:, :most]
-            rank[rows, size - 1] = none
+            tok[at] = new
+            stand[gone] = False
+            ahead[at], back[after] = after - home, at - home
+            flat[gone] = NONE
+            flat[at] = self.table.rank(new, tok[after])
+            flat[before] = self.table.rank(tok[before], new)
+        parts.append(tok[stand])
+        owners.append(np.repeat(owner, standing.sum(axis=1)))
+
+
+class _PairTable:
+    """Rank of a pair of tokens: hashed, with what collides in smaller tables behind."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, size: int):
+        self.size, self.levels = size + 1, []
+        key, rank, bits = a * self.size + b, np.arange(len(a), dtype=np.int32), 20
+        while len(key):
+            slot = self._slot(key, bits)
+            _, first = np.unique(slot, return_index=True)
+            keys, ranks, more = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32), np.zeros(1 << bits, bool)
+            keys[slot[first]], ranks[slot[first]] = key[first], rank[first]
+            rest = np.ones(len(key), bool)
+            rest[first] = False
+            more[slot[rest]] = True
+            self.levels.append((bits, keys, ranks, more))
+            key, rank, bits = key[rest], rank[rest], max(10, bits - 3)
+
+    @staticmethod
+    def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * bits)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.size + b
+        out = np.full(key.shape, NONE, np.int32)
+        todo = None
+        for bits, keys, ranks, more in self.levels:
+            k = key if todo is None else key[todo]
+            slot = self._slot(k, bits)
+            hit = keys[slot] == k
+            if todo is None:
+                out = np.where(hit, ranks[slot], NONE)
+                todo = np.flatnonzero(~hit & more[slot])
+            else:
+                out[todo[hit]] = ranks[slot[hit]]
+                todo = todo[~hit & more[slot]]
+            if not len(todo):
+                break
+        return out
 
 
 def _byte_letters() -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from repairlens.llm import word_bpe
+from repairlens.llm import token_files, word_bpe
 from repairlens.llm.decontaminate import decontaminate
 from repairlens.llm.near_dedup import near_duplicates
 from repairlens.llm.substrings import remove_repeats
@@ -20,6 +20,10 @@ def op2_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(word_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -33,7 +37,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_word_bpe, op4_substring_dedup, op5_decontaminate, op6_near_dedup)}
+    return {f.__name__: f for f in (op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
