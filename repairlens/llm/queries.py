@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repairlens.llm import token_files, word_bpe
+from repairlens.llm import quality, secrets, token_files, word_bpe
 from repairlens.llm.decontaminate import decontaminate
 from repairlens.llm.near_dedup import near_duplicates
 from repairlens.llm.substrings import remove_repeats
@@ -36,8 +37,17 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.verdict(quality.ledger(_table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").cast("long").alias("failed_bits"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup)}
+    return {f.__name__: f for f in (op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op9_quality_rules, op10_secret_scan)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -88,6 +98,55 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, r AS component_id, d.doc_id = r A
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS r FROM c GROUP BY node) ON node = d.doc_id
 """
 
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN cov USING (doc_id)),
+f AS (
+  SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END AS b FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b & 3 <> 0 AS base_failed, b & 15 = 0 AS kept, CAST(b AS BIGINT) AS failed_bits FROM f
+"""
+
+
+def _spans_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    regex = pattern.replace("'", "''")
+    return rf"""
+    SELECT doc_id, owner, source, {kind} AS kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s,
+      length(m[i]) AS n, v[i] AS value
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, owner, source, string_split_regex(t, '{regex}') AS gaps, regexp_extract_all(t, '{regex}') AS m, regexp_extract_all(t, '{regex}', {group}) AS v FROM d WHERE regexp_matches(t, '{regex}')))
+    WHERE length(v[i]) >= {least}"""
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, split_part(source, '/', 1) AS owner, source FROM documents),
+base AS ({_spans_sql(0, secrets.ASSIGN, 1, 12)} UNION ALL {_spans_sql(1, "AKIA[A-Z0-9]+", 0, 18)} UNION ALL {_spans_sql(2, secrets.HEX, 0, 16)}),
+more AS (
+  SELECT * FROM ({_spans_sql(3, "[A-Za-z0-9+/_-]{20,}", 0, 20)}) x
+  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.s + x.n AND x.s < b.s + b.n)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+rare AS (SELECT value FROM every GROUP BY value HAVING count(DISTINCT owner) <= 2),
+named AS (SELECT *, value IN (SELECT value FROM rare) AS live, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS line FROM every),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(line, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(line, ',' ORDER BY s, kind) AS spans, count(*) FILTER (live) AS n_live
+  FROM named WHERE kind < 3 OR live GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL}
