@@ -8,7 +8,6 @@ order. Ranks index the id lists stored beside it.
 from __future__ import annotations
 
 import json
-import os
 
 import numpy as np
 
@@ -57,8 +56,8 @@ def _minimal(words: list[bytes]) -> tuple[list[dict], list[bool]]:
     return edges, final
 
 
-def compile_lexicon(words: list[bytes], ids: list[list[int]], folder: str) -> None:
-    """Writes the automaton of the given distinct words and their ids to a folder."""
+def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
+    """The automaton of the given distinct words and their ids, as the bytes of one file."""
     order = sorted(range(len(words)), key=words.__getitem__)
     words, ids = [words[i] for i in order], [ids[i] for i in order]
     edges, final = _minimal(words)
@@ -96,19 +95,26 @@ def compile_lexicon(words: list[bytes], ids: list[list[int]], folder: str) -> No
         "offsets": np.concatenate([[0], np.cumsum(counts)]),
         "ids": np.array([i for x in ids for i in x], np.int32),
     }
+    head, body = {"width": width, "words": len(words), "states": len(names), "arrays": {}}, b""
     for name, values in arrays.items():
-        np.save(os.path.join(folder, f"{name}.npy"), values)
-    with open(os.path.join(folder, "shape.json"), "w") as f:
-        json.dump({"words": len(words), "states": len(names), "width": width}, f)
+        body += bytes(-len(body) % 64)
+        head["arrays"][name] = [values.dtype.str, len(values), len(body)]
+        body += values.tobytes()
+    text = json.dumps(head).encode()
+    text += b" " * (-(len(text) + 8) % 64)
+    return len(text).to_bytes(8, "little") + text + body
 
 
 class Lexicon:
-    """The arrays of a compiled folder, mapped into memory and shared by all readers of a machine."""
-
-    def __init__(self, folder: str):
-        for name in ("move", "final", "column", "offsets", "ids"):
-            setattr(self, name, np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r"))
-        self.width = json.load(open(os.path.join(folder, "shape.json")))["width"]
+    """The arrays of a compiled file, mapped into memory and shared by all readers of a machine."""
+
+    def __init__(self, file: str):
+        with open(file, "rb") as f:
+            size = int.from_bytes(f.read(8), "little")
+            head = json.loads(f.read(size))
+        for name, (kind, n, at) in head["arrays"].items():
+            setattr(self, name, np.memmap(file, kind, "r", 8 + size + at, (n,)) if n else np.zeros(0, kind))
+        self.width = head["width"]
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The rank of each piece among the words, -1 for others. All pieces step through the automaton together."""

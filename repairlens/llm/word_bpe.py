@@ -2,8 +2,8 @@
 
 1. Every piece of every text is counted (Spark aggregation). 2. Pieces at or above the count
 that keeps at most ``lexicon_words`` of them are compiled, with their ids, into a minimal
-acyclic transducer; its files go to the shared folder and Spark ships them to each machine,
-where they are memory-mapped. 3. Each text's pieces step through the transducer; pieces it
+acyclic transducer; its file goes to the shared folder and Spark ships it to each machine,
+where it is memory-mapped. 3. Each text's pieces step through the transducer; pieces it
 doesn't hold are merged exactly, rank by rank. 4. Ids are decoded by the vocabulary.
 
 Null text counts as empty; empty text has no ids. Repeated rows and null ids give a row each.
@@ -12,8 +12,6 @@ Null text counts as empty; empty text has no ids. Repeated rows and null ids giv
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -64,7 +62,7 @@ def piece_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, lexicon_words: int) -> str:
-    """Compiles the most frequent pieces and ships the files; returns the name to find them by."""
+    """Compiles the most frequent pieces and ships the file; returns the name to find them by."""
     spark = docs.sparkSession
     counts = shared.written(piece_counts(docs).where("n > 1"), "counts")
     total, least = 0, 2
@@ -80,15 +78,13 @@ def build_lexicon(docs: DataFrame, tokenizer: str, lexicon_words: int) -> str:
     ends = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else ends
     flat, n = merges.encode_pieces(np.frombuffer(b"".join(words), np.uint8), starts, ends)
-    name = f"lexicon-{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory(prefix="spark-") as here:
-        lexicon.compile_lexicon(words, [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] if words else [], here)
-        fs, path = shared.fs_of(f"{shared.shared_dir(spark)}/repairlens/{name}")
-        fs.create_dir(path, recursive=True)
-        for file in os.listdir(here):
-            with open(os.path.join(here, file), "rb") as f, fs.open_output_stream(f"{path}/{file}") as out:
-                out.write(f.read())
-    spark.sparkContext.addFile(f"{shared.shared_dir(spark)}/repairlens/{name}", recursive=True)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    where = f"{shared.shared_dir(spark)}/repairlens/{name}"
+    fs, path = shared.fs_of(where)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(lexicon.compile_lexicon(words, [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] if words else []))
+    spark.sparkContext.addFile(where)
     return name
 
 
