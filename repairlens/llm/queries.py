@@ -17,8 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op2_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return word_bpe.digests(word_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return word_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

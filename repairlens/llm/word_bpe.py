@@ -36,7 +36,7 @@ def _lexicon(name: str) -> lexicon.Lexicon:
 
 
 def _pieces(batches):
-    for rows, data, offs in T.text_slices(batches, "text", 1 << 22):
+    for rows, data, offs in T.text_slices(batches, "text"):
         low, cls, safe = bpe.classes(data, offs, True)
         starts, ends = bpe.pieces(low, cls, offs, True)
         yield rows, data, offs, low, safe, starts, ends
@@ -88,50 +88,71 @@ def build_lexicon(docs: DataFrame, tokenizer: str, lexicon_words: int) -> str:
     return name
 
 
+def _encoded(batches, tokenizer: str, name: str):
+    """(rows, ids of all texts, where each text's ids begin) of slices."""
+    merges, lex = _merges(tokenizer), _lexicon(name)
+    for rows, data, offs, low, safe, starts, ends in _pieces(batches):
+        ranks = lex.find(low, starts, ends)
+        unseen = np.flatnonzero(ranks < 0)
+        first, group, _ = bpe.distinct(bpe.piece_hashes(low, starts[unseen], ends[unseen])) if len(unseen) else (unseen,) * 3
+        other, counts = merges.encode_pieces(low, starts[unseen[first]], ends[unseen[first]])
+        ranks[unseen] = -1 - group
+        flat, n = lexicon.ids_of(lex, ranks, other, counts)
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offs)]
+        if not safe.all():
+            flat, bounds = _with_library(merges, data, offs, safe, flat, bounds)
+        yield rows, flat, bounds
+
+
 def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = 1 << 17) -> DataFrame:
     """(doc_id, ids array of int) of each row of docs (doc_id, text)."""
     name = build_lexicon(docs, tokenizer, lexicon_words)
 
     def run(batches):
-        merges, lex = _merges(tokenizer), _lexicon(name)
-        for rows, data, offs, low, safe, starts, ends in _pieces(batches):
-            ranks = lex.find(low, starts, ends)
-            unseen = np.flatnonzero(ranks < 0)
-            first, group, _ = bpe.distinct(bpe.piece_hashes(low, starts[unseen], ends[unseen])) if len(unseen) else (unseen,) * 3
-            other, counts = merges.encode_pieces(low, starts[unseen[first]], ends[unseen[first]])
-            ranks[unseen] = -1 - group
-            flat, n = lexicon.ids_of(lex, ranks, other, counts)
-            bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offs)]
-            if not safe.all():
-                flat, bounds = _with_library(merges, data, offs, safe, flat, bounds)
+        for rows, flat, bounds in _encoded(batches, tokenizer, name):
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([rows.column(0), ids], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def decode(ids, names: list[str]) -> str:
+    """The text of ids as the library's decode, which joins tokens by spaces for a file without decoder."""
+    return " ".join(map(names.__getitem__, ids))
+
+
 def _with_library(merges, data, offs, safe, flat, bounds):
     """Replaces the ids of texts that aren't safe by the library's."""
     parts = [flat[bounds[i] : bounds[i + 1]] if safe[i] else np.array(merges.library.encode(data[offs[i] : offs[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.int64) for i in range(len(safe))]
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-def digests(encoded: DataFrame, tokenizer: str, texts: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of rows with ids; the decoded texts too if asked for."""
+def decoded(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, text) of encoded rows (doc_id, ids)."""
 
     def run(batches):
         names = _merges(tokenizer).names
-        numbers = [str(i) for i in range(len(names))]
         for batch in batches:
             ids = batch.column(1)
-            offs, flat = ids.offsets.to_pylist(), ids.values.to_pylist()
-            got = []
-            for a, b in zip(offs, offs[1:]):
-                mine = flat[a:b]
-                text = " ".join(map(names.__getitem__, mine))
-                got.append((b - a, hashlib.sha256(" ".join(map(numbers.__getitem__, mine)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if texts else None))
-            n, a, b, t = zip(*got) if got else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(t, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"])
-
-    out = encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded string")
-    return out if texts else out.drop("decoded")
+            texts = [decode(ids[i].values.to_pylist(), names) if ids[i].is_valid else None for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
+def digests(docs: DataFrame, tokenizer: str, lexicon_words: int = 1 << 17) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, encoded and decoded in one pass."""
+    name = build_lexicon(docs, tokenizer, lexicon_words)
+
+    def run(batches):
+        names = _merges(tokenizer).names
+        numbers = [str(i) for i in range(len(names))]
+        for rows, flat, bounds in _encoded(batches, tokenizer, name):
+            listed, plain = [], []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                ids = flat[a:b].tolist()
+                listed.append(hashlib.sha256(" ".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
+                plain.append(hashlib.sha256(decode(ids, names).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), pa.array(listed), pa.array(plain)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
