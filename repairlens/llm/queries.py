@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repairlens.llm import quality, secrets, token_files, word_bpe
+from repairlens.llm import chat, language, quality, secrets, token_files, toxicity, word_bpe
 from repairlens.llm.decontaminate import decontaminate
 from repairlens.llm.near_dedup import near_duplicates
 from repairlens.llm.substrings import remove_repeats
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,6 +41,17 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_and_read(rows.unionByName(own))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(language.evidence(_table(spark, sf_dir, "documents"))).drop("rid")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.verdict(quality.ledger(_table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").cast("long").alias("failed_bits"))
@@ -46,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -97,6 +113,21 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, r AS component_id, d.doc_id = r A
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS r FROM c GROUP BY node) ON node = d.doc_id
 """
 
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '</?s>|<</?SYS>>|\[/?INST\]|\[ROLE |\[/ROLE\]')) AS size,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS was FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN was IS NULL THEN role IN ('system', 'user') WHEN was IN ('system', 'assistant') THEN role = 'user' ELSE role = 'assistant' END) AS valid
+FROM t GROUP BY conv_id
+"""
+
 OP9_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
@@ -148,4 +179,4 @@ FROM d LEFT JOIN g USING (doc_id)
 
 
 def oracle_sql() -> dict:
-    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL}
