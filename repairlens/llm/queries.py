@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from repairlens.llm import chat, language, quality, secrets, token_files, toxicity, word_bpe
 from repairlens.llm.decontaminate import decontaminate
 from repairlens.llm.near_dedup import near_duplicates
@@ -62,7 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -96,7 +96,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by the mark; overlapping spans become one."""
-    spans = found.where("size(spans) > 0").groupBy("row").agg(F.first("spans").alias("_spans"))
+    spans = found.where("size(spans) > 0").groupBy("row").agg(F.first("spans").alias("__spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -104,7 +104,7 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
         added = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).when(acc["at"] > 0, acc["out"]).otherwise(F.concat(acc["out"], F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["end"]).cast("int").alias("at"), added.alias("out"))
 
-    clean = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(spans.withColumnRenamed("row", "_row").hint("merge"), "_row", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.aggregate("__spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    joined = shared.sized_join(keyed, shared.written(spans.withColumnRenamed("row", "__row"), "spans"), "__row", "left", 50_000)
+    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
