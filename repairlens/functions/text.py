@@ -39,8 +39,6 @@ def first_match(col: Column, rules: list[tuple[str, list[str]]], other: str) ->
     """The name of the first rule of which some pattern is found."""
     out = None
     for name, patterns in rules:
-        found = F.lit(False)
-        for p in patterns:
-            found = found | col.rlike(p)
+        found = col.rlike("|".join(f"(?:{p})" for p in patterns))
         out = F.when(found, name) if out is None else out.when(found, name)
     return out.otherwise(other)
