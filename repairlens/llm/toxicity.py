@@ -61,7 +61,7 @@ def grades(toxic: np.ndarray, features: np.ndarray, offs: np.ndarray) -> np.ndar
     size = 1 << BITS
     bad, all_ = np.bincount(features[toxic[row]], minlength=size), np.bincount(features, minlength=size)
     n_bad, n = max(1, int(toxic.sum())), len(toxic)
-    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((all_ - bad + 0.5) / (n - n_bad + 1))
+    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((all_ - bad + 0.5) / max(1, n - n_bad + 1))
     telling = (bad >= 3) & (odds > 1.5)
     held = np.bincount(row[telling[features]], minlength=n)
     return np.where(toxic, 1 + (held >= 2) + (held >= 4), 0)
@@ -84,9 +84,10 @@ class Model:
         return np.bincount(pairs >> BITS, self.weights[pairs & (1 << BITS) - 1], n)
 
 
-def fit(grade: np.ndarray, features: np.ndarray, offs: np.ndarray, l1: float = 2e-4, steps: int = 250) -> Model:
-    """Adaptive proximal gradient on the mean negative log likelihood with an L1 penalty on the weights."""
+def fit(grade: np.ndarray, features: np.ndarray, offs: np.ndarray, l1: float = 0.016, steps: int = 250) -> Model:
+    """Adaptive proximal gradient on the mean negative log likelihood with an L1 penalty on the weights; the penalty falls with the root of the rows."""
     n, size = len(grade), 1 << BITS
+    l1 /= np.sqrt(max(n, 1))
     row = np.repeat(np.arange(n), np.diff(offs))
     df = np.bincount(features, minlength=size)
     keep = df[features] >= 3
