@@ -90,11 +90,12 @@ _has = lambda ps, c="log_text": "(" + " OR ".join(f"regexp_matches({c}, '{_e(p)}
 _case = lambda rules, other: "CASE " + " ".join(f"WHEN {_has(ps)} THEN '{n}'" for n, ps in rules) + f" ELSE '{other}' END"
 _names = lambda rules: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has(ps)} THEN '{n}' END" for n, ps in rules) + "], lambda x: x IS NOT NULL), ',')"
 _QUAL = """CASE WHEN NOT observed THEN 'none' WHEN stage <> 'validation_failure' THEN 'infrastructure_only' WHEN has_expected AND has_trace AND has_tests THEN 'high' WHEN has_trace OR has_tests THEN 'medium' WHEN has_witness THEN 'low' ELSE 'minimal' END"""
+_UNEQUAL = lambda g: _STRIP.format(rf"regexp_extract(log_text, '(?:AssertionError|assert):?\s+(.*?)\s*!=\s*(.*)', {g})")
 _PY = rf"""py AS (SELECT run_id, CASE WHEN len(a) > 0 THEN list_transform(range(1, len(a) + 1), lambda i: a[i] || '::' || b[i]) WHEN len(c) > 0 THEN list_transform(range(1, len(c) + 1), lambda i: c[i] || '::' || d[i]) ELSE e END AS failed_tests,
     n_frames, expected, actual FROM (
   SELECT run_id, regexp_extract_all(log_text, '{lg.NODE}', 1) AS a, regexp_extract_all(log_text, '{lg.NODE}', 2) AS b, regexp_extract_all(log_text, '(\S+\.py)::(\S+)', 1) AS c, regexp_extract_all(log_text, '(\S+\.py)::(\S+)', 2) AS d,
     regexp_extract_all(log_text, '(?m)^FAIL:\s+(\S+)', 1) AS e, CAST(len(regexp_extract_all(log_text, '(?m)^\s*File\s+"[^"]+",\s+line\s+\d+')) AS INT) AS n_frames,
-    nullif({_STRIP.format("regexp_extract(log_text, '(?:AssertionError|assert):?\s+(.*?)\s*!=\s*(.*)', 1)")}, '') AS expected, nullif({_STRIP.format("regexp_extract(log_text, '(?:AssertionError|assert):?\s+(.*?)\s*!=\s*(.*)', 2)")}, '') AS actual FROM {{}}))"""
+    nullif({_UNEQUAL(1)}, '') AS expected, nullif({_UNEQUAL(2)}, '') AS actual FROM {{}}))"""
 _NORM = r"norm AS (SELECT run_id, regexp_replace(regexp_replace(log_text, '\x1B\[[0-9;]*[a-zA-Z]', '', 'g'), '\r\n?', chr(10), 'g') AS log_text FROM logs)"
 _DL = r"""raw AS (SELECT run_id, unnest(range(len(l))) AS pos, unnest(l) AS text FROM (SELECT run_id, string_split(patch_text, chr(10)) AS l FROM patches)),
 dl AS (SELECT p.run_id, pos, regexp_extract(patch_text, 'b/(\S+)', 1) AS file, CASE WHEN pos >= 3 THEN 1 ELSE 0 END AS hunk,
