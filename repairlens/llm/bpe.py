@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
@@ -115,19 +116,15 @@ class Merges:
     """The vocabulary and merges of a tokenizer file, applied to many pieces at once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        model = json.load(open(path))["model"]
+        file = json.load(open(path))
+        model, self.path = file["model"], path
         vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        self.size = max(names) + 1
+        self.names = [names.get(i, "") for i in range(self.size)]
         byte_of = _byte_letters()
         self.base = np.array([vocab[byte_of[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[byte_of[b] + self.suffix] for b in range(256)], np.int64)
-        self.size = self.library.get_vocab_size()
-        names = dict((i, t) for t, i in self.library.get_vocab(with_added_tokens=True).items())
-        self.names = [names[i] for i in range(self.size)]
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
         a, b, self.made = np.array(pairs, np.int64).T
         self.table = _PairTable(a, b, self.size)
@@ -135,6 +132,16 @@ class Merges:
         self.first_ranks = self.table.rank(self.base[left], self.base[right])
         self.last_ranks = self.table.rank(self.base[left], self.last[right])
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own object; few texts need it, so it is loaded for the first of them."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, how many of each piece)."""
         size = ends - starts

@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Lowers Spark's own default of 10,000 rows in an Arrow batch, too many for whole texts; a value set otherwise stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/repairlens/{label}-{uuid.uuid4().hex}"
 
@@ -26,6 +33,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    short_batches(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -41,6 +49,7 @@ def forget(df: DataFrame) -> None:
 
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether df has no more than so many rows; reads no further than that."""
+    short_batches(df.sparkSession)
     return df.limit(rows + 1).count() <= rows
 
 

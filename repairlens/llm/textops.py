@@ -6,6 +6,7 @@ the slice stand one after another, ``offs`` has where each text begins (and wher
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,16 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = (1 << 20) - 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of slices with at most so many bytes of text, or of one longer text. Null counts as empty."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
@@ -80,6 +90,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 <<
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+    give_back()
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
