@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repairlens.functions.text import first_match, strip
@@ -138,3 +138,41 @@ def stage_authority(staged: DataFrame, evals: DataFrame) -> DataFrame:
     """Stage from the log (run_id, stage), overruled by what evaluation recorded (run_id, patch_applied, timed_out)."""
     ruled = F.expr("CASE WHEN NOT patch_applied THEN 'patch_apply_failure' WHEN timed_out THEN 'timeout' ELSE stage END")
     return staged.join(evals, "run_id", "left").select("run_id", "stage", ruled.alias("ruled_stage"))
+
+
+# Words of error messages that name no symbol.
+NOISE = ["Error", "The", "Expected", "Traceback", "None", "True", "False"]
+
+
+def parse_traceback_frames(witnesses: DataFrame) -> DataFrame:
+    """(run_id, pos, file, line, function) of (run_id, trace array, message): frames of the trace lines, else of the message, else failed nodes as frames."""
+    shape = r'File "([^"]+)", line (\d+)(?:, in (\S+))?'
+    grab = lambda text, p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, p, 1).alias("file"), F.regexp_extract(m, p, 2).alias("line"), F.regexp_extract(m, p, 3).alias("function")))
+    traced, said = grab(F.array_join("trace", "\n"), shape), grab(F.coalesce("message", F.lit("")), shape)
+    node = r"FAILED\s+(\S+?)::(\S+)"
+    nodes = F.transform(F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit(node), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, node, 1).alias("file"), F.lit("0").alias("line"), F.regexp_extract(m, node, 2).alias("function")))
+    best = F.when(F.size(traced) > 0, traced).when(F.size(said) > 0, said).otherwise(nodes)
+    return witnesses.select("run_id", F.posexplode(best).alias("pos", "f")).select("run_id", "pos", F.when(F.contains("f.file", F.lit("/")) | (F.col("f.line") != "0"), F.col("f.file")).otherwise(F.concat(F.lit("tests/"), "f.file")).alias("file"), F.col("f.line").cast("int").alias("line"), "f.function")
+
+
+def stack_source_files(frames: DataFrame) -> DataFrame:
+    """(run_id, rank, name, line, is_test): the first frame of each base name, files that are no tests first, then by line."""
+    named = frames.withColumn("name", F.substring_index("file", "/", -1))
+    first = named.groupBy("run_id", "name").agg(F.min_by("line", "pos").alias("line"), F.min("pos").alias("pos")).withColumn("is_test", F.contains(F.lower("name"), F.lit("test")))
+    order = Window.partitionBy("run_id").orderBy("is_test", "line", "pos")
+    return first.select("run_id", (F.row_number().over(order) - 1).alias("rank"), "name", "line", "is_test")
+
+
+def error_symbols(witnesses: DataFrame, most: int = 6) -> DataFrame:
+    """(run_id, symbols) of (run_id, functions array, message): distinct function names in order, else capitalised names of the message without noise."""
+    named = F.array_distinct(F.filter("functions", lambda f: f != ""))
+    said = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit(r"\b[A-Z][a-zA-Z0-9_]*(?:\.[a-zA-Z_]\w*)*"), F.lit(0)), lambda s: (F.length(s) > 2) & ~s.isin(NOISE)))
+    return witnesses.select("run_id", F.when(F.size(named) > 0, named).otherwise(F.slice(said, 1, most)).alias("symbols"))
+
+
+def fuse_log_and_witness(log_signals: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """(run_id, failed_tests, first_error) of both, each (run_id, failed_tests, first_error): tests of the log come first, the witness fills gaps."""
+    none = F.array().cast("array<string>")
+    both = log_signals.alias("l").join(witnesses.alias("w"), "run_id", "full")
+    tests = F.array_distinct(F.concat(F.coalesce("l.failed_tests", none), F.coalesce("w.failed_tests", none)))
+    return both.select("run_id", tests.alias("failed_tests"), F.coalesce(F.nullif("l.first_error", F.lit("")), F.nullif("w.first_error", F.lit("")), F.lit("")).alias("first_error"))

@@ -85,12 +85,39 @@ def same_hunk_shape(found: DataFrame, files: int = 3) -> DataFrame:
 
 
 def scope_score(features: DataFrame) -> DataFrame:
-    """Adds score (five signals) and level to (files, hunks, changed, test_files, viewed_files)."""
-    signals = ["files > 5", "hunks > 10", "changed > 200", "test_files > 0", "files > viewed_files"]
+    """Adds score (of five signals) and level to (changed_files, changed_lines, api_calls, repeated_patterns, edited_files, viewed_files, edited_not_viewed, submitted_without_tests)."""
+    lacks = "edited_not_viewed > 0 OR submitted_without_tests OR CASE WHEN viewed_files > 0 THEN 10 * edited_files > 7 * viewed_files ELSE edited_files > 0 END"
+    signals = ["changed_files >= 5", "changed_lines >= 200", "api_calls >= 80", "repeated_patterns > 0", lacks]
     score = sum((F.expr(f"CAST({s} AS INT)") for s in signals), F.lit(0))
     return features.withColumn("score", score).withColumn("level", F.expr("CASE WHEN score >= 3 THEN 'strong' WHEN score >= 2 THEN 'warning' ELSE 'none' END"))
 
 
+def edit_support(edits: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(run_id, path, n_sources, support) of edited files (run_id, path, pattern_only) by evidence (run_id, path, source).
+
+    A stack trace, a test failure or an issue keyword is strong, a tight view or a search weak;
+    an edit that only repeats a pattern loses a step.
+    """
+    has = lambda *names: F.coalesce(F.max(F.col("source").isin(list(names))), F.lit(False))
+    found = evidence.groupBy("run_id", "path").agg(F.count_distinct("source").alias("n_sources"), has("stack_trace", "test_failure", "issue_keyword").alias("strong"), has("viewed_span", "search_query").alias("weak"))
+    rank = F.when(F.col("strong"), 2).when(F.col("weak"), 1).otherwise(0) - F.col("pattern_only").cast("int")
+    named = F.when(rank == 2, "supported").when(rank == 1, "weak").otherwise("unsupported")
+    return edits.join(found, ["run_id", "path"], "left").select("run_id", "path", F.coalesce("n_sources", F.lit(0).cast("long")).alias("n_sources"), named.alias("support"))
+
+
+def viewed_evidence(hunk_spans: DataFrame, views: DataFrame, widest: int = 100, near: int = 3) -> DataFrame:
+    """(run_id, path, source): files with a hunk (start_line, end_line) that a view of at most so many lines touches within some lines."""
+    h, v = hunk_spans.alias("h"), views.where(F.col("end_line") - F.col("start_line") <= widest).alias("v")
+    touch = (F.col("h.run_id") == F.col("v.run_id")) & (F.col("h.path") == F.col("v.path")) & (F.col("h.start_line") <= F.col("v.end_line") + near) & (F.col("v.start_line") <= F.col("h.end_line") + near)
+    return h.join(v, touch, "left_semi").select("run_id", "path").distinct().withColumn("source", F.lit("viewed_span"))
+
+
+def prune_suggestions(support: DataFrame) -> DataFrame:
+    """(run_id, keep, review, drop): edited files by what to do with them."""
+    n = lambda s: F.count_if(F.col("support") == s)
+    return support.groupBy("run_id").agg(n("supported").alias("keep"), n("weak").alias("review"), n("unsupported").alias("drop"))
+
+
 def relocate_hunks(old_lines: DataFrame, code: DataFrame, least: int = 2) -> DataFrame:
     """(id, file, start): where old lines (id, file, k, text) stand in code (path, ln, text): the offset that most lines match, the first of ties."""
     t = lambda c: strip(F.col(c))

@@ -159,3 +159,33 @@ def submission_of(sources: DataFrame) -> DataFrame:
     """(run_id, source, consistent): the first source in order (run_id, priority, source, patch) that holds a patch, and whether all that do agree."""
     held = sources.where("trim(coalesce(patch, '')) <> ''")
     return held.groupBy("run_id").agg(F.min_by("source", "priority").alias("source"), (F.count_distinct(F.sha2(F.trim("patch"), 256)) == 1).alias("consistent"))
+
+
+def branch_verdict(comparisons: DataFrame) -> DataFrame:
+    """Adds verdict to (fair, second_run, first_valid, second_valid, first_resolved, second_resolved): fairness, then validity, then who wins."""
+    verdict = F.expr("""CASE WHEN NOT fair THEN 'invalid_fairness' WHEN NOT second_run THEN 'second_disabled' WHEN NOT first_valid AND NOT second_valid THEN 'invalid_both' WHEN NOT first_valid THEN 'invalid_first'
+      WHEN NOT second_valid THEN 'invalid_second' WHEN first_resolved AND second_resolved THEN 'both_succeed' WHEN first_resolved THEN 'first_wins' WHEN second_resolved THEN 'second_wins' ELSE 'both_fail' END""")
+    return comparisons.withColumn("verdict", verdict)
+
+
+def packet_mode(runs: DataFrame) -> DataFrame:
+    """Adds packet_mode to (trigger, family, pathology, repo_status, done, guards)."""
+    mode = F.expr("""CASE WHEN trigger = 'NO_TRIGGER' THEN 'noop' WHEN family = 'ABSTAIN' OR pathology = 'INSUFFICIENT_RUNTIME_EVIDENCE' THEN 'abstain' WHEN repo_status <> 'resolved' THEN 'diagnostic_only_no_repo'
+      WHEN done > 0 AND guards THEN 'guard' WHEN done > 0 THEN 'retrieval' ELSE 'diagnostic_only_no_actions' END""")
+    return runs.withColumn("packet_mode", mode)
+
+
+def normalize_diagnosis(diagnoses: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(id, pathology, family, action, intent, known): manual values of (id, pathology, action, intent) first, then those of the taxonomy (pathology, family, default_action, default_intent)."""
+    table = taxonomy.withColumn("known", F.lit(True))
+    joined = diagnoses.join(table.hint("broadcast"), "pathology", "left")  # a closed list of a few dozen pathologies
+    own = lambda c, d: F.coalesce(F.nullif(c, F.lit("")), d)
+    return joined.select("id", "pathology", F.coalesce("family", F.lit("ABSTAIN")).alias("family"), own("action", "default_action").alias("action"), own("intent", "default_intent").alias("intent"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def run_matrix(runs: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """One wide row for each run (instance_id, baseline) from optional artefacts, and whether each is there."""
+    out = runs
+    for name, part in parts.items():
+        out = out.join(part.withColumn(f"has_{name}", F.lit(True)), ["instance_id", "baseline"], "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
+    return out

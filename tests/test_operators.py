@@ -102,8 +102,9 @@ def test_recall_is_null_where_it_does_not_apply(spark):
 
 
 def test_scope_signals(spark):
-    df = spark.createDataFrame([(6, 11, 10, 0, 9)], "files int, hunks int, changed int, test_files int, viewed_files int")
-    assert (pt.scope_score(df).first().score, pt.scope_score(df).first().level) == (2, "warning")
+    schema = "changed_files int, changed_lines int, api_calls int, repeated_patterns int, edited_files int, viewed_files int, edited_not_viewed int, submitted_without_tests boolean"
+    got = pt.scope_score(spark.createDataFrame([(5, 199, 80, 0, 1, 9, 0, False), (1, 1, 1, 0, 8, 10, 0, False), (6, 300, 1, 0, 1, 0, 0, False)], schema)).collect()
+    assert [(r.score, r.level) for r in got] == [(2, "warning"), (1, "none"), (3, "strong")]
 
 
 def test_results_do_not_depend_on_the_number_of_partitions(spark):
