@@ -136,13 +136,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by spaces)."""
     docs = docs.select("doc_id", "text")
     found = nodes(docs, window, k)
-    occurrences = found.where("doc_id IS NOT NULL").select("row", "pos", "node").join(repeated_nodes(found).hint("merge"), "node")
+    occurrences = found.where("doc_id IS NOT NULL").select("row", "pos", "node").join(shared.written(repeated_nodes(found), "nodes").hint("merge"), "node")
     per_row = occurrences.groupBy("row").agg(F.collect_set(F.struct("pos", "first_doc", "one_before", "one_after")).alias("known"))
     keyed = docs.select("doc_id", "text", _row())
     judged = shared.written(_judged(keyed.join(per_row.hint("merge"), "row").select("doc_id", "text", "row", "known"), window, k), "judged")
     asked = judged.where("size(ask) > 0").select("doc_id", "row", F.explode(F.arrays_zip("ask", "h1", "h2")).alias("x")).select("doc_id", "row", "x.*")
     firsts = asked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    more = asked.join(firsts.hint("merge"), ["h1", "h2"]).where("first_doc < doc_id").groupBy("row").agg(F.collect_set("ask").alias("hit"))
+    more = asked.join(shared.written(firsts, "windows").hint("merge"), ["h1", "h2"]).where("first_doc < doc_id").groupBy("row").agg(F.collect_set("ask").alias("hit"))
     sure = judged.where("size(hit) > 0").select("row", "hit")
     starts = sure.unionByName(more).groupBy("row").agg(F.flatten(F.collect_list("hit")).alias("starts"))
 
