@@ -82,7 +82,7 @@ def posting_lists(classes: DataFrame, coords: int = 64, least: int = 38) -> Data
 def hub_pairs(lists: DataFrame) -> DataFrame:
     """(x, h): each member of a list with the list's hub, once."""
     hubs = lists.groupBy("token").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("members")).where("members > 1").select("token", (-F.col("top.minus")).alias("h"))
-    return lists.join(hubs.hint("merge"), "token").where("rep <> h").select(F.col("rep").alias("x"), "h").distinct()
+    return lists.join(shared.written(hubs, "hubs").hint("merge"), "token").where("rep <> h").select(F.col("rep").alias("x"), "h").distinct()
 
 
 def _compared(percent: int, batches):
@@ -165,7 +165,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64,
     sized = stars.join(of.select("x", F.size("set").alias("n")).hint("merge"), "x")
     few = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_hashes)).cast("int").alias("blocks")
     open_hubs = sized.groupBy("h").agg(few, F.count("*").alias("members"), F.expr("count_if(NOT linked)").alias("apart")).where("members > 1 AND apart > 0").select("h", "blocks")
-    dealt = stars.join(open_hubs.hint("merge"), "h").withColumn("b", F.expr("CAST(pmod(xxhash64(x), blocks) AS INT)"))
+    dealt = stars.join(shared.written(open_hubs, "open").hint("merge"), "h").withColumn("b", F.expr("CAST(pmod(xxhash64(x), blocks) AS INT)"))
     dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "x", "linked")
     dealt = dealt.join(of.hint("merge"), "x")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
