@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests on one machine), an own one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder named in spark.checkpoint.dir, with its file system; where it is unset (tests on one machine), an own one is set."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        where = context.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
@@ -62,8 +63,6 @@ def fs_of(uri: str):
     """(file system, path) for Python writers of binary files in the shared folder."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        uri = "file://" + os.path.abspath(uri)
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri)
