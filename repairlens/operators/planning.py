@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repairlens.functions.joins import join_list
+
 CONFIDENCE = "CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END"
 
 
@@ -178,7 +180,7 @@ def packet_mode(runs: DataFrame) -> DataFrame:
 def normalize_diagnosis(diagnoses: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(id, pathology, family, action, intent, known): manual values of (id, pathology, action, intent) first, then those of the taxonomy (pathology, family, default_action, default_intent)."""
     table = taxonomy.withColumn("known", F.lit(True))
-    joined = diagnoses.join(table.hint("broadcast"), "pathology", "left")  # a closed list of a few dozen pathologies
+    joined = join_list(diagnoses, table, "pathology", "left")
     own = lambda c, d: F.coalesce(F.nullif(c, F.lit("")), d)
     return joined.select("id", "pathology", F.coalesce("family", F.lit("ABSTAIN")).alias("family"), own("action", "default_action").alias("action"), own("intent", "default_intent").alias("intent"), F.coalesce("known", F.lit(False)).alias("known"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repairlens.functions.joins import join_list
 from repairlens.functions.text import lines_nl, strip
 
 HEADER = r"^_{3,}\s+(.+?)\s+_{3,}"
@@ -149,7 +150,7 @@ def related_tests(files: DataFrame, targets: DataFrame, views: DataFrame, budget
     """
     tests = files.where(F.lower("path").rlike(r"(^|/)(test|tests|testing)/|(^|/)test_[^/]*$|_test\.py$"))
     word = tests.withColumn("target", F.explode(F.array_distinct(F.regexp_extract_all(F.concat("path", F.lit(" "), "content"), F.lit(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*"), F.lit(0)))))
-    hits = word.join(F.broadcast(targets), "target")
+    hits = join_list(word, targets, "target")
     calls = F.size(F.expr("split(content, concat('\\\\b', target, '\\\\b'), -1)")) - 1
     score = F.when(calls > 0, 100 + calls).when(F.contains("content", F.concat(F.lit("import "), "module")), 80).when(F.contains("path", F.concat(F.lit("/"), "target", F.lit("/"))), 60).otherwise(30)
     ranked = hits.select("target", "path", score.alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "path"))).where(F.col("r") <= budget)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repairlens.functions.joins import join_list, join_terms
 from repairlens.functions.text import let, lines_py, strip
 
 TEST_PATH = r"(^|/)tests/|(^|/)test_[^/]*\.py$|_test\.py$"
@@ -18,9 +19,9 @@ def code_lines(files: DataFrame) -> DataFrame:
 def code_search(lines: DataFrame, queries: DataFrame, k: int = 5, window: int = 20) -> DataFrame:
     """(query, path, ln, start_line, end_line): the first k lines in (path, line) order that hold each query; test files are left out.
 
-    queries (query) is a list of a few search terms and goes to every task.
+    queries (query) is a list of search terms, joined in blocks.
     """
-    hits = lines.where(~F.col("path").rlike(TEST_PATH)).join(F.broadcast(queries.where("length(query) > 1")), F.contains("text", "query"))
+    hits = join_terms(lines.where(~F.col("path").rlike(TEST_PATH)), queries.where("length(query) > 1"), F.contains("text", "query"))
     ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("path", "ln"))).where(F.col("r") <= k)
     return ranked.select("query", "path", "ln", F.greatest(F.col("ln") - window, F.lit(1)).alias("start_line"), (F.col("ln") + window).alias("end_line"))
 
@@ -28,7 +29,7 @@ def code_search(lines: DataFrame, queries: DataFrame, k: int = 5, window: int =
 def find_definitions(lines: DataFrame, targets: DataFrame, budget: int = 5) -> DataFrame:
     """(target, path, ln): the first line of each file that defines a target as function or class, the first files in path order."""
     name = F.regexp_extract("text", r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)", 1)
-    defs = lines.withColumn("target", name).where("target <> ''").join(F.broadcast(targets), "target", "left_semi")
+    defs = join_list(lines.withColumn("target", name).where("target <> ''"), targets, "target", "left_semi")
     first = defs.groupBy("target", "path").agg(F.min("ln").alias("ln"))
     return first.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy("path"))).where(F.col("r") <= budget).drop("r")
 
@@ -49,13 +50,13 @@ def file_definition(files: DataFrame, targets: DataFrame, chars: int = 2000) ->
 def find_imports(lines: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, path, ln): import lines that name a module as a word."""
     named = lines.where(F.col("text").rlike(r"^\s*(import|from)\s")).withColumn("module", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))))
-    return named.join(F.broadcast(modules), "module", "left_semi").select("module", "path", "ln")
+    return join_list(named, modules, "module", "left_semi").select("module", "path", "ln")
 
 
 def find_callers(lines: DataFrame, symbols: DataFrame, k: int = 5) -> DataFrame:
     """(symbol, path, ln, score): one line a file that calls (3), names (2) or defines (1) a symbol; the best k files."""
     words = lines.select("path", "ln", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("symbol"))
-    hits = words.join(F.broadcast(symbols), "symbol", "left_semi")
+    hits = join_list(words, symbols, "symbol", "left_semi")
     defines = F.regexp_extract("text", r"(?:def|class)\s+(\w+)", 1) == F.col("symbol")
     calls = F.expr("text RLIKE concat('\\\\b', symbol, '\\\\s*\\\\(')")
     scored = hits.withColumn("score", F.when(defines, 1).when(calls, 3).otherwise(2))
@@ -140,9 +141,9 @@ def symbol_index(files: DataFrame) -> DataFrame:
 
 def find_symbols(symbols: DataFrame, hints: DataFrame) -> DataFrame:
     """(hint, path, name, score): symbols of that very name (0.92), else such as hold it (0.78). hints (hint) is a short list."""
-    exact = symbols.join(F.broadcast(hints), F.col("name") == F.col("hint")).select("hint", "path", "name", F.lit(0.92).alias("score"))
+    exact = join_list(symbols, hints, F.col("name") == F.col("hint")).select("hint", "path", "name", F.lit(0.92).alias("score"))
     left = hints.join(exact.select("hint").distinct(), "hint", "left_anti")
-    part = symbols.join(F.broadcast(left), F.contains("name", "hint")).select("hint", "path", "name", F.lit(0.78).alias("score"))
+    part = join_terms(symbols, left, F.contains("name", "hint")).select("hint", "path", "name", F.lit(0.78).alias("score"))
     return exact.unionByName(part)
 
 
