@@ -102,3 +102,58 @@ def witness_source_inventory(runs: DataFrame, files: DataFrame, order: list[str]
     best = known.groupBy("run_id").agg(F.min_by("name", F.when(F.col("bytes") > 0, F.col("place"))).alias("source"), F.count("*").alias("n"))
     reason = F.when(F.col("source").isNotNull(), "found").when(F.col("n") > 0, "empty").otherwise("missing")
     return runs.join(best, "run_id", "left").select("run_id", "source", reason.alias("reason"))
+
+
+SPAN = "struct<score:double,ord:bigint,path:string,start_line:bigint,end_line:bigint,operation:string,relation:string>"
+
+
+def select_evidence(candidates: DataFrame, required: list[str], max_items: int = 12, max_lines: int = 400, max_files: int = 8) -> DataFrame:
+    """(instance_id, rank, path, start_line, end_line, relation) of candidates (instance_id, ord, path, start_line, end_line, operation, relation, score).
+
+    Each span once, by score: two of a path and operation at most, within the budgets; what
+    doesn't fit is skipped. Then one candidate of each required relation that is missing, while
+    items and lines last.
+    """
+    first = candidates.groupBy("instance_id", "path", "start_line", "end_line").agg(F.min_by(F.struct("score", "ord", "operation", "relation"), "ord").alias("c"))
+    entry = F.struct((-F.col("c.score")).cast("double").alias("score"), F.col("c.ord").cast("bigint").alias("ord"), "path", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), F.col("c.operation").alias("operation"), F.col("c.relation").alias("relation")).cast(SPAN)
+    listed = first.groupBy("instance_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    start = F.struct(F.array().cast(f"array<{SPAN}>").alias("kept"), F.lit(0).cast("bigint").alias("lines"))
+    size = lambda x: x["end_line"] - x["start_line"] + 1
+
+    def take(acc: Column, x: Column, ok: Column) -> Column:
+        fits = ok & (F.size(acc["kept"]) < max_items) & (acc["lines"] + size(x) <= max_lines)
+        return F.struct(F.when(fits, F.concat(acc["kept"], F.array(x).cast(f"array<{SPAN}>"))).otherwise(acc["kept"]).alias("kept"), F.when(fits, acc["lines"] + size(x)).otherwise(acc["lines"]).cast("bigint").alias("lines"))
+
+    def by_score(acc: Column, x: Column) -> Column:
+        paths = F.array_distinct(F.transform(acc["kept"], lambda k: k["path"]))
+        alike = F.size(F.filter(acc["kept"], lambda k: (k["path"] == x["path"]) & (k["operation"] == x["operation"])))
+        return take(acc, x, (alike < 2) & (F.array_contains(paths, x["path"]) | (F.size(paths) < max_files)))
+
+    def by_relation(acc: Column, x: Column) -> Column:
+        missing = ~F.exists(acc["kept"], lambda k: k["relation"] == x["relation"])
+        return take(acc, x, missing)
+
+    folded = listed.select("instance_id", "all", F.aggregate("all", start, by_score).alias("s"))
+    names = F.array(*(F.lit(r) for r in required))
+    wanted = F.array_sort(F.transform(F.filter("all", lambda x: F.array_contains(names, x["relation"])), lambda x: F.struct(F.array_position(names, x["relation"]).alias("p"), x.alias("x"))))
+    both = folded.select("instance_id", F.aggregate(F.transform(wanted, lambda w: w["x"]), F.col("s"), by_relation, lambda acc: acc["kept"]).alias("kept"))
+    return both.select("instance_id", F.posexplode("kept").alias("rank", "x")).select("instance_id", "rank", "x.path", "x.start_line", "x.end_line", "x.relation")
+
+
+def rehydrate_seen(views: DataFrame, kept: DataFrame, lines: DataFrame, keywords: DataFrame, k: int = 4) -> DataFrame:
+    """(instance_id, rank, path, start_line, end_line, hits): viewed spans no line of which the final context keeps (both instance_id, path, start_line, end_line), by the number of keywords (instance_id, word) in their code (path, ln, text)."""
+    v, f = views.distinct().alias("v"), kept.alias("f")
+    overlap = (F.col("v.instance_id") == F.col("f.instance_id")) & (F.col("v.path") == F.col("f.path")) & (F.col("v.start_line") <= F.col("f.end_line")) & (F.col("f.start_line") <= F.col("v.end_line"))
+    dropped = v.join(f, overlap, "left_anti")
+    words = lines.select("path", "ln", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("word"))
+    inside = dropped.alias("d").join(words.alias("w"), (F.col("d.path") == F.col("w.path")) & F.expr("w.ln BETWEEN d.start_line AND d.end_line")).select("d.*", "word")
+    hits = inside.join(keywords.distinct(), ["instance_id", "word"]).groupBy("instance_id", "path", "start_line", "end_line").agg(F.count_distinct("word").alias("hits"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("instance_id").orderBy(F.desc("hits"), "path", "start_line", "end_line")) - 1)
+    return ranked.where(F.col("rank") < k).select("instance_id", "rank", "path", "start_line", "end_line", "hits")
+
+
+def scope_constraints(runs: DataFrame) -> DataFrame:
+    """(run_id, pos, constraint, severity) of runs (run_id, edited_files, unsupported_files, submitted_without_tests, patterns)."""
+    rules = [("cap_files", "high", "edited_files >= 5"), ("drop_unsupported", "high", "unsupported_files > 0"), ("run_tests", "high", "submitted_without_tests"), ("no_repeated_edits", "medium", "patterns > 0")]
+    rows = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(n).alias("constraint"), F.lit(s).alias("severity"))) for n, s, c in rules)))
+    return runs.select("run_id", F.posexplode(rows).alias("pos", "c")).select("run_id", "pos", "c.*")
