@@ -18,6 +18,9 @@ from repairlens.llm.near_dedup import near_duplicates
 #: Rows to drop are broadcast up to so many, counted first; more are joined by sort and merge.
 DROPPED_BROADCAST = 200_000
 
+#: Texts whose shingle sets have this Jaccard similarity or more are near copies.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found."""
@@ -28,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group."""
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    dropped = near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
     return shared.sized_join(docs, shared.written(dropped, "dropped"), "doc_id", "left_anti", DROPPED_BROADCAST).select(*docs.columns)
 
 

@@ -2,8 +2,8 @@
 
 Texts with the same shingle set form a class first. A class representative posts its
 signature as tokens, one per coordinate and value. A pair above the threshold agrees in
-``least`` coordinates or more (with ``coords`` = 64 and ``least`` = 38, a pair of
-similarity 0.85 agrees in fewer with a probability under 1e-6), so it shares one of the
+``least`` coordinates or more (``agreements`` finds it from the threshold: a pair at the
+threshold agrees in fewer with a probability under 1e-6), so it shares one of the
 ``coords - least + 1`` rarest tokens of either side: only those are posted, and tokens that
 nobody shares are skipped.
 
@@ -16,6 +16,8 @@ group is ever made, and no link between different components is lost.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,22 @@ from repairlens.llm.components import components
 
 _SEED = 7919
 
+#: A pair at the threshold may agree in fewer coordinates than asked for with this probability at most.
+MISSED = 5e-7
+
+
+def agreements(percent: int, coords: int = 64) -> int:
+    """The most coordinates that a pair at the threshold agrees in, but for a probability of MISSED."""
+    share, below, least = percent / 100, 0.0, 0
+    while least < coords:
+        below += math.comb(coords, least) * share**least * (1 - share) ** (coords - least)
+        if below > MISSED:
+            break
+        least += 1
+    if not least:
+        raise ValueError(f"{coords} coordinates are too few for pairs of {percent} %")
+    return least
+
 
 def _sets(batches, size: int):
     """(rows, hashes of distinct shingles in ascending order per text, how many)."""
@@ -70,7 +88,7 @@ def signatures(docs: DataFrame, size: int = 5, coords: int = 64) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig array<long>")
 
 
-def posting_lists(classes: DataFrame, coords: int = 64, least: int = 38) -> DataFrame:
+def posting_lists(classes: DataFrame, coords: int, least: int) -> DataFrame:
     """(token, rep, score): the rarest shared tokens of each representative, as many as the pigeonhole needs."""
     posts = classes.select("rep", F.explode("sig").alias("token"))
     shared_tokens = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -150,9 +168,9 @@ def _blocks(percent: int, batches):
     yield out(_forest(percent, rows))
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64, least: int = 38, percent: int = 85, block: int = 512, block_hashes: int = 400_000) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64, percent: int = 85, block: int = 512, block_hashes: int = 400_000) -> DataFrame:
     """(a, b): edges between representatives that connect exactly what the links connect."""
-    pairs = shared.written(hub_pairs(posting_lists(classes, coords, least)), "pairs")
+    pairs = shared.written(hub_pairs(posting_lists(classes, coords, agreements(percent, coords))), "pairs")
     members = pairs.select(F.explode(F.array("x", "h")).alias("doc_id")).distinct()
 
     def sets(batches):
@@ -173,7 +191,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64,
     return stars.where("linked").select(F.col("x").alias("a"), F.col("h").alias("b")).unionByName(rest)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, coords: int = 64, least: int = 38, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, coords: int = 64, percent: int = 85) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id and kept (it is the least id of its component).
 
     Texts without words are linked with nothing. Rows with a null id stay and have no component. Of rows
@@ -182,7 +200,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, coords: int = 64, least: int
     sigs = shared.written(signatures(docs, size, coords), "signatures")
     named = sigs.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    groups = components(shared.written(links(docs, classes, size, coords, least, percent), "links"))
+    groups = components(shared.written(links(docs, classes, size, coords, percent), "links"))
     reps = classes.select("s1", "s2", "n", "rep").join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return (
