@@ -65,6 +65,11 @@ def _diagnosis(failures):
     return pl.rule_diagnosis(failures.select("run_id", F.col("exception_type").alias("error_type"), "error_message", (F.col("ord") % 3 == 0).alias("edits_elsewhere")).where("ord % 40 = run_id"))
 
 
+def _whole_diagnosis(failures):
+    """Over every failure, each a run of its own: all 20 runs of the fixture would get the same findings."""
+    return pl.rule_diagnosis(failures.select(F.col("ord").alias("run_id"), F.col("exception_type").alias("error_type"), "error_message", (F.col("ord") % 3 == 0).alias("edits_elsewhere")))
+
+
 def _contracts(orders):
     k = F.col("o_orderkey")
     return pl.allocate_plan(orders.select((k % 200).alias("run_id"), k.alias("ord"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END").alias("confidence"), ((k % 10) / 10).alias("uncertainty"), (k % 4).alias("n_clusters"), (k % 3 + 1).alias("n_actions"), (k % 9 + 1).alias("budget")))
@@ -82,7 +87,7 @@ def _episodes(orders):
 
 
 def _pairs(messages):
-    return pl.pair_test_runs(messages.where("role = 'assistant' AND run_id % 3 <> 0").select("run_id", "step"), messages.where("role = 'tool' OR step = 2").select("run_id", "step"))
+    return pl.pair_test_runs(messages.where("role = 'assistant'").select("run_id", "step"), messages.where("role = 'tool' OR step = 2").select("run_id", "step"))
 
 
 def _calls(events):
@@ -117,6 +122,9 @@ QUERIES = {
     "rule_diagnosis": query(_diagnosis, "failures"),
     "diagnosis_plan": query(lambda f: pl.diagnosis_plan(_diagnosis(f)), "failures"),
     "hypotheses": query(lambda f: pl.hypotheses(_diagnosis(f)), "failures"),
+    "rule_diagnosis_whole": query(_whole_diagnosis, "failures"),
+    "diagnosis_plan_whole": query(lambda f: pl.diagnosis_plan(_whole_diagnosis(f)), "failures"),
+    "hypotheses_whole": query(lambda f: pl.hypotheses(_whole_diagnosis(f)), "failures"),
     "evidence_ledger": query(lambda f: pl.evidence_ledger(f.select("run_id", "ord", F.col("exception_type").alias("source"), F.col("root_frame").alias("location")), {"TypeError": 5, "ImportError": 3}), "failures"),
     "evidence_conflicts": query(lambda s: pl.evidence_conflicts(s.select(F.concat("path", F.col("start_line").cast("string")).alias("evidence_id"), F.col("instance_id").alias("run_id"), F.col("kind").alias("source"), F.col("path").alias("location"))), "spans"),
     "allocate_plan": query(_contracts, "orders"),
@@ -191,3 +199,6 @@ f AS (SELECT run_id, k, min_by(name, (turn, name)) AS name FROM e GROUP BY 1, 2)
     "run_cost": oracle("messages", "SELECT run_id, count(*) FILTER (role = 'assistant') AS n_calls, min(step * 10 + run_id % 7) AS first_ts, max(step * 10 + run_id % 7) AS last_ts FROM messages GROUP BY 1"),
     "submission_of": oracle("predictions", "SELECT instance_id AS run_id, min_by(batch, ord) AS source, count(DISTINCT ord % 2) = 1 AS consistent FROM predictions WHERE ord % 3 <> 0 GROUP BY 1"),
 }
+
+for _name in ("rule_diagnosis", "diagnosis_plan", "hypotheses"):  # the same SQL over every failure, by event
+    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace("SELECT DISTINCT run_id, exception_type AS t", "SELECT DISTINCT ord AS run_id, exception_type AS t").replace(" WHERE ord % 40 = run_id", "")
