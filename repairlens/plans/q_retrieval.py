@@ -57,9 +57,11 @@ def _selected(spans):
     return rt.select_evidence(c, ["rare"], 6, 20, 3)
 
 
-def _rehydrated(spans, files):
-    part = lambda k: spans.where((F.col("kind") == k) & (F.col("instance_id") < 40)).select("instance_id", F.concat(F.lit("src"), (F.col("start_line") % 3).cast("string"), F.lit("/f"), (F.col("start_line") % 3).cast("string"), F.lit(".py")).alias("path"), (F.col("end_line") - F.col("start_line")).cast("long").alias("start_line"), (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("end_line"))
-    words = spans.where("instance_id < 40").select("instance_id", F.element_at(F.array(F.lit("def"), F.lit("return"), F.lit("the")), (F.col("start_line") % 3 + 1).cast("int")).alias("word")).distinct()
+def _rehydrated(spans, files, instances=40):
+    """Over the instances below so many, or all (None)."""
+    spans = spans if instances is None else spans.where(F.col("instance_id") < instances)
+    part = lambda k: spans.where(F.col("kind") == k).select("instance_id", F.concat(F.lit("src"), (F.col("start_line") % 3).cast("string"), F.lit("/f"), (F.col("start_line") % 3).cast("string"), F.lit(".py")).alias("path"), (F.col("end_line") - F.col("start_line")).cast("long").alias("start_line"), (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("end_line"))
+    words = spans.select("instance_id", F.element_at(F.array(F.lit("def"), F.lit("return"), F.lit("the")), (F.col("start_line") % 3 + 1).cast("int")).alias("word")).distinct()
     return rt.rehydrate_seen(part("viewed"), part("final").where("start_line > 2"), st.code_lines(files), words)
 
 
@@ -78,6 +80,7 @@ QUERIES = {
     "redact_settings": query(_settings, "orders"),
     "select_evidence": query(_selected, "spans"),
     "rehydrate_seen": query(_rehydrated, "spans", "repo_files"),
+    "rehydrate_seen_whole": query(lambda s, f: _rehydrated(s, f, None), "spans", "repo_files"),
     "scope_constraints": query(lambda o: rt.scope_constraints(o.select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 8).alias("edited_files"), (F.col("o_orderkey") % 3).alias("unsupported_files"), (F.col("o_orderkey") % 5 == 0).alias("submitted_without_tests"), (F.col("o_orderkey") % 2).alias("patterns"))), "orders"),
     "witness_source_inventory": query(lambda o: rt.witness_source_inventory(o.select(F.col("o_orderkey").alias("run_id")), o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("run_id"), F.concat(F.lit("s"), (F.col("o_orderkey") % 4).cast("string")).alias("name"), (F.col("o_orderkey") % 2).alias("bytes")), ["s2", "s1", "s0"]), "orders"),
 }
@@ -111,3 +114,4 @@ u AS (SELECT k AS run_id, unnest(range(len(c))) AS pos, unnest(c) AS constraint_
     "witness_source_inventory": """WITH f AS (SELECT o_orderkey AS k, o_orderkey % 3 > 0 AND o_orderkey % 4 < 3 AS there, o_orderkey % 2 > 0 AS filled FROM orders)
 SELECT k AS run_id, CASE WHEN there AND filled THEN 's' || (k % 4) END AS source, CASE WHEN there AND filled THEN 'found' WHEN there THEN 'empty' ELSE 'missing' END AS reason FROM f""",
 }
+ORACLES["rehydrate_seen_whole"] = ORACLES["rehydrate_seen"].replace(" AND instance_id < 40", "").replace(" WHERE instance_id < 40", "")

@@ -29,9 +29,10 @@ def _clusters(failures):
     )
 
 
-def _aligned(failures, spans):
+def _aligned(failures, spans, views="start_line < 2", edits="start_line > 89"):
+    """Views and edits of those start lines only; "true" takes all."""
     files = lambda k: spans.where(F.col("kind") == k).select((F.col("instance_id") % 20).alias("run_id"), F.col("path").alias("file"), "start_line")
-    views, edits = files("viewed").where("start_line < 2"), files("final").where("start_line > 89")
+    views, edits = files("viewed").where(views), files("final").where(edits)
     out = sc.align_evidence(_clusters(failures), views.drop("start_line"), edits.drop("start_line"))
     return out.select("run_id", "cluster", F.size("error_symbols").alias("n_symbols"), F.array_join(F.array_sort("unviewed_files"), ",").alias("unviewed"), "disjoint")
 
@@ -54,6 +55,7 @@ QUERIES = {
     "parse_django_failures": query(lambda f: _flat(sc.parse_django_failures(_django(f))), "failures"),
     "reconcile_failures": query(lambda f: sc.reconcile_failures(sc.parse_pytest_failures(_session(f)), sc.summary_failures(_session(f))), "failures"),
     "align_evidence": query(_aligned, "failures", "spans"),
+    "align_evidence_whole": query(lambda f, s: _aligned(f, s, "true", "true"), "failures", "spans"),
     "classify_clusters": query(_classes, "failures"),
     "related_tests": query(_related, "repo_files"),
     "test_index": query(lambda f: sc.test_index(st.symbol_index(f.select(F.concat(F.lit("tests/"), "path").alias("path"), F.replace("content", F.lit("def f"), F.lit("def test_")).alias("content")))), "repo_files"),
@@ -76,3 +78,4 @@ h AS (SELECT k AS target, path, len(regexp_extract_all(content, '\b' || k || '\b
 r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, path) AS r FROM s) SELECT target, path, CAST(score AS INT) AS score, ends_with(path, '3.py') AS seen FROM r WHERE r <= 5"""),
     "test_index": oracle("repo_files", r"SELECT 'tests/' || path AS path, 'test_' || regexp_extract(path, 'f(\d+)\.py', 1) AS name, 1 AS start_line, 2 AS end_line FROM repo_files"),
 }
+ORACLES["align_evidence_whole"] = ORACLES["align_evidence"].replace(" AND start_line < 2", "").replace(" AND start_line > 89", "")
