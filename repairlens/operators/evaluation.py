@@ -120,7 +120,8 @@ def action_group_metrics(metrics: DataFrame, baselines: list[str]) -> DataFrame:
 def difficulty_profile(instances: DataFrame) -> DataFrame:
     """(bucket, n, median, p90) of instances (instance_id, size): the value at position n div 2, and at 90 % of n."""
     bucket = F.expr("CASE WHEN size < 10 THEN 'small' WHEN size < 30 THEN 'medium' ELSE 'large' END")
-    w = Window.partitionBy("bucket")
-    placed = instances.withColumn("bucket", bucket).withColumns({"n": F.count("*").over(w), "pos": F.row_number().over(w.orderBy("size", "instance_id")) - 1})
-    at = lambda where: F.max(F.when(F.col("pos") == where, F.col("size")))
+    sizes = instances.groupBy(bucket.alias("bucket"), "size").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("bucket")  # a row for each distinct size
+    placed = sizes.withColumns({"n": F.sum("k").over(w), "upto": F.sum("k").over(w.orderBy("size"))})
+    at = lambda where: F.min_by("size", F.when(F.col("upto") > where, F.col("upto")))
     return placed.groupBy("bucket").agg(F.max("n").alias("n"), at(F.expr("n div 2")).alias("median"), at(F.expr("CAST(floor(n * 0.9) AS BIGINT)")).alias("p90"))
