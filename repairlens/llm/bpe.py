@@ -269,17 +269,23 @@ _LETTERS = _byte_letters()
 _byte_letters = lambda: _LETTERS
 
 
-def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return T.word_hashes(data, starts, ends)
-
-
-def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a place of each distinct hash, for each place its distinct one, counts)."""
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    new = np.ones(len(ordered), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    group = np.empty(len(ordered), np.int64)
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each piece, as two independent hashes."""
+    return T.word_hashes(data, starts, ends, 2)
+
+
+def distinct(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct pair of hashes, for each place its distinct one, counts)."""
+    order = np.argsort(hashes[0])
+    first, second = hashes[0][order], hashes[1][order]
+    same = first[1:] == first[:-1]
+    if (same & (second[1:] != second[:-1])).any():
+        order = np.lexsort((hashes[1], hashes[0]))
+        first, second = hashes[0][order], hashes[1][order]
+        same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+    new = np.ones(len(order), bool)
+    new[1:] = ~same
+    group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
-    return order[heads], group, np.diff(np.append(heads, len(ordered)))
+    return order[heads], group, np.diff(np.append(heads, len(order)))

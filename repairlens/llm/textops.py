@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE, _GRAM = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_STEP, _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def _byte_table(word: bytes) -> np.ndarray:
@@ -31,32 +31,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _inverse(odd: np.uint64) -> np.uint64:
-    x = int(odd)
-    for _ in range(6):
-        x = x * (2 - int(odd) * x) % 2**64
-    return U(x)
-
-
-class _Powers:
-    """base**i and base**-i modulo 2**64, as far as asked for."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, int(n - 1).bit_length())
-            for name, base in (("up", self.base), ("down", _inverse(self.base))):
-                row = np.full(size, base, U)
-                row[0] = 1
-                setattr(self, name, np.cumprod(row, dtype=U))
-        return self.up, self.down
-
-
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_GRAM)
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x + U((0x9E3779B97F4A7C15 * (salt + 1)) % 2**64)
@@ -110,29 +84,57 @@ def word_spans(data: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    up, down = _BYTES.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: int = 1) -> list[np.ndarray]:
+    """So many independent 64-bit hashes of each word's bytes (one byte at least): mixed sums over its chunks of 8 bytes, each mixed with its place."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), U, buffer=padded, strides=(1,))  # the 8 bytes from each place on
+    if not len(size) or size.max() <= 8:
+        chunk = eight[starts] & _MASK[size]
+        return [mix(mix(chunk, 2 * kind) + size.astype(U), 2 * kind + 1) for kind in range(kinds)]
+    n = (size + 7) >> 3
+    heads, place = np.cumsum(n) - n, ragged(np.zeros(len(n), np.int64), n)
+    at = np.repeat(starts, n) + 8 * place
+    chunk = (eight[at] & _MASK[np.minimum(np.repeat(ends, n) - at, 8)]) ^ (place.astype(U) * _STEP)
+    return [mix(np.add.reduceat(mix(chunk, 2 * kind), heads) + size.astype(U), 2 * kind + 1) for kind in range(kinds)]
 
 
 class Grams:
-    """Hashes of spans of consecutive words, each from two look-ups."""
+    """Hashes of spans of consecutive words, of each kind that the words have.
 
-    def __init__(self, words: np.ndarray):
-        self.n, (up, self.down) = len(words), _WORDS.upto(len(words) + 1)
-        self.sums = np.zeros(self.n + 1, U)
-        np.cumsum(words * up[: self.n], out=self.sums[1:])
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U), salt)
+    A span of a power of two of words is hashed from its halves, any other from the two such
+    spans that cover it; equal word sequences have equal hashes wherever they stand.
+    """
 
-    def all(self, k: int, salt: int = 0) -> np.ndarray:
+    def __init__(self, words: list[np.ndarray]):
+        self.n, self.levels = len(words[0]), [[w] for w in words]
+
+    def _level(self, power: int, kind: int) -> np.ndarray:
+        have = self.levels[kind]
+        while len(have) <= power:
+            last, half = have[-1], 1 << (len(have) - 1)
+            n = max(0, self.n - 2 * half + 1)
+            have.append(mix(last[:n] * _LEFT + last[half : half + n], kind))
+        return have[power]
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+        size = ends - starts
+        out = np.empty(len(size), U)
+        if not len(size):
+            return out
+        power = np.log2(size).astype(np.int64)
+        for p in range(int(power.min()), int(power.max()) + 1):
+            some = np.flatnonzero(power == p)
+            if len(some):
+                level = self._level(p, kind)
+                out[some] = mix(level[starts[some]] * _LEFT + level[ends[some] - (1 << p)] * _RIGHT + size[some].astype(U), kind)
+        return out
+
+    def all(self, k: int, kind: int = 0) -> np.ndarray:
         """Of every k words, also of those across texts."""
-        n = max(0, self.n - k + 1)
-        return mix((self.sums[k : k + n] - self.sums[:n]) * self.down[:n] + U(k), salt)
+        n, p = max(0, self.n - k + 1), k.bit_length() - 1
+        level, shift = self._level(p, kind), k - (1 << p)
+        return mix(level[:n] * _LEFT + level[shift : shift + n] * _RIGHT + U(k), kind)
 
 
 def sliding(x: np.ndarray, width: int, f) -> np.ndarray:

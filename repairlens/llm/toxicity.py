@@ -8,7 +8,10 @@ tell toxic from clean texts they hold (1, 2 to 3, more).
 
 The model is fitted on at most ``sample`` labelled rows (those of least hash), with an L1
 penalty that leaves few weights. Every row of docs is scored on its whole text. Null or empty
-text has no words and scores as the thresholds alone say.
+text has no words and scores as the thresholds alone say. Rows with a null id are scored but
+not sampled; of rows that repeat a sampled id the text of least hash is taken, and of repeated
+labels the larger; equal rows get equal scores. Other columns are ignored; an empty table gives
+no rows; without labels every row scores the same.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ def _features(batches):
     for rows, data, offs in T.text_slices(batches, "text"):
         data = T.LOWER[data]
         starts, ends, firsts = T.word_spans(data, offs, T.ALNUM)
-        kinds = [T.word_hashes(data, starts, ends)]
+        kinds = T.word_hashes(data, starts, ends)
         for size in PREFIXES:
-            cut = T.word_hashes(data, starts, np.minimum(starts + size, ends))
+            (cut,) = T.word_hashes(data, starts, np.minimum(starts + size, ends))
             kinds.append(np.where(ends - starts > size, T.mix(cut, size), kinds[0]))
         yield rows, (np.stack(kinds, axis=1).ravel() >> np.uint64(64 - BITS)).astype(np.int64), firsts * len(kinds)
 
@@ -48,7 +51,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np
             own = [np.unique(feature[a:b]) for a, b in zip(firsts, firsts[1:])]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), T.list_column(np.concatenate(own) if own else feature, [len(x) for x in own], pa.int32())], ["doc_id", "toxic", "features"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"), F.max("toxic").cast("int").alias("toxic")).select("doc_id", "one.text", "toxic")
     got = rows.mapInArrow(run, "doc_id long, toxic int, features array<int>").toArrow()
     got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")))
     lists = got["features"].combine_chunks()
