@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from repairlens.llm import shared
 
 
+def _least_neighbours(edges: DataFrame) -> DataFrame:
+    """(a, m, n): the least neighbour of each a, and how many edges it has."""
+    return shared.written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node go to its least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    low = _least_neighbours(both)
+    return shared.spread_join(both.where("b > a"), low, ["a"], "n", ["b"]).select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours go to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(low.hint("merge"), "a")
+    low = _least_neighbours(down)
+    joined = shared.spread_join(down, low, ["a"], "n", ["b"])
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -32,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = shared.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _state(now)
     while seen[0]:
-        after = shared.written(_small_star(_large_star(now)), "edges")
+        after = shared.written(_small_star(shared.written(_large_star(now), "edges")), "edges")
         shared.forget(now)
         state, now = _state(after), after
         if state == seen:

@@ -1,17 +1,21 @@
 """MinHash near-duplicate detection by an inverted join on signature coordinates.
 
-Texts with the same shingle set form a class first. A class representative posts its
-signature as tokens, one per coordinate and value. A pair above the threshold agrees in
+Texts with the same shingle set (by a 128-bit digest) form a class first. A class posts its
+signature as tokens, one for each coordinate and value. A pair above the threshold agrees in
 ``least`` coordinates or more (``agreements`` finds it from the threshold: a pair at the
 threshold agrees in fewer with a probability under 1e-6), so it shares one of the
-``coords - least + 1`` rarest tokens of either side: only those are posted, and tokens that
-nobody shares are skipped.
-
-In each posting list the member whose tokens are the most widely shared is the hub. Members
-are compared with their hubs on full shingle sets. Where some member of a hub's group isn't
-linked with the hub, the pairs that this leaves open are compared in blocks of bounded size,
-each in one task, which returns no more than a spanning forest. So no list of pairs within a
-group is ever made, and no link between different components is lost.
+``coords - least + 1`` rarest tokens of either side: only this prefix is posted, tokens that
+nobody shares are skipped, and classes that share fewer than ``least`` tokens drop out.
+
+In each posting list the member whose tokens are the most widely shared is the hub. For each
+member and hub the colliding coordinates are counted over both whole signatures; pairs with
+``least`` collisions or more are compared on full shingle sets, and links give components.
+What this leaves open are pairs of a list whose members came into different components. Those
+outside the hub's component meet each other and the rest in blocks of bounded size, each in
+one task: collisions are counted first, pairs above the match threshold are compared on full
+sets, and no more than a spanning forest returns. So no list of pairs within a group is ever
+made, members that already hang together are never compared with each other, and no link
+between different components is lost. Keys with many rows are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -46,113 +50,138 @@ def agreements(percent: int, coords: int = 64) -> int:
     return least
 
 
+def _factors(coords: int) -> np.ndarray:
+    return np.random.default_rng(_SEED).integers(0, 2**63, coords, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _coordinates(hashes: np.ndarray, heads: np.ndarray, coords: int) -> np.ndarray:
+    """The least permuted hash of each set for each coordinate; heads: where sets begin."""
+    return np.stack([np.minimum.reduceat(hashes * f, heads) for f in _factors(coords)], axis=1)
+
+
 def _sets(batches, size: int):
-    """(rows, hashes of distinct shingles in ascending order per text, how many)."""
+    """(rows, hashes of distinct shingles in ascending order per text, their second hashes, how many)."""
     for rows, data, offs in T.text_slices(batches, "text"):
         data = T.LOWER[data]
         starts, ends, firsts = T.word_spans(data, offs, T.NON_SPACE)
-        grams = T.Grams(T.word_hashes(data, starts, ends))
+        grams = T.Grams(T.word_hashes(data, starts, ends, 2))
         words = np.diff(firsts)
         k = np.minimum(words, size)
         n = np.where(words > 0, words - k + 1, 0)
-        at = T.ragged(firsts[:-1], n)
-        hashes, text = grams.spans(at, at + np.repeat(k, n)), np.repeat(np.arange(len(words)), n)
+        at, text = T.ragged(firsts[:-1], n), np.repeat(np.arange(len(words)), n)
+        to = at + np.repeat(k, n)
+        hashes = grams.spans(at, to)
         order = np.lexsort((hashes, text))
         hashes, text = hashes[order], text[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-        yield rows, hashes[new], np.bincount(text[new], minlength=len(words))
+        yield rows, hashes[new], grams.spans(at, to, 1)[order[new]], np.bincount(text[new], minlength=len(words))
 
 
 def signatures(docs: DataFrame, size: int = 5, coords: int = 64) -> DataFrame:
-    """(doc_id, n, s1, s2, sig): size of the shingle set, its 128-bit digest, and a token for each coordinate and value."""
-    rng = np.random.default_rng(_SEED)
-    factors = rng.integers(0, 2**63, coords, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """keyed() rows -> (doc_id, id, row, n, s1, s2, sig): size of the shingle set, its 128-bit digest, and a token for each coordinate and value."""
 
     def run(batches):
-        for rows, hashes, n in _sets(batches, size):
+        for rows, hashes, other, n in _sets(batches, size):
             some = n > 0
             heads = (np.cumsum(n) - n)[some]
             s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             sig = np.zeros((len(heads), coords), np.uint64)
             if len(heads):
-                s1[some], s2[some] = (np.add.reduceat(T.mix(hashes, salt), heads) for salt in (21, 22))
-                for c in range(coords):
-                    sig[:, c] = np.minimum.reduceat(hashes * factors[c], heads)
-                sig = T.mix(sig + (np.arange(coords, dtype=np.uint64) * factors[0])[None, :])
+                s1[some], s2[some] = np.add.reduceat(T.mix(hashes, 21), heads), np.add.reduceat(T.mix(other, 22), heads)
+                sig = _coordinates(hashes, heads, coords)
+                sig = T.mix(sig + (np.arange(coords, dtype=np.uint64) * _factors(coords)[0])[None, :])
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n, pa.int64()), pa.array(T.signed(s1)), pa.array(T.signed(s2)), T.list_column(T.signed(sig.ravel()), np.where(some, coords, 0))],
-                ["doc_id", "n", "s1", "s2", "sig"],
+                [rows.column(0), rows.column(2), rows.column(3), pa.array(n, pa.int64()), pa.array(T.signed(s1)), pa.array(T.signed(s2)), T.list_column(T.signed(sig.ravel()), np.where(some, coords, 0))],
+                ["doc_id", "id", "row", "n", "s1", "s2", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig array<long>")
+    return docs.select("doc_id", "text", "id", "row").mapInArrow(run, "doc_id long, id long, row long, n long, s1 long, s2 long, sig array<long>")
+
+
+def classes_of(sigs: DataFrame) -> DataFrame:
+    """(rep, s1, s2, n, copies, low, id, row, sig): one row a class of equal shingle sets, with a number, its least doc_id and the key of a row that holds it."""
+    named = sigs.where("n > 0 AND doc_id IS NOT NULL")
+    grouped = named.groupBy("s1", "s2", "n").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "id", "row")).alias("top"), F.first("sig").alias("sig"))
+    return shared.written(grouped.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", "copies", F.col("top.doc_id").alias("low"), "top.id", "top.row", "sig"), "classes")
 
 
 def posting_lists(classes: DataFrame, coords: int, least: int) -> DataFrame:
-    """(token, rep, score): the rarest shared tokens of each representative, as many as the pigeonhole needs."""
+    """(token, rep, score): the rarest shared tokens of each class, as many as the pigeonhole needs."""
     posts = classes.select("rep", F.explode("sig").alias("token"))
-    shared_tokens = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = posts.join(shared_tokens.hint("merge"), "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), F.sum(F.log2("df")).alias("score"))
+    shared_tokens = shared.written(posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("df", F.col("n")), "tokens")
+    ranked = shared.spread_join(posts, shared_tokens, ["token"], "n", ["rep"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), F.sum(F.log2("df")).alias("score"))
     need = F.lit(coords - least + 1 - coords) + F.size("t")
     return ranked.withColumn("need", need).where("need > 0").select("rep", F.round("score", 6).alias("score"), F.explode(F.expr("slice(t, 1, need)")).alias("p")).select("p.token", "rep", "score")
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
     """(x, h): each member of a list with the list's hub, once."""
-    hubs = lists.groupBy("token").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("members")).where("members > 1").select("token", (-F.col("top.minus")).alias("h"))
-    return lists.join(shared.written(hubs, "hubs").hint("merge"), "token").where("rep <> h").select(F.col("rep").alias("x"), "h").distinct()
+    hubs = lists.groupBy("token").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("members")).where("members > 1").select("token", (-F.col("top.minus")).alias("h"), "members")
+    return shared.spread_join(lists, shared.written(hubs, "hubs"), ["token"], "members", ["rep"]).where("rep <> h").select(F.col("rep").alias("x"), "h").distinct()
+
+
+def beside(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
+    """pairs (x, h) with column ``value`` of both, from a written table of (rep, value): as mine and theirs."""
+    hubs = shared.written(pairs.groupBy(F.col("h").alias("rep")).agg(F.count("*").alias("pairs")), "hubs")
+    theirs = shared.written(hubs.join(of.hint("merge"), "rep").select(F.col("rep").alias("h"), F.col(value).alias("theirs"), "pairs"), "theirs")
+    mine = pairs.join(of.select(F.col("rep").alias("x"), F.col(value).alias("mine")).hint("merge"), "x")
+    return shared.spread_join(mine, theirs, ["h"], "pairs", ["x"])
+
+
+def matches(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Those of pairs (x, h) whose signatures collide in ``least`` coordinates or more."""
+    collisions = F.size(F.filter(F.zip_with("mine", "theirs", lambda a, b: a == b), lambda same: same))
+    return beside(pairs, classes.select("rep", "sig"), "sig").where(collisions >= least).select("x", "h")
+
+
+def _linked(percent: int, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets are linked."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _compared(percent: int, batches):
-    """x, h and whether they are linked, from their sets (columns 2 and 3, ascending)."""
+    """The linked ones of pairs, from their sets (columns 2 and 3)."""
     for batch in batches:
-        out = np.zeros(len(batch), bool)
-        for i in range(len(batch)):
-            a, b = (np.asarray(batch.column(c)[i].values) for c in (2, 3))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out[i] = 100 * both >= percent * (len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["x", "h", "linked"])
+        yield batch.select([0, 1]).filter(pa.array([_linked(percent, *(np.asarray(batch.column(c)[i].values) for c in ("mine", "theirs"))) for i in range(len(batch))], pa.bool_()))
 
 
-def _forest(percent: int, rows: list[dict]) -> list[tuple[int, int]]:
-    """Edges that span the links among one block pair's members; those linked with the hub needn't be compared with each other."""
+def _forest(percent: int, least: int, coords: int, rows: list[dict]) -> list[tuple[int, int]]:
+    """Links that span what the links among one block pair's members connect beyond their components."""
     if len(rows) < 2:
         return []
-    ids = np.array([r["x"] for r in rows])
-    done = np.array([r["linked"] for r in rows])
-    block = np.array([r["b"] for r in rows])
     sets = [np.asarray(r["set"]) for r in rows]
-    size = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(rows)), size)
-    _, feature, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    feature, owner = feature[seen[feature] > 1], owner[seen[feature] > 1]
-    _, feature = np.unique(feature, return_inverse=True)
-    both = np.zeros((len(rows), len(rows)), np.float32)
-    order = np.argsort(feature, kind="stable")
-    feature, owner = feature[order], owner[order]
-    for at in range(0, int(feature[-1]) + 1 if len(feature) else 0, 4096):
-        lo, hi = np.searchsorted(feature, [at, at + 4096])
-        x = np.zeros((len(rows), 4096), np.float32)
-        x[owner[lo:hi], feature[lo:hi] - at] = 1
-        both += x @ x.T
-    both = both.astype(np.int64)
-    link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    link &= ~(done[:, None] & done[None, :])
-    if block.min() != block.max():
-        link &= block[:, None] != block[None, :]
-    a, b = np.nonzero(np.triu(link, 1))
-    label = np.arange(len(rows))
-    while True:
-        low = np.minimum(label[a], label[b])
-        old = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == old).all():
-            return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
-
-
-def _blocks(percent: int, batches):
+    sizes = np.array([len(s) for s in sets])
+    sig = _coordinates(np.concatenate(sets).view(np.uint64), np.cumsum(sizes) - sizes, coords)
+    parent = {r["component"]: r["component"] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = []
+    first = np.flatnonzero([r["b"] == r["i"] and not r["home"] for r in rows])
+    alone = rows[0]["i"] == rows[0]["j"]
+    others = first if alone else np.flatnonzero([r["b"] == r["j"] for r in rows])
+    for i in first:
+        second = others[others > i] if alone else others
+        collisions = np.zeros(len(second), np.int64)
+        for at in range(0, coords, 16):
+            collisions += (sig[second, at : at + 16] == sig[i, at : at + 16]).sum(axis=1)
+        for j in second[collisions >= least]:
+            x, y = root(rows[i]["component"]), root(rows[j]["component"])
+            if x != y and _linked(percent, sets[i], sets[j]):
+                parent[max(x, y)] = min(x, y)
+                edges.append((rows[i]["x"], rows[j]["x"]))
+    return edges
+
+
+def _blocks(percent: int, least: int, coords: int, batches):
     """Members of a block pair stand together; each pair is worked on when its last member has come."""
     key, rows = None, []
 
@@ -162,50 +191,78 @@ def _blocks(percent: int, batches):
     for batch in batches:
         for r in batch.to_pylist():
             if (r["h"], r["i"], r["j"]) != key:
-                yield out(_forest(percent, rows))
+                yield out(_forest(percent, least, coords, rows))
                 key, rows = (r["h"], r["i"], r["j"]), []
-            rows.append({n: r[n] for n in ("x", "linked", "b", "set")})
-    yield out(_forest(percent, rows))
-
+            rows.append(r)
+    yield out(_forest(percent, least, coords, rows))
 
-def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64, percent: int = 85, block: int = 512, block_hashes: int = 400_000) -> DataFrame:
-    """(a, b): edges between representatives that connect exactly what the links connect."""
-    pairs = shared.written(hub_pairs(posting_lists(classes, coords, agreements(percent, coords))), "pairs")
-    members = pairs.select(F.explode(F.array("x", "h")).alias("doc_id")).distinct()
 
-    def sets(batches):
-        for rows, hashes, n in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([rows.column(0), T.list_column(T.signed(np.concatenate([np.sort(T.signed(p)) for p in np.split(hashes, np.cumsum(n)[:-1])]) if len(hashes) else hashes), n)], ["x", "set"])
-
-    of = shared.written(shared.sized_join(docs.select("doc_id", "text"), members, "doc_id", "left_semi", 500_000).dropDuplicates(["doc_id"]).mapInArrow(sets, "x long, set array<long>"), "sets")
-    stars = pairs.join(of.hint("merge"), "x").withColumnRenamed("set", "mine").join(of.select(F.col("x").alias("h"), F.col("set").alias("theirs")).hint("merge"), "h").select("x", "h", "mine", "theirs")
-    stars = shared.written(stars.mapInArrow(lambda b: _compared(percent, b), "x long, h long, linked boolean"), "stars")
-    sized = stars.join(of.select("x", F.size("set").alias("n")).hint("merge"), "x")
-    few = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_hashes)).cast("int").alias("blocks")
-    open_hubs = sized.groupBy("h").agg(few, F.count("*").alias("members"), F.expr("count_if(NOT linked)").alias("apart")).where("members > 1 AND apart > 0").select("h", "blocks")
-    dealt = stars.join(shared.written(open_hubs, "open").hint("merge"), "h").withColumn("b", F.expr("CAST(pmod(xxhash64(x), blocks) AS INT)"))
-    dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "x", "linked")
-    dealt = dealt.join(of.hint("merge"), "x")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = dealt.select("h", "i", "j", "b", "x", "linked", "set").repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(lambda b: _blocks(percent, b), "a long, b long")
-    return stars.where("linked").select(F.col("x").alias("a"), F.col("h").alias("b")).unionByName(rest)
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, coords: int = 64, percent: int = 85) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id and kept (it is the least id of its component).
+def open_blocks(pairs: DataFrame, labels: DataFrame, sizes: DataFrame, block: int, block_hashes: int) -> DataFrame:
+    """(h, i, j, b, x, component, home): members of hub groups that lie in several components, dealt to pairs of blocks.
 
-    Texts without words are linked with nothing. Rows with a null id stay and have no component. Of rows
-    that repeat an id with other texts, one text is compared.
+    Members outside the hub's component have blocks 0 to a - 1, those in it (home) have blocks
+    from a on; each of the former blocks meets each block, home blocks never meet each other.
     """
+    members = pairs.select("h", "x").unionByName(pairs.select("h", F.col("h").alias("x")).distinct())
+    known = members.join(labels.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    known = shared.written(known.join(sizes.select(F.col("rep").alias("x"), "n").hint("merge"), "x"), "members")
+    few = lambda home: F.greatest(F.ceil(F.count_if(home) / block), F.ceil(F.sum(F.when(home, F.col("n")).otherwise(0)) / block_hashes)).cast("int")
+    hub = shared.written(known.where("x = h").select("h", F.col("component").alias("own")).join(known.groupBy("h").agg(F.count("*").alias("members")).hint("merge"), "h"), "own")
+    sided = shared.spread_join(known, hub, ["h"], "members", ["x"]).withColumn("home", F.col("component") == F.col("own"))
+    groups = sided.groupBy("h").agg(F.count("*").alias("members"), few(~F.col("home")).alias("apart"), few(F.col("home")).alias("homes")).where("apart > 0")
+    dealt = shared.spread_join(sided, shared.written(groups, "open"), ["h"], "members", ["x"])
+    dealt = dealt.withColumn("b", F.when(F.col("home"), F.col("apart") + F.pmod(F.xxhash64("x"), "homes")).otherwise(F.pmod(F.xxhash64("x"), "apart")).cast("int"))
+    others = F.when(F.col("home"), F.expr("sequence(0, apart - 1)")).otherwise(F.expr("sequence(0, apart + homes - 1)"))
+    return dealt.withColumn("o", F.explode(others)).select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "x", "component", "home")
+
+
+def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64, percent: int = 80, block: int = 512, block_hashes: int = 400_000) -> DataFrame:
+    """(node, component) of the classes that are linked with others; docs are keyed()."""
+    least = agreements(percent, coords)
+    pairs = shared.written(hub_pairs(posting_lists(classes, coords, least)), "pairs")
+    members = pairs.select(F.explode(F.array("x", "h")).alias("rep")).distinct()
+    wanted = shared.written(classes.select("rep", "id", "row", "n").join(members.hint("merge"), "rep"), "wanted")
+
+    def sets(batches):
+        for rows, hashes, _, n in _sets(batches, size):
+            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), T.list_column(T.signed(np.concatenate([np.sort(T.signed(p)) for p in np.split(hashes, np.cumsum(n)[:-1])]) if len(hashes) else hashes), n)], ["id", "row", "set"])
+
+    held = shared.sized_join(docs, wanted.select("id", "row"), ["id", "row"], "left_semi", 500_000).dropDuplicates(["id", "row"]).select("doc_id", "text", "id", "row")
+    of = shared.written(held.mapInArrow(sets, "id long, row long, set array<long>").join(wanted.select("rep", "id", "row").hint("merge"), ["id", "row"]).select("rep", "set"), "sets")
+    stars = beside(shared.written(matches(pairs, classes, least), "matches"), of, "set").select("x", "h", "mine", "theirs")
+    labels = shared.written(components(shared.written(stars.mapInArrow(lambda b: _compared(percent, b), "x long, h long").toDF("a", "b"), "links")), "labels")
+    dealt = shared.written(open_blocks(pairs, labels, wanted, block, block_hashes), "dealt")
+    if shared.fits(dealt, 0):
+        return labels
+    parts = shared.partitions(docs.sparkSession, dealt.count(), 2 * block)
+    ready = dealt.join(of.select(F.col("rep").alias("x"), "set").hint("merge"), "x").select("h", "i", "j", "b", "x", "component", "home", "set")
+    rest = ready.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(lambda b: _blocks(percent, least, coords, b), "a long, b long")
+    return components(shared.written(rest.unionByName(labels.toDF("a", "b")), "links"))
+
+
+def judged(docs: DataFrame, size: int = 5, coords: int = 64, percent: int = 80) -> DataFrame:
+    """near_duplicates() of keyed() docs, with their id and row."""
     sigs = shared.written(signatures(docs, size, coords), "signatures")
-    named = sigs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    groups = components(shared.written(links(docs, classes, size, coords, percent), "links"))
-    reps = classes.select("s1", "s2", "n", "rep").join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    classes = classes_of(sigs)
+    groups = shared.written(links(docs, classes, size, coords, percent).join(classes.select(F.col("rep").alias("node"), "low").hint("merge"), "node"), "groups")
+    lows = shared.written(groups.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("nodes")), "lows")
+    named = shared.spread_join(groups.select("node", "component"), lows, ["component"], "nodes", ["node"]).select(F.col("node").alias("rep"), "least")
+    reps = shared.written(classes.select("s1", "s2", "n", "copies", "rep", "low").join(named.hint("merge"), "rep", "left").select("s1", "s2", "n", "copies", F.coalesce("least", "low").alias("component")), "reps")
+    some = sigs.select("doc_id", "id", "row", "n", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("s1")).alias("s1"), "s2")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return (
-        sigs.select("doc_id", "n", "s1", "s2")
-        .join(reps.hint("merge"), ["s1", "s2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        shared.spread_join(some, reps, ["s1", "s2", "n"], "copies", ["id", "row"], "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "id", "row")
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, coords: int = 64, percent: int = 80) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id and kept (it is the least id of its component).
+
+    Texts without words (null, empty or white space) are linked with nothing. Rows with a null id
+    stay and have no component. Rows are judged each by its own text: rows that repeat an id with
+    other texts have the component of their text, equal rows the same result. Other columns of
+    docs are ignored. An empty table gives no rows.
+    """
+    return judged(shared.keyed(docs), size, coords, percent).select("doc_id", "n_shingles", "component_id", "kept")
