@@ -7,11 +7,14 @@ there. Spark joins bring the degree of each node, and the least document it occu
 occurrences; runs of nodes that don't branch compact into paths whose occurrences run in
 parallel, so the node that a window always selects tells the window's first source. Only
 windows that reach over a branching node are compared by their own 128-bit hashes, at their
-coordinates.
+coordinates. Nodes and edges have independent hashes, so two nodes or windows are taken for
+equal only if 128 bits agree; with 1e13 different windows a false one is to be expected with
+a probability of 1.5e-13. A frequent node or window is dealt to several tasks.
 
 A word is removed if a window over it also starts in a document of smaller id, judged on the
 input. Null or empty text has no words. Rows with a null id are never a source and lose
-nothing. Rows that repeat an id count as one document.
+nothing. Rows that repeat an id count as one document. Other columns are ignored; an empty
+table gives no rows; a text of any length is worked on in one piece, in its own slice.
 """
 
 from __future__ import annotations
@@ -29,21 +32,16 @@ from repairlens.llm import textops as T
 _LEFT, _RIGHT = 11, 12  # salts that tell edges to a text's begin and end from others
 
 
-def _row():
-    """Tells rows apart by id and text."""
-    return F.xxhash64("doc_id", "text").alias("row")
-
-
 def _graph(rows_iter, window: int, k: int):
     for rows, data, offs in T.text_slices(rows_iter, "text"):
         starts, ends, firsts = T.word_spans(data, offs, T.NON_SPACE)
-        grams = T.Grams(T.word_hashes(data, starts, ends))
+        grams = T.Grams(T.word_hashes(data, starts, ends, 2))
         nodes = T.winnow(grams.all(k), firsts, grams.n, k, window - k + 1)
         yield rows, firsts, grams, nodes, T.text_of(firsts, nodes)
 
 
 def nodes(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
-    """(doc_id, row, pos, node, before, after): each selected k-mer with its edges in both directions."""
+    """(doc_id, row, pos, node, before, after): each selected k-mer of keyed() docs with its edges in both directions."""
 
     def run(batches):
         for rows, firsts, grams, at, text in _graph(batches, window, k):
@@ -53,7 +51,7 @@ def nodes(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
             tail = np.concatenate([head[1:], [True]])
             left = np.where(head, firsts[text], np.concatenate([[0], at[:-1]]))
             right = np.where(tail, firsts[text + 1], np.concatenate([at[1:], [0]]) + k)
-            before, after = grams.spans(left, at + k), grams.spans(at, right)
+            before, after = grams.spans(left, at + k, 1), grams.spans(at, right, 1)
             before[head], after[tail] = T.mix(before[head], _LEFT), T.mix(after[tail], _RIGHT)
             t = pa.array(text)
             yield pa.RecordBatch.from_arrays(
@@ -61,18 +59,18 @@ def nodes(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
                 ["doc_id", "row", "pos", "node", "before", "after"],
             )
 
-    return docs.select("doc_id", "text", _row()).mapInArrow(run, "doc_id long, row long, pos int, node long, before long, after long")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, pos int, node long, before long, after long")
 
 
 def repeated_nodes(found: DataFrame) -> DataFrame:
-    """(node, first_doc, one_before, one_after) of nodes that occur in two documents or more."""
+    """(node, places, first_doc, one_before, one_after) of nodes that occur in two documents or more."""
     low_high = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "before", "after") for n, f in (("lo", F.min), ("hi", F.max))]
     return (
         found.where("doc_id IS NOT NULL")
         .groupBy("node")
-        .agg(*low_high)
+        .agg(*low_high, F.count("*").alias("places"))
         .where("lo_doc_id < hi_doc_id")
-        .select("node", F.col("lo_doc_id").alias("first_doc"), F.expr("lo_before = hi_before").alias("one_before"), F.expr("lo_after = hi_after").alias("one_after"))
+        .select("node", "places", F.col("lo_doc_id").alias("first_doc"), F.expr("lo_before = hi_before").alias("one_before"), F.expr("lo_after = hi_after").alias("one_after"))
     )
 
 
@@ -134,17 +132,17 @@ def _judged(docs_with_nodes: DataFrame, window: int, k: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by spaces)."""
-    docs = docs.select("doc_id", "text")
+    docs = shared.keyed(docs).select("doc_id", "text", "row")
     found = nodes(docs, window, k)
-    occurrences = found.where("doc_id IS NOT NULL").select("row", "pos", "node").join(shared.written(repeated_nodes(found), "nodes").hint("merge"), "node")
-    per_row = occurrences.groupBy("row").agg(F.collect_set(F.struct("pos", "first_doc", "one_before", "one_after")).alias("known"))
-    keyed = docs.select("doc_id", "text", _row())
-    judged = shared.written(_judged(keyed.join(per_row.hint("merge"), "row").select("doc_id", "text", "row", "known"), window, k), "judged")
+    places = found.where("doc_id IS NOT NULL").select("doc_id", "row", "pos", "node")
+    occurrences = shared.spread_join(places, shared.written(repeated_nodes(found), "nodes"), ["node"], "places", ["row", "pos"])
+    per_row = occurrences.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "first_doc", "one_before", "one_after")).alias("known"))
+    judged = shared.written(_judged(docs.join(per_row.hint("merge"), ["doc_id", "row"]).select("doc_id", "text", "row", "known"), window, k), "judged")
     asked = judged.where("size(ask) > 0").select("doc_id", "row", F.explode(F.arrays_zip("ask", "h1", "h2")).alias("x")).select("doc_id", "row", "x.*")
-    firsts = asked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    more = asked.join(shared.written(firsts, "windows").hint("merge"), ["h1", "h2"]).where("first_doc < doc_id").groupBy("row").agg(F.collect_set("ask").alias("hit"))
-    sure = judged.where("size(hit) > 0").select("row", "hit")
-    starts = sure.unionByName(more).groupBy("row").agg(F.flatten(F.collect_list("hit")).alias("starts"))
+    firsts = asked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("places")).where("first_doc < last_doc").drop("last_doc")
+    more = shared.spread_join(asked, shared.written(firsts, "windows"), ["h1", "h2"], "places", ["row", "ask"]).where("first_doc < doc_id").groupBy("doc_id", "row").agg(F.collect_set("ask").alias("hit"))
+    sure = judged.where("size(hit) > 0").select("doc_id", "row", "hit")
+    starts = sure.unionByName(more).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("hit")).alias("starts"))
 
     def cut(batches):
         for rows, data, offs in T.text_slices(batches, "text"):
@@ -167,4 +165,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    return keyed.join(starts.hint("merge"), "row", "left").select("doc_id", "text", "row", "starts").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return docs.join(starts.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "row", "starts").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
