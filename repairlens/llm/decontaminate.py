@@ -3,10 +3,12 @@
 Of every ``width`` consecutive k-grams of a text the one with the least hash is kept, so a
 span of ``k + width - 1`` words shared by a document and a benchmark item shares a kept
 k-gram, wherever it stands. Documents and items are joined on the kept k-grams, and each
-hit is extended: the item windows around it are compared by 128-bit hashes.
+hit is extended: the item windows around it are compared by two independent 64-bit hashes.
+A k-gram or window that many documents hold is dealt to several tasks.
 
 Words: lower-cased ASCII letters, ASCII digits and every byte above ASCII. Null or empty
-texts have no words. Repeated rows give a result each; rows with a null id do too.
+texts have no words. Repeated rows give a result each; rows with a null id do too; items with
+a null id are left out. Other columns are ignored; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ from pyspark.sql import functions as F
 from repairlens.llm import shared
 from repairlens.llm import textops as T
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, id long, row long"
 
 
 def _shingled(batch_iter, column: str):
     for rows, data, offs in T.text_slices(batch_iter, column):
         data = T.LOWER[data]
         starts, ends, firsts = T.word_spans(data, offs, T.ALNUM)
-        yield rows, firsts, T.Grams(T.word_hashes(data, starts, ends))
+        yield rows, firsts, T.Grams(T.word_hashes(data, starts, ends, 2))
 
 
 def item_windows(benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
@@ -111,9 +113,9 @@ def _candidates(grams: T.Grams, firsts: np.ndarray, window: int, k: int, prints:
     return out
 
 
-def _result(ids, counts, where, sizes, texts, items) -> pa.RecordBatch:
+def _result(rows, counts, where, sizes, texts, items) -> pa.RecordBatch:
     """One row a text from its hits: places of words, sizes of windows, texts and item ids, in parallel."""
-    n = len(ids)
+    n = len(rows)
     hit, names = np.zeros(n, np.int64), [[] for _ in range(n)]
     if len(where):
         pos, size = np.unique(np.stack([where, sizes]), axis=1)
@@ -124,15 +126,17 @@ def _result(ids, counts, where, sizes, texts, items) -> pa.RecordBatch:
             names[t].append(item)
     return pa.RecordBatch.from_arrays(
         [
-            ids,
+            rows.column(0),
             pa.array(counts, pa.int64()),
             pa.array(hit, pa.int64()),
             pa.array([len(x) for x in names], pa.int64()),
             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
             pa.array(hit > 0),
             pa.array(names, pa.list_(pa.string())),
+            rows.column(2),
+            rows.column(3),
         ],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "id", "row"],
     )
 
 
@@ -148,28 +152,32 @@ def _hits(index: _Index, grams: T.Grams, firsts: np.ndarray, k: int):
     return where, sizes, T.text_of(firsts, where), items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
-    """Per row of docs (doc_id, text): its words, those inside an occurrence of an item window, and the items.
-
-    A benchmark of up to ``broadcast_windows`` windows (counted first) goes to every task; a
-    larger one is joined on kept k-grams and on windows by shuffles.
-    """
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
+    """decontaminate() of keyed() docs, with their id and row."""
     windows = item_windows(benchmark, window, k)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", "id", "row")
     if not shared.fits(windows, broadcast_windows):
         return _joined(docs, shared.written(windows, "bench"), window, k)
     index = docs.sparkSession.sparkContext.broadcast(_Index(windows.toArrow(), window))
 
     def run(batches):
         for rows, firsts, grams in _shingled(batches, "text"):
-            yield _result(rows.column(0), np.diff(firsts), *_hits(index.value, grams, firsts, k))
+            yield _result(rows, np.diff(firsts), *_hits(index.value, grams, firsts, k))
 
     return docs.mapInArrow(run, RESULT)
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
+    """Per row of docs (doc_id, text): its words, those inside an occurrence of an item window, and the items.
+
+    A benchmark of up to ``broadcast_windows`` windows (counted first) goes to every task; a
+    larger one is joined on kept k-grams and on windows by shuffles.
+    """
+    return judged(shared.keyed(docs), benchmark, window, k, broadcast_windows).drop("id", "row")
+
+
 def _joined(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
-    """The same by joins alone; rows are told apart by id and text."""
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    """The same by joins alone."""
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # 1 to window at most
 
     def prints(batches):
@@ -182,32 +190,40 @@ def _joined(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFra
                     hashes = grams.all(size)
                     at = np.flatnonzero(T.within(firsts, grams.n, size))
                 t = T.text_of(firsts, at)
-                yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(t)), pa.array(np.full(len(at), size), pa.int32()), pa.array((at - firsts[t]).astype(np.int32)), pa.array(T.signed(hashes[at]))], ["row", "size", "pos", "print"])
+                of = pa.array(t)
+                yield pa.RecordBatch.from_arrays([rows.column(2).take(of), rows.column(3).take(of), pa.array(np.full(len(at), size), pa.int32()), pa.array((at - firsts[t]).astype(np.int32)), pa.array(T.signed(hashes[at]))], ["id", "row", "size", "pos", "print"])
 
+    places = docs.mapInArrow(prints, "id long, row long, size int, pos int, print long")
     known = windows.select("size", F.explode("prints").alias("print")).distinct()
-    near = docs.mapInArrow(prints, "row long, size int, pos int, print long").join(known.hint("merge"), ["size", "print"], "left_semi")
-    near = near.groupBy("row").agg(F.collect_set(F.struct("size", "pos")).alias("near"))
+    known = places.groupBy("size", "print").agg(F.count("*").alias("places")).join(known.hint("merge"), ["size", "print"])
+    near = shared.spread_join(places, shared.written(known, "prints"), ["size", "print"], "places", ["row", "pos"])
+    near = near.groupBy("id", "row").agg(F.collect_set(F.struct("size", "pos")).alias("near"))
 
     def spans(batches):
         for rows, firsts, grams in _shingled(batches, "text"):
-            near, row = rows.column(3).to_pylist(), rows.column(2)
+            near = rows.column(4).to_pylist()
             found = set()
             for t, pairs in enumerate(near):
                 for pair in pairs:
                     back = window - k + 1 if pair["size"] == window else 1
                     found.update((t, pair["size"], pair["pos"] - b) for b in range(back) if pair["pos"] >= b and pair["pos"] - b + pair["size"] <= firsts[t + 1] - firsts[t])
             t, size, pos = np.array(sorted(found), np.int64).reshape(-1, 3).T
-            at = firsts[t] + pos
-            yield pa.RecordBatch.from_arrays([row.take(pa.array(t)), pa.array(size, pa.int32()), pa.array(pos, pa.int32()), pa.array(T.signed(grams.spans(at, at + size))), pa.array(T.signed(grams.spans(at, at + size, 1)))], ["row", "size", "pos", "h1", "h2"])
-
-    once = docs.join(near.hint("merge"), "row").select("doc_id", "text", "row", "near").dropDuplicates(["row"])
-    hits = once.mapInArrow(spans, "row long, size int, pos int, h1 long, h2 long").join(windows.select("size", "h1", "h2", "item").hint("merge"), ["size", "h1", "h2"])
-    hits = hits.groupBy("row").agg(F.collect_set(F.struct("pos", "size", "item")).alias("hits"))
+            at, of = firsts[t] + pos, pa.array(t)
+            hashes = (pa.array(T.signed(grams.spans(at, at + size, kind))) for kind in (0, 1))
+            yield pa.RecordBatch.from_arrays([rows.column(2).take(of), rows.column(3).take(of), pa.array(size, pa.int32()), pa.array(pos, pa.int32()), *hashes], ["id", "row", "size", "pos", "h1", "h2"])
+
+    once = docs.join(near.hint("merge"), ["id", "row"]).select("doc_id", "text", "id", "row", "near").dropDuplicates(["id", "row"])
+    asked = shared.written(once.mapInArrow(spans, "id long, row long, size int, pos int, h1 long, h2 long"), "asked")
+    items = windows.select("size", "h1", "h2", "item").distinct().groupBy("size", "h1", "h2").agg(F.collect_list("item").alias("items"))
+    places = asked.groupBy("size", "h1", "h2").agg(F.count("*").alias("places"))
+    items = shared.written(items.join(places.hint("merge"), ["size", "h1", "h2"]), "items")
+    hits = shared.spread_join(asked, items, ["size", "h1", "h2"], "places", ["row", "pos"])
+    hits = hits.groupBy("id", "row").agg(F.collect_set(F.struct("pos", "size", "items")).alias("hits"))
 
     def total(batches):
-        for rows, _, firsts in ((r, g, f) for r, f, g in _shingled(batches, "text")):
-            hits = [(firsts[t] + h["pos"], h["size"], t, h["item"]) for t, x in enumerate(rows.column(3).to_pylist()) for h in x or ()]
+        for rows, firsts, _ in _shingled(batches, "text"):
+            hits = [(firsts[t] + h["pos"], h["size"], t, item) for t, x in enumerate(rows.column(4).to_pylist()) for h in x or () for item in h["items"]]
             where, size, t = np.array([h[:3] for h in hits], np.int64).reshape(-1, 3).T
-            yield _result(rows.column(0), np.diff(firsts), where, size, t, [h[3] for h in hits])
+            yield _result(rows, np.diff(firsts), where, size, t, [h[3] for h in hits])
 
-    return docs.join(hits.hint("merge"), "row", "left").select("doc_id", "text", "row", "hits").mapInArrow(total, RESULT)
+    return docs.join(hits.hint("merge"), ["id", "row"], "left").select("doc_id", "text", "id", "row", "hits").mapInArrow(total, RESULT)
