@@ -151,11 +151,12 @@ class Lexicon:
 
 def ids_of(lexicon: Lexicon, ranks: np.ndarray, other_ids: np.ndarray, other_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids one after another, counts) of pieces in order: of known ranks from the lexicon, of the rest (rank -1 - n) from the others' n-th."""
-    flat = np.concatenate([np.asarray(lexicon.ids), other_ids])
     known = ranks >= 0
     starts, counts = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
     starts[known], counts[known] = lexicon.spans(ranks[known])
     n = -1 - ranks[~known]
-    offs = np.cumsum(other_counts) - other_counts + len(lexicon.ids)
-    starts[~known], counts[~known] = offs[n], other_counts[n]
-    return flat[T.ragged(starts, counts)], counts
+    starts[~known], counts[~known] = (np.cumsum(other_counts) - other_counts)[n], other_counts[n]
+    at, own = T.ragged(starts, counts), np.repeat(known, counts)
+    out = np.empty(len(at), np.int64)
+    out[own], out[~own] = lexicon.ids[at[own]], other_ids[at[~own]]
+    return out, counts

@@ -1,12 +1,14 @@
 """BPE encoding and decoding through a transducer lexicon of the corpus's frequent words.
 
-1. Every piece of every text is counted (Spark aggregation). 2. Pieces at or above the count
-that keeps at most ``lexicon_words`` of them are compiled, with their ids, into a minimal
+1. Every piece of every text is counted (Spark aggregation). 2. The ``lexicon_words`` most
+frequent pieces (of equal counts the first in order) are compiled, with their ids, into a minimal
 acyclic transducer; its file goes to the shared folder and Spark ships it to each machine,
 where it is memory-mapped. 3. Each text's pieces step through the transducer; pieces it
 doesn't hold are merged exactly, rank by rank. 4. Ids are decoded by the vocabulary.
 
-Null text counts as empty; empty text has no ids. Repeated rows and null ids give a row each.
+Null text counts as empty; empty text has no ids. Repeated rows and null ids give a row each;
+other columns are ignored; an empty table gives no rows. A text longer than a slice is worked
+on in a slice of its own.
 """
 
 from __future__ import annotations
@@ -65,13 +67,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, lexicon_words: int) -> str:
     """Compiles the most frequent pieces and ships the file; returns the name to find them by."""
     spark = docs.sparkSession
     counts = shared.written(piece_counts(docs).where("n > 1"), "counts")
-    total, least = 0, 2
-    sizes = sorted(((r.n, r.words) for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    for n, words in sizes:
-        if total + words > lexicon_words:
-            break
-        total, least = total + words, n
-    frequent = [r.piece for r in counts.where(F.col("n") >= least).select("piece").collect()] if total else []
+    frequent = [r.piece for r in counts.orderBy(F.desc("n"), "piece").limit(lexicon_words).select("piece").collect()] if lexicon_words else []
     shared.forget(counts)
     words = [w.encode() for w in frequent]
     merges = _merges(tokenizer)
