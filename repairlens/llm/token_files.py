@@ -9,7 +9,7 @@ tables name are read, so lost executors and repeated tasks do no harm.
 
 Pieces are encoded once per distinct piece and slice, exactly as the tokenizers library does.
 Null text counts as empty. Rows with the same id are kept apart by their number; null ids
-come first.
+come first. Other columns are ignored; an empty table gives no rows and empty files.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repairlens.llm import bpe, perfect_hash, shared
@@ -33,19 +34,20 @@ def _merges(path: str) -> bpe.Merges:
 
 
 class _Known:
-    """Ids of pieces met before, up to a bounded number; looked up by 64-bit hash."""
+    """Ids of pieces met before, up to a bounded number; looked up by one 64-bit hash and confirmed by a second."""
 
     def __init__(self, merges: bpe.Merges, most: int = 500_000):
         self.merges, self.most, self.at = merges, most, {}
-        self.flat, self.used = np.zeros(1 << 22, np.int32), 0
-        self.starts, self.counts = np.zeros(most, np.int64), np.zeros(most, np.int64)
+        self.flat, self.used, self.have = np.zeros(1 << 22, np.int32), 0, 0
+        self.starts, self.counts, self.second = np.zeros(most, np.int64), np.zeros(most, np.int64), np.zeros(most, np.uint64)
 
     def encode(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, counts) of every piece."""
         hashes = bpe.piece_hashes(data, starts, ends)
         first, group, _ = bpe.distinct(hashes)
-        names = hashes[first].tolist()
+        names, second = hashes[0][first].tolist(), hashes[1][first]
         at = np.array([self.at.get(x, -1) for x in names], np.int64)
+        at[(at >= 0) & (self.second[at] != second)] = -1
         new = np.flatnonzero(at < 0)
         flat, n = self.merges.encode_pieces(data, starts[first[new]], ends[first[new]])
         begin, size = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
@@ -55,17 +57,18 @@ class _Known:
         both = np.concatenate([self.flat[: self.used], flat.astype(np.int32)])
         count = size[group]
         ids = both[T.ragged(begin[group], count)]
-        self._keep([names[i] for i in new.tolist()], flat, n)
+        self._keep([names[i] for i in new.tolist()], second[new], flat, n)
         return ids, count
 
-    def _keep(self, names, flat, n):
-        room = min(len(names), self.most - len(self.at))
+    def _keep(self, names, second, flat, n):
+        room = min(len(names), self.most - self.have)
         size = int(n[:room].sum())
         if room <= 0 or self.used + size > len(self.flat):
             return
-        have = len(self.at)
+        have, self.have = self.have, self.have + room
         self.starts[have : have + room] = np.cumsum(n[:room]) - n[:room] + self.used
         self.counts[have : have + room] = n[:room]
+        self.second[have : have + room] = second[:room]
         self.flat[self.used : self.used + size] = flat[:size]
         self.used += size
         self.at.update(zip(names[:room], range(have, have + room)))
@@ -102,10 +105,12 @@ def _numbers(doc_ids: np.ndarray, nulls: np.ndarray, last, seen: int) -> tuple[n
     return out, (int(doc_ids[-1]), bool(nulls[-1])), int(out[-1])
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, number, shard, file, offset, n): one row a document, as written; offsets count ids within the shard."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, shard_rows: int = 200_000) -> DataFrame:
+    """(doc_id, number, shard, file, offset, n): one row a document, as written; offsets count ids within the shard.
+
+    As many shards as give about ``shard_rows`` rows each, the number of shuffle partitions at least.
+    """
+    parts = shared.partitions(docs.sparkSession, docs.count(), shard_rows)
     spark_fs = f"{folder}/shards"
 
     def run(batches):
@@ -163,63 +168,89 @@ def write_index(entries: DataFrame, folder: str, bucket_keys: int = 100_000) ->
         fs.create_dir(path, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         for bucket, t in _by(batches, "bucket"):
-            file = f"index-{bucket:06d}-{attempt}.npz"
+            file = f"index-{bucket:06d}-{attempt}.bin"
             with fs.open_output_stream(f"{path}/{file}") as out:
                 out.write(perfect_hash.dumps(_u64(t, "h1"), _u64(t, "h2"), {c: t[c].to_numpy() for c in ("shard", "offset", "n")}))
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([file])], ["bucket", "file"])
 
     keyed = _keyed(entries, buckets).select("bucket", "h1", "h2", "shard", "offset", "n")
-    return shared.written(keyed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, file string"), "index"), buckets
+    parts = shared.partitions(entries.sparkSession, buckets, 8)
+    return shared.written(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, file string"), "index"), buckets
 
 
 def look_up(keys: DataFrame, index: DataFrame, buckets: int, folder: str) -> DataFrame:
     """(doc_id, number, shard, offset, n) of keys (doc_id, number) that the index holds."""
-    files = {r.bucket: r["file"] for r in index.collect()}  # one name for about 100,000 documents
 
     def run(batches):
         fs, path = shared.fs_of(f"{folder}/index")
-        for bucket, t in _by(batches, "bucket"):
-            if bucket not in files:
-                continue
-            with fs.open_input_stream(f"{path}/{files[bucket]}") as f:
-                got = perfect_hash.loads(f.read())(_u64(t, "h1"), _u64(t, "h2"))
+        for _, t in _by(batches, "bucket"):
+            with fs.open_input_stream(f"{path}/{t['file'][0].as_py()}") as f:
+                got = perfect_hash.loads(f.read()).find(_u64(t, "h1"), _u64(t, "h2"))
             there = pa.array(got["found"])
             out = pa.table([t["doc_id"], t["number"], pa.array(got["shard"]), pa.array(got["offset"]), pa.array(got["n"])], names=["doc_id", "number", "shard", "offset", "n"])
             yield from out.filter(there).to_batches()
 
-    return _keyed(keys, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, number long, shard int, offset long, n long")
+    named = _keyed(keys, buckets).join(index.hint("merge"), "bucket").select("doc_id", "number", "h1", "h2", "bucket", "file")
+    parts = shared.partitions(keys.sparkSession, buckets, 8)
+    return named.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, number long, shard int, offset long, n long")
+
+
+def ids_of(spark, doc_id: int | None, index: DataFrame, buckets: int, entries: DataFrame, folder: str, number: int = 0, wide: bool = False) -> list[int] | None:
+    """The ids of one document, without its end id, by its key; None if it isn't there.
+
+    Reads a few bytes of one index file and the document's own bytes of one shard, however many documents there are.
+    """
+    key = _keyed(spark.createDataFrame([(doc_id, number)], "doc_id long, number long"), buckets).first()
+    at = index.where(F.col("bucket") == key.bucket).first()
+    if at is None:
+        return None
+    fs, path = shared.fs_of(folder)
+    with fs.open_input_file(f"{path}/index/{at.file}") as f:
+        h1, h2 = (np.array([h], np.int64).view(np.uint64) for h in (key.h1, key.h2))
+        got = perfect_hash.Index(lambda start, size: f.read_at(size, start)).find(h1, h2)
+    if not got["found"][0]:
+        return None
+    shard, offset, n = (int(got[c][0]) for c in ("shard", "offset", "n"))
+    width = 4 if wide else 2
+    name = entries.where(F.col("shard") == shard).select("file").first().file
+    with fs.open_input_file(f"{path}/shards/{name}") as f:
+        return np.frombuffer(f.read_at((n - 1) * width, offset * width), "<u4" if wide else "<u2").tolist()
 
 
 def read_shards(found: DataFrame, entries: DataFrame, folder: str, wide: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, read from the shard files at the places that the index gave."""
-    shards = entries.groupBy("shard", "file").agg(F.sum("n").alias("n")).orderBy("shard").collect()  # one row a shard: the manifest
-    files, bases, total = {}, {}, 0
-    for r in shards:
-        files[r.shard], bases[r.shard] = r.file, total
-        total += r.n
+    shards = entries.groupBy("shard", "file").agg(F.sum("n").alias("size"), F.count("*").alias("rows"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row a shard: the manifest
+    shards = shared.written(shards.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).select("shard", "file", "base", "rows"), "manifest")
     width = 4 if wide else 2
 
     def run(batches):
         fs, path = shared.fs_of(f"{folder}/shards")
-        at = None
-        for batch in batches:
-            out = []
-            for shard, offset, n in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
-                if at != shard:
-                    at, f = shard, fs.open_input_file(f"{path}/{files[shard]}")
-                    window, low = b"", 0
-                a, b = offset * width, (offset + n) * width
-                if a < low or b > low + len(window):
-                    f.seek(a)
-                    window, low = f.read(max(b - a, 1 << 22)), a
-                body = window[a - low : b - low]
-                out.append(zlib.crc32(body if wide else np.frombuffer(body, "<u2").astype("<u4").tobytes()))
-            shard = batch.column(2).to_pylist()
-            start = pa.array([bases[s] + o for s, o in zip(shard, batch.column(3).to_pylist())], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), start, batch.column(4), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts, "shard").sortWithinPartitions("shard", "offset").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        at, f, window, low = None, None, b"", 0
+        try:
+            for batch in batches:
+                out = []
+                for shard, offset, n, file in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
+                    if at != shard:
+                        if f is not None:
+                            f.close()
+                        at, f, window, low = shard, fs.open_input_file(f"{path}/{file}"), b"", 0
+                    a, b = offset * width, (offset + n) * width
+                    if a < low or b > low + len(window):
+                        f.seek(a)
+                        window, low = f.read(max(b - a, 1 << 22)), a
+                    body = window[a - low : b - low]
+                    out.append(zlib.crc32(body if wide else np.frombuffer(body, "<u2").astype("<u4").tobytes()))
+                start = pc.add(batch.column(5), batch.column(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), start, batch.column(3), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        finally:
+            if f is not None:
+                f.close()
+
+    placed = shared.spread_join(found.select("doc_id", "shard", "offset", "n"), shards, ["shard"], "rows", ["offset"]).select("doc_id", "shard", "offset", "n", "file", "base")
+    parts = shared.partitions(found.sparkSession, entries.count(), 100_000)
+    stretch = F.floor(F.col("offset") / (1 << 22))  # of one shard, read by one task
+    return placed.repartition(parts, "shard", stretch).sortWithinPartitions("shard", "offset").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
