@@ -50,7 +50,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(language.evidence(_table(spark, sf_dir, "documents"))).drop("rid")
+    return language.identify(language.evidence(_table(spark, sf_dir, "documents"))).drop("id", "row")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ more AS (
   WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.s + x.n AND x.s < b.s + b.n)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-rare AS (SELECT value FROM every GROUP BY value HAVING count(DISTINCT owner) <= 2),
+rare AS (SELECT value FROM every GROUP BY value HAVING count(DISTINCT owner) <= 2 AND count(DISTINCT source) <= 10),
 named AS (SELECT *, value IN (SELECT value FROM rare) AS live, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS line FROM every),
 g AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
