@@ -6,7 +6,6 @@ from math import comb
 import pytest
 
 import corpus_pipeline
-import test_llm
 from repairlens.llm import near_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,26 +45,3 @@ def test_agreements_follow_the_threshold():
         assert sum(comb(64, k) * (percent / 100) ** k * (1 - percent / 100) ** (64 - k) for k in range(least)) < 1e-6
     with pytest.raises(ValueError):
         near_dedup.agreements(10)
-
-
-def truth(rows, percent=80):
-    """Like near_truth of test_llm.py, which has the threshold of op6_near_dedup."""
-    sets = {}
-    for r in rows:
-        w = test_llm.words(r[1], True)
-        k = min(5, len(w))
-        sets[r[0]] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
-    group = {i: i for i in sets}
-    ids = sorted(sets)
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
-                low, high = sorted((group[i], group[j]))
-                group = {k: low if g == high else g for k, g in group.items()}
-    return {i: (len(s), group[i], group[i] == i) for i, s in sets.items()}
-
-
-def test_whole_pipeline_equals_brute_force_at_080(spark, monkeypatch):
-    monkeypatch.setattr(test_llm, "near_truth", truth)
-    test_llm.test_pipeline_stages_equal_brute_force(spark, None)
