@@ -108,7 +108,8 @@ def find_secrets(docs: DataFrame, most_owners: int = 2, most_repositories: int =
     each = scanned.where("size(base) + size(more) > 0").select("id", "row", F.posexplode(F.concat("base", "more")).alias("i", "s"))
     each = each.select("id", "row", "i", F.struct(*(F.col(f"s.{c}") for c in ("start", "kind", "end", "low", "high"))).alias("s"), F.sha2("s.value", 256).alias("hash"))
     rare = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
-    judged = shared.spread_join(each, shared.written(ownership(scanned), "owners"), ["hash"], "places", ["row", "i"]).groupBy("id", "row").agg(
+    owners = shared.written(ownership(scanned), "owners")
+    judged = shared.spread_join(each, owners.drop("places"), ["hash"], shared.frequent_keys(owners, ["hash"], "places"), ["row", "i"]).groupBy("id", "row").agg(
         F.collect_set(F.when(rare & (F.col("s.kind") == 3), F.col("s"))).alias("owned"), F.collect_set(F.when(rare, F.struct("s.start", "s.kind"))).alias("live")
     )
     plain = lambda spans: F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "low", "high"))))
@@ -130,9 +131,8 @@ def report(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by the mark; overlapping spans become one."""
     spans = found.where("size(spans) > 0").groupBy("id", "row").agg(F.first("spans").alias("spans"))
-    raw = F.col("raw")
 
-    def cut(of: Column) -> Column:
+    def cut(raw: Column, of: Column) -> Column:
         ends = running(F.transform(of, lambda s: s["high"]), lambda a, b: F.greatest(a, b))
 
         def parts(e: Column) -> Column:
@@ -147,6 +147,7 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
         return _let(ends, parts)
 
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *shared.row_key())
-    joined = shared.sized_join(held, shared.written(spans, "spans"), ["id", "row"], "left", 50_000).withColumn("raw", F.encode("doc.text", "UTF-8"))
-    text = F.when(F.col("spans").isNotNull(), cut(F.col("spans"))).otherwise(F.col("doc.text"))
+    joined = shared.sized_join(held, shared.written(spans, "spans"), ["id", "row"], "left", 50_000)
+    clean = _let(F.encode("doc.text", "UTF-8"), lambda raw: cut(raw, F.col("spans")))
+    text = F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("doc.text"))
     return joined.select(*(text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
