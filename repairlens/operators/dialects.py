@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repairlens.functions.text import strip
-from repairlens.operators.logs import parse_pytest_witness
+from repairlens.operators.logs import PYTEST, parse_pytest_witness, shape
 
+# Stages, and patterns of the dialects.
 VALIDATION, BUILD = "validation_failure", "dependency_or_environment_failure"
 CARGO_TEST = r"test\s+(\S+)\s+\.\.\.\s+FAILED"
 CARGO_RESULT = r"test result: FAILED\.\s*(\d+) passed;\s*(\d+) failed"
@@ -41,9 +42,9 @@ def _has(pattern: str) -> Column:
     return F.col(_LOG).rlike(pattern)
 
 
-def _witness(logs: DataFrame, stage, kind, tests, message, expected=None, actual=None) -> DataFrame:
+def _witness(logs: DataFrame | None, stage, kind, tests, message, expected=None, actual=None) -> DataFrame:
     text = lambda c: F.lit(c).cast("string") if c is None or isinstance(c, str) else c
-    return logs.select("run_id", text(stage).alias("stage"), text(kind).alias("failure_type"), F.slice(tests, 1, 20).alias("failed_tests"), F.substring(text(message), 1, 2000).alias("message"), text(expected).alias("expected"), text(actual).alias("actual"))
+    return shape(logs, text(stage).alias("stage"), text(kind).alias("failure_type"), F.slice(tests, 1, 20).alias("failed_tests"), F.substring(text(message), 1, 2000).alias("message"), text(expected).alias("expected"), text(actual).alias("actual"))
 
 
 def _block(name: str) -> Column:
@@ -52,7 +53,7 @@ def _block(name: str) -> Column:
     return F.nullif(F.substring(F.array_join(F.transform(F.slice(F.split(strip(inner), "\n"), 1, 10), strip), "\n"), 1, 500), F.lit(""))
 
 
-def parse_cargo_witness(logs: DataFrame) -> DataFrame:
+def parse_cargo_witness(logs: DataFrame | None = None):
     """Rust: what follows the place of the first panic, else the summary."""
     tests = _all(CARGO_TEST, 1)
     after = F.nullif(strip(F.regexp_extract(_LOG, PANIC + r"[^\n]*\n([^\n]*)", 5)), F.lit(""))
@@ -64,7 +65,7 @@ def parse_cargo_witness(logs: DataFrame) -> DataFrame:
     return _witness(logs, VALIDATION, kind, tests, message, _block("expected"), _block("got"))
 
 
-def parse_cpp_witness(logs: DataFrame) -> DataFrame:
+def parse_cpp_witness(logs: DataFrame | None = None):
     """C and C++: compile and link errors, then make, then failed tests."""
     tests = F.transform(_all(GTEST, 1), strip)
     first = F.concat(_one(COMPILE, 1), F.lit(":"), _one(COMPILE, 2), F.lit(": error: "), F.substring(strip(F.regexp_extract(_LOG, COMPILE, 4)), 1, 200))
@@ -83,7 +84,7 @@ def parse_cpp_witness(logs: DataFrame) -> DataFrame:
     return _witness(logs, F.when(broken | _has(MAKE), BUILD).otherwise(VALIDATION), kind, tests, message)
 
 
-def parse_jvm_witness(logs: DataFrame) -> DataFrame:
+def parse_jvm_witness(logs: DataFrame | None = None):
     """Gradle, then Maven, then JUnit output."""
     gradle, maven = _has("BUILD FAILED"), _has("BUILD FAILURE")
     runs = F.arrays_zip(_all(MAVEN, 1).alias("r"), _all(MAVEN, 2).alias("f"), _all(MAVEN, 3).alias("e"))
@@ -100,15 +101,16 @@ def parse_jvm_witness(logs: DataFrame) -> DataFrame:
     return _witness(logs, F.when(gradle, BUILD).otherwise(VALIDATION), kind, tests, message, side(1), side(2))
 
 
-def parse_ansible_witness(logs: DataFrame) -> DataFrame:
-    """Ansible: as a Python log where it is one; a fatal task gives the type."""
-    base = parse_pytest_witness(logs).withColumnRenamed("failed_tests", "t").drop("n_frames")
-    kind = F.when((F.size("t") > 0) & _has(FATAL), "ansible_task_failure").otherwise("test_failure")
-    joined = logs.join(base, "run_id").withColumns({"kind": kind, "e": F.col("expected"), "a": F.col("actual")})
-    return _witness(joined, VALIDATION, F.col("kind"), F.col("t"), "test_failure", F.col("e"), F.col("a"))
+def parse_ansible_witness(logs: DataFrame | None = None):
+    """Ansible: as a Python log where it is one, a fatal task gives the type; else what the first fatal task says."""
+    python = parse_pytest_witness()
+    own = _has(PYTEST)
+    kind = F.when(_has(FATAL), "ansible_task_failure").otherwise(F.when(own, python["failure_type"]).otherwise("test_failure"))
+    message = F.when(own, python["message"]).otherwise(F.coalesce(_one(r"fatal:\s*\[[^\]]+\]:\s*FAILED!\s*(?:=>)?\s*([^\n]*)", 1), F.lit("test_failure")))
+    return _witness(logs, VALIDATION, kind, F.when(own, python["failed_tests"]).otherwise(F.array().cast("array<string>")), message, F.when(own, python["expected"]), F.when(own, python["actual"]))
 
 
-def parse_js_witness(logs: DataFrame) -> DataFrame:
+def parse_js_witness(logs: DataFrame | None = None):
     """Mocha's JSON inside the text, else Jest's bullets, else Mocha's numbered failures."""
     block = F.regexp_extract(_LOG, r'(?s)(\{\s*"stats".*\})', 1)
     report = F.from_json(block, "failures array<struct<fullTitle:string,title:string,err:struct<message:string,expected:string,actual:string>>>")

@@ -62,8 +62,12 @@ def source_ablation(candidates: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def baseline_aggregates(metrics: DataFrame) -> DataFrame:
-    """(baseline, n, avg_recall, avg_firing): averages over all rows, and over those with candidates; one row more for all baselines."""
-    grouped = metrics.rollup("baseline").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"), F.sum("gold").alias("gold"), F.expr("sum(CASE WHEN cands > 0 THEN hits END)").alias("firing_hits"))
+    """(baseline, n, hits, gold, firing_hits, avg_recall, avg_firing_recall): sums, and averages of hits / gold over all rows with gold lines and over those of them with candidates; one row more for all baselines."""
+    recall = F.expr("CASE WHEN gold > 0 THEN hits / gold END")
+    grouped = metrics.withColumn("recall", recall).rollup("baseline").agg(
+        F.count("*").alias("n"), F.sum("hits").alias("hits"), F.sum("gold").alias("gold"), F.expr("sum(CASE WHEN cands > 0 THEN hits END)").alias("firing_hits"),
+        F.round(F.avg("recall"), 6).alias("avg_recall"), F.round(F.avg(F.when(F.col("cands") > 0, F.col("recall"))), 6).alias("avg_firing_recall"),
+    )
     return grouped.withColumn("baseline", F.coalesce("baseline", F.lit("*")))
 
 

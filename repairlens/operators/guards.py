@@ -37,7 +37,7 @@ def nested_key_leaks(documents: DataFrame, forbidden: list[str], allowed: list[s
         for text in body:
             try:
                 out.append(sorted(walk(json.loads(text), "")) if text else [])
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes
                 out.append([])
         return pd.Series([[{"path": p, "key": k} for p, k in x] for x in out])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repairlens.functions.text import first_match, strip
+from repairlens.functions.text import first_match, lines_py, strip
 
 # Patterns of failure stages and frameworks, in order of precedence.
 STAGES = [
@@ -28,17 +28,27 @@ FRAMEWORKS = [
     ("cpp_test", [r"FAILED\s+TEST", r"FAIL:\s+"]),
     ("ansible_custom", [r"fatal:", r"FAILED!"]),
 ]
+# Patterns of failed tests, places and claims.
 NODE = r"(?m)FAILED\s+(\S+?)::(\S+?)(?:\s+-?\s*.*)?$"
 GO_TEST = r"(?m)^\s*---\s+FAIL:\s+(Test\w+)\s+"
 GO_LINE = r"(?m)^\s*(\S+\.go):(\d+):\s*(.*)"
 GO_WANT = r"(?i)(?:expected|expect|want)[:\s]*([^,]+)(?:,| but got| got| received)[:\s]*(.+)"
 FAIL_LINE = r"(?im)(?:FAIL|FAILED|ERROR|fatal)\s*:?\s*(.*)"
+ERROR_LINE = r"AssertionError|assert|\w(?:Error|Exception):"
+PYTEST = r"(?m)^=+\s*FAILURES\s*=|FAILED\s+\S+?::\S+|^(?:FAIL|ERROR):\s+"
+# What a Python log holds, and the failure type that goes with it, in order of precedence.
+PYTHON_TYPES = {"AssertionError": "assertion_error", "Timeout": "timeout", "ImportError": "import_error", "TypeError": "type_error", "ValueError": "value_error", "AttributeError": "attribute_error", "KeyError": "key_error", "IndexError": "index_error"}
 
 
 def _all(pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all("log_text", F.lit(pattern), F.lit(group))
 
 
+def shape(logs: DataFrame | None, *columns: Column):
+    """The columns as a table by run_id, or as one struct where no table is given."""
+    return F.struct(*columns) if logs is None else logs.select("run_id", *columns)
+
+
 def normalize_logs(logs: DataFrame, strip_prefixes: bool = False) -> DataFrame:
     """Without colour codes, with line feeds only, and without remote line prefixes if asked for."""
     text = F.regexp_replace(F.regexp_replace("log_text", r"\x1B\[[0-9;]*[a-zA-Z]", ""), r"\r\n?", "\n")
@@ -59,18 +69,22 @@ def matched_patterns(logs: DataFrame) -> DataFrame:
     return logs.withColumns({"stages": names(STAGES), "frameworks": names(FRAMEWORKS)})
 
 
-def parse_pytest_witness(logs: DataFrame) -> DataFrame:
-    """(run_id, failed_tests, n_frames, expected, actual, failure_type) of Python logs."""
+def parse_pytest_witness(logs: DataFrame | None = None):
+    """(run_id, failed_tests, n_frames, expected, actual, message, failure_type) of Python logs; message is the first line that tells an error, else the last line."""
     nodes = F.zip_with(_all(NODE, 1), _all(NODE, 2), lambda a, b: F.concat(a, F.lit("::"), b))
     named = F.zip_with(_all(r"(\S+\.py)::(\S+)", 1), _all(r"(\S+\.py)::(\S+)", 2), lambda a, b: F.concat(a, F.lit("::"), b))
     plain = _all(r"(?m)^FAIL:\s+(\S+)", 1)
     tests = F.when(F.size(nodes) > 0, nodes).when(F.size(named) > 0, named).otherwise(plain)
     unequal = r"(?:AssertionError|assert):?\s+(.*?)\s*!=\s*(.*)"
     side = lambda g: F.nullif(strip(F.regexp_extract("log_text", unequal, g)), F.lit(""))
-    return logs.select("run_id", tests.alias("failed_tests"), F.size(_all(r'(?m)^\s*File\s+"([^"]+)",\s+line\s+(\d+)')).alias("n_frames"), side(1).alias("expected"), side(2).alias("actual"))
+    lines = lines_py(F.col("log_text"))
+    told = F.coalesce(F.get(F.filter(lines, lambda x: x.rlike(ERROR_LINE)), F.lit(0)), F.when(F.size(lines) > 0, F.element_at(lines, -1)), F.lit(""))
+    kind = F.coalesce(*(F.when(F.contains("log_text", F.lit(name)), kind) for name, kind in PYTHON_TYPES.items()), F.lit("test_failure"))
+    frames = F.size(_all(r'(?m)^\s*File\s+"([^"]+)",\s+line\s+(\d+)'))
+    return shape(logs, tests.alias("failed_tests"), frames.alias("n_frames"), side(1).alias("expected"), side(2).alias("actual"), F.substring(strip(told), 1, 500).alias("message"), kind.alias("failure_type"))
 
 
-def parse_go_witness(logs: DataFrame) -> DataFrame:
+def parse_go_witness(logs: DataFrame | None = None):
     """(run_id, failed_tests, message, expected, actual, failure_type) of Go logs."""
     builds, tests = _all(r"FAIL\s+(\S+)\s+\[build failed\]", 1), _all(GO_TEST, 1)
     said = F.filter(F.transform(_all(GO_LINE, 3), strip), lambda m: (m != "") & (F.length(m) < 300))
@@ -84,16 +98,16 @@ def parse_go_witness(logs: DataFrame) -> DataFrame:
     first = F.get(F.filter(_all(GO_LINE, 3), lambda m: m.rlike(GO_WANT)), F.lit(0))
     side = lambda g: F.substring(strip(F.regexp_extract(first, GO_WANT, g)), 1, 200)
     kind = F.when(F.size(builds) > 0, "build_failure").when(F.col("log_text").rlike("panic:"), "panic").when(F.contains(F.lower("log_text"), F.lit("timeout")), "timeout").otherwise("test_failure")
-    return logs.select("run_id", F.slice(tests, 1, 20).alias("failed_tests"), message.alias("message"), side(1).alias("expected"), side(2).alias("actual"), kind.alias("failure_type"))
+    return shape(logs, F.slice(tests, 1, 20).alias("failed_tests"), message.alias("message"), side(1).alias("expected"), side(2).alias("actual"), kind.alias("failure_type"))
 
 
-def parse_generic_witness(logs: DataFrame, most: int = 5) -> DataFrame:
+def parse_generic_witness(logs: DataFrame | None = None, most: int = 5):
     """(run_id, message, failure_type): the first failure lines, else the last line; the exit code where one is told."""
     lines = F.transform(_all(FAIL_LINE), strip)
     last = F.element_at(F.split(strip(F.col("log_text")), "\n"), -1)
     message = F.when(F.size(lines) > 0, F.array_join(F.slice(lines, 1, most), "\n")).otherwise(strip(last))
     code = F.regexp_extract("log_text", r"(?i)exit code[:\s]*(\d+)", 1)
-    return logs.select("run_id", F.substring(message, 1, 2000).alias("message"), F.when(code != "", F.concat(F.lit("exit_code_"), code)).otherwise("test_failure").alias("failure_type"))
+    return shape(logs, F.substring(message, 1, 2000).alias("message"), F.when(code != "", F.concat(F.lit("exit_code_"), code)).otherwise("test_failure").alias("failure_type"))
 
 
 def witness_quality(witnesses: DataFrame) -> DataFrame:
@@ -103,22 +117,6 @@ def witness_quality(witnesses: DataFrame) -> DataFrame:
     return witnesses.withColumn("quality", quality)
 
 
-def build_witnesses(logs: DataFrame, shortest: int = 20) -> DataFrame:
-    """(run_id, stage, framework, parser, failed_tests, message, quality): only logs of failed validation reach a parser."""
-    staged = test_framework(failure_stage(normalize_logs(logs)))
-    parser = F.when(F.col("stage") != "validation_failure", "stage_detector").when(F.length(strip(F.col("log_text"))) < shortest, "stage_detector").when(F.col("framework").isin("pytest", "unittest"), "pytest").when(F.col("framework") == "go_test", "go").otherwise("generic")
-    routed = staged.withColumn("parser", parser)
-    none = F.array().cast("array<string>")
-    pick = lambda name: routed.where(F.col("parser") == name)
-    python = parse_pytest_witness(pick("pytest")).select("run_id", "failed_tests", F.lit("").alias("message"), F.col("expected").isNotNull().alias("has_expected"), (F.col("n_frames") > 0).alias("has_trace"))
-    go = parse_go_witness(pick("go")).select("run_id", "failed_tests", "message", (F.coalesce("expected", F.lit("")) != "").alias("has_expected"), F.lit(True).alias("has_trace"))
-    other = parse_generic_witness(pick("generic")).select("run_id", none.alias("failed_tests"), "message", F.lit(False).alias("has_expected"), F.lit(False).alias("has_trace"))
-    rest = pick("stage_detector").select("run_id", none.alias("failed_tests"), F.lit("").alias("message"), F.lit(False).alias("has_expected"), F.lit(False).alias("has_trace"))
-    parsed = python.unionByName(go).unionByName(other).unionByName(rest)
-    full = routed.select("run_id", "stage", "framework", "parser").join(parsed, "run_id").withColumns({"observed": F.lit(True), "has_tests": F.size("failed_tests") > 0, "has_witness": F.col("parser") != "stage_detector"})
-    return witness_quality(full).select("run_id", "stage", "framework", "parser", F.array_join("failed_tests", ",").alias("failed_tests"), "message", "quality")
-
-
 def normalize_frames(frames: DataFrame) -> DataFrame:
     """Adds file (within the repository), is_repo_frame and is_test_file to (path)."""
     path = F.col("path")

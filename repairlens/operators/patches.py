@@ -118,9 +118,16 @@ def prune_suggestions(support: DataFrame) -> DataFrame:
     return support.groupBy("run_id").agg(n("supported").alias("keep"), n("weak").alias("review"), n("unsupported").alias("drop"))
 
 
-def relocate_hunks(old_lines: DataFrame, code: DataFrame, least: int = 2) -> DataFrame:
-    """(id, file, start): where old lines (id, file, k, text) stand in code (path, ln, text): the offset that most lines match, the first of ties."""
+def relocate_hunks(old_lines: DataFrame, code: DataFrame, first: int = 8, least: int = 2) -> DataFrame:
+    """(id, file, start): where old lines (id, file, k, text) stand in code (path, ln, text).
+
+    The first place where all of them stand as they are, else the first place where ``least`` of
+    the ``first`` ones stand but for white space around them. Blank lines fit anywhere.
+    """
     t = lambda c: strip(F.col(c))
-    pairs = old_lines.withColumn("t", t("text")).where("t <> ''").join(code.select(F.col("path").alias("file"), "ln", t("text").alias("t")), ["file", "t"])
-    counted = pairs.groupBy("id", "file", (F.col("ln") - F.col("k")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return counted.groupBy("id", "file").agg(F.min_by("start", F.struct(-F.col("n"), F.col("start"))).alias("start"))
+    old = old_lines.withColumn("t", t("text")).where("t <> ''")
+    pairs = old.join(code.select(F.col("path").alias("file"), "ln", F.col("text").alias("there"), t("text").alias("t")).hint("merge"), ["file", "t"])
+    counted = pairs.groupBy("id", "file", (F.col("ln") - F.col("k")).alias("start")).agg(F.count_if(F.col("text") == F.col("there")).alias("same"), F.count_if(F.col("k") < first).alias("near"))
+    judged = counted.join(old.groupBy("id", "file").agg(F.count("*").alias("n")).hint("merge"), ["id", "file"]).withColumn("whole", F.col("same") == F.col("n"))
+    fits = judged.where(F.col("whole") | ((F.col("near") >= F.least(F.lit(least), F.col("n"))) & (F.col("n") > 1)))
+    return fits.groupBy("id", "file").agg(F.min_by("start", F.struct(~F.col("whole"), F.col("start"))).alias("start"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def instance_registry(manifest: DataFrame, bench: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Manifest rows with a benchmark entry, enriched by the canonical table; fail_to_pass is a JSON list, or one split into characters."""
+    """Manifest rows with a benchmark entry, enriched by the canonical table; fail_to_pass is a JSON list; a text that is none is split into characters, null is empty."""
     tests = F.from_json(F.col("fail_to_pass"), "array<string>")
     joined = manifest.join(bench, "instance_id").join(canonical, "instance_id", "left")
-    return joined.withColumn("fail_to_pass", F.coalesce(tests, F.array().cast("array<string>")))
+    return joined.withColumn("fail_to_pass", F.coalesce(tests, F.split("fail_to_pass", ""), F.array().cast("array<string>")))
 
 
 def build_manifest(sources: DataFrame) -> DataFrame:
@@ -81,9 +81,9 @@ def category_sample(scored: DataFrame, categories: list[tuple[str, Column, int]]
 
 
 def resolve_aliases(ids: DataFrame, pool: DataFrame) -> DataFrame:
-    """(id, canonical, short_hash): pool rows (dir_name, canonical_id, instance_id) by any of their names; the first name that is set counts."""
+    """(id, canonical, short_hash): pool rows (dir_name, canonical_id, instance_id) by any of their names; the first name that is set counts, of rows that share a name the least canonical one."""
     name = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("dir_name", "canonical_id", "instance_id")))
-    index = pool.select(name.alias("canonical"), F.explode(F.array_distinct(F.array_compact(F.array("dir_name", "instance_id")))).alias("id")).where("id <> ''").dropDuplicates(["id"])
+    index = pool.select(name.alias("canonical"), F.explode(F.array_distinct(F.array_compact(F.array("dir_name", "instance_id")))).alias("id")).where("id <> ''").groupBy("id").agg(F.min("canonical").alias("canonical"))
     last = F.when(F.col("canonical").endswith("-vnan"), F.element_at(F.split("canonical", "-"), -2)).otherwise(F.element_at(F.split("canonical", "-"), -1))
     return ids.join(index, "id", "left").withColumn("short_hash", last.rlike("^[0-9a-f]{7,12}$"))
 

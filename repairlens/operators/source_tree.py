@@ -53,23 +53,34 @@ def find_imports(lines: DataFrame, modules: DataFrame) -> DataFrame:
     return join_list(named, modules, "module", "left_semi").select("module", "path", "ln")
 
 
+# Scores of a line that registers, defines, calls or else names a symbol, and how short a symbol may be.
+CALLER_SCORES = {"registers": 0.85, "defines": 0.75, "calls": 0.7, "names": 0.6}
+SHORTEST_SYMBOL = 4
+
+
 def find_callers(lines: DataFrame, symbols: DataFrame, k: int = 5) -> DataFrame:
-    """(symbol, path, ln, score): one line a file that calls (3), names (2) or defines (1) a symbol; the best k files."""
-    words = lines.select("path", "ln", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("symbol"))
-    hits = join_list(words, symbols, "symbol", "left_semi")
-    defines = F.regexp_extract("text", r"(?:def|class)\s+(\w+)", 1) == F.col("symbol")
-    calls = F.expr("text RLIKE concat('\\\\b', symbol, '\\\\s*\\\\(')")
-    scored = hits.withColumn("score", F.when(defines, 1).when(calls, 3).otherwise(2))
-    best = scored.groupBy("symbol", "path").agg(F.min_by(F.struct("ln", "score"), F.struct(-F.col("score"), F.col("ln"))).alias("b")).select("symbol", "path", "b.*")
+    """(symbol, path, ln, score): one line a file that registers, defines, calls or names the last part of a dotted symbol; the best k files."""
+    wanted = symbols.select("symbol", F.element_at(F.split("symbol", r"\."), -1).alias("word")).where(F.length("word") >= SHORTEST_SYMBOL).distinct()
+    words = lines.select("path", "ln", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("word"))
+    hits = join_list(words, wanted, "word")
+    score = F.when(F.col("text").rlike("@|register"), CALLER_SCORES["registers"]).when(F.col("text").rlike("(?:def|class) "), CALLER_SCORES["defines"]).when(F.expr("contains(text, concat(word, '('))"), CALLER_SCORES["calls"]).otherwise(CALLER_SCORES["names"])
+    best = hits.withColumn("score", score).groupBy("symbol", "path").agg(F.min_by(F.struct("ln", "score"), F.struct(-F.col("score"), F.col("ln"))).alias("b")).select("symbol", "path", "b.*")
     return best.withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("score"), "path"))).where(F.col("r") <= k).drop("r")
 
 
 def mark_already_seen(candidates: DataFrame, views: DataFrame, near: int = 5) -> DataFrame:
-    """Adds seen: some view (instance_id, path, start_line, end_line) overlaps the candidate within so many lines."""
-    c, v = candidates.alias("c"), views.alias("v")
-    close = (F.col("c.instance_id") == F.col("v.instance_id")) & (F.col("c.path") == F.col("v.path")) & (F.col("c.start_line") <= F.col("v.end_line") + near) & (F.col("v.start_line") <= F.col("c.end_line") + near)
-    seen = c.join(v, close, "left_semi").select("instance_id", "path", "start_line", "end_line").distinct().withColumn("seen", F.lit(True))
-    return candidates.join(seen, ["instance_id", "path", "start_line", "end_line"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    """Adds seen: some view (instance_id, path, start_line, end_line) overlaps the candidate when both are widened by so many lines.
+
+    One path may be the end of the other: roots differ. Paths are compared within instances and equal last two characters.
+    """
+    keyed = lambda df: df.select("instance_id", "path", "start_line", "end_line").distinct().withColumn("tail", F.expr("right(path, 2)"))
+    c, v = keyed(candidates).alias("c"), keyed(views).alias("v")
+    same = F.expr("endswith(c.path, v.path) OR endswith(v.path, c.path)")
+    close = (F.col("c.start_line") <= F.col("v.end_line") + 2 * near) & (F.col("v.start_line") <= F.col("c.end_line") + 2 * near)
+    close &= (F.col("c.start_line") <= F.col("c.end_line") + 2 * near) & (F.col("v.start_line") <= F.col("v.end_line") + 2 * near)
+    alike = (F.col("c.instance_id") == F.col("v.instance_id")) & (F.col("c.tail") == F.col("v.tail"))
+    seen = c.join(v.hint("merge"), alike & same & close, "left_semi").select("instance_id", "path", "start_line", "end_line").withColumn("seen", F.lit(True))
+    return candidates.join(seen.hint("merge"), ["instance_id", "path", "start_line", "end_line"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
 def edited_windows(edited: DataFrame, gap: int = 10, window: int = 20) -> DataFrame:
@@ -148,6 +159,21 @@ def find_symbols(symbols: DataFrame, hints: DataFrame) -> DataFrame:
 
 
 def sibling_methods(symbols: DataFrame, hints: DataFrame, budget: int = 3) -> DataFrame:
-    """(path, name, other): other files that define a function of the same name as the hints (path, name), the first ones in path order."""
-    found = hints.alias("h").join(symbols.alias("s"), (F.col("h.name") == F.col("s.name")) & (F.col("h.path") != F.col("s.path"))).select("h.path", "h.name", F.col("s.path").alias("other")).distinct()
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("path", "name").orderBy("other"))).where(F.col("r") <= budget).drop("r")
+    """(hint, name, path, score, rank): other symbols (path, name, parent) whose last part is that of a dotted hint, those of its class first, then in path order.
+
+    A method that very many classes have is cut to the few rows that any hint can take before it is joined.
+    """
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+
+    def first(df: DataFrame, most: int, *by: str) -> DataFrame:
+        return df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("path", "name"))).where(F.col("r") <= most).drop("r")
+
+    every = first(symbols.select("path", "name", "parent", last("name").alias("method")).distinct(), budget, "method", "name")
+    own = first(every, 2 * budget, "method", "parent")
+    dealt = first(every.withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(64))), 3 * budget, "method", "deal").drop("deal")
+    few = first(dealt, 3 * budget, "method").unionByName(own).distinct()
+    wanted = hints.select("hint", last("hint").alias("method"), F.split_part("hint", F.lit("."), F.lit(1)).alias("class")).distinct()
+    same = F.col("parent") == F.col("class")
+    found = wanted.join(few.hint("merge"), "method").where((F.col("name") != F.col("hint")) & (same | F.col("parent").isNotNull()))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("hint").orderBy(F.when(same, 0).otherwise(1), "path", "name")))
+    return ranked.where(F.col("rank") <= budget).select("hint", "name", "path", F.when(same, 0.70).otherwise(0.85).alias("score"), "rank")

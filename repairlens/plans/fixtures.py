@@ -53,14 +53,14 @@ FROM orders""",
     "predictions": """
 SELECT o_custkey AS instance_id, o_orderkey AS ord, o_orderdate AS mtime, concat('batch', CAST(o_orderkey % 5 AS STRING)) AS batch FROM orders""",
     "logs": """
-SELECT doc_id AS run_id, CASE doc_id % 8
+SELECT doc_id AS run_id, concat(CASE doc_id % 8
     WHEN 0 THEN concat('FAILED tests/test_', CAST(doc_id % 5 AS STRING), '.py::test_a - AssertionError: ', CAST(doc_id AS STRING), ' != 3')
     WHEN 1 THEN 'error: patch failed: src/a.py:3'
     WHEN 2 THEN concat('--- FAIL: TestX', CAST(doc_id AS STRING), ' (0.01s)', chr(10), '    x_test.go:42: expected 3, got 4')
     WHEN 3 THEN 'test result: FAILED. 3 passed; 2 failed; 0 ignored'
     WHEN 4 THEN concat('ModuleNotFoundError: no module m', CAST(doc_id AS STRING))
     WHEN 5 THEN concat(chr(27), '[31mFAIL: test_b (pkg.Case)', chr(27), '[0m')
-    WHEN 6 THEN text ELSE 'command timed out' END AS log_text
+    WHEN 6 THEN '' ELSE 'command timed out' END, chr(10), coalesce(text, '')) AS log_text
 FROM documents""",
     "patches": """
 SELECT p_partkey AS run_id, concat('diff --git a/src/m', CAST(p_size % 9 AS STRING), '.py b/src/m', CAST(p_size % 9 AS STRING), '.py', chr(10),

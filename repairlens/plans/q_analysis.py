@@ -95,7 +95,7 @@ h AS (SELECT g.instance_id, g.path, g.line, list(DISTINCT l.kind) FILTER (l.kind
 x AS (SELECT instance_id, coalesce(k, []) AS k FROM h)
 SELECT instance_id, mode, count(*) FILTER (CASE mode WHEN 'all' THEN len(k) > 0 WHEN 'only_edited' THEN list_contains(k, 'final') WHEN 'only_viewed' THEN list_contains(k, 'viewed') WHEN 'only_search' THEN list_contains(k, 'candidate')
   ELSE list_contains(k, 'viewed') OR list_contains(k, 'candidate') END) AS n_hits, count(*) AS n_gold FROM x, (VALUES ('all'), ('only_edited'), ('only_viewed'), ('only_search'), ('without_edited')) v(mode) GROUP BY ALL"""),
-    "baseline_aggregates": oracle("spans", f"{_MET} SELECT coalesce(baseline, '*') AS baseline, count(*) AS n, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(hits) FILTER (cands > 0) AS BIGINT) AS firing_hits FROM met GROUP BY ROLLUP (baseline)"),
+    "baseline_aggregates": oracle("spans", f"{_MET} SELECT coalesce(baseline, '*') AS baseline, count(*) AS n, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(hits) FILTER (cands > 0) AS BIGINT) AS firing_hits, round(avg(hits / gold) FILTER (gold > 0), 6) AS avg_recall, round(avg(hits / gold) FILTER (gold > 0 AND cands > 0), 6) AS avg_firing_recall FROM met GROUP BY ROLLUP (baseline)"),
     "win_rate": oracle("spans", f"""{_MET}, r AS (SELECT *, rank() OVER (PARTITION BY instance_id ORDER BY hits DESC) AS r FROM met), k AS (SELECT *, count(*) OVER (PARTITION BY instance_id) AS k FROM r WHERE r = 1)
 SELECT baseline, count(*) FILTER (k = 1) AS wins, count(*) FILTER (k > 1) AS ties FROM k GROUP BY 1"""),
     "action_group_metrics": oracle("spans", f"{_MET} SELECT instance_id % 5 AS action, CAST(sum(hits) FILTER (baseline = 'candidate') AS BIGINT) AS candidate, CAST(sum(hits) FILTER (baseline = 'final') AS BIGINT) AS final, CAST(sum(hits) FILTER (baseline = 'viewed') AS BIGINT) AS viewed FROM met GROUP BY 1"),

@@ -38,12 +38,6 @@ def _hypotheses(part):
 
 
 def _edit_alignment(failures, spans):
-    frames = failures.select("run_id", F.substring_index("root_frame", ":", 1).alias("file"), (F.col("ord") % 90).alias("line"), F.lit("sym").alias("symbol")).where("ord % 50 = 0")
-    edits = spans.where("kind = 'final' AND instance_id < 12 AND start_line > 80").select(F.col("instance_id").alias("run_id"), F.col("path").alias("file"), F.col("start_line").alias("line"), F.lit("x").alias("text"))
-    return dg.error_edit_alignment(frames, edits, spans.where("kind = 'viewed' AND instance_id < 16").select(F.col("instance_id").alias("run_id"), F.col("path").alias("file")), 5)
-
-
-def _whole_edit_alignment(failures, spans):
     """Over every failure and span; the failures are dealt over all 200 instances, and each place is taken once."""
     of = lambda kind: spans.where(F.col("kind") == kind).select(F.col("instance_id").alias("run_id"), F.col("path").alias("file"), F.col("start_line").alias("line"), F.lit("x").alias("text")).distinct()
     frames = failures.select((F.col("ord") % 200).alias("run_id"), F.substring_index("root_frame", ":", 1).alias("file"), (F.col("ord") % 90).alias("line"), F.lit("sym").alias("symbol")).distinct()
@@ -56,7 +50,7 @@ QUERIES = {
     "deficiency_scores": query(lambda e: _scores(e).select("run_id", "type", "score"), "events"),
     "deficiency_confidence": query(lambda e: dg.deficiency_confidence(_scores(e)), "events"),
     "error_edit_alignment": query(_edit_alignment, "failures", "spans"),
-    "error_edit_alignment_whole": query(_whole_edit_alignment, "failures", "spans"),
+    "error_edit_alignment_whole": query(_edit_alignment, "failures", "spans"),
     "search_targets": query(lambda p: dg.search_targets(_hypotheses(p)), "part"),
     "search_contracts": query(lambda p: dg.search_contracts(_hypotheses(p), dg.search_targets(_hypotheses(p))), "part"),
     "validate_contracts": query(lambda p: dg.validate_contracts(dg.search_targets(_hypotheses(p)).withColumn("kind", F.when(F.col("hypothesis_id") % 5 == 0, "EVIDENCE").otherwise(F.col("kind"))), p.limit(0).select(F.col("p_name").alias("evidence_id"))), "part"),
@@ -83,10 +77,7 @@ ORACLES = {
 g AS (SELECT run_id, max(type) FILTER (r = 1) AS type, max(score) FILTER (r = 1) AS s1, max(score) FILTER (r = 2) AS s2, max(signal) FILTER (r = 1) AS g1, max(signal) FILTER (r = 2) AS g2, any_value(active) AS active, any_value(visit_alignment) AS visit FROM r GROUP BY 1),
 c AS (SELECT *, greatest(0, least(1, s1 * 0.25::DOUBLE + least((s1 - s2) * 2.5::DOUBLE, 0.3::DOUBLE) + greatest(0, least(g1 - g2, 0.2::DOUBLE)) + CASE WHEN visit = 'visited_none' THEN 0 ELSE 0.15::DOUBLE END + least(active * 0.05::DOUBLE, 0.1::DOUBLE))) AS confidence FROM g)
 SELECT run_id, CASE WHEN s1 < 0.15 OR confidence < 0.3 THEN 'unknown' ELSE type END AS primary, confidence FROM c""",
-    "error_edit_alignment": oracle("failures spans", """f AS (SELECT DISTINCT run_id, split_part(root_frame, ':', 1) AS file, ord % 90 AS line FROM failures WHERE ord % 50 = 0), e AS (SELECT instance_id AS run_id, path AS file, start_line AS line FROM spans WHERE kind = 'final' AND instance_id < 12 AND start_line > 80),
-v AS (SELECT DISTINCT instance_id AS run_id, path AS file FROM spans WHERE kind = 'viewed' AND instance_id < 16), x AS (SELECT f.run_id, bool_or(abs(f.line - e.line) <= 5) AS close FROM f JOIN e USING (run_id, file) GROUP BY 1), s AS (SELECT DISTINCT run_id FROM f SEMI JOIN v USING (run_id, file))
-SELECT run_id, CASE WHEN close THEN 'aligned' WHEN NOT close THEN 'edited_elsewhere' WHEN run_id IN (SELECT run_id FROM s) THEN 'viewed_not_edited' ELSE 'error_file_never_viewed' END AS alignment FROM (SELECT DISTINCT run_id FROM f) LEFT JOIN x USING (run_id)"""),
-    "error_edit_alignment_whole": oracle("failures spans", """f AS (SELECT DISTINCT ord % 200 AS run_id, split_part(root_frame, ':', 1) AS file, ord % 90 AS line FROM failures), e AS (SELECT DISTINCT instance_id AS run_id, path AS file, start_line AS line FROM spans WHERE kind = 'final'),
+    "error_edit_alignment": oracle("failures spans", """f AS (SELECT DISTINCT ord % 200 AS run_id, split_part(root_frame, ':', 1) AS file, ord % 90 AS line FROM failures), e AS (SELECT DISTINCT instance_id AS run_id, path AS file, start_line AS line FROM spans WHERE kind = 'final'),
 v AS (SELECT DISTINCT instance_id AS run_id, path AS file FROM spans WHERE kind = 'viewed'), x AS (SELECT f.run_id, bool_or(abs(f.line - e.line) <= 5) AS close FROM f JOIN e USING (run_id, file) GROUP BY 1), s AS (SELECT DISTINCT run_id FROM f SEMI JOIN v USING (run_id, file))
 SELECT run_id, CASE WHEN close THEN 'aligned' WHEN NOT close THEN 'edited_elsewhere' WHEN run_id IN (SELECT run_id FROM s) THEN 'viewed_not_edited' ELSE 'error_file_never_viewed' END AS alignment FROM (SELECT DISTINCT run_id FROM f) LEFT JOIN x USING (run_id)"""),
     "search_targets": f"{_HY} SELECT * FROM t",
@@ -95,3 +86,5 @@ SELECT hypothesis_id, coalesce(k, 0) AS n_actions, 2 * coalesce(k, 0) AS budget,
     "validate_contracts": f"""{_HY}, u AS (SELECT hypothesis_id, ord, action, CASE WHEN hypothesis_id % 5 = 0 THEN 'EVIDENCE' ELSE kind END AS kind FROM t)
 SELECT hypothesis_id, ord, 'incompatible' AS issue FROM u ANTI JOIN kd USING (action, kind) UNION ALL SELECT hypothesis_id, ord, 'unresolved' FROM u WHERE kind = 'EVIDENCE'""",
 }
+
+ORACLES["error_edit_alignment_whole"] = ORACLES["error_edit_alignment"]  # an earlier name of the same query

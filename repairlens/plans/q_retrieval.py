@@ -57,9 +57,7 @@ def _selected(spans):
     return rt.select_evidence(c, ["rare"], 6, 20, 3)
 
 
-def _rehydrated(spans, files, instances=40):
-    """Over the instances below so many, or all (None)."""
-    spans = spans if instances is None else spans.where(F.col("instance_id") < instances)
+def _rehydrated(spans, files):
     part = lambda k: spans.where(F.col("kind") == k).select("instance_id", F.concat(F.lit("src"), (F.col("start_line") % 3).cast("string"), F.lit("/f"), (F.col("start_line") % 3).cast("string"), F.lit(".py")).alias("path"), (F.col("end_line") - F.col("start_line")).cast("long").alias("start_line"), (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("end_line"))
     words = spans.select("instance_id", F.element_at(F.array(F.lit("def"), F.lit("return"), F.lit("the")), (F.col("start_line") % 3 + 1).cast("int")).alias("word")).distinct()
     return rt.rehydrate_seen(part("viewed"), part("final").where("start_line > 2"), st.code_lines(files), words)
@@ -80,7 +78,7 @@ QUERIES = {
     "redact_settings": query(_settings, "orders"),
     "select_evidence": query(_selected, "spans"),
     "rehydrate_seen": query(_rehydrated, "spans", "repo_files"),
-    "rehydrate_seen_whole": query(lambda s, f: _rehydrated(s, f, None), "spans", "repo_files"),
+    "rehydrate_seen_whole": query(_rehydrated, "spans", "repo_files"),
     "scope_constraints": query(lambda o: rt.scope_constraints(o.select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 8).alias("edited_files"), (F.col("o_orderkey") % 3).alias("unsupported_files"), (F.col("o_orderkey") % 5 == 0).alias("submitted_without_tests"), (F.col("o_orderkey") % 2).alias("patterns"))), "orders"),
     "witness_source_inventory": query(lambda o: rt.witness_source_inventory(o.select(F.col("o_orderkey").alias("run_id")), o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("run_id"), F.concat(F.lit("s"), (F.col("o_orderkey") % 4).cast("string")).alias("name"), (F.col("o_orderkey") % 2).alias("bytes")), ["s2", "s1", "s0"]), "orders"),
 }
@@ -102,10 +100,10 @@ f AS (SELECT run_id, path, min(place) AS place, min_by(source, place) AS source
 SELECT path AS action_id, CASE WHEN d THEN 'FIND_DEFINITION' ELSE 'FIND_CALLEES' END AS action, CASE WHEN NOT d THEN 'UNSUPPORTED' WHEN v IN ('f1', 'f2', 'f3') THEN 'FOUND' ELSE 'NOT_FOUND' END AS status, CAST(d AND v IN ('f1', 'f2', 'f3') AS BIGINT) AS hits FROM a"""),
     "repeated_edits": "SELECT p_partkey % 50 AS run_id, 'old' AS before, 'new' AS after, count(*) AS n_files FROM part GROUP BY 1 HAVING count(*) > 1",
     "relocate_hunks": oracle("repo_files", "SELECT path AS id, path AS file, CAST(1 AS BIGINT) AS start FROM repo_files"),
-    "rehydrate_seen": oracle("spans repo_files", r"""x AS (SELECT DISTINCT kind, instance_id, 'src' || (start_line % 3) || '/f' || (start_line % 3) || '.py' AS path, end_line - start_line AS a, end_line - start_line + 1 AS b FROM spans WHERE kind IN ('viewed', 'final') AND instance_id < 40),
+    "rehydrate_seen": oracle("spans repo_files", r"""x AS (SELECT DISTINCT kind, instance_id, 'src' || (start_line % 3) || '/f' || (start_line % 3) || '.py' AS path, end_line - start_line AS a, end_line - start_line + 1 AS b FROM spans WHERE kind IN ('viewed', 'final')),
 d AS (SELECT * FROM x v WHERE kind = 'viewed' AND NOT EXISTS (SELECT 1 FROM x f WHERE f.kind = 'final' AND f.a > 2 AND f.instance_id = v.instance_id AND f.path = v.path AND v.a <= f.b AND f.a <= v.b)),
 l AS (SELECT path, unnest(range(1, len(t) + 1)) AS ln, unnest(t) AS text FROM (SELECT path, string_split(content, chr(10)) AS t FROM repo_files WHERE path IN ('src0/f0.py', 'src1/f1.py', 'src2/f2.py'))),
-w AS (SELECT DISTINCT path, ln, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM l), k AS (SELECT DISTINCT instance_id, (['def', 'return', 'the'])[start_line % 3 + 1] AS word FROM spans WHERE instance_id < 40),
+w AS (SELECT DISTINCT path, ln, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM l), k AS (SELECT DISTINCT instance_id, (['def', 'return', 'the'])[start_line % 3 + 1] AS word FROM spans),
 h AS (SELECT d.instance_id, d.path, a AS start_line, b AS end_line, count(DISTINCT w.word) AS hits FROM d JOIN w ON w.path = d.path AND w.ln BETWEEN a AND b JOIN k ON k.instance_id = d.instance_id AND k.word = w.word GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY hits DESC, path, start_line, end_line) - 1 AS rank FROM h) SELECT instance_id, rank, path, start_line, end_line, hits FROM r WHERE rank < 4"""),
     "scope_constraints": """WITH r AS (SELECT o_orderkey AS k, list_filter([CASE WHEN o_orderkey % 8 >= 5 THEN 'cap_files' END, CASE WHEN o_orderkey % 3 > 0 THEN 'drop_unsupported' END, CASE WHEN o_orderkey % 5 = 0 THEN 'run_tests' END, CASE WHEN o_orderkey % 2 > 0 THEN 'no_repeated_edits' END], lambda x: x IS NOT NULL) AS c FROM orders),
@@ -114,4 +112,4 @@ u AS (SELECT k AS run_id, unnest(range(len(c))) AS pos, unnest(c) AS constraint_
     "witness_source_inventory": """WITH f AS (SELECT o_orderkey AS k, o_orderkey % 3 > 0 AND o_orderkey % 4 < 3 AS there, o_orderkey % 2 > 0 AS filled FROM orders)
 SELECT k AS run_id, CASE WHEN there AND filled THEN 's' || (k % 4) END AS source, CASE WHEN there AND filled THEN 'found' WHEN there THEN 'empty' ELSE 'missing' END AS reason FROM f""",
 }
-ORACLES["rehydrate_seen_whole"] = ORACLES["rehydrate_seen"].replace(" AND instance_id < 40", "").replace(" WHERE instance_id < 40", "")
+ORACLES["rehydrate_seen_whole"] = ORACLES["rehydrate_seen"]  # an earlier name of the same query

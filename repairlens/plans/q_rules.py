@@ -62,10 +62,6 @@ def _nested(orders):
 
 
 def _diagnosis(failures):
-    return pl.rule_diagnosis(failures.select("run_id", F.col("exception_type").alias("error_type"), "error_message", (F.col("ord") % 3 == 0).alias("edits_elsewhere")).where("ord % 40 = run_id"))
-
-
-def _whole_diagnosis(failures):
     """Over every failure, each a run of its own: all 20 runs of the fixture would get the same findings."""
     return pl.rule_diagnosis(failures.select(F.col("ord").alias("run_id"), F.col("exception_type").alias("error_type"), "error_message", (F.col("ord") % 3 == 0).alias("edits_elsewhere")))
 
@@ -122,9 +118,9 @@ QUERIES = {
     "rule_diagnosis": query(_diagnosis, "failures"),
     "diagnosis_plan": query(lambda f: pl.diagnosis_plan(_diagnosis(f)), "failures"),
     "hypotheses": query(lambda f: pl.hypotheses(_diagnosis(f)), "failures"),
-    "rule_diagnosis_whole": query(_whole_diagnosis, "failures"),
-    "diagnosis_plan_whole": query(lambda f: pl.diagnosis_plan(_whole_diagnosis(f)), "failures"),
-    "hypotheses_whole": query(lambda f: pl.hypotheses(_whole_diagnosis(f)), "failures"),
+    "rule_diagnosis_whole": query(_diagnosis, "failures"),
+    "diagnosis_plan_whole": query(lambda f: pl.diagnosis_plan(_diagnosis(f)), "failures"),
+    "hypotheses_whole": query(lambda f: pl.hypotheses(_diagnosis(f)), "failures"),
     "evidence_ledger": query(lambda f: pl.evidence_ledger(f.select("run_id", "ord", F.col("exception_type").alias("source"), F.col("root_frame").alias("location")), {"TypeError": 5, "ImportError": 3}), "failures"),
     "evidence_conflicts": query(lambda s: pl.evidence_conflicts(s.select(F.concat("path", F.col("start_line").cast("string")).alias("evidence_id"), F.col("instance_id").alias("run_id"), F.col("kind").alias("source"), F.col("path").alias("location"))), "spans"),
     "allocate_plan": query(_contracts, "orders"),
@@ -143,7 +139,7 @@ QUERIES = {
 
 _SCORED = f"""sc AS (SELECT instance_id, repo, CAST(CASE repo {' '.join(f"WHEN '{k}' THEN {v}" for k, v in REPOS.items())} ELSE 1 END + {' + '.join(f"CASE WHEN regexp_matches(coalesce(issue, ''), '{p}') THEN {w} ELSE 0 END" for p, w, _ in PATTERNS)} AS INT) AS score,
   array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(coalesce(issue, ''), '{p}') THEN '{n}' END" for p, _, n in PATTERNS)}], lambda x: x IS NOT NULL), ',') AS labels FROM issues WHERE NOT regexp_matches(coalesce(issue, ''), '(?i)token'))"""
-_DIAG = """sg AS (SELECT DISTINCT run_id, exception_type AS t, error_message AS m, ord % 3 = 0 AS e FROM failures WHERE ord % 40 = run_id),
+_DIAG = """sg AS (SELECT DISTINCT ord AS run_id, exception_type AS t, error_message AS m, ord % 3 = 0 AS e FROM failures),
 f AS (SELECT run_id, 2 AS rule, 'DEPENDENCY' AS type, 'high' AS confidence FROM sg WHERE t = 'ImportError' UNION SELECT run_id, 4, 'RELATED_TESTS', 'medium' FROM sg WHERE t = 'AssertionError' UNION SELECT run_id, 5, 'LOCALIZATION_DIRECTION', 'medium' FROM sg WHERE e
   UNION SELECT run_id, 9, 'NO_RELIABLE_DEFICIENCY', 'low' FROM sg WHERE t NOT IN ('ImportError', 'AssertionError') AND NOT e),
 dg AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, rule) - 1 AS rank, type, confidence FROM f)"""
@@ -200,5 +196,5 @@ f AS (SELECT run_id, k, min_by(name, (turn, name)) AS name FROM e GROUP BY 1, 2)
     "submission_of": oracle("predictions", "SELECT instance_id AS run_id, min_by(batch, ord) AS source, count(DISTINCT ord % 2) = 1 AS consistent FROM predictions WHERE ord % 3 <> 0 GROUP BY 1"),
 }
 
-for _name in ("rule_diagnosis", "diagnosis_plan", "hypotheses"):  # the same SQL over every failure, by event
-    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace("SELECT DISTINCT run_id, exception_type AS t", "SELECT DISTINCT ord AS run_id, exception_type AS t").replace(" WHERE ord % 40 = run_id", "")
+for _name in ("rule_diagnosis", "diagnosis_plan", "hypotheses"):  # earlier names of the same queries
+    ORACLES[f"{_name}_whole"] = ORACLES[_name]

@@ -29,11 +29,9 @@ def _clusters(failures):
     )
 
 
-def _aligned(failures, spans, views="start_line < 2", edits="start_line > 89"):
-    """Views and edits of those start lines only; "true" takes all."""
-    files = lambda k: spans.where(F.col("kind") == k).select((F.col("instance_id") % 20).alias("run_id"), F.col("path").alias("file"), "start_line")
-    views, edits = files("viewed").where(views), files("final").where(edits)
-    out = sc.align_evidence(_clusters(failures), views.drop("start_line"), edits.drop("start_line"))
+def _aligned(failures, spans):
+    files = lambda k: spans.where(F.col("kind") == k).select((F.col("instance_id") % 20).alias("run_id"), F.col("path").alias("file"))
+    out = sc.align_evidence(_clusters(failures), files("viewed"), files("final"))
     return out.select("run_id", "cluster", F.size("error_symbols").alias("n_symbols"), F.array_join(F.array_sort("unviewed_files"), ",").alias("unviewed"), "disjoint")
 
 
@@ -55,7 +53,7 @@ QUERIES = {
     "parse_django_failures": query(lambda f: _flat(sc.parse_django_failures(_django(f))), "failures"),
     "reconcile_failures": query(lambda f: sc.reconcile_failures(sc.parse_pytest_failures(_session(f)), sc.summary_failures(_session(f))), "failures"),
     "align_evidence": query(_aligned, "failures", "spans"),
-    "align_evidence_whole": query(lambda f, s: _aligned(f, s, "true", "true"), "failures", "spans"),
+    "align_evidence_whole": query(_aligned, "failures", "spans"),
     "classify_clusters": query(_classes, "failures"),
     "related_tests": query(_related, "repo_files"),
     "test_index": query(lambda f: sc.test_index(st.symbol_index(f.select(F.concat(F.lit("tests/"), "path").alias("path"), F.replace("content", F.lit("def f"), F.lit("def test_")).alias("content")))), "repo_files"),
@@ -68,7 +66,7 @@ ORACLES = {
     "reconcile_failures": oracle("failures", """t AS (SELECT run_id, count(*) AS n_sections, count(*) FILTER (ord % 4 > 0) AS n_summary FROM failures GROUP BY 1)
 SELECT *, n_summary AS n_matched, CASE WHEN n_sections = n_summary THEN 'exact' WHEN n_summary = 0 THEN 'section_only' ELSE 'partial_mismatch' END AS status FROM t"""),
     "align_evidence": oracle("failures spans", r"""c AS (SELECT run_id, exception_type AS cluster, list(DISTINCT split_part(root_frame, ':', 1)) AS files, list(DISTINCT error_message) AS m FROM failures GROUP BY 1, 2),
-v AS (SELECT instance_id % 20 AS run_id, list(DISTINCT path) AS seen FROM spans WHERE kind = 'viewed' AND start_line < 2 GROUP BY 1), e AS (SELECT instance_id % 20 AS run_id, list(DISTINCT path) AS edited FROM spans WHERE kind = 'final' AND start_line > 89 GROUP BY 1),
+v AS (SELECT instance_id % 20 AS run_id, list(DISTINCT path) AS seen FROM spans WHERE kind = 'viewed' GROUP BY 1), e AS (SELECT instance_id % 20 AS run_id, list(DISTINCT path) AS edited FROM spans WHERE kind = 'final' GROUP BY 1),
 j AS (SELECT c.*, list_filter(files, lambda f: NOT list_contains(coalesce(seen, []), f)) AS un, coalesce(edited, []) AS edited, len(list_distinct(flatten(list_transform(m, lambda x: regexp_extract_all(x, '[''"](\w+)[''"]', 1))))) AS k FROM c LEFT JOIN v USING (run_id) LEFT JOIN e USING (run_id))
 SELECT run_id, cluster, k AS n_symbols, array_to_string(list_sort(un), ',') AS unviewed, len(un) > 0 AND len(edited) > 0 AND NOT list_has_any(un, edited) AS disjoint FROM j"""),
     "classify_clusters": oracle("failures", """SELECT run_id, exception_type AS cluster, CASE exception_type WHEN 'TypeError' THEN 'INTERFACE_CONSTRAINT' ELSE 'NO_RELIABLE_DEFICIENCY' END AS type,
@@ -78,4 +76,4 @@ h AS (SELECT k AS target, path, len(regexp_extract_all(content, '\b' || k || '\b
 r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, path) AS r FROM s) SELECT target, path, CAST(score AS INT) AS score, ends_with(path, '3.py') AS seen FROM r WHERE r <= 5"""),
     "test_index": oracle("repo_files", r"SELECT 'tests/' || path AS path, 'test_' || regexp_extract(path, 'f(\d+)\.py', 1) AS name, 1 AS start_line, 2 AS end_line FROM repo_files"),
 }
-ORACLES["align_evidence_whole"] = ORACLES["align_evidence"].replace(" AND start_line < 2", "").replace(" AND start_line > 89", "")
+ORACLES["align_evidence_whole"] = ORACLES["align_evidence"]  # an earlier name of the same query

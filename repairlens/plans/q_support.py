@@ -19,8 +19,8 @@ def _scope(orders):
 def _support(spans):
     edits = spans.where("kind = 'final'").select(F.col("instance_id").alias("run_id"), "path").distinct().withColumn("pattern_only", F.col("run_id") % 4 == 0)
     part = lambda k: spans.where(F.col("kind") == k).select(F.col("instance_id").alias("run_id"), "path", "start_line", "end_line")
-    seen = pt.viewed_evidence(part("final").where("start_line > 60"), part("viewed"), 5, 0)
-    tests = part("gold").where("start_line > 85").select("run_id", "path").distinct().withColumn("source", F.lit("test_failure"))
+    seen = pt.viewed_evidence(part("final"), part("viewed"), 5, 0)
+    tests = part("gold").select("run_id", "path").distinct().withColumn("source", F.lit("test_failure"))
     return pt.edit_support(edits, seen.unionByName(tests))
 
 
@@ -70,8 +70,8 @@ QUERIES = {
 }
 
 _SUP = """e AS (SELECT DISTINCT instance_id AS run_id, path, instance_id % 4 = 0 AS pattern_only FROM spans WHERE kind = 'final'),
-v AS (SELECT DISTINCT h.instance_id AS run_id, h.path FROM spans h JOIN spans v ON h.kind = 'final' AND h.start_line > 60 AND v.kind = 'viewed' AND v.end_line - v.start_line <= 5 AND h.instance_id = v.instance_id AND h.path = v.path AND h.start_line <= v.end_line AND v.start_line <= h.end_line),
-t AS (SELECT DISTINCT instance_id AS run_id, path FROM spans WHERE kind = 'gold' AND start_line > 85),
+v AS (SELECT DISTINCT h.instance_id AS run_id, h.path FROM spans h JOIN spans v ON h.kind = 'final' AND v.kind = 'viewed' AND v.end_line - v.start_line <= 5 AND h.instance_id = v.instance_id AND h.path = v.path AND h.start_line <= v.end_line AND v.start_line <= h.end_line),
+t AS (SELECT DISTINCT instance_id AS run_id, path FROM spans WHERE kind = 'gold'),
 s AS (SELECT e.run_id, e.path, (v.path IS NOT NULL)::BIGINT + (t.path IS NOT NULL)::BIGINT AS n_sources, CASE WHEN t.path IS NOT NULL THEN 2 WHEN v.path IS NOT NULL THEN 1 ELSE 0 END - pattern_only::INT AS r FROM e LEFT JOIN v USING (run_id, path) LEFT JOIN t USING (run_id, path)),
 sup AS (SELECT run_id, path, n_sources, CASE r WHEN 2 THEN 'supported' WHEN 1 THEN 'weak' ELSE 'unsupported' END AS support FROM s)"""
 _FR = """fr AS (SELECT ord AS run_id, 0 AS pos, CASE ord % 3 WHEN 0 THEN '/r/a' || (ord % 4) || '.py' WHEN 1 THEN 'c.py' ELSE 'tests/t.py' END AS file, CAST(CASE ord % 3 WHEN 0 THEN 7 WHEN 1 THEN ord ELSE 0 END AS INT) AS line, CASE ord % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' ELSE 'test_x' END AS function FROM failures

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from repairlens.operators import dialects as dl
 from repairlens.operators import logs as lg
 from repairlens.operators import patches as pt
 from repairlens.operators import source_tree as st
+from repairlens.operators import witnesses as wt
 from repairlens.plans.fixtures import oracle, query
 
 
@@ -44,6 +46,15 @@ def _sites(spans):
     return st.enclosing_definition(symbols, sites)
 
 
+
+
+def _sibling_methods(spans):
+    c = F.concat(F.lit("C"), (F.col("start_line") % 5).cast("string"))
+    name = F.concat(F.when(F.col("start_line") % 4 == 0, "Out.").otherwise(""), c, F.lit(".s"), (F.col("start_line") % 9).cast("string"))
+    symbols = spans.select("path", name.alias("name"), c.alias("parent")).distinct()
+    return st.sibling_methods(symbols, symbols.where("NOT startswith(name, 'Out.')").select(F.col("name").alias("hint")).distinct())
+
+
 _kind = lambda s, k: s.where(F.col("kind") == k).select("instance_id", "path", "start_line", "end_line").distinct()
 _candidates = lambda s: st.expand_context({k: _kind(s, k) for k in ("viewed", "final", "candidate")}, ["final", "viewed", "candidate"])
 _stop = ["that", "this", "with", "from"]
@@ -57,7 +68,7 @@ QUERIES = {
     "parse_go_witness": query(lambda l: lg.parse_go_witness(l).withColumn("failed_tests", F.array_join("failed_tests", ",")), "logs"),
     "parse_generic_witness": query(lg.parse_generic_witness, "logs"),
     "witness_quality": query(_quality, "logs"),
-    "build_witnesses": query(lambda l: lg.build_witnesses(l).select("run_id", "stage", "framework", "parser", "failed_tests", "quality"), "logs"),
+    "build_witnesses": query(wt.build_witnesses, "logs"),
     "normalize_frames": query(_frames, "spans"),
     "error_tokens": query(lambda l: lg.error_tokens(l, ["AssertionError"]), "logs"),
     "stage_authority": query(_authority, "logs"),
@@ -73,7 +84,7 @@ QUERIES = {
     "find_definitions": query(lambda f: st.find_definitions(st.code_lines(f), _terms(f, "target", ["f1", "f20", "f999", "g1"])), "repo_files"),
     "enclosing_definition": query(_sites, "spans"),
     "file_definition": query(lambda f: st.file_definition(f, _terms(f, "path", ["src1/f1.py", "src2/f2.py", "none.py"]), 50), "repo_files"),
-    "find_callers": query(lambda f: st.find_callers(st.code_lines(f), _terms(f, "symbol", ["g3", "f17", "x"])), "repo_files"),
+    "find_callers": query(lambda f: st.find_callers(st.code_lines(f), _terms(f, "symbol", ["g3", "pkg.f102", "return", "f1000", "the.text"])), "repo_files"),
     "mark_already_seen": query(lambda s: st.mark_already_seen(_kind(s, "candidate"), _kind(s, "viewed")), "spans"),
     "edited_windows": query(lambda s: st.edited_windows(_kind(s, "final").select("instance_id", "path", F.col("start_line").alias("line")), 3, 5), "spans"),
     "widest_viewed": query(lambda s: st.widest_viewed(_kind(s, "viewed")), "spans"),
@@ -81,7 +92,7 @@ QUERIES = {
     "expand_context": query(_candidates, "spans"),
     "enforce_budget": query(lambda s: st.enforce_budget(_candidates(s), 6, 4, 20, 5), "spans"),
     "symbol_index": query(st.symbol_index, "repo_files"),
-    "sibling_methods": query(lambda s: st.sibling_methods(s.select("path", F.concat(F.lit("s"), (F.col("start_line") % 9).cast("string")).alias("name")).distinct(), s.select("path", F.concat(F.lit("s"), (F.col("start_line") % 9).cast("string")).alias("name")).distinct()), "spans"),
+    "sibling_methods": query(_sibling_methods, "spans"),
 }
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -91,12 +102,18 @@ _case = lambda rules, other: "CASE " + " ".join(f"WHEN {_has(ps)} THEN '{n}'" fo
 _names = lambda rules: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has(ps)} THEN '{n}' END" for n, ps in rules) + "], lambda x: x IS NOT NULL), ',')"
 _QUAL = """CASE WHEN NOT observed THEN 'none' WHEN stage <> 'validation_failure' THEN 'infrastructure_only' WHEN has_expected AND has_trace AND has_tests THEN 'high' WHEN has_trace OR has_tests THEN 'medium' WHEN has_witness THEN 'low' ELSE 'minimal' END"""
 _UNEQUAL = lambda g: _STRIP.format(rf"regexp_extract(log_text, '(?:AssertionError|assert):?\s+(.*?)\s*!=\s*(.*)', {g})")
+_LINES = "CASE WHEN ends_with(log_text, chr(10)) THEN string_split(log_text, chr(10))[:-2] ELSE string_split(log_text, chr(10)) END"
+_SAID = f"substring({_STRIP.format(f"coalesce(list_filter({_LINES}, lambda x: regexp_matches(x, '{lg.ERROR_LINE}'))[1], ({_LINES})[-1], '')")}, 1, 500)"
+_KIND = "CASE " + " ".join(f"WHEN contains(log_text, '{k}') THEN '{v}'" for k, v in lg.PYTHON_TYPES.items()) + " ELSE 'test_failure' END"
 _PY = rf"""py AS (SELECT run_id, CASE WHEN len(a) > 0 THEN list_transform(range(1, len(a) + 1), lambda i: a[i] || '::' || b[i]) WHEN len(c) > 0 THEN list_transform(range(1, len(c) + 1), lambda i: c[i] || '::' || d[i]) ELSE e END AS failed_tests,
-    n_frames, expected, actual FROM (
-  SELECT run_id, regexp_extract_all(log_text, '{lg.NODE}', 1) AS a, regexp_extract_all(log_text, '{lg.NODE}', 2) AS b, regexp_extract_all(log_text, '(\S+\.py)::(\S+)', 1) AS c, regexp_extract_all(log_text, '(\S+\.py)::(\S+)', 2) AS d,
+    n_frames, expected, actual, {_SAID} AS message, {_KIND} AS failure_type FROM (
+  SELECT run_id, log_text, regexp_extract_all(log_text, '{lg.NODE}', 1) AS a, regexp_extract_all(log_text, '{lg.NODE}', 2) AS b, regexp_extract_all(log_text, '(\S+\.py)::(\S+)', 1) AS c, regexp_extract_all(log_text, '(\S+\.py)::(\S+)', 2) AS d,
     regexp_extract_all(log_text, '(?m)^FAIL:\s+(\S+)', 1) AS e, CAST(len(regexp_extract_all(log_text, '(?m)^\s*File\s+"[^"]+",\s+line\s+\d+')) AS INT) AS n_frames,
     nullif({_UNEQUAL(1)}, '') AS expected, nullif({_UNEQUAL(2)}, '') AS actual FROM {{}}))"""
 _NORM = r"norm AS (SELECT run_id, regexp_replace(regexp_replace(log_text, '\x1B\[[0-9;]*[a-zA-Z]', '', 'g'), '\r\n?', chr(10), 'g') AS log_text FROM logs)"
+_NONEMPTY = f"list_filter(list_transform(string_split({_STRIP.format('log_text')}, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_TAIL = f"substring(coalesce(list_filter(({_NONEMPTY})[-10:], lambda x: regexp_matches(lower(x), 'error|fail'))[-1], ({_NONEMPTY})[-1], 'test_failure'), 1, 500)"
+_GENERIC = rf"substring(CASE WHEN len(regexp_extract_all(log_text, '{lg.FAIL_LINE}')) > 0 THEN array_to_string(list_transform(regexp_extract_all(log_text, '{lg.FAIL_LINE}')[1:5], lambda x: {_STRIP.format('x')}), chr(10)) ELSE {_STRIP.format(f"string_split({_STRIP.format('log_text')}, chr(10))[-1]")} END, 1, 2000)"
 _DL = r"""raw AS (SELECT run_id, unnest(range(len(l))) AS pos, unnest(l) AS text FROM (SELECT run_id, string_split(patch_text, chr(10)) AS l FROM patches)),
 dl AS (SELECT p.run_id, pos, regexp_extract(patch_text, 'b/(\S+)', 1) AS file, CASE WHEN pos >= 3 THEN 1 ELSE 0 END AS hunk,
   CASE pos WHEN 3 THEN 'hunk' WHEN 4 THEN 'context' WHEN 5 THEN 'removed' WHEN 6 THEN 'added' ELSE 'header' END AS kind, CASE pos WHEN 4 THEN s WHEN 5 THEN s + 1 END AS old_line, CASE pos WHEN 4 THEN s WHEN 6 THEN s + 1 END AS new_line, text
@@ -109,7 +126,7 @@ ORACLES = {
     "failure_stage": oracle("logs", f"SELECT run_id, {_case(lg.STAGES, 'unknown_failure')} AS stage FROM logs"),
     "test_framework": oracle("logs", f"SELECT run_id, {_case(lg.FRAMEWORKS, 'generic')} AS framework FROM logs"),
     "matched_patterns": oracle("logs", f"SELECT run_id, {_names(lg.STAGES)} AS stages, {_names(lg.FRAMEWORKS)} AS frameworks FROM logs"),
-    "parse_pytest_witness": oracle("logs", f"{_PY.format('logs')} SELECT run_id, array_to_string(failed_tests, ',') AS failed_tests, n_frames, expected, actual FROM py"),
+    "parse_pytest_witness": oracle("logs", f"{_PY.format('logs')} SELECT run_id, array_to_string(failed_tests, ',') AS failed_tests, n_frames, expected, actual, message, failure_type FROM py"),
     "parse_go_witness": oracle("logs", rf"""SELECT run_id, array_to_string(t, ',') AS failed_tests, CASE WHEN len(t) > 0 AND len(m) > 0 THEN m[1] ELSE 'test_failure' END AS message, CASE WHEN len(m) > 0 THEN regexp_extract(m[1], '{lg.GO_WANT}', 1) END AS expected,
   CASE WHEN len(m) > 0 THEN regexp_extract(m[1], '{lg.GO_WANT}', 2) END AS actual, 'test_failure' AS failure_type FROM (SELECT run_id, regexp_extract_all(log_text, '{lg.GO_TEST}', 1) AS t, regexp_extract_all(log_text, '{lg.GO_LINE}', 3) AS m FROM logs)"""),
     "parse_generic_witness": oracle("logs", rf"""SELECT run_id, substring(CASE WHEN len(m) > 0 THEN array_to_string(list_transform(m[1:5], lambda x: {_STRIP.format('x')}), chr(10)) ELSE {_STRIP.format('last')} END, 1, 2000) AS message,
@@ -118,10 +135,15 @@ ORACLES = {
     "witness_quality": oracle("logs", f"""w AS (SELECT run_id, run_id % 11 <> 0 AS observed, {_case(lg.STAGES, 'unknown_failure')} AS stage, run_id % 2 = 0 AS has_expected, run_id % 3 = 0 AS has_trace, run_id % 5 < 3 AS has_tests, run_id % 7 < 5 AS has_witness FROM logs)
 SELECT *, {_QUAL} AS quality FROM w"""),
     "build_witnesses": oracle("logs", f"""{_NORM}, s AS (SELECT *, {_case(lg.STAGES, 'unknown_failure')} AS stage, {_case(lg.FRAMEWORKS, 'generic')} AS framework FROM norm),
-p AS (SELECT *, CASE WHEN stage <> 'validation_failure' OR length({_STRIP.format('log_text')}) < 20 THEN 'stage_detector' WHEN framework IN ('pytest', 'unittest') THEN 'pytest' WHEN framework = 'go_test' THEN 'go' ELSE 'generic' END AS parser FROM s),
-{_PY.format('norm')}, w AS (SELECT p.run_id, stage, framework, parser, CASE parser WHEN 'pytest' THEN py.failed_tests WHEN 'go' THEN regexp_extract_all(log_text, '{lg.GO_TEST}', 1) ELSE [] END AS t, true AS observed,
-  CASE parser WHEN 'pytest' THEN expected IS NOT NULL WHEN 'go' THEN contains(log_text, 'expected') ELSE false END AS has_expected, CASE parser WHEN 'pytest' THEN n_frames > 0 WHEN 'go' THEN true ELSE false END AS has_trace, parser <> 'stage_detector' AS has_witness FROM p JOIN py USING (run_id)),
-v AS (SELECT *, len(t) > 0 AS has_tests FROM w) SELECT run_id, stage, framework, parser, array_to_string(t, ',') AS failed_tests, {_QUAL} AS quality FROM v"""),
+p AS (SELECT *, CASE WHEN stage <> 'validation_failure' OR length({_STRIP.format('log_text')}) < 20 THEN 'stage_detector' {' '.join(f"WHEN framework = '{f}' OR {' OR '.join('(' + ' AND '.join(_has([x]) for x in ps) + ')' for ps in shapes)} THEN '{n}'" for n, (f, shapes) in wt.PARSERS.items())} ELSE 'generic' END AS parser FROM s),
+{_PY.format('norm')}, w AS (SELECT p.run_id, stage, framework, parser, py.message AS said, py.failure_type AS kind, expected, n_frames, log_text, regexp_extract_all(log_text, '{lg.GO_LINE}', 3) AS g, py.failed_tests AS pt FROM p JOIN py USING (run_id)),
+v AS (SELECT run_id, stage, framework, parser, true AS observed, parser <> 'stage_detector' AS has_witness, CASE parser WHEN 'pytest' THEN pt WHEN 'go' THEN regexp_extract_all(log_text, '{lg.GO_TEST}', 1) ELSE [] END AS t,
+  CASE parser WHEN 'pytest' THEN expected IS NOT NULL WHEN 'go' THEN regexp_matches(g[1], '{lg.GO_WANT}') ELSE false END AS has_expected, CASE parser WHEN 'pytest' THEN n_frames > 0 WHEN 'generic' THEN false WHEN 'stage_detector' THEN false ELSE true END AS has_trace,
+  CASE parser WHEN 'pytest' THEN said WHEN 'stage_detector' THEN '' WHEN 'go' THEN substring(g[1], 1, 500)
+    WHEN 'cargo' THEN 'Test run failed (' || regexp_extract(log_text, '{dl.CARGO_RESULT}', 1) || ' passed, ' || regexp_extract(log_text, '{dl.CARGO_RESULT}', 2) || ' failed)'
+    WHEN 'cpp' THEN {_TAIL} ELSE {_GENERIC} END AS message,
+  CASE parser WHEN 'pytest' THEN kind WHEN 'stage_detector' THEN stage ELSE 'test_failure' END AS failure_type FROM w),
+x AS (SELECT *, len(t) > 0 AS has_tests FROM v) SELECT run_id, stage, framework, parser, array_to_string(t, ',') AS failed_tests, message, failure_type, {_QUAL} AS quality FROM x"""),
     "normalize_frames": oracle("spans", """f AS (SELECT DISTINCT CASE start_line % 5 WHEN 0 THEN '/testbed/' WHEN 1 THEN '/usr/lib/' WHEN 2 THEN '' WHEN 3 THEN '/opt/site-packages/' ELSE 'tests/' END || path AS path FROM spans)
 SELECT path, replace(path, '/testbed/', '') AS file, NOT starts_with(path, '/usr') AND NOT starts_with(path, '/opt') AS is_repo_frame, starts_with(path, 'tests/') AS is_test_file FROM f"""),
     "error_tokens": oracle("logs", r"""SELECT DISTINCT run_id, unnest(regexp_extract_all(log_text, '\b(\w+(?:Error|Exception|Warning))\b', 1) || regexp_extract_all(log_text, 'FAILED\s+\S+?::(\w+)', 1)) AS token FROM logs QUALIFY token <> 'AssertionError'""".replace("SELECT DISTINCT run_id, unnest", "SELECT DISTINCT run_id, token FROM (SELECT run_id, unnest").replace(" QUALIFY token <> 'AssertionError'", ") WHERE token <> 'AssertionError'")),
@@ -144,12 +166,12 @@ si AS (SELECT DISTINCT path, end_line AS ln, path || ':' || end_line AS site_id
 b AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY end_line - start_line, start_line, name) AS r FROM si JOIN sy USING (path) WHERE ln BETWEEN start_line AND end_line)
 SELECT site_id, si.path, b.name, coalesce(b.start_line, greatest(si.ln - 5, 1)) AS start_line, coalesce(b.end_line, si.ln + 5) AS end_line FROM si LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (site_id)"""),
     "file_definition": oracle("repo_files", "SELECT path, substring(content, 1, 50) AS head, length(content) AS chars FROM repo_files WHERE path IN ('src1/f1.py', 'src2/f2.py')"),
-    "find_callers": oracle("repo_files", rf"""{_LN}, h AS (SELECT path, ln, s AS symbol, CASE WHEN regexp_extract(text, '(?:def|class)\s+(\w+)', 1) = s THEN 1 WHEN regexp_matches(text, '\b' || s || '\s*\(') THEN 3 ELSE 2 END AS score
-  FROM ln, (VALUES ('g3'), ('f17'), ('x')) v(s) WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])' || s || '($|[^A-Za-z0-9_])')),
+    "find_callers": oracle("repo_files", rf"""{_LN}, h AS (SELECT path, ln, s AS symbol, CASE WHEN regexp_matches(text, '@|register') THEN 0.85 WHEN regexp_matches(text, '(def|class) ') THEN 0.75 WHEN contains(text, w || '(') THEN 0.7 ELSE 0.6 END AS score
+  FROM ln, (VALUES ('pkg.f102', 'f102'), ('return', 'return'), ('f1000', 'f1000'), ('the.text', 'text')) v(s, w) WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])' || w || '($|[^A-Za-z0-9_])')),
 f AS (SELECT *, row_number() OVER (PARTITION BY symbol, path ORDER BY score DESC, ln) AS k FROM h), g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, path) AS r FROM f WHERE k = 1)
-SELECT symbol, path, ln, score FROM g WHERE r <= 5"""),
+SELECT symbol, path, ln, CAST(score AS DOUBLE) AS score FROM g WHERE r <= 5"""),
     "mark_already_seen": oracle("spans", """c AS (SELECT DISTINCT instance_id, path, start_line, end_line FROM spans WHERE kind = 'candidate')
-SELECT *, EXISTS (SELECT 1 FROM spans v WHERE v.kind = 'viewed' AND v.instance_id = c.instance_id AND v.path = c.path AND c.start_line <= v.end_line + 5 AND v.start_line <= c.end_line + 5) AS seen FROM c"""),
+SELECT *, EXISTS (SELECT 1 FROM spans v WHERE v.kind = 'viewed' AND v.instance_id = c.instance_id AND v.path = c.path AND c.start_line <= v.end_line + 10 AND v.start_line <= c.end_line + 10) AS seen FROM c"""),
     "edited_windows": oracle("spans", """e AS (SELECT DISTINCT instance_id, path, start_line AS line FROM spans WHERE kind = 'final'), b AS (SELECT *, CASE WHEN line - lag(line) OVER w <= 3 THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY instance_id, path ORDER BY line)),
 i AS (SELECT *, sum(n) OVER (PARTITION BY instance_id, path ORDER BY line) AS k FROM b) SELECT instance_id, path, greatest(min(line) - 5, 1) AS start_line, max(line) + 5 AS end_line FROM i GROUP BY instance_id, path, k"""),
     "widest_viewed": oracle("spans", """v AS (SELECT DISTINCT instance_id, path, start_line, end_line FROM spans WHERE kind = 'viewed'), w AS (SELECT *, row_number() OVER (PARTITION BY instance_id, path ORDER BY end_line - start_line DESC, start_line) AS k, CAST(sum(end_line - start_line + 1) OVER (PARTITION BY instance_id, path) AS BIGINT) AS n_lines FROM v),
@@ -159,6 +181,7 @@ d AS (SELECT instance_id, list_filter(w, lambda x, i: list_position(w, x) = i AN
 SELECT instance_id, unnest(range(len(q))) AS rank, unnest(q) AS query FROM d"""),
     "expand_context": oracle("spans", f"{_CAND} SELECT * FROM cand"),
     "symbol_index": oracle("repo_files", rf"{_LN} SELECT path, regexp_extract(path, '(f\d+)\.py', 1) AS name, 'def' AS kind, 1 AS start_line, 2 AS end_line FROM ln WHERE ln = 1"),
-    "sibling_methods": oracle("spans", """s AS (SELECT DISTINCT path, 's' || (start_line % 9) AS name FROM spans), p AS (SELECT a.path, a.name, b.path AS other, row_number() OVER (PARTITION BY a.path, a.name ORDER BY b.path) AS r FROM s a JOIN s b ON a.name = b.name AND a.path <> b.path)
-SELECT path, name, other FROM p WHERE r <= 3"""),
+    "sibling_methods": oracle("spans", """s AS (SELECT DISTINCT path, CASE WHEN start_line % 4 = 0 THEN 'Out.' ELSE '' END || 'C' || (start_line % 5) || '.s' || (start_line % 9) AS name, 'C' || (start_line % 5) AS parent, 's' || (start_line % 9) AS method FROM spans),
+h AS (SELECT DISTINCT name AS hint, method, parent AS class FROM s WHERE NOT starts_with(name, 'Out.')), p AS (SELECT hint, name, path, parent = class AS own, row_number() OVER (PARTITION BY hint ORDER BY parent <> class, path, name) AS rank FROM h JOIN s USING (method) WHERE name <> hint)
+SELECT hint, name, path, CAST(CASE WHEN own THEN 0.70 ELSE 0.85 END AS DOUBLE) AS score, rank FROM p WHERE rank <= 3"""),
 }

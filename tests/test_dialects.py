@@ -5,6 +5,7 @@ import json
 import pytest
 
 from repairlens.operators import dialects as dl
+from repairlens.operators import witnesses as wt
 
 CARGO = "test bin::a ... FAILED\nthread 'a' panicked at tests/x.rs:3:5:\nexpected:\n~~~~~~~~~~~~\none\n~~~~~~~~~~~~\n\ngot:\n~~~~~~~~~~~~\ntwo\n~~~~~~~~~~~~\ntest result: FAILED. 3 passed; 1 failed; 0 ignored\n"
 CASES = [
@@ -17,7 +18,7 @@ CASES = [
     (dl.parse_jvm_witness, "> Task :app:test FAILED\nFAILURE: Build failed with an exception.\n* What went wrong:\nExecution failed\n* Try:\nBUILD FAILED", ("dependency_or_environment_failure", "build_failure", [":app:test"], "Execution failed", None, None)),
     (dl.parse_jvm_witness, "Tests run: 3, Failures: 1, Errors: 0\nBUILD FAILURE", ("validation_failure", "test_failure", ["run=3 fail=1 err=0"], "1 test(s) failed", None, None)),
     (dl.parse_jvm_witness, "java.lang.AssertionError: expected:<1> but was:<2>", ("validation_failure", "assertion_error", [], "AssertionError: expected:<1> but was:<2>", "1", "2")),
-    (dl.parse_ansible_witness, "TASK [x]\nfatal: [h]: FAILED! => {}\nFAILED t/a.py::test_x - AssertionError: 1 != 2", ("validation_failure", "ansible_task_failure", ["t/a.py::test_x"], "test_failure", "1", "2")),
+    (dl.parse_ansible_witness, "TASK [x]\nfatal: [h]: FAILED! => {}\nFAILED t/a.py::test_x - AssertionError: 1 != 2", ("validation_failure", "ansible_task_failure", ["t/a.py::test_x"], "FAILED t/a.py::test_x - AssertionError: 1 != 2", "1", "2")),
     (dl.parse_js_witness, "noise\n" + json.dumps({"stats": {"failures": 1}, "failures": [{"fullTitle": "a b", "err": {"message": "AssertionError: no", "expected": "1", "actual": "2"}}]}, indent=1), ("validation_failure", "assertion_error", ["a b"], "AssertionError: no", "1", "2")),
     (dl.parse_js_witness, "  ● suite › case\n\n    TypeError: x is undefined", ("validation_failure", "test_failure", ["suite › case"], "TypeError: x is undefined", None, None)),
     (dl.parse_js_witness, "  1 failing\n\n  1) suite\n       case:\n     Error: no", ("validation_failure", "test_failure", ["suite"], "Error: no", None, None)),
@@ -33,3 +34,25 @@ def test_dialect(spark, parse, text, want):
 @pytest.mark.parametrize("parse", [dl.parse_cargo_witness, dl.parse_cpp_witness, dl.parse_jvm_witness, dl.parse_ansible_witness, dl.parse_js_witness])
 def test_empty_and_null(spark, parse):
     assert parse(spark.createDataFrame([(1, ""), (2, None)], "run_id long, log_text string")).count() == 2
+
+
+ROUTED = [
+    (CARGO, "cargo", "bin::a", "expected:", "high"),
+    ("Traceback (most recent call last):\n  File \"a.py\", line 3\nValueError: bad value\nFAILED tests/a.py::test_x - ValueError: bad value", "pytest", "tests/a.py::test_x", "ValueError: bad value", "medium"),
+    ("--- FAIL: TestX (0.01s)\n    x_test.go:42: expected 3, got 4\nassert", "go", "TestX", "expected 3, got 4", "high"),
+    ("PLAY [all]\nTASK [x]\nfatal: [h]: FAILED! => no such host", "ansible", "", "no such host", "low"),
+    ("[  FAILED  ] A.b\n1 FAILED TEST", "cpp", "A.b", "1 test(s) failed", "medium"),
+    ("FAIL: test_b (pkg.Case)\nAssertionError: 1", "cpp", "", "AssertionError: 1", "medium"),
+    ("  2 passing\n  1 failing\n\n  1) suite case\n  TypeError: x", "js", "suite case", "TypeError: x", "medium"),
+    ("Tests run: 3, Failures: 1, Errors: 0\nBUILD FAILURE", "jvm", "run=3 fail=1 err=0", "1 test(s) failed", "medium"),
+    ("something failed: here it is\nexit code: 3", "generic", "", "failed: here it is", "low"),
+    ("error", "stage_detector", "", "", "minimal"),
+]
+
+
+def test_logs_are_routed_to_the_parser_that_fits(spark):
+    logs = [(i, r[0]) for i, r in enumerate(ROUTED)] + [(50, None), (51, CARGO), (51, CARGO)]
+    got = [(r.run_id, r.parser, r.failed_tests, r.message, r.quality) for r in wt.build_witnesses(spark.createDataFrame(logs, "run_id long, log_text string")).collect()]
+    assert sorted(g[:4] for g in got if g[0] < 50) == [(i, *r[1:4]) for i, r in enumerate(ROUTED)]
+    assert {g[0]: g[4] for g in got if g[0] < 50} == {i: r[4] for i, r in enumerate(ROUTED)}
+    assert len(got) == len(logs)  # equal rows give one row each

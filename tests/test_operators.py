@@ -8,6 +8,7 @@ from repairlens.operators import failures as fl
 from repairlens.operators import logs as lg
 from repairlens.operators import patches as pt
 from repairlens.operators import source_tree as st
+from repairlens.operators import witnesses as wt
 from repairlens.plans import registry
 
 MESSAGES = "run_id long, step long, role string, content string"
@@ -72,7 +73,7 @@ def test_clusters_partition_events_and_share_frames_with_the_seed(spark):
 
 def test_stage_gate_comes_before_parsers(spark):
     logs = spark.createDataFrame([(1, "error: patch failed: a.py:3"), (2, "FAILED tests/a.py::test_x - AssertionError: 1 != 2\n"), (3, "")], "run_id long, log_text string")
-    got = {r.run_id: (r.stage, r.parser, r.failed_tests) for r in lg.build_witnesses(logs).collect()}
+    got = {r.run_id: (r.stage, r.parser, r.failed_tests) for r in wt.build_witnesses(logs).collect()}
     assert got[1] == ("patch_apply_failure", "stage_detector", "")
     assert got[2] == ("validation_failure", "pytest", "tests/a.py::test_x")
     assert got[3][1] == "stage_detector"
@@ -89,10 +90,31 @@ def test_budget_skips_and_goes_on(spark):
     assert [r.path for r in st.enforce_budget(c, 5, 5, 20, 500).orderBy("rank").collect()] == ["a", "c"]
 
 
-def test_relocated_hunk_takes_the_offset_most_lines_match(spark):
-    code = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(["a", "x", "a", "b", "c"])], "path string, ln int, text string")
-    old = spark.createDataFrame([(1, "f", k, t) for k, t in enumerate(["a", "b", "c"])], "id long, file string, k int, text string")
-    assert rows(pt.relocate_hunks(old, code)) == [(1, "f", 3)]
+def test_relocated_hunk_takes_the_exact_block_else_the_first_place_of_two_lines(spark):
+    code = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(["a", "b ", "x", "a", "b", "c"])], "path string, ln int, text string")
+    old = lambda *t: spark.createDataFrame([(1, "f", k, x) for k, x in enumerate(t)], "id long, file string, k int, text string")
+    assert rows(pt.relocate_hunks(old("a", "b", "c"), code)) == [(1, "f", 4)]
+    assert rows(pt.relocate_hunks(old("a", "b", "z"), code)) == [(1, "f", 1)]
+    assert rows(pt.relocate_hunks(old("c"), code)) == [(1, "f", 6)] and rows(pt.relocate_hunks(old("q", "r"), code)) == []
+
+
+def test_seen_under_another_root_and_both_spans_widened(spark):
+    span = "instance_id long, path string, start_line long, end_line long"
+    views = spark.createDataFrame([(1, "/testbed/src/a.py", 20, 22), (1, "src/b.py", 29, 30), (2, "src/c.py", 1, 2)], span)
+    got = {r.path + str(r.start_line): r.seen for r in st.mark_already_seen(spark.createDataFrame([(1, "src/a.py", 20, 22), (1, "src/b.py", 20, 20), (1, "src/b.py", 41, 50), (1, "src/c.py", 1, 2)], span), views).collect()}
+    assert got == {"src/a.py20": True, "src/b.py20": True, "src/b.py41": False, "src/c.py1": False}
+
+
+def test_callers_by_kind_of_line(spark):
+    code = [("a.py", 1, "x = long_name"), ("a.py", 2, "long_name(1)"), ("b.py", 1, "def long_name(x):"), ("c.py", 1, "@wrap(long_name)"), ("d.py", 1, "abc")]
+    got = rows(st.find_callers(spark.createDataFrame(code, "path string, ln int, text string"), spark.createDataFrame([("pkg.long_name",), ("abc",)], "symbol string")).orderBy("path").select("path", "ln", "score"))
+    assert got == [("a.py", 2, 0.7), ("b.py", 1, 0.75), ("c.py", 1, 0.85)]
+
+
+def test_siblings_of_the_class_first_and_never_the_method_itself(spark):
+    table = [(f"p{i:02}.py", f"K{i}.run", f"K{i}") for i in range(30)] + [(f"z{i}.py", "K3.run", "K3") for i in range(9)] + [("y.py", "Outer.K3.run", "K3"), ("a.py", "run", None)]
+    got = rows(st.sibling_methods(spark.createDataFrame(table, "path string, name string, parent string"), spark.createDataFrame([("K3.run",)], "hint string")).orderBy("rank"))
+    assert [(r[1], r[3]) for r in got] == [("Outer.K3.run", 0.7), ("K0.run", 0.85), ("K1.run", 0.85)]
 
 
 def test_recall_is_null_where_it_does_not_apply(spark):
