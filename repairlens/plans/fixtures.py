@@ -73,6 +73,11 @@ SELECT concat(source, '/f', CAST(doc_id AS STRING), '.py') AS path,
 FROM documents""",
     "issues": """
 SELECT d.doc_id AS instance_id, d.text AS issue, d.source AS repo, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "runtime": """
+SELECT o_orderkey AS run_id, CASE o_orderkey % 13 WHEN 0 THEN 'timeout' WHEN 1 THEN ' FormatError' ELSE 'Submitted' END AS exit_status, o_custkey % 5 AS test_runs, o_custkey % 3 AS test_failures,
+  o_orderkey % 4 AS git_checkouts, o_orderkey % 7 AS edited_files, o_orderkey % 10 AS changed_files, o_custkey % 260 AS changed_lines, o_custkey % 17 = 0 AS repeated_pattern, o_orderkey % 19 = 0 AS submitted_without_tests,
+  o_custkey % 12 AS viewed_files, o_orderkey % 6 AS viewed_not_final, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS edited_not_viewed, CASE WHEN o_custkey % 4 = 0 THEN o_orderkey % 5 ELSE 0 END AS scope_score, o_orderkey % 5 AS regressions
+FROM orders""",
     "features": """
 SELECT user_id AS run_id, count(*) AS bash_commands, count(*) FILTER (WHERE event_type = 'error') AS test_commands,
   count(*) FILTER (WHERE event_type = 'purchase') % 3 AS checkouts, count(*) % 11 AS files_visited, count(*) % 7 AS files_edited
