@@ -161,7 +161,7 @@ def target_hints(runs: DataFrame) -> DataFrame:
         for kind in ("symbol", "test", "concept"):
             options = [(d, p[slot][1]) for d, p in HINTS.items() if slot < len(p) and p[slot][0] == kind]
             if options:
-                sources.append((kind, F.coalesce(*(F.when(F.col("rule") == d, F.regexp_extract_all("issue", F.lit(p), F.lit(1))) for d, p in options), none)))
+                sources.append((kind, F.coalesce(*(F.when(F.col("rule") == d, F.regexp_extract_all("issue", F.lit("(?U)" + p), F.lit(1))) for d, p in options), none)))
     rows = rows.select("run_id", *(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), good)).alias(f"s{i}") for i, (_, values) in enumerate(sources)))
     before = none
     for i in range(len(sources)):

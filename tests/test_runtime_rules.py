@@ -69,7 +69,7 @@ def test_hints_equal_plain_python(spark):
     for i, kind, text, edited, viewed in runs:
         want, seen = [], set()
         found = [("file", re.sub(r"(?<=.)\.[^.]*$", "", p.rsplit("/", 1)[-1])) for p in [*edited, *(viewed or [])] if p]
-        found += [(k, v) for k, p in rr.HINTS.get(kind, rr.HINTS[""]) for v in re.findall(p, text or "", re.A)]
+        found += [(k, v) for k, p in rr.HINTS.get(kind, rr.HINTS[""]) for v in re.findall(p, text or "")]
         for k, v in found:
             if len(v) >= 4 and v.lower() not in rr.NO_HINTS and v not in seen:
                 seen.add(v)
