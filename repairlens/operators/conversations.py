@@ -57,8 +57,8 @@ def mutation_events(commands: DataFrame) -> DataFrame:
 def edit_timing(mutations: DataFrame, patch_files: DataFrame) -> DataFrame:
     """(run_id, first_edit, last_edit, files_edited, n_unmatched, reliable); patch_files has (run_id, file)."""
     timing = mutations.groupBy("run_id").agg(F.min("step").alias("first_edit"), F.max("step").alias("last_edit"), F.count_distinct("file").alias("files_edited"))
-    unseen = patch_files.join(mutations.select("run_id", "file").distinct(), ["run_id", "file"], "left_anti").groupBy("run_id").agg(F.count_distinct("file").alias("n_unmatched"))
-    both = timing.join(unseen, "run_id", "full")
+    unseen = patch_files.join(mutations.select("run_id", "file").distinct().hint("merge"), ["run_id", "file"], "left_anti").groupBy("run_id").agg(F.count_distinct("file").alias("n_unmatched"))
+    both = timing.join(unseen.hint("merge"), "run_id", "full")
     return both.withColumn("n_unmatched", F.coalesce("n_unmatched", F.lit(0).cast("long"))).withColumn("reliable", F.col("n_unmatched") == 0)
 
 
@@ -97,7 +97,7 @@ def trajectory_features(messages: DataFrame) -> DataFrame:
     per_message = messages.groupBy("run_id").agg(F.expr("count_if(role = 'assistant')").alias("assistant_turns"), F.count_if((F.col("role") == "user") & any_of(F.col("content"), FORMAT_ERRORS)).alias("format_errors"))
     per_command = classify_commands(extract_commands(messages)).groupBy("run_id").agg(F.count("*").alias("commands"), F.expr("count_if(is_test)").alias("test_commands"), F.expr("count_if(is_checkout)").alias("checkouts"))
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("commands", "test_commands", "checkouts")}
-    return per_message.join(per_command, "run_id", "left").withColumns(zero)
+    return per_message.join(per_command.hint("merge"), "run_id", "left").withColumns(zero)
 
 
 def viewed_edited_sets(views: DataFrame, edits: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def repair_tool_replies(messages: DataFrame, placeholder: str = "(no output)") -
     """
     turned = segment_turns(messages.where("role <> 'exit'"))
     asked = turned.select("run_id", "turn", "step", F.explode("call_ids").alias("call_id"))
-    missing = asked.join(turned.where("role = 'tool'").select("run_id", "turn", "call_id"), ["run_id", "turn", "call_id"], "left_anti")
+    missing = asked.join(turned.where("role = 'tool'").select("run_id", "turn", "call_id").hint("merge"), ["run_id", "turn", "call_id"], "left_anti")
     added = missing.select("run_id", "turn", "step", F.lit("tool").alias("role"), F.lit(placeholder).alias("content"), F.array().cast("array<string>").alias("call_ids"), "call_id", F.lit(1).alias("added"))
     both = turned.select("run_id", "turn", "step", "role", "content", "call_ids", "call_id", F.lit(0).alias("added")).unionByName(added)
     w = Window.partitionBy("run_id").orderBy("turn", "added", "step", "call_id")

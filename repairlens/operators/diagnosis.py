@@ -104,7 +104,7 @@ def error_edit_alignment(frames: DataFrame, edits: DataFrame, views: DataFrame,
     the file alone; viewed_not_edited: seen only; else error_file_never_viewed.
     """
     f, e = frames.alias("f"), edits.alias("e")
-    same = f.join(e, (F.col("f.run_id") == F.col("e.run_id")) & (F.col("f.file") == F.col("e.file")))
+    same = f.join(e.hint("merge"), (F.col("f.run_id") == F.col("e.run_id")) & (F.col("f.file") == F.col("e.file")))
     close = (F.abs(F.col("f.line") - F.col("e.line")) <= near) | F.coalesce(F.contains("e.text", "f.symbol"), F.lit(False))
     edited = same.groupBy("f.run_id").agg(F.max(close).alias("close"))
     seen = frames.join(views, ["run_id", "file"], "left_semi").select("run_id").distinct().withColumn("seen", F.lit(True))
@@ -140,4 +140,4 @@ def validate_contracts(actions: DataFrame, ledger: DataFrame) -> DataFrame:
         F.when(F.coalesce("value", F.lit("")) == "", "empty"), F.when(F.col("value").isin(BUILTINS), "builtin"), F.when(~fits, "incompatible"),
         F.when((F.col("kind") == "EVIDENCE") & F.col("known").isNull(), "unresolved"),
     ))
-    return actions.join(known, "value", "left").select("hypothesis_id", "ord", F.explode(checks).alias("issue"))
+    return actions.join(known.hint("merge"), "value", "left").select("hypothesis_id", "ord", F.explode(checks).alias("issue"))

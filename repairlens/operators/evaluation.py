@@ -48,7 +48,7 @@ def incremental_recall(subsets: DataFrame) -> DataFrame:
 
 def source_ablation(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     """(instance_id, mode, n_hits, n_gold): gold lines hit by candidates (instance_id, source, path, line) of each ablation mode."""
-    hit = gold.select("instance_id", "path", "line").distinct().join(candidates, ["instance_id", "path", "line"], "left")
+    hit = gold.select("instance_id", "path", "line").distinct().join(candidates.hint("merge"), ["instance_id", "path", "line"], "left")
     per_line = hit.groupBy("instance_id", "path", "line").agg(F.collect_set("source").alias("sources"))  # a few sources
     modes = {
         "all": F.size("sources") > 0,

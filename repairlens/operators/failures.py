@@ -91,7 +91,7 @@ def cluster_failures(events: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.size("call_chain") > 0).alias("chains"), (F.min(informative) == F.max(informative)).alias("one_print"), (F.min(frame) == F.max(frame)).alias("one_frame")
     )
     yes = lambda c: F.coalesce(c, F.lit(False))
-    holds = sizes.join(common, key, "left").where("n > 1").where(yes(F.col("one_print")) | yes(F.col("one_frame")) | ((F.col("chains") > 1) & yes(F.col("widest") == F.col("chains")))).select(*key, F.lit(True).alias("merged"))
+    holds = sizes.join(common.hint("merge"), key, "left").where("n > 1").where(yes(F.col("one_print")) | yes(F.col("one_frame")) | ((F.col("chains") > 1) & yes(F.col("widest") == F.col("chains")))).select(*key, F.lit(True).alias("merged"))
     first = events.join(holds, key, "left").withColumn("p1", F.col("is_parameterized") & yes(F.col("merged")))
     in_group = lambda done, value: F.count(F.when(~done, value)).over(Window.partitionBy("run_id", done, value))
     second = first.withColumn("print", informative).withColumn("p2", ~F.col("p1") & F.col("print").isNotNull() & (in_group(F.col("p1"), F.col("print")) > 1))
@@ -99,7 +99,7 @@ def cluster_failures(events: DataFrame) -> DataFrame:
     third = second.withColumn("done", done).withColumn("frame", frame).withColumn("p3", ~F.col("done") & F.col("frame").isNotNull() & (in_group(F.col("done"), F.col("frame")) > 1))
     rest = third.where("NOT done AND NOT p3 AND size(call_chain) > 1").select("run_id", "ord", "error_class", "call_chain")
     seeds = rest.groupBy("run_id", "error_class").applyInPandas(_seeds, "run_id long, ord long, seed long")
-    joined = third.join(seeds, ["run_id", "ord"], "left")
+    joined = third.join(seeds.hint("merge"), ["run_id", "ord"], "left")
     stage = F.when(F.col("p1"), 1).when(F.col("p2"), 2).when(F.col("p3"), 3).otherwise(4)
     name = (
         F.when(F.col("p1"), F.concat_ws("|", F.lit("family"), "param_group", "error_class"))

@@ -37,7 +37,7 @@ def patch_stats(patches: DataFrame) -> DataFrame:
     """(run_id, files, hunks, added, deleted, changed, chars, lines)."""
     n = lambda kind: F.expr(f"count_if(kind = '{kind}')")
     per = diff_lines(patches).groupBy("run_id").agg(F.count_distinct("file").alias("files"), n("hunk").alias("hunks"), n("added").alias("added"), n("removed").alias("deleted"), F.count("*").alias("lines"))
-    return per.join(patches.select("run_id", F.length("patch_text").alias("chars")), "run_id").withColumn("changed", F.col("added") + F.col("deleted"))
+    return per.join(patches.select("run_id", F.length("patch_text").alias("chars")).hint("merge"), "run_id").withColumn("changed", F.col("added") + F.col("deleted"))
 
 
 def classify_files(files: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ def _tokens(name: Column) -> Column:
 def sibling_classes(symbols: DataFrame, targets: DataFrame, near: int = 60) -> DataFrame:
     """(path, name, sibling, score): classes (path, name, start_line, end_line) in the file of a target (path, name), by shared parts, beginning, end and distance of their names."""
     classes = symbols.select("path", "name", "start_line", "end_line")
-    t, s = classes.join(targets, ["path", "name"], "left_semi").alias("t"), classes.alias("s")
-    pairs = t.join(s, (F.col("t.path") == F.col("s.path")) & (F.col("t.name") != F.col("s.name"))).join(targets.select(F.col("path").alias("tp"), F.col("name").alias("tn")), (F.col("s.path") == F.col("tp")) & (F.col("s.name") == F.col("tn")), "left_anti")
+    t, s = classes.join(targets.hint("merge"), ["path", "name"], "left_semi").alias("t"), classes.alias("s")
+    pairs = t.join(s.hint("merge"), (F.col("t.path") == F.col("s.path")) & (F.col("t.name") != F.col("s.name"))).join(targets.select(F.col("path").alias("tp"), F.col("name").alias("tn")).hint("merge"), (F.col("s.path") == F.col("tp")) & (F.col("s.name") == F.col("tn")), "left_anti")
     shared = F.size(F.array_intersect(_tokens(F.col("t.name")), _tokens(F.col("s.name"))))
     low = lambda c: F.lower(F.col(c))
     long = F.length("t.name") >= 8
@@ -146,8 +146,8 @@ def rehydrate_seen(views: DataFrame, kept: DataFrame, lines: DataFrame, keywords
     overlap = (F.col("v.instance_id") == F.col("f.instance_id")) & (F.col("v.path") == F.col("f.path")) & (F.col("v.start_line") <= F.col("f.end_line")) & (F.col("f.start_line") <= F.col("v.end_line"))
     dropped = v.join(f, overlap, "left_anti")
     words = lines.select("path", "ln", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    inside = dropped.alias("d").join(words.alias("w"), (F.col("d.path") == F.col("w.path")) & F.expr("w.ln BETWEEN d.start_line AND d.end_line")).select("d.*", "word")
-    hits = inside.join(keywords.distinct(), ["instance_id", "word"]).groupBy("instance_id", "path", "start_line", "end_line").agg(F.count_distinct("word").alias("hits"))
+    inside = dropped.alias("d").join(words.alias("w").hint("merge"), (F.col("d.path") == F.col("w.path")) & F.expr("w.ln BETWEEN d.start_line AND d.end_line")).select("d.*", "word")
+    hits = inside.join(keywords.distinct().hint("merge"), ["instance_id", "word"]).groupBy("instance_id", "path", "start_line", "end_line").agg(F.count_distinct("word").alias("hits"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("instance_id").orderBy(F.desc("hits"), "path", "start_line", "end_line")) - 1)
     return ranked.where(F.col("rank") < k).select("instance_id", "rank", "path", "start_line", "end_line", "hits")
 

@@ -118,7 +118,7 @@ def align_evidence(clusters: DataFrame, views: DataFrame, edits: DataFrame) -> D
     seen = views.groupBy("run_id").agg(F.collect_set(F.substring_index("file", "/", -1)).alias("seen"))
     edited = edits.groupBy("run_id").agg(F.collect_set(F.substring_index("file", "/", -1)).alias("edited"))
     none = F.array().cast("array<string>")
-    joined = clusters.join(seen, "run_id", "left").join(edited, "run_id", "left").withColumns({"seen": F.coalesce("seen", none), "edited": F.coalesce("edited", none)})
+    joined = clusters.join(seen.hint("merge"), "run_id", "left").join(edited.hint("merge"), "run_id", "left").withColumns({"seen": F.coalesce("seen", none), "edited": F.coalesce("edited", none)})
     files = F.array_distinct(F.transform("frames", lambda f: F.substring_index(f, ":", 1)))
     symbols = F.array_distinct(F.flatten(F.transform("messages", lambda m: F.regexp_extract_all(m, F.lit("['\"](\\w+)['\"]"), F.lit(1)))))
     unviewed = F.filter(files, lambda f: ~F.array_contains("seen", F.substring_index(f, "/", -1)))

@@ -36,7 +36,7 @@ def find_definitions(lines: DataFrame, targets: DataFrame, budget: int = 5) -> D
 
 def enclosing_definition(symbols: DataFrame, sites: DataFrame, around: int = 5) -> DataFrame:
     """(site_id, path, name, start_line, end_line): the smallest symbol (path, name, start_line, end_line) around each site (site_id, path, ln), else some lines around."""
-    inside = sites.join(symbols, "path").where("ln BETWEEN start_line AND end_line")
+    inside = sites.join(symbols.hint("merge"), "path").where("ln BETWEEN start_line AND end_line")
     best = inside.groupBy("site_id").agg(F.min_by(F.struct("name", "start_line", "end_line"), F.struct(F.col("end_line") - F.col("start_line"), "start_line", "name")).alias("s"))
     start, end = F.coalesce("s.start_line", F.greatest(F.col("ln") - around, F.lit(1))), F.coalesce("s.end_line", F.col("ln") + around)
     return sites.join(best, "site_id", "left").select("site_id", "path", F.col("s.name").alias("name"), start.alias("start_line"), end.alias("end_line"))
@@ -146,7 +146,7 @@ def symbol_index(files: DataFrame) -> DataFrame:
     )
     bodies = lines.where("code").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ln", "indent"))).alias("body"))
     end = let(F.col("body"), lambda b: F.coalesce(F.get(F.filter(b, lambda x: (x["ln"] > F.col("ln")) & (x["indent"] <= F.col("indent"))), F.lit(0))["ln"] - 1, F.array_max(b)["ln"]))
-    spans = heads.join(bodies, "path").select("path", "name", "kind", F.col("ln").alias("start_line"), end.alias("end_line"))
+    spans = heads.join(bodies.hint("merge"), "path").select("path", "name", "kind", F.col("ln").alias("start_line"), end.alias("end_line"))
     return spans.groupBy("path", "name", "kind").agg(F.max_by(F.struct("start_line", "end_line"), F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"))).alias("s")).select("path", "name", "kind", "s.*")
 
 
