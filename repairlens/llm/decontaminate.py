@@ -196,7 +196,8 @@ def _joined(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFra
     places = docs.mapInArrow(prints, "id long, row long, size int, pos int, print long")
     known = windows.select("size", F.explode("prints").alias("print")).distinct()
     known = places.groupBy("size", "print").agg(F.count("*").alias("places")).join(known.hint("merge"), ["size", "print"])
-    near = shared.spread_join(places, shared.written(known, "prints"), ["size", "print"], "places", ["row", "pos"])
+    known = shared.written(known, "prints")
+    near = shared.spread_join(places, known.drop("places"), ["size", "print"], shared.frequent_keys(known, ["size", "print"], "places"), ["row", "pos"])
     near = near.groupBy("id", "row").agg(F.collect_set(F.struct("size", "pos")).alias("near"))
 
     def spans(batches):
@@ -217,7 +218,7 @@ def _joined(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFra
     items = windows.select("size", "h1", "h2", "item").distinct().groupBy("size", "h1", "h2").agg(F.collect_list("item").alias("items"))
     places = asked.groupBy("size", "h1", "h2").agg(F.count("*").alias("places"))
     items = shared.written(items.join(places.hint("merge"), ["size", "h1", "h2"]), "items")
-    hits = shared.spread_join(asked, items, ["size", "h1", "h2"], "places", ["row", "pos"])
+    hits = shared.spread_join(asked, items.drop("places"), ["size", "h1", "h2"], shared.frequent_keys(items, ["size", "h1", "h2"], "places"), ["row", "pos"])
     hits = hits.groupBy("id", "row").agg(F.collect_set(F.struct("pos", "size", "items")).alias("hits"))
 
     def total(batches):

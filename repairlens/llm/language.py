@@ -163,7 +163,8 @@ def identify(rows: DataFrame, model: TextModel | None = None, least: float = 0.5
         if shared.fits(table, hosts_broadcast):
             full = full.join(F.broadcast(table.drop("rows")), key, "left")
         else:
-            full = shared.spread_join(full, shared.written(table, "priors"), [key], "rows", ["id", "row"], "left")
+            table = shared.written(table, "priors")
+            full = shared.spread_join(full, table.drop("rows"), [key], shared.frequent_keys(table, [key], "rows"), ["id", "row"], "left")
     flat = F.array(*(F.lit(0.0) for _ in range(size)))
     even = F.array(*(F.lit(-float(np.log(size))) for _ in range(size)))
     total = F.col("scores")

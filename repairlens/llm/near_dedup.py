@@ -109,30 +109,30 @@ def classes_of(sigs: DataFrame) -> DataFrame:
 def posting_lists(classes: DataFrame, coords: int, least: int) -> DataFrame:
     """(token, rep, score): the rarest shared tokens of each class, as many as the pigeonhole needs."""
     posts = classes.select("rep", F.explode("sig").alias("token"))
-    shared_tokens = shared.written(posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("df", F.col("n")), "tokens")
-    ranked = shared.spread_join(posts, shared_tokens, ["token"], "n", ["rep"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), F.sum(F.log2("df")).alias("score"))
+    tokens = shared.written(posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "tokens")
+    ranked = shared.spread_join(posts, tokens, ["token"], shared.frequent_keys(tokens, ["token"], "df"), ["rep"])
+    ranked = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), F.sum(F.log2("df")).alias("score"))
     need = F.lit(coords - least + 1 - coords) + F.size("t")
     return ranked.withColumn("need", need).where("need > 0").select("rep", F.round("score", 6).alias("score"), F.explode(F.expr("slice(t, 1, need)")).alias("p")).select("p.token", "rep", "score")
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
-    """(x, h): each member of a list with the list's hub, once."""
+    """(x, h): each member of a written table of lists with the list's hub, once."""
     hubs = lists.groupBy("token").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("members")).where("members > 1").select("token", (-F.col("top.minus")).alias("h"), "members")
-    return shared.spread_join(lists, shared.written(hubs, "hubs"), ["token"], "members", ["rep"]).where("rep <> h").select(F.col("rep").alias("x"), "h").distinct()
+    hubs = shared.written(hubs, "hubs")
+    return shared.spread_join(lists, hubs.drop("members"), ["token"], shared.frequent_keys(hubs, ["token"], "members"), ["rep"]).where("rep <> h").select(F.col("rep").alias("x"), "h").distinct()
 
 
-def beside(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-    """pairs (x, h) with column ``value`` of both, from a written table of (rep, value): as mine and theirs."""
-    hubs = shared.written(pairs.groupBy(F.col("h").alias("rep")).agg(F.count("*").alias("pairs")), "hubs")
-    theirs = shared.written(hubs.join(of.hint("merge"), "rep").select(F.col("rep").alias("h"), F.col(value).alias("theirs"), "pairs"), "theirs")
-    mine = pairs.join(of.select(F.col("rep").alias("x"), F.col(value).alias("mine")).hint("merge"), "x")
-    return shared.spread_join(mine, theirs, ["h"], "pairs", ["x"])
+def beside(pairs: DataFrame, of: DataFrame, frequent: DataFrame | None) -> DataFrame:
+    """pairs (x, h) with the value of both, from (rep, value): as mine and theirs."""
+    mine = pairs.join(of.toDF("x", "mine").hint("merge"), "x")
+    return shared.spread_join(mine, of.toDF("h", "theirs"), ["h"], frequent, ["x"]).select("x", "h", "mine", "theirs")
 
 
-def matches(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def matches(pairs: DataFrame, classes: DataFrame, least: int, frequent: DataFrame | None) -> DataFrame:
     """Those of pairs (x, h) whose signatures collide in ``least`` coordinates or more."""
     collisions = F.size(F.filter(F.zip_with("mine", "theirs", lambda a, b: a == b), lambda same: same))
-    return beside(pairs, classes.select("rep", "sig"), "sig").where(collisions >= least).select("x", "h")
+    return beside(pairs, classes.select("rep", "sig"), frequent).where(collisions >= least).select("x", "h")
 
 
 def _linked(percent: int, a: np.ndarray, b: np.ndarray) -> bool:
@@ -197,31 +197,36 @@ def _blocks(percent: int, least: int, coords: int, batches):
     yield out(_forest(percent, least, coords, rows))
 
 
-def open_blocks(pairs: DataFrame, labels: DataFrame, sizes: DataFrame, block: int, block_hashes: int) -> DataFrame:
-    """(h, i, j, b, x, component, home): members of hub groups that lie in several components, dealt to pairs of blocks.
+def open_blocks(pairs: DataFrame, labels: DataFrame, sizes: DataFrame, frequent: DataFrame | None, block: int, block_hashes: int) -> DataFrame | None:
+    """(h, i, j, b, x, component, home): members of hub groups that lie in several components, dealt to pairs of blocks. None if there is no such group.
 
     Members outside the hub's component have blocks 0 to a - 1, those in it (home) have blocks
     from a on; each of the former blocks meets each block, home blocks never meet each other.
     """
-    members = pairs.select("h", "x").unionByName(pairs.select("h", F.col("h").alias("x")).distinct())
-    known = members.join(labels.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    known = shared.written(known.join(sizes.select(F.col("rep").alias("x"), "n").hint("merge"), "x"), "members")
+    known = sizes.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component"))
+    known = shared.written(known, "members")
+    every = pairs.select("x", "h").unionByName(pairs.select(F.col("h").alias("x"), "h").distinct())
+    sided = every.join(known.toDF("x", "n", "component").hint("merge"), "x")
+    sided = shared.spread_join(sided, known.select(F.col("rep").alias("h"), F.col("component").alias("own")), ["h"], frequent, ["x"])
+    sided = shared.written(sided.select("h", "x", "n", "component", F.expr("component = own").alias("home")), "sided")
     few = lambda home: F.greatest(F.ceil(F.count_if(home) / block), F.ceil(F.sum(F.when(home, F.col("n")).otherwise(0)) / block_hashes)).cast("int")
-    hub = shared.written(known.where("x = h").select("h", F.col("component").alias("own")).join(known.groupBy("h").agg(F.count("*").alias("members")).hint("merge"), "h"), "own")
-    sided = shared.spread_join(known, hub, ["h"], "members", ["x"]).withColumn("home", F.col("component") == F.col("own"))
-    groups = sided.groupBy("h").agg(F.count("*").alias("members"), few(~F.col("home")).alias("apart"), few(F.col("home")).alias("homes")).where("apart > 0")
-    dealt = shared.spread_join(sided, shared.written(groups, "open"), ["h"], "members", ["x"])
+    groups = shared.written(sided.groupBy("h").agg(few(~F.col("home")).alias("apart"), few(F.col("home")).alias("homes")).where("apart > 0"), "open")
+    if shared.fits(groups, 0):
+        return None
+    dealt = shared.spread_join(sided, groups, ["h"], frequent, ["x"])
     dealt = dealt.withColumn("b", F.when(F.col("home"), F.col("apart") + F.pmod(F.xxhash64("x"), "homes")).otherwise(F.pmod(F.xxhash64("x"), "apart")).cast("int"))
     others = F.when(F.col("home"), F.expr("sequence(0, apart - 1)")).otherwise(F.expr("sequence(0, apart + homes - 1)"))
-    return dealt.withColumn("o", F.explode(others)).select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "x", "component", "home")
+    dealt = dealt.withColumn("o", F.explode(others)).select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "x", "component", "home")
+    return shared.written(dealt, "dealt")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64, percent: int = 80, block: int = 512, block_hashes: int = 400_000) -> DataFrame:
     """(node, component) of the classes that are linked with others; docs are keyed()."""
     least = agreements(percent, coords)
-    pairs = shared.written(hub_pairs(posting_lists(classes, coords, least)), "pairs")
+    pairs = shared.written(hub_pairs(shared.written(posting_lists(classes, coords, least), "lists")), "pairs")
     members = pairs.select(F.explode(F.array("x", "h")).alias("rep")).distinct()
     wanted = shared.written(classes.select("rep", "id", "row", "n").join(members.hint("merge"), "rep"), "wanted")
+    frequent = shared.frequent_keys(pairs.groupBy("h").agg(F.count("*").alias("pairs")), ["h"], "pairs")
 
     def sets(batches):
         for rows, hashes, _, n in _sets(batches, size):
@@ -229,15 +234,16 @@ def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64,
 
     held = shared.sized_join(docs, wanted.select("id", "row"), ["id", "row"], "left_semi", 500_000).dropDuplicates(["id", "row"]).select("doc_id", "text", "id", "row")
     of = shared.written(held.mapInArrow(sets, "id long, row long, set array<long>").join(wanted.select("rep", "id", "row").hint("merge"), ["id", "row"]).select("rep", "set"), "sets")
-    stars = beside(shared.written(matches(pairs, classes, least), "matches"), of, "set").select("x", "h", "mine", "theirs")
+    stars = beside(shared.written(matches(pairs, classes, least, frequent), "matches"), of, frequent)
     labels = shared.written(components(shared.written(stars.mapInArrow(lambda b: _compared(percent, b), "x long, h long").toDF("a", "b"), "links")), "labels")
-    dealt = shared.written(open_blocks(pairs, labels, wanted, block, block_hashes), "dealt")
-    if shared.fits(dealt, 0):
+    dealt = open_blocks(pairs, labels, wanted.select("rep", "n"), frequent, block, block_hashes)
+    if dealt is None:
         return labels
     parts = shared.partitions(docs.sparkSession, dealt.count(), 2 * block)
-    ready = dealt.join(of.select(F.col("rep").alias("x"), "set").hint("merge"), "x").select("h", "i", "j", "b", "x", "component", "home", "set")
+    ready = dealt.join(of.toDF("x", "set").hint("merge"), "x").select("h", "i", "j", "b", "x", "component", "home", "set")
     rest = ready.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(lambda b: _blocks(percent, least, coords, b), "a long, b long")
-    return components(shared.written(rest.unionByName(labels.toDF("a", "b")), "links"))
+    rest = shared.written(rest, "links")
+    return labels if shared.fits(rest, 0) else components(rest.unionByName(labels.toDF("a", "b")))
 
 
 def judged(docs: DataFrame, size: int = 5, coords: int = 64, percent: int = 80) -> DataFrame:
@@ -246,12 +252,12 @@ def judged(docs: DataFrame, size: int = 5, coords: int = 64, percent: int = 80)
     classes = classes_of(sigs)
     groups = shared.written(links(docs, classes, size, coords, percent).join(classes.select(F.col("rep").alias("node"), "low").hint("merge"), "node"), "groups")
     lows = shared.written(groups.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("nodes")), "lows")
-    named = shared.spread_join(groups.select("node", "component"), lows, ["component"], "nodes", ["node"]).select(F.col("node").alias("rep"), "least")
+    named = shared.spread_join(groups.select("node", "component"), lows.drop("nodes"), ["component"], shared.frequent_keys(lows, ["component"], "nodes"), ["node"]).select(F.col("node").alias("rep"), "least")
     reps = shared.written(classes.select("s1", "s2", "n", "copies", "rep", "low").join(named.hint("merge"), "rep", "left").select("s1", "s2", "n", "copies", F.coalesce("least", "low").alias("component")), "reps")
     some = sigs.select("doc_id", "id", "row", "n", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("s1")).alias("s1"), "s2")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return (
-        shared.spread_join(some, reps, ["s1", "s2", "n"], "copies", ["id", "row"], "left")
+        shared.spread_join(some, reps.drop("copies"), ["s1", "s2", "n"], shared.frequent_keys(reps, ["s1", "s2", "n"], "copies"), ["id", "row"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "id", "row")
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

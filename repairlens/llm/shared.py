@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 #: A key with more rows than this is dealt to several tasks by spread_join.
-KEY_ROWS = 20_000
+KEY_ROWS = 50_000
 #: Keys that spread_join deals out, the most frequent ones; no other key can hold more than this fraction of all rows.
 SPREAD_KEYS = 50_000
 
@@ -106,25 +106,29 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str = "left", rows: i
     return left.join(F.broadcast(right) if fits(right, rows) else right.hint("merge"), on, how)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, by: list[str], how: str = "inner") -> DataFrame:
-    """left joined by sort and merge with right, a written table with one row for each key, so that no key lands in one task whole.
+def frequent_keys(counted: DataFrame, on: list[str], count: str) -> DataFrame | None:
+    """The keys that spread_join deals out: those of most rows, by a column of ``counted`` that says how many rows of the other side have the key. None if no key has more than KEY_ROWS."""
+    frequent = counted.where(F.col(count) > KEY_ROWS).orderBy(F.desc(count)).limit(SPREAD_KEYS).select(*on, F.ceil(F.col(count) / KEY_ROWS).cast("int").alias("deals__"))
+    return None if fits(frequent, 0) else written(frequent, "frequent")
 
-    Column ``count`` of right says how many rows of left have the key. The rows of a frequent
-    key are dealt out by the columns ``by``, and its row of right is repeated for each deal;
-    rows with a null key, which match nothing, are dealt out too. ``count`` is dropped.
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], frequent: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """left joined by sort and merge with right, a table with one row for each key, so that no key lands in one task whole.
+
+    The rows of a frequent key are dealt out by the columns ``by``, and its row of right is
+    repeated for each deal; in left joins rows with a null key, which match nothing, are dealt out too.
     """
-    frequent = right.where(F.col(count) > KEY_ROWS).orderBy(F.desc(count)).limit(SPREAD_KEYS).select(*on, F.ceil(F.col(count) / KEY_ROWS).cast("int").alias("deals__"))
-    right = right.drop(count)
     nullable = [c for c in on if how.startswith("left")]
-    if fits(frequent, 0) and not nullable:
+    if frequent is None and not nullable:
         return left.join(right.hint("merge"), on, how)
-    some = F.broadcast(frequent)
-    own = F.pmod(F.xxhash64(*by), F.coalesce("deals__", F.lit(1))).cast("int")
+    own = F.lit(0)
+    if frequent is not None:
+        left, right = (df.join(F.broadcast(frequent), on, "left") for df in (left, right))
+        own = F.pmod(F.xxhash64(*by), F.coalesce("deals__", F.lit(1))).cast("int")
     for c in nullable:
         own = F.when(F.col(c).isNull(), F.pmod(F.xxhash64(*by), F.lit(1 << 20)).cast("int")).otherwise(own)
-    dealt = left.join(some, on, "left").withColumn("deal__", own).drop("deals__")
-    each = right.join(some, on, "left").withColumn("deal__", F.explode(F.expr("sequence(0, coalesce(deals__, 1) - 1)"))).drop("deals__")
-    return dealt.join(each.hint("merge"), [*on, "deal__"], how).drop("deal__")
+    deals = F.expr("sequence(0, coalesce(deals__, 1) - 1)") if frequent is not None else F.array(F.lit(0))
+    return left.withColumn("deal__", own).drop("deals__").join(right.withColumn("deal__", F.explode(deals)).drop("deals__").hint("merge"), [*on, "deal__"], how).drop("deal__")
 
 
 def fs_of(uri: str):

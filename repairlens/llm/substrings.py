@@ -135,12 +135,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
     docs = shared.keyed(docs).select("doc_id", "text", "row")
     found = nodes(docs, window, k)
     places = found.where("doc_id IS NOT NULL").select("doc_id", "row", "pos", "node")
-    occurrences = shared.spread_join(places, shared.written(repeated_nodes(found), "nodes"), ["node"], "places", ["row", "pos"])
+    repeated = shared.written(repeated_nodes(found), "nodes")
+    occurrences = shared.spread_join(places, repeated.drop("places"), ["node"], shared.frequent_keys(repeated, ["node"], "places"), ["row", "pos"])
     per_row = occurrences.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "first_doc", "one_before", "one_after")).alias("known"))
     judged = shared.written(_judged(docs.join(per_row.hint("merge"), ["doc_id", "row"]).select("doc_id", "text", "row", "known"), window, k), "judged")
     asked = judged.where("size(ask) > 0").select("doc_id", "row", F.explode(F.arrays_zip("ask", "h1", "h2")).alias("x")).select("doc_id", "row", "x.*")
     firsts = asked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("places")).where("first_doc < last_doc").drop("last_doc")
-    more = shared.spread_join(asked, shared.written(firsts, "windows"), ["h1", "h2"], "places", ["row", "ask"]).where("first_doc < doc_id").groupBy("doc_id", "row").agg(F.collect_set("ask").alias("hit"))
+    firsts = shared.written(firsts, "windows")
+    more = shared.spread_join(asked, firsts.drop("places"), ["h1", "h2"], shared.frequent_keys(firsts, ["h1", "h2"], "places"), ["row", "ask"]).where("first_doc < doc_id").groupBy("doc_id", "row").agg(F.collect_set("ask").alias("hit"))
     sure = judged.where("size(hit) > 0").select("doc_id", "row", "hit")
     starts = sure.unionByName(more).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("hit")).alias("starts"))
 

@@ -247,7 +247,8 @@ def read_shards(found: DataFrame, entries: DataFrame, folder: str, wide: bool =
             if f is not None:
                 f.close()
 
-    placed = shared.spread_join(found.select("doc_id", "shard", "offset", "n"), shards, ["shard"], "rows", ["offset"]).select("doc_id", "shard", "offset", "n", "file", "base")
+    frequent = shared.frequent_keys(shards, ["shard"], "rows")
+    placed = shared.spread_join(found.select("doc_id", "shard", "offset", "n"), shards.drop("rows"), ["shard"], frequent, ["offset"]).select("doc_id", "shard", "offset", "n", "file", "base")
     parts = shared.partitions(found.sparkSession, entries.count(), 100_000)
     stretch = F.floor(F.col("offset") / (1 << 22))  # of one shard, read by one task
     return placed.repartition(parts, "shard", stretch).sortWithinPartitions("shard", "offset").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
