@@ -130,7 +130,7 @@ QUERIES = {
     "test_outcomes": query(_outcomes, "orders"),
     "gold_audit": query(lambda s: pl.gold_audit(s.where("kind = 'viewed'").select("instance_id", "path", F.col("start_line").alias("step")), s.where("kind = 'gold'").select("instance_id", F.concat(F.lit("x/"), "path").alias("path"))), "spans"),
     "compile_reports": query(lambda p: pl.compile_reports(p.select("batch", (F.col("ord") % 3 == 0).alias("resolved"), F.expr("CASE WHEN ord % 2 = 0 THEN array('a', 'b') ELSE array() END").alias("failed_tests"))), "predictions"),
-    "error_visit_alignment": query(lambda f, s: pl.error_visit_alignment(f.select("run_id", F.substring_index("root_frame", ":", 1).alias("file"), (F.col("ord") % 2 == 0).alias("is_test")), s.where("kind = 'viewed' AND instance_id % 2 = 0").select(F.col("instance_id").alias("run_id"), F.col("path").alias("file"))), "failures", "spans"),
+    "error_visit_alignment": query(lambda f, s: pl.error_visit_alignment(f.select("run_id", F.substring_index("root_frame", ":", 1).alias("file"), (F.col("ord") % 2 == 0).alias("is_test")), s.where("kind = 'viewed'").select(F.col("instance_id").alias("run_id"), F.col("path").alias("file"))), "failures", "spans"),
     "pair_test_runs": query(_pairs, "messages"),
     "tool_events": query(_calls, "events"),
     "run_cost": query(lambda m: pl.run_cost(m.withColumn("ts", F.col("step") * 10 + F.col("run_id") % 7)), "messages"),
@@ -188,7 +188,7 @@ SELECT *, CASE WHEN resolved THEN 'resolved' WHEN NOT applied THEN 'patch_apply_
     "gold_audit": oracle("spans", """g AS (SELECT DISTINCT instance_id, path FROM spans WHERE kind = 'gold'), v AS (SELECT instance_id, path, min(start_line) AS s FROM spans WHERE kind = 'viewed' GROUP BY 1, 2)
 SELECT instance_id, count(*) AS n_gold, count(s) AS n_seen, min(s) AS first_step FROM g LEFT JOIN v USING (instance_id, path) GROUP BY 1"""),
     "compile_reports": oracle("predictions", "SELECT batch, count(*) AS n, count(*) FILTER (ord % 3 = 0) AS resolved, 2 * count(*) FILTER (ord % 2 = 0) AS failing FROM predictions GROUP BY 1"),
-    "error_visit_alignment": oracle("failures spans", """f AS (SELECT run_id, split_part(root_frame, ':', 1) AS file, ord % 2 = 0 AS t FROM failures), x AS (SELECT f.*, EXISTS (SELECT 1 FROM spans s WHERE s.kind = 'viewed' AND s.instance_id = f.run_id AND s.instance_id % 2 = 0 AND s.path = f.file) AS seen FROM f)
+    "error_visit_alignment": oracle("failures spans", """f AS (SELECT run_id, split_part(root_frame, ':', 1) AS file, ord % 2 = 0 AS t FROM failures), x AS (SELECT f.*, EXISTS (SELECT 1 FROM spans s WHERE s.kind = 'viewed' AND s.instance_id = f.run_id AND s.path = f.file) AS seen FROM f)
 SELECT run_id, CASE WHEN bool_or(seen AND NOT t) THEN 'visited_error_file' WHEN bool_or(seen AND t) THEN 'visited_stack_frame' ELSE 'visited_none' END AS alignment FROM x GROUP BY 1"""),
     "tool_events": """WITH e AS (SELECT user_id AS run_id, CASE WHEN event_id % 3 = 0 THEN 'c' || (event_id % 40) ELSE concat_ws('|', event_id % 5, event_type, event_id % 2) END AS k, event_id % 5 AS turn, event_type AS name FROM events),
 f AS (SELECT run_id, k, min_by(name, (turn, name)) AS name FROM e GROUP BY 1, 2) SELECT run_id, name, count(*) AS n FROM f GROUP BY 1, 2""",
