@@ -46,6 +46,16 @@ def without(docs: DataFrame, dropped: DataFrame, rows: int) -> DataFrame:
     return sized_join(held, written(dropped.distinct(), "dropped"), ["id", "row"], "left_anti", rows).select("doc.*")
 
 
+def place(*columns: str) -> Column:
+    """Where the 64-bit hash of these columns lies between 0 and 1."""
+    return F.xxhash64(*columns) / F.lit(2.0**64) + 0.5
+
+
+def share_of(n: int, size: int) -> float:
+    """A place below which n of so many rows lie, and few more: eight standard deviations, and 64 rows."""
+    return (n + 8 * n**0.5 + 64) / max(1, size) if n else 0.0
+
+
 def partitions(spark: SparkSession, rows: int, each: int) -> int:
     """So many that none has many more rows than ``each``; spark.sql.shuffle.partitions at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

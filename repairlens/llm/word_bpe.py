@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a transducer lexicon of the corpus's frequent words.
 
 1. Every piece of every text is counted (Spark aggregation). 2. The ``lexicon_words`` most
-frequent pieces (of equal counts the first in order) are compiled, with their ids, into a minimal
+frequent pieces (of equal counts those of least hash) are compiled, with their ids, into a minimal
 acyclic transducer; its file goes to the shared folder and Spark ships it to each machine,
 where it is memory-mapped. 3. Each text's pieces step through the transducer; pieces it
 doesn't hold are merged exactly, rank by rank. 4. Ids are decoded by the vocabulary.
@@ -63,11 +63,28 @@ def piece_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, words: int) -> list[str]:
+    """So many pieces of (piece, n) of the highest counts. Counts are compared by 64ths of an octave, which is exactly up to 64; of the last of these levels the pieces of least hash are taken.
+
+    A top-n sort would send its n rows from every task. Here the levels are counted first (64 * 64
+    at most), so little more than ``words`` rows come to the driver at any size.
+    """
+    ranked = counts.select("piece", F.floor(F.log2("n") * 64).alias("level"), shared.place("piece").alias("place"))
+    left, last, share = words, -1, 0.0
+    for level, size in sorted(((r.level, r.size) for r in ranked.groupBy("level").agg(F.count("*").alias("size")).collect()), reverse=True):
+        if size > left:
+            last, share = level, shared.share_of(left, size)
+            break
+        left -= size
+    found = ranked.where((F.col("level") > last) | ((F.col("level") == last) & (F.col("place") < share))).collect() if words else []
+    return [r.piece for r in sorted(found, key=lambda r: (-r.level, r.place, r.piece))[:words]]
+
+
 def build_lexicon(docs: DataFrame, tokenizer: str, lexicon_words: int) -> str:
     """Compiles the most frequent pieces and ships the file; returns the name to find them by."""
     spark = docs.sparkSession
     counts = shared.written(piece_counts(docs).where("n > 1"), "counts")
-    frequent = [r.piece for r in counts.orderBy(F.desc("n"), "piece").limit(lexicon_words).select("piece").collect()] if lexicon_words else []
+    frequent = most_frequent(counts, lexicon_words)
     shared.forget(counts)
     words = [w.encode() for w in frequent]
     merges = _merges(tokenizer)

@@ -230,6 +230,17 @@ def test_lexicon_is_full_whatever_ties(spark):
     assert lexicon.compile_lexicon([], [])
 
 
+def test_most_frequent_pieces_by_level_and_hash(spark):
+    counts = {f"w{i}": 2 + i // 40 for i in range(2000)}
+    table_ = spark.createDataFrame(list(counts.items()), "piece string, n long")
+    for most in (1, 100, 777, 2000, 3000):
+        found = word_bpe.most_frequent(table_, most)
+        assert len(found) == len(set(found)) == min(most, 2000)
+        assert sorted(counts[w] for w in found) == sorted(sorted(counts.values(), reverse=True)[:most])
+        assert found == word_bpe.most_frequent(table_.repartition(7), most)
+    assert word_bpe.most_frequent(table_, 0) == word_bpe.most_frequent(table_.limit(0), 5) == []
+
+
 def test_one_document_is_read_by_its_key(spark, docs, rows):
     folder = shared.new_path(spark, "tokens")
     entries = token_files.write_shards(docs, base.BYTE, folder, shard_rows=50)
