@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repairlens.llm import shared
 from repairlens.llm import textops as T
 
 BITS = 18
@@ -44,7 +45,8 @@ def _features(batches):
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(toxic per row, features one after another, where each row's begin) of at most so many rows."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    likely = known.where(shared.place("doc_id") < shared.share_of(sample, known.count()))  # else every task would send its own ``sample`` rows to be ranked
+    chosen = likely.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
         for rows, feature, firsts in _features(batches):
