@@ -14,6 +14,46 @@ def _tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"[A-Z][a-z]+"), F.lit(0)), F.lower), lambda t: F.length(t) >= 4))
 
 
+# Fixed values, in hundredths: base score of a file of like name, per shared part and its limit, same folder, per hinted symbol and its limit, highest score; shortest part and symbol.
+PARALLEL = {"base": 55, "part": 10, "parts": 25, "folder": 5, "symbol": 5, "symbols": 15, "highest": 95}
+SHORTEST_PART, SHORTEST_TAIL = 3, 4
+
+
+def _stem(path: Column) -> Column:
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+def _name_parts(path: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(_stem(path), r"[_\-.]"), lambda t: F.length(t) >= SHORTEST_PART))
+
+
+def parallel_implementations(files: DataFrame, edited: DataFrame, symbols: DataFrame, hints: DataFrame, siblings: DataFrame, budget: int = 3) -> DataFrame:
+    """(run_id, rank, path, symbol, relation, score, overlap): the best sibling classes and files named like a run's edited ones.
+
+    files (path), edited (run_id, path), symbols (path, name), hints (run_id, hint), siblings
+    (run_id, path, sibling, score) as sibling_classes finds them. A file counts by the parts its
+    name shares with those of the run's edited files, the folder, and the hinted symbols it holds.
+    At equal scores siblings come first, then more shared parts, then the path.
+    """
+    own = edited.select("run_id", "path").distinct()
+    wanted = own.select("run_id", F.explode(_name_parts(F.col("path"))).alias("part")).distinct()
+    folders = own.groupBy("run_id").agg(F.collect_set(F.concat(F.regexp_replace("path", "/?[^/]*$", ""), F.lit("/"))).alias("folders"))
+    parts = files.select("path").distinct().select("path", F.explode(_name_parts(F.col("path"))).alias("part"))
+    alike = join_list(parts, wanted, "part").groupBy("run_id", "path").agg(F.count("*").alias("overlap")).join(own.hint("merge"), ["run_id", "path"], "left_anti")
+    tail = lambda c: F.lower(F.element_at(F.split(c, r"\."), -1))
+    tails = symbols.select("path", tail("name").alias("tail")).where(F.length("tail") >= SHORTEST_TAIL).distinct()
+    hinted = hints.select("run_id", tail("hint").alias("tail")).where(F.length("tail") >= SHORTEST_TAIL).distinct()
+    held = join_list(alike.select("run_id", "path").join(tails.hint("merge"), "path"), hinted, ["run_id", "tail"]).groupBy("run_id", "path").agg(F.count("*").alias("held"))
+    both = alike.join(held.hint("merge"), ["run_id", "path"], "left").join(folders.hint("merge"), "run_id")
+    p = PARALLEL
+    points = F.lit(p["base"]) + F.least(p["part"] * F.col("overlap"), F.lit(p["parts"])) + F.when(F.exists("folders", lambda d: F.startswith("path", d)), p["folder"]).otherwise(0)
+    points += F.least(p["symbol"] * F.coalesce("held", F.lit(0)), F.lit(p["symbols"]))
+    found = both.select("run_id", "path", _stem(F.col("path")).alias("symbol"), F.lit("parallel_implementation").alias("relation"), (F.least(points, F.lit(p["highest"])) / 100).alias("score"), "overlap")
+    every = found.unionByName(siblings.select("run_id", "path", F.col("sibling").alias("symbol"), F.lit("sibling_class_same_file").alias("relation"), "score", F.lit(None).cast("long").alias("overlap")))
+    order = Window.partitionBy("run_id").orderBy(F.desc("score"), F.desc("relation"), F.desc("overlap"), "path", "symbol")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget).select("run_id", "rank", "path", "symbol", "relation", "score", "overlap")
+
+
 def sibling_classes(symbols: DataFrame, targets: DataFrame, near: int = 60) -> DataFrame:
     """(path, name, sibling, score): classes (path, name, start_line, end_line) in the file of a target (path, name), by shared parts, beginning, end and distance of their names."""
     classes = symbols.select("path", "name", "start_line", "end_line")

@@ -151,11 +151,19 @@ def symbol_index(files: DataFrame) -> DataFrame:
 
 
 def find_symbols(symbols: DataFrame, hints: DataFrame) -> DataFrame:
-    """(hint, path, name, score): symbols of that very name (0.92), else such as hold it (0.78). hints (hint) is a short list."""
+    """(hint, path, name, score): symbols of that very name (0.92), else such as hold it (0.78), else the first class named before the dot of a dotted hint (0.70).
+
+    hints (hint) is a short list. The last tier needs a column kind.
+    """
     exact = join_list(symbols, hints, F.col("name") == F.col("hint")).select("hint", "path", "name", F.lit(0.92).alias("score"))
     left = hints.join(exact.select("hint").distinct(), "hint", "left_anti")
     part = join_terms(symbols, left, F.contains("name", "hint")).select("hint", "path", "name", F.lit(0.78).alias("score"))
-    return exact.unionByName(part)
+    found = exact.unionByName(part)
+    if "kind" not in symbols.columns:
+        return found
+    dotted = left.where("contains(hint, '.')").join(part.select("hint").distinct(), "hint", "left_anti").select("hint", F.split_part("hint", F.lit("."), F.lit(1)).alias("name")).distinct()
+    first = symbols.where("kind = 'class'").groupBy("name").agg(F.min("path").alias("path"))
+    return found.unionByName(join_list(first, dotted, "name").select("hint", "path", "name", F.lit(0.70).alias("score")))
 
 
 def sibling_methods(symbols: DataFrame, hints: DataFrame, budget: int = 3) -> DataFrame:

@@ -63,11 +63,27 @@ def _rehydrated(spans, files):
     return rt.rehydrate_seen(part("viewed"), part("final").where("start_line > 2"), st.code_lines(files), words)
 
 
+def _parallel(part):
+    path = F.concat(F.lit("src/"), "p_brand", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    files = part.select(F.col("p_size").alias("run_id"), path.alias("path"), "p_type")
+    edited = files.groupBy("run_id").agg(F.min("path").alias("path"))
+    hints = files.groupBy("run_id").agg(F.concat(F.lit("K."), F.min("p_type")).alias("hint"))
+    siblings = edited.select("run_id", "path", F.lit("Other").alias("sibling"), ((60 + 5 * (F.col("run_id") % 6)) / 100).alias("score"))
+    return rt.parallel_implementations(files, edited, files.select("path", F.concat(F.lit("C."), "p_type").alias("name")), hints, siblings)
+
+
+def _symbols(spans):
+    classes = spans.select("path", F.concat(F.lit("K"), (F.col("end_line") % 9).cast("string")).alias("name"), F.lit("class").alias("kind")).distinct()
+    table = _tests(spans).withColumn("kind", F.lit("def")).unionByName(classes)
+    return st.find_symbols(table, _list(spans, "hint", ["test_alpha_3", "pha_2", "none", "K4.run", "Z.run"]))
+
+
 QUERIES = {
+    "parallel_implementations": query(_parallel, "part"),
     "sibling_classes": query(_classes, "spans"),
     "failed_test_sites": query(lambda s: rt.failed_test_sites(_tests(s), _list(s, "failed", ["t.py::test_alpha_7[x]", "test_alpha_2", "alpha_1", "zzz"])), "spans"),
     "neighbor_tests": query(lambda s: rt.neighbor_tests(_tests(s), _list(s, "concept", ["alpha beta", "test alpha"])), "spans"),
-    "find_symbols": query(lambda s: st.find_symbols(_tests(s), _list(s, "hint", ["test_alpha_3", "pha_2", "none"])), "spans"),
+    "find_symbols": query(_symbols, "spans"),
     "find_imports": query(lambda f: st.find_imports(st.code_lines(f.select("path", F.concat(F.lit("import m"), (F.length("content") % 5).cast("string"), F.lit(" as q\nfrom pkg import x\nimportant = m1\n")).alias("content"))), _list(f, "module", ["m1", "pkg"])), "repo_files"),
     "required_inspections": query(_inspections, "spans"),
     "required_searches": query(lambda i: rt.required_searches(i.select(F.col("instance_id").alias("run_id"), F.col("issue").alias("text")), ["the", "and"]), "issues"),
@@ -85,12 +101,19 @@ QUERIES = {
 
 _T = "t AS (SELECT DISTINCT path, 'test_alpha_' || (start_line % 30) AS name FROM spans)"
 ORACLES = {
+    "parallel_implementations": r"""WITH f AS (SELECT p_size AS run_id, 'src/' || p_brand || '/' AS folder, replace(p_name, ' ', '_') || '_' || p_partkey AS stem, p_type FROM part), g AS (SELECT *, folder || stem || '.py' AS path FROM f),
+t AS (SELECT *, list_distinct(list_filter(string_split_regex(stem, '[_.-]'), lambda x: length(x) >= 3)) AS parts FROM g), e AS (SELECT run_id, min(path) AS path, lower(min(p_type)) AS tail FROM g GROUP BY 1),
+w AS (SELECT e.run_id, e.path, e.tail, t.folder, t.parts FROM e JOIN t ON t.path = e.path),
+c AS (SELECT w.run_id, t.path, t.stem AS symbol, len(list_intersect(t.parts, w.parts)) AS overlap, t.folder = w.folder AS near, length(w.tail) >= 4 AND lower(t.p_type) = w.tail AS held FROM t JOIN w ON t.path <> w.path),
+a AS (SELECT run_id, path, symbol, 'parallel_implementation' AS relation, least(95, 55 + least(10 * overlap, 25) + CASE WHEN near THEN 5 ELSE 0 END + CASE WHEN held THEN 5 ELSE 0 END) / 100 AS score, CAST(overlap AS BIGINT) AS overlap FROM c WHERE overlap > 0
+UNION ALL SELECT run_id, path, 'Other', 'sibling_class_same_file', (60 + 5 * (run_id % 6)) / 100, NULL FROM e)
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, relation DESC, overlap DESC, path, symbol) AS rank, path, symbol, relation, score, overlap FROM a QUALIFY rank <= 3""",
     "sibling_classes": oracle("spans", """w AS (SELECT path, (['RelatedFieldFilter', 'RelatedListFilter', 'OnlyField', 'Widget', 'ChoiceWidget'])[start_line % 5 + 1] AS name, start_line, end_line FROM spans WHERE kind = 'gold'),
 c AS (SELECT path, name, min(start_line) AS s, min(end_line) AS e FROM w GROUP BY 1, 2), j AS (SELECT a.path, a.name, b.name AS sibling, least(abs(b.s - a.e), abs(a.s - b.e)) <= 60 AS near FROM c a JOIN c b ON a.path = b.path AND a.name = 'RelatedFieldFilter' AND b.name <> a.name)
 SELECT path, name, sibling, (55 + CASE sibling WHEN 'RelatedListFilter' THEN 10 + 5 + 8 WHEN 'OnlyField' THEN 5 ELSE 0 END + CASE WHEN near THEN 3 ELSE 0 END) / 100 AS score FROM j"""),
     "failed_test_sites": oracle("spans", f"""{_T} SELECT 't.py::test_alpha_7[x]' AS failed, path, name, true AS exact FROM t WHERE name = 'test_alpha_7' UNION ALL SELECT 'test_alpha_2', path, name, true FROM t WHERE name = 'test_alpha_2' UNION ALL SELECT 'alpha_1', path, name, false FROM t WHERE contains(name, 'alpha_1')"""),
     "neighbor_tests": oracle("spans", f"""{_T}, h AS (SELECT c AS concept, path, name, CASE c WHEN 'alpha beta' THEN 1 ELSE 2 END AS n FROM t, (VALUES ('alpha beta'), ('test alpha')) v(c)) SELECT concept, path, name, CAST(n AS BIGINT) AS n FROM h QUALIFY row_number() OVER (PARTITION BY concept ORDER BY n DESC, path, name) <= 2"""),
-    "find_symbols": oracle("spans", f"{_T} SELECT 'test_alpha_3' AS hint, path, name, CAST(0.92 AS DOUBLE) AS score FROM t WHERE name = 'test_alpha_3' UNION ALL SELECT 'pha_2', path, name, CAST(0.78 AS DOUBLE) FROM t WHERE contains(name, 'pha_2')"),
+    "find_symbols": oracle("spans", f"{_T} SELECT 'test_alpha_3' AS hint, path, name, CAST(0.92 AS DOUBLE) AS score FROM t WHERE name = 'test_alpha_3' UNION ALL SELECT 'pha_2', path, name, CAST(0.78 AS DOUBLE) FROM t WHERE contains(name, 'pha_2') UNION ALL SELECT 'K4.run', min(path), 'K4', CAST(0.70 AS DOUBLE) FROM spans WHERE end_line % 9 = 4 HAVING count(*) > 0"),
     "find_imports": oracle("repo_files", "SELECT 'pkg' AS module, path, 2 AS ln FROM repo_files UNION ALL SELECT 'm1', path, 1 FROM repo_files WHERE length(content) % 5 = 1"),
     "required_inspections": oracle("spans", """u AS (SELECT instance_id AS run_id, path, CASE kind WHEN 'gold' THEN 0 WHEN 'viewed' THEN 1 ELSE 2 END AS place, kind AS source FROM spans WHERE (kind = 'gold' AND start_line > 80) OR (kind = 'viewed' AND start_line > 70) OR (kind = 'final' AND start_line > 60)),
 f AS (SELECT run_id, path, min(place) AS place, min_by(source, place) AS source FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY place, path) - 1 AS rank FROM f) SELECT run_id, rank, path, source FROM r WHERE rank < 6"""),

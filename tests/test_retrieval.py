@@ -49,3 +49,15 @@ def test_exact_names_before_parts(spark):
     tests = spark.createDataFrame([("t/a.py", "test_x"), ("t/b.py", "test_x_more"), ("t/c.py", "test_y_long")], "path string, name string")
     names = spark.createDataFrame([("t/a.py::test_x[1]",), ("test_y",)], "failed string")
     assert sorted((r.path, r.exact) for r in rt.failed_test_sites(tests, names).collect()) == [("t/a.py", True), ("t/c.py", False)]
+
+
+def test_parallel_implementations(spark):
+    frame = spark.createDataFrame
+    files = frame([("a/itrs_observed.py",), ("a/b/icrs_observed.py",), ("c/observed_itrs_x.py",), ("c/other.py",), ("d/observed.py",)], "path string")
+    edited = frame([(1, "a/itrs_observed.py")], "run_id long, path string")
+    symbols = frame([("d/observed.py", "K.transform"), ("d/observed.py", "J.transform"), ("c/other.py", "K.transform")], "path string, name string")
+    siblings = frame([(1, "a/itrs_observed.py", "Other", 0.7)], "run_id long, path string, sibling string, score double")
+    hints = frame([(1, "M.transform"), (1, "M.run")], "run_id long, hint string")
+    got = rt.parallel_implementations(files, edited, symbols, hints, siblings, 9).orderBy("rank").collect()
+    assert [(r.path, r.symbol, r.score) for r in got] == [("c/observed_itrs_x.py", "observed_itrs_x", 0.75), ("a/itrs_observed.py", "Other", 0.7), ("a/b/icrs_observed.py", "icrs_observed", 0.7), ("d/observed.py", "observed", 0.7)]
+    assert rt.parallel_implementations(files, edited.limit(0), symbols, hints, siblings.limit(0)).count() == 0
