@@ -129,3 +129,31 @@ def difficulty_profile(instances: DataFrame) -> DataFrame:
     placed = sizes.withColumns({"n": F.sum("k").over(w), "upto": F.sum("k").over(w.orderBy("size"))})
     at = lambda where: F.min_by("size", F.when(F.col("upto") > where, F.col("upto")))
     return placed.groupBy("bucket").agg(F.max("n").alias("n"), at(F.expr("n div 2")).alias("median"), at(F.expr("CAST(floor(n * 0.9) AS BIGINT)")).alias("p90"))
+
+
+# Buckets by the number of agents that solved an instance, with their upper bounds, and the number that an unknown one counts as.
+SOLVED_BUCKETS = [("0 (unsolved)", 0), ("1-5 (hard)", 5), ("6-15 (medium)", 15), ("16-30 (easy)", 30), ("31+ (trivial)", None)]
+UNKNOWN_SOLVED = 9999
+
+
+def solved_histogram(instances: DataFrame) -> DataFrame:
+    """(bucket, n) of instances (solved: how many agents solved it); unknown ones are left out."""
+    bucket = F.lit(SOLVED_BUCKETS[-1][0])
+    for name, most in reversed(SOLVED_BUCKETS[:-1]):
+        bucket = F.when(F.col("solved") <= most, name).otherwise(bucket)
+    return instances.where("solved IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def hardest_easiest(instances: DataFrame, hardest: int = 10, easiest: int = 5) -> DataFrame:
+    """(side, instance_id, repo, solved): the instances solved least and most often, by id at equal numbers; an unknown number counts as very large."""
+    known = instances.select("instance_id", "repo", F.coalesce("solved", F.lit(UNKNOWN_SOLVED)).cast("long").alias("solved"))
+    low = known.orderBy("solved", "instance_id").limit(hardest).select(F.lit("hardest").alias("side"), "*")
+    return low.unionByName(known.orderBy(F.desc("solved"), F.desc("instance_id")).limit(easiest).select(F.lit("easiest").alias("side"), "*"))
+
+
+def hard_repo_mix(instances: DataFrame, hardest: int = 30, top: int = 10) -> DataFrame:
+    """(repo, n): the repositories with most of the hardest instances; without one, it is the id up to its last dash, with __ as a slash."""
+    from_id = F.replace(F.regexp_replace(F.col("instance_id").cast("string"), "-[^-]*$", ""), F.lit("__"), F.lit("/"))
+    named = instances.withColumn("repo", F.coalesce(F.nullif("repo", F.lit("")), from_id))
+    hard = hardest_easiest(named, hardest, 0).groupBy("repo").agg(F.count("*").alias("n"))
+    return hard.orderBy(F.desc("n"), "repo").limit(top)

@@ -26,7 +26,15 @@ def _matrix(records):
 _sources = lambda lines: lines.where("kind <> 'gold'").select("instance_id", F.expr("CASE kind WHEN 'viewed' THEN 'viewed' WHEN 'final' THEN 'edited' ELSE 'search' END").alias("source"), "path", "line")
 _attempts = lambda r: r.select("instance_id", F.concat(F.lit("b"), (F.col("ord") % 3).cast("string")).alias("baseline"), "resolved")
 
+def _solved(docs):
+    chars = F.col("n_chars")
+    return docs.select(F.concat(F.lit("org__"), "source", F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("instance_id"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("repo"), F.when(chars % 50 < 45, chars % 50).alias("solved"))
+
+
 QUERIES = {
+    "solved_histogram": query(lambda d: ev.solved_histogram(_solved(d)), "documents"),
+    "hardest_easiest": query(lambda d: ev.hardest_easiest(_solved(d)), "documents"),
+    "hard_repo_mix": query(lambda d: ev.hard_repo_mix(_solved(d)), "documents"),
     "normalize_message": query(lambda f: f.select("ord", fl.normalize_message(F.col("error_message")).alias("fingerprint"), fl.error_class(F.col("exception_type")).alias("error_class")), "failures"),
     "failure_events": query(lambda f: fl.failure_events(f).drop("call_chain"), "failures"),
     "cluster_failures": query(lambda f: fl.cluster_failures(fl.failure_events(f)), "failures"),
@@ -76,7 +84,12 @@ _MATRIX = f"""{_MERGED}, mat AS (SELECT *, CASE WHEN status IN ('ENV_ERROR', 'PA
   FROM merged JOIN (SELECT instance_id, max(ord) % 3 AS test_failures, max(ord) % 2 = 0 AS patch_exists, max(ord) % 5 = 0 AS submitted_without_tests FROM eval_records GROUP BY 1) USING (instance_id))"""
 _REC = ", ".join(f"count(*) FILTER ({c}) AS {n}_lines, count(*) FILTER (hit AND {c}) AS {n}_hits, count(*) FILTER (hit AND {c}) / nullif(count(*) FILTER ({c}), 0) AS {n}_recall" for n, c in ev.SUBSETS.items())
 
+_SOLVED = "s AS (SELECT 'org__' || source || '-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS instance_id, CASE WHEN doc_id % 2 = 0 THEN source END AS repo, source, CASE WHEN n_chars % 50 < 45 THEN n_chars % 50 END AS solved FROM documents)"
+_HARD = f"WITH {_SOLVED}, k AS (SELECT instance_id, repo, source, CAST(coalesce(solved, 9999) AS BIGINT) AS solved FROM s)"
 ORACLES = {
+    "solved_histogram": f"WITH {_SOLVED} SELECT CASE WHEN solved = 0 THEN '0 (unsolved)' WHEN solved <= 5 THEN '1-5 (hard)' WHEN solved <= 15 THEN '6-15 (medium)' WHEN solved <= 30 THEN '16-30 (easy)' ELSE '31+ (trivial)' END AS bucket, count(*) AS n FROM s WHERE solved IS NOT NULL GROUP BY 1",
+    "hardest_easiest": f"{_HARD} (SELECT 'hardest' AS side, instance_id, repo, solved FROM k ORDER BY solved, instance_id LIMIT 10) UNION ALL (SELECT 'easiest', instance_id, repo, solved FROM k ORDER BY solved DESC, instance_id DESC LIMIT 5)",
+    "hard_repo_mix": f"{_HARD}, h AS (SELECT coalesce(nullif(repo, ''), 'org/' || source) AS repo FROM k ORDER BY solved, instance_id LIMIT 30) SELECT repo, count(*) AS n FROM h GROUP BY 1 ORDER BY n DESC, repo LIMIT 10",
     "normalize_message": oracle("failures", f"{_EV} SELECT ord, fingerprint, error_class FROM ev"),
     "failure_events": oracle("failures", f"{_EV} SELECT * FROM ev"),
     "cluster_failures": oracle("failures", f"{_CL} SELECT run_id, ord, stage, cluster FROM members"),

@@ -22,3 +22,12 @@ def test_windows_see_distinct_sizes_alone(spark):
     plan = ev.difficulty_profile(rows)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.rindex("Window") :]
     assert "Aggregate" in below
+
+
+def test_hardest_easiest_and_repo_mix(spark):
+    rows = [("a__b-1", "a/b", 0), ("a__b-2", None, 3), ("c__d-1", "", 3), ("c__d-2", "c/d", 40), ("e-1", "e", None)]
+    table = spark.createDataFrame(rows, "instance_id string, repo string, solved int")
+    assert {r.bucket: r.n for r in ev.solved_histogram(table).collect()} == {"0 (unsolved)": 1, "1-5 (hard)": 2, "31+ (trivial)": 1}
+    assert [(r.side, r.instance_id) for r in ev.hardest_easiest(table, 2, 1).collect()] == [("hardest", "a__b-1"), ("hardest", "a__b-2"), ("easiest", "e-1")]
+    assert [(r.repo, r.n) for r in ev.hard_repo_mix(table, 3).collect()] == [("a/b", 2), ("c/d", 1)]
+    assert ev.hard_repo_mix(table.limit(0)).count() == 0
