@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from repairlens.llm import chat, language, quality, secrets, token_files, toxicity, word_bpe
+from repairlens.llm import chat, filter_audit, language, quality, secrets, token_files, toxicity, word_bpe
 from repairlens.llm.decontaminate import decontaminate
 from repairlens.llm.near_dedup import near_duplicates
 from repairlens.llm.substrings import remove_repeats
@@ -62,8 +62,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan, op12_filter_audit)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -179,5 +183,23 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+OP12_SQL = rf"""
+WITH RECURSIVE o AS (SELECT '' AS s UNION ALL SELECT s || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE strpos(s, c) = 0),
+st AS (SELECT s AS filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(s) = 5),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+f AS (
+  SELECT d.doc_id, part, quality, toxic, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN labels USING (doc_id)),
+x AS (SELECT *, filter_order[step] AS c, translate(filter_order[1 : step - 1], fails, '') <> filter_order[1 : step - 1] AS gone, strpos(fails, filter_order[step]) > 0 AS own FROM f, st),
+g AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, c, count(*) FILTER (NOT gone AND NOT own) AS kept, count(*) FILTER (own AND NOT gone) AS removed, count(*) FILTER (own AND gone) AS redundant,
+    count(*) FILTER (fails = c) AS unique_fails, count(*) FILTER (own AND NOT gone AND quality = 1) AS good_lost, count(*) FILTER (own AND NOT gone AND toxic = 1) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM g
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL, "op12_filter_audit": OP12_SQL}
