@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from repairlens.llm import chat, filter_audit, language, quality, secrets, token_files, toxicity, word_bpe
+from repairlens.llm import chat, collocations, filter_audit, language, quality, secrets, token_files, toxicity, word_bpe
 from repairlens.llm.decontaminate import decontaminate
 from repairlens.llm.near_dedup import near_duplicates
 from repairlens.llm.substrings import remove_repeats
@@ -66,8 +66,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan, op12_filter_audit)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan, op12_filter_audit, op13_collocations)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -201,5 +205,26 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+OP13_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS v FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT *, array_to_string(v[1 : i], ' ') AS x, array_to_string(v[i + 1 : k], ' ') AS y FROM c, (SELECT unnest([1, 2]) AS i) WHERE i < k),
+s AS (
+  SELECT cut.lang, cut.k, cut.phrase, a, i, fl.f AS l, fr.f AS r, (1000000::HUGEINT * a * a) // (fl.f::HUGEINT * fr.f) AS score
+  FROM cut JOIN f fl ON fl.lang = cut.lang AND fl.phrase = x JOIN f fr ON fr.lang = cut.lang AND fr.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (SELECT lang, array_to_string(v[i : i + 1], ' ') AS phrase, max(a) AS longer FROM c, (SELECT unnest([1, 2]) AS i) WHERE k = 3 GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM b LEFT JOIN inside USING (lang, phrase) JOIN n USING (lang) WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_collocations": OP13_SQL}
