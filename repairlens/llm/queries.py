@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from repairlens.llm import chat, collocations, filter_audit, language, quality, secrets, token_files, toxicity, word_bpe
+from repairlens.llm import chat, collocations, filter_audit, language, licenses, quality, secrets, token_files, toxicity, word_bpe
 from repairlens.llm.decontaminate import decontaminate
 from repairlens.llm.near_dedup import near_duplicates
 from repairlens.llm.substrings import remove_repeats
@@ -62,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -71,7 +75,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan, op12_filter_audit, op13_collocations)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_word_bpe, op3_token_files, op4_substring_dedup, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_language_id, op9_quality_rules, op10_secret_scan, op11_license_scan, op12_filter_audit, op13_collocations)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -187,6 +191,23 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+_NOTICES = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES)
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+ph AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) v(p, label)),
+pl AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(p) - 1] = p)) - 1 AS i FROM d, ph),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM pl GROUP BY doc_id),
+te AS (SELECT label, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')) AS v FROM (VALUES {_NOTICES}) x(label, t)),
+bl AS (SELECT doc_id, unnest(list_transform(range(1, len(w) + 1, 32), lambda i: w[i : i + 63])) AS bw FROM d),
+m AS (
+  SELECT doc_id, list(DISTINCT label) AS met, max(o / n) AS best
+  FROM (SELECT doc_id, label, len(v) AS n, len(list_intersect(v, bw)) AS o FROM bl, te) WHERE 100 * o >= 90 * n GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(met, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 OP12_SQL = rf"""
 WITH RECURSIVE o AS (SELECT '' AS s UNION ALL SELECT s || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE strpos(s, c) = 0),
 st AS (SELECT s AS filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(s) = 5),
@@ -227,4 +248,4 @@ QUALIFY rank <= 2000
 
 
 def oracle_sql() -> dict:
-    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_secret_scan": OP10_SQL, "op11_license_scan": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_collocations": OP13_SQL}
