@@ -78,6 +78,17 @@ SELECT o_orderkey AS run_id, CASE o_orderkey % 13 WHEN 0 THEN 'timeout' WHEN 1 T
   o_orderkey % 4 AS git_checkouts, o_orderkey % 7 AS edited_files, o_orderkey % 10 AS changed_files, o_custkey % 260 AS changed_lines, o_custkey % 17 = 0 AS repeated_pattern, o_orderkey % 19 = 0 AS submitted_without_tests,
   o_custkey % 12 AS viewed_files, o_orderkey % 6 AS viewed_not_final, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS edited_not_viewed, CASE WHEN o_custkey % 4 = 0 THEN o_orderkey % 5 ELSE 0 END AS scope_score, o_orderkey % 5 AS regressions
 FROM orders""",
+    "anchored": """
+SELECT doc_id AS run_id, doc_id % 5 > 0 AS has_failure, CASE WHEN doc_id % 7 = 0 THEN concat('tests/test_m', CAST(doc_id % 4 AS STRING), '.py::test_a') ELSE '' END AS failed,
+  CASE doc_id % 6 WHEN 0 THEN concat('FAILED tests/test_b', CAST(doc_id % 3 AS STRING), '.py::test_c - TypeError: Widget') WHEN 1 THEN concat('thread panicked at src/lib', CAST(doc_id % 9 AS STRING), '.rs:', CAST(doc_id AS STRING))
+    WHEN 2 THEN concat('Error: x at src/app.js:', CAST(doc_id AS STRING)) WHEN 3 THEN concat('ImportError: cannot import name ''n', CAST(doc_id AS STRING), ''' from ''pkg.Core''')
+    WHEN 4 THEN 'module ''pkg'' has no attribute ''Thing''' ELSE concat('bad value in conf/base.cfg:', CAST(doc_id % 50 AS STRING)) END AS message,
+  '' AS trace, concat('helper', CAST(doc_id % 3 AS STRING), ' Model') AS symbols, coalesce(text, '') AS issue
+FROM documents""",
+    "hinted": """
+SELECT doc_id AS run_id, source AS repo, concat('i', CAST(doc_id AS STRING)) AS instance, doc_id % 5 > 0 AS has_failure, concat(source, '/f', CAST(doc_id AS STRING), '.py') AS path, 3 + length(text) - length(replace(text, chr(10), '')) + 1 AS n,
+  CASE doc_id % 4 WHEN 0 THEN 'Model class X declares no app_label and is not in INSTALLED_APPS' WHEN 1 THEN 'Model class without app_label' WHEN 2 THEN concat('FAIL: F', CAST(doc_id AS STRING), 'Tests.test_x failed') ELSE 'nothing' END AS message
+FROM documents""",
     "features": """
 SELECT user_id AS run_id, count(*) AS bash_commands, count(*) FILTER (WHERE event_type = 'error') AS test_commands,
   count(*) FILTER (WHERE event_type = 'purchase') % 3 AS checkouts, count(*) % 11 AS files_visited, count(*) % 7 AS files_edited
