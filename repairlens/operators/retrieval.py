@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,22 +120,49 @@ def route_actions(actions: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+# Fixed value: dotted names.
+CHAIN = r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)\b"
+
+
+def _segment(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """The one stretch in which two lines differ, as the matching blocks of the standard library place it; null if there are several, or none."""
+    out = []
+    for x, y in zip(before, after):
+        ops = [] if x == y else difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_opcodes()
+        changed = [op for op in ops if op[0] != "equal"]
+        out.append((x[changed[0][1] : changed[0][2]], y[changed[0][3] : changed[0][4]]) if len(changed) == 1 else (None, None))
+    return pd.DataFrame(out, columns=["before", "after"])
+
+
+def line_changes(hunks: DataFrame) -> DataFrame:
+    """(run_id, file, before, after): lines of a hunk side by side, without blank ones, that differ in one stretch."""
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
+    pairs = hunks.select("run_id", "file", F.explode(F.arrays_zip(lines("removed").alias("r"), lines("added").alias("a"))).alias("p")).where("p.r IS NOT NULL AND p.a IS NOT NULL AND p.r <> p.a")
+    segment = F.pandas_udf(_segment, "struct<before:string,after:string>")
+    return pairs.select("run_id", "file", segment("p.r", "p.a").alias("s")).where("s.before IS NOT NULL").select("run_id", "file", "s.before", "s.after")
+
+
+def chain_changes(hunks: DataFrame) -> DataFrame:
+    """(run_id, file, before, after): dotted names that gain one link within a hunk.
+
+    Each added name is entered once for each of its links, without that link; what a removed
+    name equals is a hit. So a hunk costs as many entries as its names have links, and no pairs.
+    """
+    chains = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(CHAIN), F.lit(1)))
+    gone = hunks.where("removed <> '' AND added <> ''").select("run_id", "file", chains("removed").alias("r"), chains("added").alias("a")).where("size(r) > 0 AND size(a) > 0")
+    without = lambda links: F.transform(F.sequence(F.lit(0), F.size(links) - 1), lambda k: F.array_join(F.filter(links, lambda x, i: i != k), "."))
+    shorter = gone.withColumn("n", F.flatten(F.transform("a", lambda a: F.transform(without(F.split(a, r"\.")), lambda x: F.struct(x.alias("before"), a.alias("after"))))))
+    hits = shorter.withColumn("hit", F.array_intersect(F.transform("n", lambda x: x["before"]), "r")).where("size(hit) > 0")
+    return hits.select("run_id", "file", F.explode(F.filter("n", lambda x: F.array_contains("hit", x["before"]))).alias("x")).select("run_id", "file", "x.*").distinct()
+
+
 def repeated_edits(hunks: DataFrame, files: int = 2) -> DataFrame:
-    """(run_id, before, after, n_files): single contiguous changes of a line that occur in two files or more; hunks has removed and added lines joined by line feeds.
+    """(run_id, before, after, n_files): changes that occur in two files or more of a run; hunks (run_id, file, removed, added) has lines joined by line feeds.
 
-    A change is what is left of the two lines without their common beginning and end.
+    A change is the one stretch in which two lines differ, or a dotted name that gains a link.
     """
-    lines = F.arrays_zip(F.split("removed", "\n").alias("r"), F.split("added", "\n").alias("a"))
-    pairs = hunks.where("removed <> '' AND added <> ''").select("run_id", "file", F.explode(lines).alias("p")).select("run_id", "file", strip(F.col("p.r")).alias("r"), strip(F.col("p.a")).alias("a")).where("r <> a")
-    short = F.least(F.length("r"), F.length("a"))
-    # the number of places, from the left or right, up to which both lines agree
-    agree = lambda cut: F.size(F.filter(F.sequence(F.lit(1), short), cut))
-    head = F.when(short > 0, agree(lambda n: F.substring(F.col("r"), F.lit(1), n) == F.substring(F.col("a"), F.lit(1), n))).otherwise(0)
-    tail = F.when(short > 0, agree(lambda n: F.right(F.col("r"), n) == F.right(F.col("a"), n))).otherwise(0)
-    cut = pairs.withColumn("h", head).withColumn("t", F.least(tail, short - F.col("h")))
-    middle = lambda c: F.substring(F.col(c), F.col("h") + 1, F.length(c) - F.col("h") - F.col("t"))
-    changed = cut.select("run_id", "file", middle("r").alias("before"), middle("a").alias("after"))
-    return changed.groupBy("run_id", "before", "after").agg(F.count_distinct("file").alias("n_files")).where(F.col("n_files") >= files)
+    every = line_changes(hunks).unionByName(chain_changes(hunks)).where("before <> '' OR after <> ''")
+    return every.groupBy("run_id", "before", "after").agg(F.count_distinct("file").alias("n_files")).where(F.col("n_files") >= files)
 
 
 def witness_source_inventory(runs: DataFrame, files: DataFrame, order: list[str]) -> DataFrame:

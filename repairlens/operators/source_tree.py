@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repairlens.functions import python_lines
 from repairlens.functions.joins import join_list, join_terms
-from repairlens.functions.text import let, lines_py, strip
+from repairlens.functions.text import lines_py
 
 TEST_PATH = r"(^|/)tests/|(^|/)test_[^/]*\.py$|_test\.py$"
 
@@ -138,18 +140,37 @@ def enforce_budget(candidates: DataFrame, max_spans: int = 12, max_files: int =
     return folded.select("instance_id", F.posexplode("kept").alias("rank", "x")).select("instance_id", "rank", "x.*")
 
 
+def definitions(files: DataFrame) -> DataFrame:
+    """(path, kind, name, parent, start_line, end_line) of every function and class of Python sources, with the lines that Python's own parser gives them.
+
+    kind is def, async_def or class; parent is the class of whose body it is a statement. One
+    linear scan of each file; text that is no Python gives what its indentation says, a null one
+    nothing. Decorators aren't part of the lines.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = [(path, *d) for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for d in python_lines.definitions(content or "")]
+            path, kind, name, parent, start, end = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [], [])
+            text = lambda c: pa.array(c, pa.string())
+            yield pa.RecordBatch.from_arrays([text(path), text(kind), text(name), text(parent), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["path", "kind", "name", "parent", "start_line", "end_line"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, kind string, name string, parent string, start_line int, end_line int")
+
+
 def symbol_index(files: DataFrame) -> DataFrame:
-    """(path, name, kind, start_line, end_line): functions and classes by the indentation of Python sources; the longest of a name stays."""
-    lines = code_lines(files).withColumn("indent", F.length(F.regexp_extract("text", r"^(\s*)", 1))).withColumn("code", strip(F.col("text")) != "")
-    heads = lines.where(F.col("text").rlike(r"^\s*(?:async\s+)?(def|class)\s+\w+")).select(
-        "path", "ln", "indent", F.regexp_extract("text", r"(def|class)\s+(\w+)", 1).alias("kind"), F.regexp_extract("text", r"(def|class)\s+(\w+)", 2).alias("name")
-    )
-    bodies = lines.where("code").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ln", "indent"))).alias("body"))
-    end = let(F.col("body"), lambda b: F.coalesce(F.get(F.filter(b, lambda x: (x["ln"] > F.col("ln")) & (x["indent"] <= F.col("indent"))), F.lit(0))["ln"] - 1, F.array_max(b)["ln"]))
-    spans = heads.join(bodies.hint("merge"), "path").select("path", "name", "kind", F.col("ln").alias("start_line"), end.alias("end_line"))
+    """(path, name, kind, start_line, end_line): functions (def) and classes of Python sources; the longest of a name stays."""
+    spans = definitions(files).withColumn("kind", F.replace("kind", F.lit("async_"), F.lit("")))
     return spans.groupBy("path", "name", "kind").agg(F.max_by(F.struct("start_line", "end_line"), F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"))).alias("s")).select("path", "name", "kind", "s.*")
 
 
+def class_index(files: DataFrame) -> DataFrame:
+    """(path, kind, name, parent, start_line, end_line): classes, and as Class.method the functions and async_functions in their bodies; of rows that share path, name and first line the longest."""
+    every = definitions(files).where("kind = 'class' OR parent IS NOT NULL")
+    named = every.select("path", F.expr("CASE kind WHEN 'class' THEN 'class' WHEN 'def' THEN 'function' ELSE 'async_function' END").alias("kind"), F.expr("CASE WHEN kind = 'class' THEN name ELSE concat(parent, '.', name) END").alias("name"), F.expr("CASE WHEN kind <> 'class' THEN parent END").alias("parent"), "start_line", "end_line")
+    return named.groupBy("path", "name", "start_line").agg(F.max_by(F.struct("kind", "parent", "end_line"), F.struct("end_line", "kind")).alias("s")).select("path", "s.kind", "name", "s.parent", "start_line", "s.end_line")
+
+
 def find_symbols(symbols: DataFrame, hints: DataFrame) -> DataFrame:
     """(hint, path, name, score): symbols of that very name (0.92), else such as hold it (0.78), else the first class named before the dot of a dotted hint (0.70).
 

@@ -38,8 +38,10 @@ def _routes(files):
 
 def _edits(part):
     k = F.col("p_partkey")
-    hunks = part.select((k % 50).alias("run_id"), F.concat(F.lit("m"), k.cast("string"), F.lit(".py")).alias("file"), F.concat(F.lit("a = old"), (k % 3).cast("string"), F.lit("(x)")).alias("removed"), F.concat(F.lit("a = new"), (k % 3).cast("string"), F.lit("(x)")).alias("added"))
-    return rt.repeated_edits(hunks)
+    n = (k % 3).cast("string")
+    removed = F.concat(F.lit("a = old"), n, F.lit("(x)\n\nfrom collections.Iterable import y"), "p_brand")
+    added = F.concat(F.lit("  a = new"), n, F.lit("(x)\nfrom collections.abc.Iterable import y"), "p_brand", F.lit("\nz = os.path.join"))
+    return rt.repeated_edits(part.select((k % 50).alias("run_id"), F.concat(F.lit("m"), k.cast("string"), F.lit(".py")).alias("file"), removed.alias("removed"), added.alias("added")))
 
 
 def _moved(files):
@@ -121,7 +123,7 @@ f AS (SELECT run_id, path, min(place) AS place, min_by(source, place) AS source
     "split_actions": "SELECT o_orderkey AS run_id, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0, 1] ELSE [0] END) AS pos, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['SEARCH', 'STOP'] ELSE ['ODD'] END) AS operation, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['retrieval', 'control'] ELSE ['unknown'] END) AS kind FROM orders",
     "route_actions": oracle("repo_files", r"""a AS (SELECT path, length(path) % 2 = 0 AS d, regexp_extract(path, '(f\d+)\.py', 1) AS v FROM repo_files)
 SELECT path AS action_id, CASE WHEN d THEN 'FIND_DEFINITION' ELSE 'FIND_CALLEES' END AS action, CASE WHEN NOT d THEN 'UNSUPPORTED' WHEN v IN ('f1', 'f2', 'f3') THEN 'FOUND' ELSE 'NOT_FOUND' END AS status, CAST(d AND v IN ('f1', 'f2', 'f3') AS BIGINT) AS hits FROM a"""),
-    "repeated_edits": "SELECT p_partkey % 50 AS run_id, 'old' AS before, 'new' AS after, count(*) AS n_files FROM part GROUP BY 1 HAVING count(*) > 1",
+    "repeated_edits": "SELECT p_partkey % 50 AS run_id, b AS before, a AS after, count(*) AS n_files FROM part, (VALUES ('old', 'new'), ('', '.abc'), ('collections.Iterable', 'collections.abc.Iterable')) v(b, a) GROUP BY ALL HAVING count(*) > 1",
     "relocate_hunks": oracle("repo_files", "SELECT path AS id, path AS file, CAST(1 AS BIGINT) AS start FROM repo_files"),
     "rehydrate_seen": oracle("spans repo_files", r"""x AS (SELECT DISTINCT kind, instance_id, 'src' || (start_line % 3) || '/f' || (start_line % 3) || '.py' AS path, end_line - start_line AS a, end_line - start_line + 1 AS b FROM spans WHERE kind IN ('viewed', 'final')),
 d AS (SELECT * FROM x v WHERE kind = 'viewed' AND NOT EXISTS (SELECT 1 FROM x f WHERE f.kind = 'final' AND f.a > 2 AND f.instance_id = v.instance_id AND f.path = v.path AND v.a <= f.b AND f.a <= v.b)),

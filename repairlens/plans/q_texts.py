@@ -59,6 +59,12 @@ _kind = lambda s, k: s.where(F.col("kind") == k).select("instance_id", "path", "
 _candidates = lambda s: st.expand_context({k: _kind(s, k) for k in ("viewed", "final", "candidate")}, ["final", "viewed", "candidate"])
 _stop = ["that", "this", "with", "from"]
 
+def _classes(files):
+    """Each source wrapped: a class with a long string at column 0, a comment there, an async and a nested method, and the source after it."""
+    head = "class A:\n    \"\"\"Doc\nclass No:\n\"\"\"\n# note\n    @property\n    def run(\n        self, x=(1,\n  2),\n    ):\n        return {\n}\n\n    if True:\n        def hidden(self): pass\n\n    async def go(self):\n        class B(A):\n            def run(self): return 1\n# end\n\n"
+    return files.select("path", F.concat(F.lit(head), "content").alias("content"))
+
+
 QUERIES = {
     "normalize_logs": query(lg.normalize_logs, "logs"),
     "failure_stage": query(lambda l: lg.failure_stage(l).select("run_id", "stage"), "logs"),
@@ -92,6 +98,7 @@ QUERIES = {
     "expand_context": query(_candidates, "spans"),
     "enforce_budget": query(lambda s: st.enforce_budget(_candidates(s), 6, 4, 20, 5), "spans"),
     "symbol_index": query(st.symbol_index, "repo_files"),
+    "class_index": query(lambda f: st.class_index(_classes(f)), "repo_files"),
     "sibling_methods": query(_sibling_methods, "spans"),
 }
 
@@ -122,6 +129,7 @@ _LN = r"ln AS (SELECT path, unnest(range(1, len(l) + 1)) AS ln, unnest(l) AS tex
 _CAND = "cand AS (" + " UNION ALL ".join(f"SELECT DISTINCT instance_id, '{k}' AS source, {i} AS priority, path, start_line, end_line FROM spans WHERE kind = '{k}'" for i, k in enumerate(("final", "viewed", "candidate"))) + ")"
 
 ORACLES = {
+    "class_index": oracle("repo_files", "SELECT path, kind, name, parent, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM repo_files, (VALUES ('class', 'A', NULL, 1, 19), ('function', 'A.run', 'A', 7, 12), ('async_function', 'A.go', 'A', 17, 19), ('class', 'B', NULL, 18, 19), ('function', 'B.run', 'B', 19, 19)) v(kind, name, parent, a, b)"),
     "normalize_logs": oracle("logs", f"{_NORM} SELECT * FROM norm"),
     "failure_stage": oracle("logs", f"SELECT run_id, {_case(lg.STAGES, 'unknown_failure')} AS stage FROM logs"),
     "test_framework": oracle("logs", f"SELECT run_id, {_case(lg.FRAMEWORKS, 'generic')} AS framework FROM logs"),

@@ -61,3 +61,25 @@ def test_parallel_implementations(spark):
     got = rt.parallel_implementations(files, edited, symbols, hints, siblings, 9).orderBy("rank").collect()
     assert [(r.path, r.symbol, r.score) for r in got] == [("c/observed_itrs_x.py", "observed_itrs_x", 0.75), ("a/itrs_observed.py", "Other", 0.7), ("a/b/icrs_observed.py", "icrs_observed", 0.7), ("d/observed.py", "observed", 0.7)]
     assert rt.parallel_implementations(files, edited.limit(0), symbols, hints, siblings.limit(0)).count() == 0
+
+
+def test_changes_of_lines_and_dotted_names(spark):
+    rows = [
+        (1, "a.py", "x = collections.Mapping\n\n  keep", "x = collections.abc.Mapping\nkeep"),
+        (1, "b.py", "isinstance(v, collections.Mapping)", "isinstance(v, collections.abc.Mapping)"),
+        (1, "c.py", "m = a.b.c", "m = a.b.x.c.d"),  # two links more
+        (1, "d.py", "m = a.b.c", "n = q.a.b.c; a.b.c.q; a.q.b.c"),
+        (2, "a.py", "x = 1\ny = 2", "x = 3"),
+        (2, "b.py", "x = 1", "x = 3\nz"),
+        (2, "c.py", "abcabc", "xbcxbc"),  # two stretches
+        (2, "d.py", "abcabc", "xbcxbc"),
+        (3, "a.py", "same", "same"),
+        (3, "b.py", "", "new"),
+        (4, "a.py", "foo(a)", "foo(a, b)"),
+        (4, "a.py", "foo(c)", "foo(c, b)"),
+    ]
+    hunks = spark.createDataFrame(rows, "run_id long, file string, removed string, added string")
+    got = sorted((r["run_id"], r["before"], r["after"], r["n_files"]) for r in rt.repeated_edits(hunks).collect())
+    assert got == [(1, "", "abc.", 2), (1, "collections.Mapping", "collections.abc.Mapping", 2), (2, "1", "3", 2)]
+    named = sorted((r["file"], r["before"], r["after"]) for r in rt.chain_changes(hunks).where("run_id = 1 AND file > 'b.py'").collect())
+    assert named == [("d.py", "a.b.c", a) for a in ("a.b.c.q", "a.q.b.c", "q.a.b.c")]
