@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repairlens.functions.stored import checkpointed
 from repairlens.functions.text import strip
 
 # Masking rules in order, and coarse classes of exceptions.
@@ -59,19 +59,38 @@ def failure_events(failures: DataFrame, depth: int = 5) -> DataFrame:
     )
 
 
-def _seeds(chains: pd.DataFrame) -> pd.DataFrame:
-    """In order, each event that is left opens a group and takes later ones that share two frames or more with it."""
-    rows = chains.sort_values("ord")
-    sets, left, label = [set(c) for c in rows.call_chain], list(range(len(rows))), [0] * len(rows)
-    ords = rows.ord.tolist()
-    while left:
-        seed = left[0]
-        mine = [i for i in left if i == seed or len(sets[i] & sets[seed]) >= 2]
-        for i in mine:
-            label[i] = ords[seed]
-        taken = set(mine)
-        left = [i for i in left if i not in taken]
-    return rows.assign(seed=label)[["run_id", "ord", "seed"]]
+def seed_groups(events: DataFrame, shared: int = 2) -> DataFrame:
+    """(run_id, error_class, chain, seed) of events (run_id, ord, error_class, call_chain): in order of ord, each event that is left opens a group, named by its ord, and takes the later ones that share two frames or more with it.
+
+    Two chains share two frames if they share a pair of frames, so events meet under pairs: only
+    the least of each pair is ever looked up, and no pair of events is made. In each round events
+    that are the first of all that is left under every pair of theirs open groups, and whatever
+    shares a pair with them is taken. Chains of the same frames count once. ``chain`` has the
+    distinct frames, sorted; those with fewer than two never meet and are left out. Rounds are as
+    many as the longest line of events of which each waits for the one before.
+    """
+    if shared != 2:
+        raise ValueError("events meet under pairs of frames")
+    key = ["run_id", "error_class"]
+    chains = events.select(*key, "ord", F.array_sort(F.array_distinct("call_chain")).alias("chain")).where("size(chain) > 1").groupBy(*key, "chain").agg(F.min("ord").alias("ord"))
+    pairs = F.flatten(F.transform("chain", lambda x, i: F.transform(F.slice("chain", i + 2, F.size("chain")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    held = checkpointed(chains.select(*key, "chain", "ord", F.struct("ord", F.xxhash64("chain").alias("h")).alias("who")))
+    under = lambda df: df.select(*key, "who", F.explode(pairs).alias("pair"))
+    left, opened = held, None
+    while True:
+        entered = under(left)
+        first = entered.groupBy(*key, "pair").agg(F.min("who").alias("first"))
+        met = checkpointed(entered.join(first.hint("merge"), [*key, "pair"]))
+        opens = met.groupBy(*key, "who").agg(F.bool_and(F.col("who") == F.col("first")).alias("all")).where("all").select(*key, "who")
+        opens = checkpointed(left.join(opens.hint("merge"), [*key, "who"], "left_semi"))
+        opened = opens if opened is None else opened.unionByName(opens)
+        taken = met.join(opens.select(*key, F.col("who").alias("first")).hint("merge"), [*key, "first"], "left_semi").select(*key, "who").distinct()
+        left = checkpointed(left.join(taken.hint("merge"), [*key, "who"], "left_anti"))
+        if left.isEmpty():
+            break
+    least = under(opened).groupBy(*key, "pair").agg(F.min("who").alias("seed"))
+    best = under(held).join(least.hint("merge"), [*key, "pair"]).groupBy(*key, "who").agg(F.min("seed").alias("seed"))
+    return held.join(best.hint("merge"), [*key, "who"]).select(*key, "chain", F.col("seed.ord").alias("seed"))
 
 
 def cluster_failures(events: DataFrame) -> DataFrame:
@@ -97,9 +116,9 @@ def cluster_failures(events: DataFrame) -> DataFrame:
     second = first.withColumn("print", informative).withColumn("p2", ~F.col("p1") & F.col("print").isNotNull() & (in_group(F.col("p1"), F.col("print")) > 1))
     done = F.col("p1") | F.col("p2")
     third = second.withColumn("done", done).withColumn("frame", frame).withColumn("p3", ~F.col("done") & F.col("frame").isNotNull() & (in_group(F.col("done"), F.col("frame")) > 1))
-    rest = third.where("NOT done AND NOT p3 AND size(call_chain) > 1").select("run_id", "ord", "error_class", "call_chain")
-    seeds = rest.groupBy("run_id", "error_class").applyInPandas(_seeds, "run_id long, ord long, seed long")
-    joined = third.join(seeds.hint("merge"), ["run_id", "ord"], "left")
+    rest = third.withColumn("waits", ~F.col("done") & ~F.col("p3")).withColumn("chain", F.when(F.col("waits"), F.array_sort(F.array_distinct("call_chain"))))
+    seeds = seed_groups(rest.where("waits").select("run_id", "ord", "error_class", "call_chain"))
+    joined = rest.join(seeds.hint("merge"), ["run_id", "error_class", "chain"], "left")
     stage = F.when(F.col("p1"), 1).when(F.col("p2"), 2).when(F.col("p3"), 3).otherwise(4)
     name = (
         F.when(F.col("p1"), F.concat_ws("|", F.lit("family"), "param_group", "error_class"))

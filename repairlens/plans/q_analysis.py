@@ -31,7 +31,22 @@ def _solved(docs):
     return docs.select(F.concat(F.lit("org__"), "source", F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("instance_id"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("repo"), F.when(chars % 50 < 45, chars % 50).alias("solved"))
 
 
+def _chained(lineitem):
+    frame = lambda letter, c, n: F.concat(F.lit(letter), (F.col(c) % n).cast("string"))
+    chain = F.array(frame("a", "l_partkey", 9), frame("b", "l_suppkey", 6), frame("c", "l_orderkey", 7), frame("a", "l_orderkey", 5))
+    once = lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    events = once.select((F.col("l_orderkey") % 97).alias("run_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_linenumber") < 3, "TYPE_ERROR").otherwise("OTHER").alias("error_class"), chain.alias("call_chain"))
+    return events, fl.seed_groups(events)
+
+
+def _seeded(lineitem):
+    events, groups = _chained(lineitem)
+    own = events.withColumn("chain", F.array_sort(F.array_distinct("call_chain"))).join(groups.hint("merge"), ["run_id", "error_class", "chain"])
+    return own.select("run_id", "error_class", "ord", "seed")
+
+
 QUERIES = {
+    "seed_groups": query(_seeded, "lineitem"),
     "solved_histogram": query(lambda d: ev.solved_histogram(_solved(d)), "documents"),
     "hardest_easiest": query(lambda d: ev.hardest_easiest(_solved(d)), "documents"),
     "hard_repo_mix": query(lambda d: ev.hard_repo_mix(_solved(d)), "documents"),
@@ -87,6 +102,13 @@ _REC = ", ".join(f"count(*) FILTER ({c}) AS {n}_lines, count(*) FILTER (hit AND
 _SOLVED = "s AS (SELECT 'org__' || source || '-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS instance_id, CASE WHEN doc_id % 2 = 0 THEN source END AS repo, source, CASE WHEN n_chars % 50 < 45 THEN n_chars % 50 END AS solved FROM documents)"
 _HARD = f"WITH {_SOLVED}, k AS (SELECT instance_id, repo, source, CAST(coalesce(solved, 9999) AS BIGINT) AS solved FROM s)"
 ORACLES = {
+    "seed_groups": """WITH RECURSIVE e AS (SELECT l_orderkey % 97 AS run_id, CASE WHEN l_linenumber < 3 THEN 'TYPE_ERROR' ELSE 'OTHER' END AS error_class, l_orderkey * 10 + l_linenumber AS ord,
+    list_distinct(['a' || (l_partkey % 9), 'b' || (l_suppkey % 6), 'c' || (l_orderkey % 7), 'a' || (l_orderkey % 5)]) AS chain FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
+g AS (SELECT *, row_number() OVER (PARTITION BY run_id, error_class ORDER BY ord) AS i FROM e),
+w AS (SELECT run_id, error_class, i, ord, ord AS seed, [{'o': ord, 'c': chain}] AS seeds FROM g WHERE i = 1
+UNION ALL SELECT g.run_id, g.error_class, g.i, g.ord, coalesce(s, g.ord), CASE WHEN s IS NULL THEN list_append(seeds, {'o': g.ord, 'c': g.chain}) ELSE seeds END
+FROM (SELECT g.*, w.seeds, list_filter(w.seeds, lambda x: len(list_intersect(x.c, g.chain)) >= 2)[1].o AS s FROM w JOIN g ON g.run_id = w.run_id AND g.error_class = w.error_class AND g.i = w.i + 1) g)
+SELECT run_id, error_class, ord, seed FROM w""",
     "solved_histogram": f"WITH {_SOLVED} SELECT CASE WHEN solved = 0 THEN '0 (unsolved)' WHEN solved <= 5 THEN '1-5 (hard)' WHEN solved <= 15 THEN '6-15 (medium)' WHEN solved <= 30 THEN '16-30 (easy)' ELSE '31+ (trivial)' END AS bucket, count(*) AS n FROM s WHERE solved IS NOT NULL GROUP BY 1",
     "hardest_easiest": f"{_HARD} (SELECT 'hardest' AS side, instance_id, repo, solved FROM k ORDER BY solved, instance_id LIMIT 10) UNION ALL (SELECT 'easiest', instance_id, repo, solved FROM k ORDER BY solved DESC, instance_id DESC LIMIT 5)",
     "hard_repo_mix": f"{_HARD}, h AS (SELECT coalesce(nullif(repo, ''), 'org/' || source) AS repo FROM k ORDER BY solved, instance_id LIMIT 30) SELECT repo, count(*) AS n FROM h GROUP BY 1 ORDER BY n DESC, repo LIMIT 10",
