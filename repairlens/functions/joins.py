@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Terms shorter than this have no index entry of their own.
+GRAM = 3
+
 
 def join_list(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = 100_000) -> DataFrame:
     """Equi-join with a list: broadcast up to so many rows, by sort and merge beyond."""
@@ -19,3 +22,28 @@ def join_terms(left: DataFrame, terms: DataFrame, condition: Column, rows: int =
     blocks = max(1, -(-terms.count() // rows))
     block = F.pmod(F.xxhash64(*terms.columns), F.lit(blocks))
     return reduce(DataFrame.unionByName, (left.join(F.broadcast(terms.where(block == i) if blocks > 1 else terms), condition) for i in range(blocks)))
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of three letters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def join_contains(left: DataFrame, text: Column, terms: DataFrame, term: str) -> DataFrame:
+    """left joined with the terms (column ``term``) that its text holds, through an inverted index of runs of three letters.
+
+    Each term is looked up under the rarest of its runs, counted over all texts, so a text meets
+    only terms that share one; ``contains`` decides on these. Terms of one or two letters are
+    compared with every text, in blocks.
+    """
+    short, long = terms.where(F.length(term) < GRAM), terms.where(F.length(term) >= GRAM)
+    named = long.select(term).distinct().select(term, F.explode(grams(F.col(term))).alias("gram__"))
+    held = left.select(F.explode(grams(text)).alias("gram__"))
+    counted = join_list(held, named.select("gram__").distinct(), "gram__", "left_semi").groupBy("gram__").agg(F.count("*").alias("n__"))
+    rare = named.join(counted.hint("merge"), "gram__").groupBy(term).agg(F.min_by("gram__", F.struct("n__", "gram__")).alias("gram__"), F.count("*").alias("known__"))
+    whole = named.groupBy(term).agg(F.count("*").alias("all__"))  # a run that no text has: nor has any the term
+    rare = rare.join(whole.hint("merge"), term).where("known__ = all__").drop("known__", "all__")
+    entered = left.withColumn("gram__", F.explode(grams(text)))
+    found = join_list(entered, long.join(rare.hint("merge"), term), "gram__").where(F.contains(text, F.col(term))).drop("gram__")
+    brief = join_terms(left, short, F.contains(text, F.col(term)))
+    return found.select(*left.columns, *terms.columns).unionByName(brief.select(*left.columns, *terms.columns))

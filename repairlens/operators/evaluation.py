@@ -12,12 +12,30 @@ def expand_spans(spans: DataFrame) -> DataFrame:
     return valid.select("instance_id", "kind", "path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
 
 
-def overlap_metrics(lines: DataFrame, candidate: str = "candidate", gold: str = "gold") -> DataFrame:
-    """Per instance counts of files and lines of candidates, gold and both, and precision, recall and F1 (null where undefined)."""
-    flags = lines.where(F.col("kind").isin(candidate, gold)).groupBy("instance_id", "path", "line").agg(F.max(F.col("kind") == candidate).alias("c"), F.max(F.col("kind") == gold).alias("g"))
-    files = flags.groupBy("instance_id", "path").agg(
-        F.max("c").alias("fc"), F.max("g").alias("fg"), F.count_if("c").alias("lc"), F.count_if("g").alias("lg"), F.count_if(F.col("c") & F.col("g")).alias("lb")
-    )
+KINDS = ["gold", "viewed", "final", "edited", "candidate"]
+
+
+def segments(spans: DataFrame, kinds: list[str] = KINDS) -> DataFrame:
+    """(instance_id, path, start_line, end_line, n, one flag for each kind): stretches of lines that the same kinds of spans (instance_id, kind, path, start_line, end_line) cover.
+
+    A sweep over the ends of spans: at each end the number of open spans of a kind changes, and
+    between two ends it stays. So the rows are as many as the ends, however long the spans are.
+    """
+    valid = spans.where("start_line > 0 AND end_line >= start_line").where(F.col("kind").isin(kinds))
+    ends = valid.select("instance_id", "kind", "path", F.explode(F.array(F.struct(F.col("start_line").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end_line") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy("instance_id", "path", "e.at").agg(*(F.sum(F.when(F.col("kind") == k, F.col("e.d")).otherwise(0)).alias(k) for k in kinds))
+    order = Window.partitionBy("instance_id", "path").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = steps.select("instance_id", "path", F.col("at").alias("start_line"), (F.lead("at").over(order) - 1).alias("end_line"), *((F.sum(k).over(upto) > 0).alias(k) for k in kinds))
+    covered = F.array_contains(F.array(*kinds), True)
+    return swept.where(F.col("end_line").isNotNull() & covered).withColumn("n", (F.col("end_line") - F.col("start_line") + 1).cast("long"))
+
+
+def overlap_metrics(segments: DataFrame, candidate: str = "candidate", gold: str = "gold") -> DataFrame:
+    """Per instance counts of files and lines of candidates, gold and both, from segments(), and precision, recall and F1 (null where undefined)."""
+    lines = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    c, g = F.col(candidate), F.col(gold)
+    files = segments.where(c | g).groupBy("instance_id", "path").agg(F.max(c).alias("fc"), F.max(g).alias("fg"), lines(c).alias("lc"), lines(g).alias("lg"), lines(c & g).alias("lb"))
     total = files.groupBy("instance_id").agg(
         F.count_if("fc").alias("cand_files"), F.count_if("fg").alias("gold_files"), F.count_if(F.col("fc") & F.col("fg")).alias("file_inter"),
         F.sum("lc").alias("cand_lines"), F.sum("lg").alias("gold_lines"), F.sum("lb").alias("line_inter"),
@@ -30,6 +48,17 @@ def overlap_metrics(lines: DataFrame, candidate: str = "candidate", gold: str =
     })
 
 
+def overlap_per_1k(metrics: DataFrame, packets: DataFrame) -> DataFrame:
+    """Adds overlap_per_1k_chars to overlap_metrics(): hit lines for each thousand characters of the packet (instance_id, packet_chars); 0 for an empty or missing one."""
+    both = metrics.join(packets.select("instance_id", "packet_chars").hint("merge"), "instance_id", "left")
+    return both.withColumn("overlap_per_1k_chars", F.when(F.col("packet_chars") > 0, F.round(F.col("line_inter") / (F.col("packet_chars") / 1000), 3)).otherwise(0.0)).drop("packet_chars")
+
+
+def gold_segments(segments: DataFrame) -> DataFrame:
+    """(instance_id, path, start_line, end_line, n, seen, final, edited, hit) of the stretches of gold lines; what gold_subsets says line by line."""
+    return segments.where("gold").select("instance_id", "path", "start_line", "end_line", "n", F.col("viewed").alias("seen"), "final", "edited", F.col("candidate").alias("hit"))
+
+
 def gold_subsets(lines: DataFrame) -> DataFrame:
     """(instance_id, path, line, seen, final, edited) of each gold line, by one pass over all kinds."""
     has = lambda kind: F.max(F.col("kind") == kind)
@@ -41,24 +70,20 @@ SUBSETS = {"raw": "true", "incremental": "NOT (final OR edited)", "dropped": "se
 
 
 def incremental_recall(subsets: DataFrame) -> DataFrame:
-    """Per instance, for each subset of the gold lines, how many there are, how many candidates hit, and the recall (null: not applicable)."""
-    counts = [F.expr(f"count_if({cond})").alias(f"{n}_lines") for n, cond in SUBSETS.items()] + [F.expr(f"count_if(hit AND {cond})").alias(f"{n}_hits") for n, cond in SUBSETS.items()]
+    """Per instance, for each subset of gold_segments(), how many lines there are, how many candidates hit, and the recall (null: not applicable)."""
+    total = lambda cond: F.expr(f"sum(CASE WHEN {cond} THEN n ELSE 0 END)")
+    counts = [total(cond).alias(f"{n}_lines") for n, cond in SUBSETS.items()] + [total(f"hit AND {cond}").alias(f"{n}_hits") for n, cond in SUBSETS.items()]
     return subsets.groupBy("instance_id").agg(*counts).withColumns({f"{n}_recall": F.try_divide(f"{n}_hits", f"{n}_lines") for n in SUBSETS})
 
 
-def source_ablation(candidates: DataFrame, gold: DataFrame) -> DataFrame:
-    """(instance_id, mode, n_hits, n_gold): gold lines hit by candidates (instance_id, source, path, line) of each ablation mode."""
-    hit = gold.select("instance_id", "path", "line").distinct().join(candidates.hint("merge"), ["instance_id", "path", "line"], "left")
-    per_line = hit.groupBy("instance_id", "path", "line").agg(F.collect_set("source").alias("sources"))  # a few sources
-    modes = {
-        "all": F.size("sources") > 0,
-        "only_edited": F.array_contains("sources", "edited"),
-        "only_viewed": F.array_contains("sources", "viewed"),
-        "only_search": F.array_contains("sources", "search"),
-        "without_edited": F.size(F.array_except("sources", F.array(F.lit("edited")))) > 0,
-    }
-    each = F.array(*(F.struct(F.lit(m).alias("mode"), c.alias("hit")) for m, c in modes.items()))
-    return per_line.select("instance_id", F.explode(each).alias("m")).groupBy("instance_id", "m.mode").agg(F.count_if("m.hit").alias("n_hits"), F.count("*").alias("n_gold"))
+# Ablation modes over the sources of candidates.
+MODES = {"all": "edited OR viewed OR search", "only_edited": "edited", "only_viewed": "viewed", "only_search": "search", "without_edited": "viewed OR search"}
+
+
+def source_ablation(segments: DataFrame) -> DataFrame:
+    """(instance_id, mode, n_hits, n_gold): gold lines hit by the candidates of each ablation mode, from segments() of the kinds gold, edited, viewed and search."""
+    each = F.array(*(F.struct(F.lit(m).alias("mode"), F.expr(cond).alias("hit")) for m, cond in MODES.items()))
+    return segments.where("gold").select("instance_id", "n", F.explode(each).alias("m")).groupBy("instance_id", "m.mode").agg(F.sum(F.when(F.col("m.hit"), F.col("n")).otherwise(0)).alias("n_hits"), F.sum("n").alias("n_gold"))
 
 
 def baseline_aggregates(metrics: DataFrame) -> DataFrame:
@@ -121,6 +146,24 @@ def action_group_metrics(metrics: DataFrame, baselines: list[str]) -> DataFrame:
     return metrics.groupBy("action").pivot("baseline", baselines).agg(F.sum("hits"))
 
 
+def abstain_checks(reports: DataFrame, baselines: list[str]) -> DataFrame:
+    """(instance_id, baseline, action, abstain, others_silent, abstain_correct, false_intervention) of reports (instance_id, baseline, action, packet_mode, should_retry).
+
+    What the other baselines agree on stands for the truth: they are silent if none of them would
+    retry; one without a report is silent too. To abstain then is right, to intervene is false.
+    """
+    own = reports.where(F.col("baseline").isin(baselines)).groupBy("instance_id", "baseline").agg(F.bool_or(F.coalesce("should_retry", F.lit(False))).alias("fires"), F.bool_or(F.coalesce(F.endswith("packet_mode", F.lit("_noop")), F.lit(False))).alias("abstain"), F.max("action").alias("action"))
+    fired = F.count_if("fires").over(Window.partitionBy("instance_id"))  # a row for each baseline
+    silent = own.withColumn("others_silent", fired - F.col("fires").cast("int") == 0)
+    return silent.select("instance_id", "baseline", "action", "abstain", "others_silent", (F.col("abstain") & F.col("others_silent")).alias("abstain_correct"), (~F.col("abstain") & F.col("others_silent")).alias("false_intervention"))
+
+
+def abstain_summary(checks: DataFrame, recall: DataFrame) -> DataFrame:
+    """(baseline, action, n, abstained, abstain_correct, false_interventions, avg_recall) of abstain_checks() with recall (instance_id, baseline, incremental_recall; null: not applicable)."""
+    both = checks.join(recall.select("instance_id", "baseline", "incremental_recall").hint("merge"), ["instance_id", "baseline"], "left")
+    return both.groupBy("baseline", "action").agg(F.count("*").alias("n"), F.count_if("abstain").alias("abstained"), F.count_if("abstain_correct").alias("abstain_correct"), F.count_if("false_intervention").alias("false_interventions"), F.round(F.avg("incremental_recall"), 6).alias("avg_recall"))
+
+
 def difficulty_profile(instances: DataFrame) -> DataFrame:
     """(bucket, n, median, p90) of instances (instance_id, size): the value at position n div 2, and at 90 % of n."""
     bucket = F.expr("CASE WHEN size < 10 THEN 'small' WHEN size < 30 THEN 'medium' ELSE 'large' END")

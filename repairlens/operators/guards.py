@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repairlens.functions.stored import checkpointed
+
 
 def keyword_leaks(texts: DataFrame, keywords: list[str]) -> DataFrame:
     """(id, keyword): forbidden words found as whole tokens (no letter or underscore beside them) in texts (id, text)."""
@@ -15,33 +14,30 @@ def keyword_leaks(texts: DataFrame, keywords: list[str]) -> DataFrame:
     return texts.select("id", F.explode(tokens).alias("keyword"))
 
 
-def nested_key_leaks(documents: DataFrame, forbidden: list[str], allowed: list[str]) -> DataFrame:
-    """(id, path, key): forbidden keys at any depth of JSON documents (id, body), except below the allowed top-level keys."""
-    bad, fine = frozenset(forbidden), frozenset(allowed)
-
-    def walk(obj, path: str):
-        todo = [(obj, path)]
-        while todo:
-            node, at = todo.pop()
-            inner = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
-            for k, v in inner:
-                here = f"{at}[{k}]" if isinstance(node, list) else f"{at}.{k}" if at else str(k)
-                if isinstance(node, dict) and k in bad:
-                    yield here, k
-                if at or k not in fine:
-                    todo.append((v, here))
-
-    @F.pandas_udf("array<struct<path:string,key:string>>")
-    def leaks(body: pd.Series) -> pd.Series:
-        out = []
-        for text in body:
-            try:
-                out.append(sorted(walk(json.loads(text), "")) if text else [])
-            except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes
-                out.append([])
-        return pd.Series([[{"path": p, "key": k} for p, k in x] for x in out])
-
-    return documents.select("id", F.explode(leaks("body")).alias("l")).select("id", "l.path", "l.key")
+def nested_key_leaks(documents: DataFrame, forbidden: list[str], allowed: list[str], levels: int = 64) -> DataFrame:
+    """(id, path, key, problem): forbidden keys at any depth of JSON documents (id, body), except below the allowed top-level keys.
+
+    One level is taken apart after another. What can't be read never passes in silence: a body
+    that is no JSON, repeats a key of one object, or is nested deeper than Spark parses, and one
+    with containers below so many levels, have a row with the problem (no_json, too_deep) and no
+    key. Null and empty bodies hold nothing.
+    """
+    parsed = documents.where("body <> ''").select("id", F.try_parse_json("body").alias("v"))
+    problem = lambda df, path, name: df.select("id", path.alias("path"), F.lit(None).cast("string").alias("key"), F.lit(name).alias("problem"))
+    out = problem(parsed.where("v IS NULL"), F.lit(""), "no_json")
+    level = parsed.where("v IS NOT NULL").withColumn("at", F.lit(""))
+    spark = documents.sparkSession
+    for depth in range(levels + 1):
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        here = F.when(F.col("key").isNull(), F.concat("at", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("at") == "", F.col("key")).otherwise(F.concat("at", F.lit("."), "key"))
+        level = checkpointed(inner.select("id", "key", here.alias("at"), F.col("value").alias("v"), F.lit(depth == 0).alias("top")))
+        if level.isEmpty():
+            return out
+        if depth == levels:
+            return out.unionByName(problem(level, F.col("at"), "too_deep"))
+        out = out.unionByName(level.where(F.col("key").isin(list(forbidden))).select("id", F.col("at").alias("path"), "key", F.lit(None).cast("string").alias("problem")))
+        level = level.where(~(F.col("top") & F.coalesce(F.col("key").isin(list(allowed)), F.lit(False)))).select("id", "v", "at")
+    return out
 
 
 def required_artifacts(runs: DataFrame, files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -174,3 +174,30 @@ def fuse_log_and_witness(log_signals: DataFrame, witnesses: DataFrame) -> DataFr
     both = log_signals.alias("l").join(witnesses.alias("w"), "run_id", "full")
     tests = F.array_distinct(F.concat(F.coalesce("l.failed_tests", none), F.coalesce("w.failed_tests", none)))
     return both.select("run_id", tests.alias("failed_tests"), F.coalesce(F.nullif("l.first_error", F.lit("")), F.nullif("w.first_error", F.lit("")), F.lit("")).alias("first_error"))
+
+
+def fuse_frames(log_frames: DataFrame, witness_frames: DataFrame) -> DataFrame:
+    """(run_id, pos, file, line, function, source) of both, each (run_id, pos, file, line, function): frames of the log first, as they are, then those of the witness that it doesn't have, each once, with the path in the repository.
+
+    Frames are the same if path within the repository, line and function are.
+    """
+    inner = F.when(F.contains("file", F.lit("/testbed/")), F.expr("substring(file, instr(file, '/testbed/') + 9)")).otherwise(F.coalesce("file", F.lit("")))
+    filled = lambda df: df.select("run_id", "pos", "file", inner.alias("path"), F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("function", F.lit("")).alias("function"))
+    log, told = filled(log_frames), filled(witness_frames)
+    key = ["run_id", "path", "line", "function"]
+    new = told.groupBy(*key).agg(F.min("pos").alias("pos")).join(log.select(*key).distinct().hint("merge"), key, "left_anti")
+    both = log.select("run_id", F.lit(0).alias("step"), "pos", "file", "line", "function").unionByName(new.select("run_id", F.lit(1).alias("step"), "pos", F.col("path").alias("file"), "line", "function"))
+    order = Window.partitionBy("run_id").orderBy("step", "pos", "file", "line", "function")
+    return both.select("run_id", (F.row_number().over(order) - 1).alias("pos"), "file", "line", "function", F.when(F.col("step") == 0, "log").otherwise("witness").alias("source"))
+
+
+# Error types that are counted in a witness's message.
+COUNTED_TYPES = ["TypeError", "AssertionError", "AttributeError", "ValueError", "ImportError"]
+
+
+def fuse_error_types(logs: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """(run_id, error_type, n): counts of the log (run_id, error_messages array, error_types map) plus one for each counted type in the witness's message (run_id, error_message), if the log doesn't have that message already."""
+    told = logs.select("run_id", F.explode("error_types").alias("error_type", "n"))
+    said = witnesses.where("error_message <> ''").join(logs.select("run_id", "error_messages").hint("merge"), "run_id", "left").where(~F.coalesce(F.array_contains("error_messages", F.col("error_message")), F.lit(False)))
+    named = said.select("run_id", F.explode(F.filter(F.array(*(F.lit(t) for t in COUNTED_TYPES)), lambda t: F.contains("error_message", t))).alias("error_type"))
+    return told.select("run_id", "error_type", F.col("n").cast("long").alias("n")).unionByName(named.withColumn("n", F.lit(1).cast("long"))).groupBy("run_id", "error_type").agg(F.sum("n").alias("n"))

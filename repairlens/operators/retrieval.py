@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repairlens.functions.joins import join_list, join_terms
+from repairlens.functions.joins import join_contains, join_list
 from repairlens.functions.text import strip
 
 
@@ -76,14 +76,14 @@ def failed_test_sites(tests: DataFrame, names: DataFrame) -> DataFrame:
     bare = names.withColumn("leaf", F.substring_index(F.element_at(F.split("failed", "::"), -1), "[", 1))
     exact = join_list(tests, bare, F.col("name") == F.col("leaf")).select("failed", "path", "name", F.lit(True).alias("exact"))
     left = bare.join(exact.select("failed").distinct(), "failed", "left_anti")
-    part = join_terms(tests, left, F.contains("name", "leaf")).select("failed", "path", "name", F.lit(False).alias("exact"))
+    part = join_contains(tests, F.col("name"), left, "leaf").select("failed", "path", "name", F.lit(False).alias("exact"))
     return exact.unionByName(part)
 
 
 def neighbor_tests(tests: DataFrame, concepts: DataFrame, k: int = 2) -> DataFrame:
     """(concept, path, name, n): tests whose names hold most parts of a concept (concept), the best k."""
     parts = concepts.select("concept", F.explode(F.array_distinct(F.filter(F.split(F.lower("concept"), "[^a-z0-9]+"), lambda t: F.length(t) > 2))).alias("part"))
-    hits = join_terms(tests, parts, F.contains(F.lower("name"), "part")).groupBy("concept", "path", "name").agg(F.count("*").alias("n"))
+    hits = join_contains(tests, F.lower("name"), parts, "part").groupBy("concept", "path", "name").agg(F.count("*").alias("n"))
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("n"), "path", "name"))).where(F.col("r") <= k).drop("r")
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repairlens.functions import python_lines
-from repairlens.functions.joins import join_list, join_terms
+from repairlens.functions.joins import join_contains, join_list
 from repairlens.functions.text import lines_py
 
 TEST_PATH = r"(^|/)tests/|(^|/)test_[^/]*\.py$|_test\.py$"
@@ -21,9 +21,9 @@ def code_lines(files: DataFrame) -> DataFrame:
 def code_search(lines: DataFrame, queries: DataFrame, k: int = 5, window: int = 20) -> DataFrame:
     """(query, path, ln, start_line, end_line): the first k lines in (path, line) order that hold each query; test files are left out.
 
-    queries (query) is a list of search terms, joined in blocks.
+    queries (query) are search terms, found through an index of runs of three letters.
     """
-    hits = join_terms(lines.where(~F.col("path").rlike(TEST_PATH)), queries.where("length(query) > 1"), F.contains("text", "query"))
+    hits = join_contains(lines.where(~F.col("path").rlike(TEST_PATH)), F.col("text"), queries.where("length(query) > 1"), "query")
     ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("path", "ln"))).where(F.col("r") <= k)
     return ranked.select("query", "path", "ln", F.greatest(F.col("ln") - window, F.lit(1)).alias("start_line"), (F.col("ln") + window).alias("end_line"))
 
@@ -70,19 +70,36 @@ def find_callers(lines: DataFrame, symbols: DataFrame, k: int = 5) -> DataFrame:
     return best.withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("score"), "path"))).where(F.col("r") <= k).drop("r")
 
 
+#: Lines of a block of the interval join of mark_already_seen.
+LINE_BLOCK = 256
+
+
 def mark_already_seen(candidates: DataFrame, views: DataFrame, near: int = 5) -> DataFrame:
     """Adds seen: some view (instance_id, path, start_line, end_line) overlaps the candidate when both are widened by so many lines.
 
-    One path may be the end of the other: roots differ. Paths are compared within instances and equal last two characters.
+    One path may be the end of the other: roots differ; an empty one is no path. The shorter path is entered under its
+    base name, or whole if it has no folder; the longer one under its base name and the endings
+    of it. Spans meet within an instance under such a key and a block of lines.
     """
-    keyed = lambda df: df.select("instance_id", "path", "start_line", "end_line").distinct().withColumn("tail", F.expr("right(path, 2)"))
-    c, v = keyed(candidates).alias("c"), keyed(views).alias("v")
-    same = F.expr("endswith(c.path, v.path) OR endswith(v.path, c.path)")
-    close = (F.col("c.start_line") <= F.col("v.end_line") + 2 * near) & (F.col("v.start_line") <= F.col("c.end_line") + 2 * near)
-    close &= (F.col("c.start_line") <= F.col("c.end_line") + 2 * near) & (F.col("v.start_line") <= F.col("v.end_line") + 2 * near)
-    alike = (F.col("c.instance_id") == F.col("v.instance_id")) & (F.col("c.tail") == F.col("v.tail"))
-    seen = c.join(v.hint("merge"), alike & same & close, "left_semi").select("instance_id", "path", "start_line", "end_line").withColumn("seen", F.lit(True))
-    return candidates.join(seen.hint("merge"), ["instance_id", "path", "start_line", "end_line"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    span = ["instance_id", "path", "start_line", "end_line"]
+    base = F.substring_index("path", "/", -1)
+    brief = F.array(F.when(F.contains("path", F.lit("/")), F.concat(F.lit("/"), base)).otherwise(F.col("path")))
+    names = F.when(F.length(base) > 0, F.transform(F.sequence(F.lit(1), F.length(base)), lambda n: F.right(base, n))).otherwise(F.array().cast("array<string>"))
+    full = F.when(F.contains("path", F.lit("/")), F.concat(F.array(F.concat(F.lit("/"), base)), names)).otherwise(names)
+    blocks = F.sequence(F.floor((F.col("start_line") - near) / LINE_BLOCK), F.floor((F.col("end_line") + near) / LINE_BLOCK))
+
+    def entered(df: DataFrame, keys: Column, tag: str) -> DataFrame:
+        valid = df.select(*span).distinct().where("path <> ''").where(F.col("start_line") <= F.col("end_line") + 2 * near)
+        return valid.withColumn("key", F.explode(keys)).withColumn("block", F.explode(blocks)).select("instance_id", "key", "block", *(F.col(c).alias(f"{tag}_{c}") for c in span[1:]))
+
+    close = (F.col("c_start_line") <= F.col("v_end_line") + 2 * near) & (F.col("v_start_line") <= F.col("c_end_line") + 2 * near)
+
+    def met(own: Column, other: Column, ends: str) -> DataFrame:
+        c, v = entered(candidates, own, "c"), entered(views, other, "v")
+        return c.join(v.hint("merge"), ["instance_id", "key", "block"]).where(close & F.expr(ends)).select("instance_id", *(F.col(f"c_{x}").alias(x) for x in span[1:]))
+
+    seen = met(full, brief, "endswith(c_path, v_path)").unionByName(met(brief, full, "endswith(v_path, c_path)")).distinct().withColumn("seen", F.lit(True))
+    return candidates.join(seen.hint("merge"), span, "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
 def edited_windows(edited: DataFrame, gap: int = 10, window: int = 20) -> DataFrame:
@@ -178,7 +195,7 @@ def find_symbols(symbols: DataFrame, hints: DataFrame) -> DataFrame:
     """
     exact = join_list(symbols, hints, F.col("name") == F.col("hint")).select("hint", "path", "name", F.lit(0.92).alias("score"))
     left = hints.join(exact.select("hint").distinct(), "hint", "left_anti")
-    part = join_terms(symbols, left, F.contains("name", "hint")).select("hint", "path", "name", F.lit(0.78).alias("score"))
+    part = join_contains(symbols, F.col("name"), left, "hint").select("hint", "path", "name", F.lit(0.78).alias("score"))
     found = exact.unionByName(part)
     if "kind" not in symbols.columns:
         return found

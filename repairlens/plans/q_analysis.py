@@ -23,7 +23,11 @@ def _matrix(records):
     return ev.failure_class(ev.merge_eval_status(records).join(facts, "instance_id"))
 
 
-_sources = lambda lines: lines.where("kind <> 'gold'").select("instance_id", F.expr("CASE kind WHEN 'viewed' THEN 'viewed' WHEN 'final' THEN 'edited' ELSE 'search' END").alias("source"), "path", "line")
+_sources = lambda spans: spans.withColumn("kind", F.expr("CASE kind WHEN 'gold' THEN 'gold' WHEN 'viewed' THEN 'viewed' WHEN 'final' THEN 'edited' ELSE 'search' END"))
+_BASELINES = ["packet", "broad", "feedback"]
+_which = lambda: F.element_at(F.array(*(F.lit(b) for b in [*_BASELINES, "oracle"])), (F.col("ord") % 4 + 1).cast("int"))
+_reports = lambda r: r.select("instance_id", _which().alias("baseline"), F.concat(F.lit("a"), (F.col("instance_id") % 3).cast("string")).alias("action"), F.when(F.col("ord") % 6 < 2, "packet_noop").otherwise("full").alias("packet_mode"), F.when(F.col("ord") % 5 > 0, F.col("ord") % 7 == 0).alias("should_retry"))
+_recalls = lambda r: r.groupBy("instance_id", _which().alias("baseline")).agg((F.max("ord") % 4 / 4).alias("incremental_recall")).withColumn("incremental_recall", F.when(F.col("instance_id") % 2 == 0, F.col("incremental_recall")))
 _attempts = lambda r: r.select("instance_id", F.concat(F.lit("b"), (F.col("ord") % 3).cast("string")).alias("baseline"), "resolved")
 
 def _solved(docs):
@@ -55,10 +59,14 @@ QUERIES = {
     "cluster_failures": query(lambda f: fl.cluster_failures(fl.failure_events(f)), "failures"),
     "cluster_summary": query(lambda f: fl.cluster_summary(fl.failure_events(f), fl.cluster_failures(fl.failure_events(f))).drop("cluster_id"), "failures"),
     "expand_spans": query(ev.expand_spans, "spans"),
-    "overlap_metrics": query(lambda s: ev.overlap_metrics(ev.expand_spans(s)), "spans"),
+    "segments": query(lambda s: ev.segments(s).where("gold").groupBy("instance_id", "path").agg(F.sum("n").alias("gold_lines"), F.sum(F.expr("CASE WHEN candidate THEN n ELSE 0 END")).alias("hit_lines"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line")), "spans"),
+    "overlap_metrics": query(lambda s: ev.overlap_metrics(ev.segments(s)), "spans"),
+    "overlap_per_1k": query(lambda s, d: ev.overlap_per_1k(ev.overlap_metrics(ev.segments(s)), d.select(F.col("doc_id").alias("instance_id"), F.when(F.col("doc_id") % 5 > 0, F.col("n_chars")).alias("packet_chars"))).select("instance_id", "line_inter", "overlap_per_1k_chars"), "spans", "documents"),
+    "abstain_checks": query(lambda r: ev.abstain_checks(_reports(r), _BASELINES), "eval_records"),
+    "abstain_summary": query(lambda r: ev.abstain_summary(ev.abstain_checks(_reports(r), _BASELINES), _recalls(r)), "eval_records"),
     "gold_subsets": query(lambda s: ev.gold_subsets(ev.expand_spans(s)), "spans"),
-    "incremental_recall": query(lambda s: ev.incremental_recall(ev.gold_subsets(ev.expand_spans(s))), "spans"),
-    "source_ablation": query(lambda s: ev.source_ablation(_sources(ev.expand_spans(s)), ev.expand_spans(s).where("kind = 'gold'")), "spans"),
+    "incremental_recall": query(lambda s: ev.incremental_recall(ev.gold_segments(ev.segments(s))), "spans"),
+    "source_ablation": query(lambda s: ev.source_ablation(ev.segments(_sources(s), ["gold", "edited", "viewed", "search"])), "spans"),
     "baseline_aggregates": query(lambda s: ev.baseline_aggregates(_metrics(ev.expand_spans(s))), "spans"),
     "win_rate": query(lambda s: ev.win_rate(_metrics(ev.expand_spans(s))), "spans"),
     "action_group_metrics": query(lambda s: ev.action_group_metrics(_metrics(ev.expand_spans(s)).withColumn("action", F.col("instance_id") % 5), ["candidate", "final", "viewed"]), "spans"),
@@ -101,7 +109,18 @@ _REC = ", ".join(f"count(*) FILTER ({c}) AS {n}_lines, count(*) FILTER (hit AND
 
 _SOLVED = "s AS (SELECT 'org__' || source || '-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS instance_id, CASE WHEN doc_id % 2 = 0 THEN source END AS repo, source, CASE WHEN n_chars % 50 < 45 THEN n_chars % 50 END AS solved FROM documents)"
 _HARD = f"WITH {_SOLVED}, k AS (SELECT instance_id, repo, source, CAST(coalesce(solved, 9999) AS BIGINT) AS solved FROM s)"
+_REPORTS = """p AS (SELECT instance_id, ord, (['packet', 'broad', 'feedback', 'oracle'])[ord % 4 + 1] AS baseline FROM eval_records),
+o AS (SELECT instance_id, baseline, bool_or(ord % 5 > 0 AND ord % 7 = 0) AS fires, bool_or(ord % 6 < 2) AS abstain FROM p WHERE baseline <> 'oracle' GROUP BY 1, 2),
+ch AS (SELECT instance_id, baseline, 'a' || (instance_id % 3) AS action, abstain, NOT EXISTS (SELECT 1 FROM o x WHERE x.instance_id = o.instance_id AND x.baseline <> o.baseline AND x.fires) AS others_silent FROM o)"""
 ORACLES = {
+    "segments": oracle("spans", f"""{_LINES}, l AS (SELECT instance_id, path, line, bool_or(kind = 'gold') AS g, bool_or(kind = 'candidate') AS c FROM ln GROUP BY ALL)
+SELECT instance_id, path, count(*) AS gold_lines, count(*) FILTER (c) AS hit_lines, min(line) AS first_line, max(line) AS last_line FROM l WHERE g GROUP BY 1, 2"""),
+    "overlap_per_1k": oracle("spans", f"""{_LINES}, f AS (SELECT instance_id, path, line, bool_or(kind = 'candidate') AS c, bool_or(kind = 'gold') AS g FROM ln WHERE kind IN ('candidate', 'gold') GROUP BY ALL)
+SELECT instance_id, count(*) FILTER (c AND g) AS line_inter, CASE WHEN max(n_chars) > 0 AND instance_id % 5 > 0 THEN round(count(*) FILTER (c AND g) / (max(n_chars) / 1000), 3) ELSE 0 END AS overlap_per_1k_chars FROM f LEFT JOIN documents ON doc_id = instance_id GROUP BY instance_id"""),
+    "abstain_checks": oracle("eval_records", f"{_REPORTS} SELECT *, abstain AND others_silent AS abstain_correct, NOT abstain AND others_silent AS false_intervention FROM ch"),
+    "abstain_summary": oracle("eval_records", f"""{_REPORTS}, r AS (SELECT instance_id, baseline, CASE WHEN instance_id % 2 = 0 THEN (max(ord) % 4) / 4 END AS inc FROM p GROUP BY 1, 2)
+SELECT baseline, action, count(*) AS n, count(*) FILTER (abstain) AS abstained, count(*) FILTER (abstain AND others_silent) AS abstain_correct, count(*) FILTER (NOT abstain AND others_silent) AS false_interventions, round(avg(inc), 6) AS avg_recall
+FROM ch LEFT JOIN r USING (instance_id, baseline) GROUP BY 1, 2"""),
     "seed_groups": """WITH RECURSIVE e AS (SELECT l_orderkey % 97 AS run_id, CASE WHEN l_linenumber < 3 THEN 'TYPE_ERROR' ELSE 'OTHER' END AS error_class, l_orderkey * 10 + l_linenumber AS ord,
     list_distinct(['a' || (l_partkey % 9), 'b' || (l_suppkey % 6), 'c' || (l_orderkey % 7), 'a' || (l_orderkey % 5)]) AS chain FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
 g AS (SELECT *, row_number() OVER (PARTITION BY run_id, error_class ORDER BY ord) AS i FROM e),

@@ -164,7 +164,7 @@ SELECT 'i-' || (p_partkey + 5) AS id, canonical, regexp_full_match(string_split(
 SELECT k AS instance_id, r OR (o AND e) AS effective, o AND e AND NOT r AS overridden, CASE WHEN o AND NOT i THEN 'not_in_pool' WHEN o AND NOT e THEN 'not_eligible' END AS reason FROM d""",
     "build_predictions": "SELECT o_orderkey AS instance_id, 'v' || (o_custkey % 3) AS label, 'bench' || (o_orderkey % 4) AS bench FROM orders WHERE o_orderkey % 4 <> 0",
     "keyword_leaks": oracle("issues", """SELECT instance_id AS id, k AS keyword FROM issues, (VALUES ('erinst'), ('the'), ('gold_patch')) v(k) WHERE regexp_matches(lower(issue), '(^|[^a-z_])' || k || '($|[^a-z_])')"""),
-    "nested_key_leaks": "SELECT o_orderkey AS id, unnest(['a[0].gold', 'a[1].b.gold']) AS path, 'gold' AS key FROM orders WHERE o_orderkey % 5 <> 0",
+    "nested_key_leaks": "SELECT o_orderkey AS id, unnest(['a[0].gold', 'a[1].b.gold']) AS path, 'gold' AS key, NULL::VARCHAR AS problem FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, '', NULL, 'no_json' FROM orders WHERE o_orderkey % 5 = 0",
     "required_artifacts": """WITH r AS (SELECT o_orderkey AS run_id, o_orderstatus = 'F' AS f, o_orderkey % 3 AS k FROM orders), m AS (SELECT run_id, CASE WHEN f THEN 3 ELSE 2 END AS n_required, CASE WHEN k = 0 AND f THEN 'report' WHEN k = 0 THEN '' WHEN k = 1 AND f THEN 'patch,report' WHEN k = 1 THEN 'patch' ELSE 'log' END AS missing FROM r)
 SELECT *, CASE WHEN missing <> '' THEN 'missing_artifacts' ELSE 'ok' END AS status FROM m""",
     "name_audit": """WITH f AS (SELECT 'org/p' || (p_partkey % 300) AS canonical, p_partkey % 4 = 0 AS odd FROM part) SELECT canonical, count(*) AS n_files, count(*) FILTER (odd) AS renames, count(DISTINCT odd) = count(*) AS unique FROM f GROUP BY 1""",

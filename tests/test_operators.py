@@ -119,7 +119,7 @@ def test_siblings_of_the_class_first_and_never_the_method_itself(spark):
 
 def test_recall_is_null_where_it_does_not_apply(spark):
     spans = spark.createDataFrame([(1, "gold", "f", 1, 2), (1, "viewed", "f", 1, 2), (1, "candidate", "f", 2, 3), (1, "candidate", "f", 5, 4)], "instance_id long, kind string, path string, start_line long, end_line long")
-    got = ev.incremental_recall(ev.gold_subsets(ev.expand_spans(spans))).first()
+    got = ev.incremental_recall(ev.gold_segments(ev.segments(spans))).first()
     assert (got.raw_recall, got.unseen_recall) == (0.5, None)
 
 
