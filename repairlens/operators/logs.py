@@ -28,6 +28,11 @@ FRAMEWORKS = [
     ("cpp_test", [r"FAILED\s+TEST", r"FAIL:\s+"]),
     ("ansible_custom", [r"fatal:", r"FAILED!"]),
 ]
+# Failure types of the stages that reach no parser, and of the rest.
+STAGE_TYPES = {
+    "patch_apply_failure": "git_apply", "dependency_or_environment_failure": "build_or_infra_failure", "test_collection_failure": "collect_error",
+    "timeout": "timeout", "validation_failure": "test_failure", "unknown_failure": "unknown",
+}
 # Patterns of failed tests, places and claims.
 NODE = r"(?m)FAILED\s+(\S+?)::(\S+?)(?:\s+-?\s*.*)?$"
 GO_TEST = r"(?m)^\s*---\s+FAIL:\s+(Test\w+)\s+"
@@ -139,7 +144,13 @@ def stage_authority(staged: DataFrame, evals: DataFrame) -> DataFrame:
 
 
 # Words of error messages that name no symbol.
-NOISE = ["Error", "The", "Expected", "Traceback", "None", "True", "False"]
+NOISE = [
+    "True", "False", "None", "Error", "Warning", "Exception",
+    "Std", "Linux", "Windows", "Mac", "OSError", "Errno",
+    "Python", "File", "Line", "Raised", "During", "Handling",
+    "Collecting", "Installing", "Downloading", "Successfully",
+    "Short", "Total", "Config", "Found", "Ran", "Docs",
+]
 
 
 def parse_traceback_frames(witnesses: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from repairlens.operators import logs as lg
@@ -55,12 +56,25 @@ def _runs(orders):
     return pl.run_matrix(base, {"report": orders.where("o_orderkey % 2 = 0").groupBy(*keys).agg(F.max("o_orderkey").alias("report")), "patch": orders.where("o_orderkey % 5 = 0").groupBy(*keys).agg(F.count("*").alias("patches"))})
 
 
+def _frames(spans, kind, root):
+    own = spans.where(F.col("kind") == kind).select(F.col("instance_id").alias("run_id"), F.col("path").alias("p"), root.alias("root"), (F.col("start_line") % 4).cast("int").alias("line"), F.concat(F.lit("f"), (F.col("end_line") % 2).cast("string")).alias("function"))
+    once = own.groupBy("run_id", "p", "line", "function").agg(F.min("root").alias("root"))
+    return once.select("run_id", F.row_number().over(Window.partitionBy("run_id").orderBy("p", "line", "function")).alias("pos"), F.concat("root", "p").alias("file"), "line", "function")
+
+
+def _types(failures):
+    logs = failures.select(F.col("ord").alias("run_id"), F.when(F.col("ord") % 3 == 0, F.array("error_message")).otherwise(F.array(F.lit("other"))).alias("error_messages"), F.create_map("exception_type", F.lit(2)).alias("error_types"))
+    return lg.fuse_error_types(logs, failures.select(F.col("ord").alias("run_id"), "error_message"))
+
+
 QUERIES = {
     "scope_score": query(_scope, "orders"),
     "edit_support": query(_support, "spans"),
     "prune_suggestions": query(lambda s: pt.prune_suggestions(_support(s)), "spans"),
     "parse_traceback_frames": query(lambda f: lg.parse_traceback_frames(_witnesses(f)), "failures"),
     "stack_source_files": query(lambda f: lg.stack_source_files(lg.parse_traceback_frames(_witnesses(f))), "failures"),
+    "fuse_frames": query(lambda s: lg.fuse_frames(_frames(s, "gold", F.lit("/testbed/")), _frames(s, "candidate", F.when(F.col("start_line") % 2 == 0, "").otherwise("/testbed/"))), "spans"),
+    "fuse_error_types": query(_types, "failures"),
     "error_symbols": query(lambda f: lg.error_symbols(_witnesses(f)).withColumn("symbols", F.array_join("symbols", ",")), "failures"),
     "fuse_log_and_witness": query(_fused, "failures"),
     "branch_verdict": query(_verdicts, "orders"),
@@ -85,7 +99,12 @@ SELECT *, CASE WHEN score >= 3 THEN 'strong' WHEN score >= 2 THEN 'warning' ELSE
     "prune_suggestions": oracle("spans", f"{_SUP} SELECT run_id, count(*) FILTER (support = 'supported') AS keep, count(*) FILTER (support = 'weak') AS review, count(*) FILTER (support = 'unsupported') AS drop FROM sup GROUP BY 1"),
     "parse_traceback_frames": oracle("failures", f"{_FR} SELECT * FROM fr"),
     "stack_source_files": oracle("failures", f"{_FR} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY contains(split_part(file, '/', -1), 'test'), line, pos) - 1 AS rank, split_part(file, '/', -1) AS name, line, contains(split_part(file, '/', -1), 'test') AS is_test FROM fr"),
-    "error_symbols": oracle("failures", "SELECT ord AS run_id, CASE ord % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'File,FooError' ELSE 'FAILED' END AS symbols FROM failures"),
+    "fuse_frames": oracle("spans", """f AS (SELECT DISTINCT kind, instance_id AS run_id, path, start_line % 4 AS line, end_line % 2 AS fn FROM spans WHERE kind IN ('gold', 'candidate')),
+n AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind ORDER BY path, line, fn) AS p FROM f WHERE kind = 'gold' OR NOT EXISTS (SELECT 1 FROM f g WHERE g.kind = 'gold' AND g.run_id = f.run_id AND g.path = f.path AND g.line = f.line AND g.fn = f.fn))
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE kind WHEN 'gold' THEN 0 ELSE 1 END, p) - 1 AS pos, CASE kind WHEN 'gold' THEN '/testbed/' ELSE '' END || path AS file, CAST(line AS INT) AS line, 'f' || fn AS function, CASE kind WHEN 'gold' THEN 'log' ELSE 'witness' END AS source FROM n"""),
+    "fuse_error_types": oracle("failures", """t AS (SELECT ord AS run_id, exception_type AS error_type, 2 AS n FROM failures UNION ALL
+SELECT ord, e, 1 FROM failures, (VALUES ('TypeError'), ('AssertionError'), ('ImportError')) v(e) WHERE contains(error_message, e) AND ord % 3 <> 0) SELECT run_id, error_type, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1, 2"""),
+    "error_symbols": oracle("failures", "SELECT ord AS run_id, CASE ord % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'FooError' ELSE 'FAILED' END AS symbols FROM failures"),
     "fuse_log_and_witness": oracle("failures", """SELECT ord AS run_id, CASE WHEN ord % 6 = 0 THEN test_name || ',log,witness' WHEN ord % 2 = 0 THEN test_name || ',log' ELSE test_name || ',witness' END AS failed_tests,
   CASE WHEN ord % 4 = 0 THEN '' WHEN ord % 2 = 0 THEN 'log' ELSE 'witness' END AS first_error FROM failures WHERE ord % 2 = 0 OR ord % 3 = 0"""),
     "branch_verdict": """WITH r AS (SELECT o_orderkey AS run_id, o_orderkey % 9 > 0 AS fair, o_orderkey % 8 > 0 AS second_run, o_orderkey % 7 > 0 AS first_valid, o_orderkey % 6 > 0 AS second_valid, o_orderkey % 5 > 2 AS first_resolved, o_orderkey % 4 > 1 AS second_resolved FROM orders)

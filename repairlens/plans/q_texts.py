@@ -74,7 +74,7 @@ QUERIES = {
     "parse_go_witness": query(lambda l: lg.parse_go_witness(l).withColumn("failed_tests", F.array_join("failed_tests", ",")), "logs"),
     "parse_generic_witness": query(lg.parse_generic_witness, "logs"),
     "witness_quality": query(_quality, "logs"),
-    "build_witnesses": query(wt.build_witnesses, "logs"),
+    "build_witnesses": query(lambda logs: wt.build_witnesses(logs).withColumn("stack_trace", F.array_join("stack_trace", "; ")), "logs"),
     "normalize_frames": query(_frames, "spans"),
     "error_tokens": query(lambda l: lg.error_tokens(l, ["AssertionError"]), "logs"),
     "stage_authority": query(_authority, "logs"),
@@ -144,14 +144,17 @@ ORACLES = {
 SELECT *, {_QUAL} AS quality FROM w"""),
     "build_witnesses": oracle("logs", f"""{_NORM}, s AS (SELECT *, {_case(lg.STAGES, 'unknown_failure')} AS stage, {_case(lg.FRAMEWORKS, 'generic')} AS framework FROM norm),
 p AS (SELECT *, CASE WHEN stage <> 'validation_failure' OR length({_STRIP.format('log_text')}) < 20 THEN 'stage_detector' {' '.join(f"WHEN framework = '{f}' OR {' OR '.join('(' + ' AND '.join(_has([x]) for x in ps) + ')' for ps in shapes)} THEN '{n}'" for n, (f, shapes) in wt.PARSERS.items())} ELSE 'generic' END AS parser FROM s),
-{_PY.format('norm')}, w AS (SELECT p.run_id, stage, framework, parser, py.message AS said, py.failure_type AS kind, expected, n_frames, log_text, regexp_extract_all(log_text, '{lg.GO_LINE}', 3) AS g, py.failed_tests AS pt FROM p JOIN py USING (run_id)),
+{_PY.format('norm')}, w AS (SELECT p.run_id, stage, framework, parser, py.message AS said, py.failure_type AS kind, expected, actual, log_text, regexp_extract_all(log_text, '{lg.GO_LINE}', 3) AS g, py.failed_tests AS pt,
+  string_split({_STRIP.format('log_text')}, chr(10)) AS l FROM p JOIN py USING (run_id)),
 v AS (SELECT run_id, stage, framework, parser, true AS observed, parser <> 'stage_detector' AS has_witness, CASE parser WHEN 'pytest' THEN pt WHEN 'go' THEN regexp_extract_all(log_text, '{lg.GO_TEST}', 1) ELSE [] END AS t,
-  CASE parser WHEN 'pytest' THEN expected IS NOT NULL WHEN 'go' THEN regexp_matches(g[1], '{lg.GO_WANT}') ELSE false END AS has_expected, CASE parser WHEN 'pytest' THEN n_frames > 0 WHEN 'generic' THEN false WHEN 'stage_detector' THEN false ELSE true END AS has_trace,
-  CASE parser WHEN 'pytest' THEN said WHEN 'stage_detector' THEN '' WHEN 'go' THEN substring(g[1], 1, 500)
+  CASE parser WHEN 'pytest' THEN expected IS NOT NULL AND actual IS NOT NULL WHEN 'go' THEN regexp_matches(g[1], '{lg.GO_WANT}') ELSE false END AS has_expected,
+  CASE parser WHEN 'go' THEN 'File "x_test.go", line 42' ELSE '' END AS stack_trace,
+  CASE parser WHEN 'pytest' THEN said WHEN 'stage_detector' THEN substring(CASE WHEN len(l) > 30 THEN array_to_string(l[1:20] || ['...'] || l[-10:], chr(10)) ELSE log_text END, 1, 2000) WHEN 'go' THEN substring(g[1], 1, 500)
     WHEN 'cargo' THEN 'Test run failed (' || regexp_extract(log_text, '{dl.CARGO_RESULT}', 1) || ' passed, ' || regexp_extract(log_text, '{dl.CARGO_RESULT}', 2) || ' failed)'
     WHEN 'cpp' THEN {_TAIL} ELSE {_GENERIC} END AS message,
-  CASE parser WHEN 'pytest' THEN kind WHEN 'stage_detector' THEN stage ELSE 'test_failure' END AS failure_type FROM w),
-x AS (SELECT *, len(t) > 0 AS has_tests FROM v) SELECT run_id, stage, framework, parser, array_to_string(t, ',') AS failed_tests, message, failure_type, {_QUAL} AS quality FROM x"""),
+  CASE parser WHEN 'pytest' THEN kind WHEN 'stage_detector' THEN CASE stage WHEN 'patch_apply_failure' THEN 'git_apply' WHEN 'dependency_or_environment_failure' THEN 'build_or_infra_failure' WHEN 'test_collection_failure' THEN 'collect_error'
+    WHEN 'timeout' THEN 'timeout' WHEN 'validation_failure' THEN 'empty_log' ELSE 'unknown' END ELSE 'test_failure' END AS failure_type FROM w),
+x AS (SELECT *, len(t) > 0 AS has_tests, stack_trace <> '' AS has_trace FROM v) SELECT run_id, stage, framework, parser, array_to_string(t, ',') AS failed_tests, message, failure_type, {_QUAL} AS quality, stack_trace FROM x"""),
     "normalize_frames": oracle("spans", """f AS (SELECT DISTINCT CASE start_line % 5 WHEN 0 THEN '/testbed/' WHEN 1 THEN '/usr/lib/' WHEN 2 THEN '' WHEN 3 THEN '/opt/site-packages/' ELSE 'tests/' END || path AS path FROM spans)
 SELECT path, replace(path, '/testbed/', '') AS file, NOT starts_with(path, '/usr') AND NOT starts_with(path, '/opt') AS is_repo_frame, starts_with(path, 'tests/') AS is_test_file FROM f"""),
     "error_tokens": oracle("logs", r"""SELECT DISTINCT run_id, unnest(regexp_extract_all(log_text, '\b(\w+(?:Error|Exception|Warning))\b', 1) || regexp_extract_all(log_text, 'FAILED\s+\S+?::(\w+)', 1)) AS token FROM logs QUALIFY token <> 'AssertionError'""".replace("SELECT DISTINCT run_id, unnest", "SELECT DISTINCT run_id, token FROM (SELECT run_id, unnest").replace(" QUALIFY token <> 'AssertionError'", ") WHERE token <> 'AssertionError'")),

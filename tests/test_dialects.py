@@ -5,6 +5,7 @@ import json
 import pytest
 
 from repairlens.operators import dialects as dl
+from repairlens.operators import logs as lg
 from repairlens.operators import witnesses as wt
 
 CARGO = "test bin::a ... FAILED\nthread 'a' panicked at tests/x.rs:3:5:\nexpected:\n~~~~~~~~~~~~\none\n~~~~~~~~~~~~\n\ngot:\n~~~~~~~~~~~~\ntwo\n~~~~~~~~~~~~\ntest result: FAILED. 3 passed; 1 failed; 0 ignored\n"
@@ -42,11 +43,11 @@ ROUTED = [
     ("--- FAIL: TestX (0.01s)\n    x_test.go:42: expected 3, got 4\nassert", "go", "TestX", "expected 3, got 4", "high"),
     ("PLAY [all]\nTASK [x]\nfatal: [h]: FAILED! => no such host", "ansible", "", "no such host", "low"),
     ("[  FAILED  ] A.b\n1 FAILED TEST", "cpp", "A.b", "1 test(s) failed", "medium"),
-    ("FAIL: test_b (pkg.Case)\nAssertionError: 1", "cpp", "", "AssertionError: 1", "medium"),
+    ("FAIL: test_b (pkg.Case)\nAssertionError: 1", "cpp", "", "AssertionError: 1", "low"),
     ("  2 passing\n  1 failing\n\n  1) suite case\n  TypeError: x", "js", "suite case", "TypeError: x", "medium"),
     ("Tests run: 3, Failures: 1, Errors: 0\nBUILD FAILURE", "jvm", "run=3 fail=1 err=0", "1 test(s) failed", "medium"),
     ("something failed: here it is\nexit code: 3", "generic", "", "failed: here it is", "low"),
-    ("error", "stage_detector", "", "", "minimal"),
+    ("error", "stage_detector", "", "error", "minimal"),
 ]
 
 
@@ -56,3 +57,46 @@ def test_logs_are_routed_to_the_parser_that_fits(spark):
     assert sorted(g[:4] for g in got if g[0] < 50) == [(i, *r[1:4]) for i, r in enumerate(ROUTED)]
     assert {g[0]: g[4] for g in got if g[0] < 50} == {i: r[4] for i, r in enumerate(ROUTED)}
     assert len(got) == len(logs)  # equal rows give one row each
+
+
+MOCHA = """
+Serverless: Stack create finished
+{
+  "stats": { "suites": 2, "tests": 10, "passes": 9, "failures": 1, "duration": 5000 },
+  "failures": [
+    {
+      "fullTitle": "monitorStack should fail",
+      "err": {
+        "stack": "ServerlessError: Cannot read\\n    at lib/plugins/monitorStack.js:97:26\\n    at tryCatcher (node_modules/bluebird/util.js:16:23)"
+      }
+    }
+  ]
+}
+"""
+GOLDEN = [
+    ("", "unknown_failure", "unknown", "infrastructure_only", []),
+    ("Ran 46 tests in 0.017s\nOK, nothing to see", "unknown_failure", "unknown", "infrastructure_only", []),
+    ("error", "validation_failure", "empty_log", "minimal", []),
+    ("error: patch failed: src/a.py:3", "patch_apply_failure", "git_apply", "infrastructure_only", []),
+    ("ModuleNotFoundError: no module named x", "dependency_or_environment_failure", "build_or_infra_failure", "infrastructure_only", []),
+    ("INTERNALERROR> something", "test_collection_failure", "collect_error", "infrastructure_only", []),
+    ("the command timed out after 3 s", "timeout", "timeout", "infrastructure_only", []),
+    ("test result: FAILED. 3 passed; 2 failed; 0 ignored", "validation_failure", "test_failure", "low", []),
+    ("thread 'm' panicked at tests/a.rs:7:1:\nboom\ntest result: FAILED. 0 passed; 1 failed;", "validation_failure", "panic", "medium", ['File "tests/a.rs", line 7']),
+    ("src/a.cpp:9:7: error: bad ref\n[  FAILED  ] A.b\n1 FAILED TEST", "dependency_or_environment_failure", "compile_error", "infrastructure_only", ['File "src/a.cpp", line 9']),
+    (MOCHA, "validation_failure", "test_failure", "medium", ['File "lib/plugins/monitorStack.js", line 97']),
+    ("FAIL src/a.test.js\n  TypeError: x\n    at f (node_modules/q/i.js:1:2)\n    at Object.g (src/a.js:10:5)", "validation_failure", "test_failure", "medium", ['File "node_modules/q/i.js", line 1', 'File "src/a.js", line 10']),
+    ("  2 passing\n  1 failing\n\n  1) suite case\n  TypeError: x\n    at f (node_modules/q/i.js:1:2)\n    at g (src/a.js:10:5)", "validation_failure", "test_failure", "medium", ['File "src/a.js", line 10', 'File "node_modules/q/i.js", line 1']),
+    ("it failed:\nTraceback (most recent call last):\n  File \"a.py\", line 3, in f\nValueXError: bad\n  File \"late.py\", line 1", "validation_failure", "test_failure", "medium", ['File "a.py", line 3, in f']),
+]
+
+
+def test_stage_types_frames_and_quality(spark):
+    rows = wt.build_witnesses(spark.createDataFrame([(i, g[0]) for i, g in enumerate(GOLDEN)], "run_id long, log_text string")).collect()
+    got = {r.run_id: (r.stage, r.failure_type, r.quality, list(r.stack_trace)) for r in rows}
+    assert got == {i: g[1:] for i, g in enumerate(GOLDEN)}
+
+
+def test_noise_names_no_symbol(spark):
+    told = spark.createDataFrame([(1, [], "Warning: Linux File handling broke Total Config"), (2, [], "The Widget and Widget.render broke Expected Traceback"), (3, ["f", "", "f"], "X")], "run_id long, functions array<string>, message string")
+    assert {r.run_id: r.symbols for r in lg.error_symbols(told).collect()} == {1: [], 2: ["The", "Widget", "Widget.render", "Expected", "Traceback"], 3: ["f"]}
