@@ -212,3 +212,41 @@ def fuse_error_types(logs: DataFrame, witnesses: DataFrame) -> DataFrame:
     said = witnesses.where("error_message <> ''").join(logs.select("run_id", "error_messages").hint("merge"), "run_id", "left").where(~F.coalesce(F.array_contains("error_messages", F.col("error_message")), F.lit(False)))
     named = said.select("run_id", F.explode(F.filter(F.array(*(F.lit(t) for t in COUNTED_TYPES)), lambda t: F.contains("error_message", t))).alias("error_type"))
     return told.select("run_id", "error_type", F.col("n").cast("long").alias("n")).unionByName(named.withColumn("n", F.lit(1).cast("long"))).groupBy("run_id", "error_type").agg(F.sum("n").alias("n"))
+
+
+# Tokens too general to point anywhere, exceptions of the language, files that are never an origin, and the patterns of each signal.
+GENERIC_TOKENS = ["Error", "Exception", "Warning", "DeprecationWarning", "UserWarning", "RuntimeWarning", "FutureWarning", "SyntaxWarning", "PendingDeprecationWarning", "ResourceWarning"]
+BUILTIN_EXCEPTIONS = [
+    "TypeError", "ValueError", "KeyError", "AttributeError", "IndexError", "NameError", "ImportError", "ModuleNotFoundError", "FileNotFoundError", "RuntimeError",
+    "StopIteration", "NotImplementedError", "ZeroDivisionError", "OverflowError", "AssertionError", "UnboundLocalError",
+]
+GENERIC_ORIGINS = ["__init__.py", "__main__.py", "conftest.py", "runtests.py", "setup.py", "sitecustomize.py", "usercustomize.py"]
+EXCEPTION = r"\b([A-Z][A-Za-z0-9_]*(?:Error|Exception|Warning))\b"
+CHECK_CODE = r"\b[EW]\d{3,4}\b"
+WARNED = r"warnings\.warn\(([A-Za-z_][A-Za-z0-9_]*)"
+STACK_FILE = r'File "([^"]+)", line (\d+)'
+
+
+def error_signals(logs: DataFrame) -> DataFrame:
+    """(run_id, kind, pos, token): exception names, warning categories, check codes, failed tests, stack files and origin files that a log tells, each once in order.
+
+    Names too general are left out; stack files are base names, origin files those that are
+    neither tests nor entry points. Rows that repeat a run_id are read one by one.
+    """
+    names = F.filter(F.array_distinct(_all(EXCEPTION, 1)), lambda t: ~t.isin(GENERIC_TOKENS))
+    warned = F.filter(F.array_distinct(_all(WARNED, 1)), lambda t: t.endswith("Warning") & ~t.isin(GENERIC_TOKENS))
+    nodes = F.array_distinct(F.zip_with(_all(r"FAILED\s+(\S+?)::(\S+)", 1), _all(r"FAILED\s+(\S+?)::(\S+)", 2), lambda a, b: F.concat(a, F.lit("::"), b)))
+    stack = F.array_distinct(F.transform(_all(STACK_FILE, 1), lambda f: F.substring_index(f, "/", -1)))
+    test = lambda f: F.lower(f).rlike(r"^test_|^conftest|_test\.|^test[^.]*\.")
+    general = lambda f: F.lower(F.trim(f)).isin(GENERIC_ORIGINS) | f.rlike(r"^\s*<.*>\s*$")
+    origin = F.filter(stack, lambda f: ~test(f) & ~general(f))
+    kinds = {"exception": names, "warning_code": warned, "check_code": F.array_distinct(_all(CHECK_CODE)), "failed_test": nodes, "stack_file": stack, "origin_file": origin}
+    placed = lambda kind, tokens: F.transform(tokens, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), t.alias("token")))
+    each = F.flatten(F.array(*(placed(kind, tokens) for kind, tokens in kinds.items())))
+    return logs.where("log_text IS NOT NULL").select("run_id", F.explode(each).alias("s")).select("run_id", "s.*")
+
+
+def specific_tokens(signals: DataFrame, internal: str = r"^Pytest|^_pytest") -> DataFrame:
+    """(run_id, token) of error_signals() that may point at an origin: exceptions that are no builtin ones, warning categories and check codes; ``internal`` matches names of the test framework itself."""
+    named = F.col("kind").isin("exception", "warning_code") & ~F.col("token").rlike(internal) & ~((F.col("kind") == "exception") & F.col("token").isin(BUILTIN_EXCEPTIONS))
+    return signals.where(named | (F.col("kind") == "check_code")).select("run_id", "token").distinct()

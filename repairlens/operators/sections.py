@@ -143,6 +143,21 @@ def classify_clusters(clusters: DataFrame) -> DataFrame:
     return clusters.select("run_id", "cluster", kind.alias("k")).select("run_id", "cluster", "k.*")
 
 
+def diagnose_clusters(clusters: DataFrame, most: int = 5) -> DataFrame:
+    """(run_id, cluster, type, subtype, confidence, targets, location) of clusters (run_id, cluster, n, messages, assertions, symbols, shared_frames, root_cause): the class, the symbols to look for and where.
+
+    symbols are the error symbols of the alignment. A rejected keyword points at the quoted names
+    of the first message and at the first shared frame, other classes at symbols and root cause.
+    """
+    classes = classify_clusters(clusters)
+    both = clusters.join(classes.hint("merge"), ["run_id", "cluster"])
+    quoted = F.array_distinct(F.regexp_extract_all(F.coalesce(F.get("messages", F.lit(0)), F.lit("")), F.lit("['\"](\\w+)['\"]"), F.lit(1)))
+    frame, none = F.col("subtype") == "FRAME_ATTRIBUTE_PROPAGATION", F.col("type") == "NO_RELIABLE_DEFICIENCY"
+    targets = F.when(none, F.array().cast("array<string>")).when(frame, F.when(F.size(quoted) > 0, quoted).otherwise(F.array(F.lit("<unknown>")))).otherwise(F.slice("symbols", 1, most))
+    location = F.when(none, "").when(frame, F.coalesce(F.get("shared_frames", F.lit(0)), F.lit(""))).otherwise(F.coalesce("root_cause", F.lit("")))
+    return both.select("run_id", "cluster", "type", "subtype", "confidence", targets.alias("targets"), location.alias("location"))
+
+
 def related_tests(files: DataFrame, targets: DataFrame, views: DataFrame, budget: int = 5) -> DataFrame:
     """(target, path, score, seen): test files by how they mention a target (target, module): in the body 100 and more, imported 80, by path 60, by name 30.
 
