@@ -107,6 +107,30 @@ def viewed_edited_sets(views: DataFrame, edits: DataFrame) -> DataFrame:
     return both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("viewed", "edited")})
 
 
+def run_features(messages: DataFrame, patch_files: DataFrame) -> DataFrame:
+    """trajectory_features() with files_visited (distinct files that commands or tools show) and files_edited (of the patch: run_id, file)."""
+    visited = file_view_counts(messages).groupBy("run_id").agg(F.count("*").alias("files_visited"))
+    edited = patch_files.groupBy("run_id").agg(F.count_distinct("file").alias("files_edited"))
+    full = trajectory_features(messages).join(visited.hint("merge"), "run_id", "left").join(edited.hint("merge"), "run_id", "left")
+    return full.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("files_visited", "files_edited")})
+
+
+def context_sets(views: DataFrame, edits: DataFrame, final: DataFrame) -> DataFrame:
+    """(run_id, viewed_not_final, edited_not_viewed) as sorted lists: files viewed but not in the final context, and edited without a view; each input has (run_id, file)."""
+    flag = lambda df, name: df.select("run_id", "file").distinct().withColumn(name, F.lit(True)).hint("merge")
+    full = flag(views, "v").join(flag(edits, "e"), ["run_id", "file"], "full").join(flag(final, "f"), ["run_id", "file"], "full")
+    listed = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("file"))))
+    return full.groupBy("run_id").agg(listed(F.col("v").isNotNull() & F.col("f").isNull()).alias("viewed_not_final"), listed(F.col("e").isNotNull() & F.col("v").isNull()).alias("edited_not_viewed"))
+
+
+def viewed_then_dropped(views: DataFrame, edits: DataFrame, frames: DataFrame) -> DataFrame:
+    """(run_id, file, reason) by base name: viewed files that the patch (edits) leaves alone (dropped), and files of stack frames never viewed (unvisited); each input has (run_id, file)."""
+    base = lambda df, name: df.select("run_id", F.substring_index("file", "/", -1).alias("file")).where("file <> ''").distinct().withColumn(name, F.lit(True)).hint("merge")
+    full = base(views, "v").join(base(edits, "e"), ["run_id", "file"], "full").join(base(frames, "s"), ["run_id", "file"], "full")
+    reason = F.when(F.col("v").isNotNull() & F.col("e").isNull(), "dropped").when(F.col("v").isNull() & F.col("s").isNotNull(), "unvisited")
+    return full.select("run_id", "file", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def exploration_mode(features: DataFrame) -> DataFrame:
     """Adds mode by ordered thresholds over bash_commands, test_commands, checkouts, files_visited, files_edited."""
     mode = F.expr("""CASE

@@ -133,6 +133,30 @@ def eval_overview(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("failure_class", "status").agg(F.count("*").alias("n"))
 
 
+def eval_matrix(instances: DataFrame, runs: DataFrame, records: DataFrame) -> DataFrame:
+    """One row for each of instances (instance_id, batch): merged evaluation of records, facts of runs (instance_id, patch_exists, patch_chars, test_runs, test_failures, submitted_without_tests), and the failure class. What isn't known counts as not evaluated, and as no patch, no tests and no failures."""
+    merged = merge_eval_status(records)
+    full = instances.select("instance_id", F.coalesce("batch", F.lit("unknown")).alias("batch")).join(runs.hint("merge"), "instance_id", "left").join(merged.hint("merge"), "instance_id", "left")
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    filled = full.withColumns({
+        "patch_exists": F.coalesce("patch_exists", no), "patch_chars": F.coalesce("patch_chars", zero), "test_runs": F.coalesce("test_runs", zero), "test_failures": F.coalesce("test_failures", zero),
+        "submitted_without_tests": F.coalesce("submitted_without_tests", no), "resolved": F.coalesce("resolved", F.lit("NOT_EVALUATED")), "status": F.coalesce("status", F.lit("NOT_EVALUATED")), "conflict": F.coalesce("conflict", no),
+    })
+    return failure_class(filled)
+
+
+def matrix_counts(matrix: DataFrame) -> DataFrame:
+    """(metric, n) over eval_matrix(): discovered, evaluated, not evaluated, broken, resolved, unresolved, conflicts."""
+    conds = {"discovered": "true", "evaluated": "status = 'EVALUATED'", "not_evaluated": "status = 'NOT_EVALUATED'", "broken": "status IN ('ENV_ERROR', 'PATCH_APPLY_FAILED')", "resolved": "resolved = 'True'", "unresolved": "resolved = 'False'", "conflicts": "status = 'CONFLICT'"}
+    one = matrix.agg(*(F.expr(f"count_if({c})").alias(n) for n, c in conds.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("n")) for n in conds))).alias("m")).select("m.*")
+
+
+def first_failed(matrix: DataFrame) -> DataFrame:
+    """The rows of eval_matrix() whose first attempt was evaluated, without conflict, and failed."""
+    return matrix.where("resolved = 'False' AND status = 'EVALUATED' AND NOT conflict")
+
+
 def rescue_matrix(base: DataFrame, attempts: DataFrame) -> DataFrame:
     """(instance_id, baseline, rescued, alone): attempts (instance_id, baseline, resolved) on instances that base (instance_id, resolved) failed; alone: no other baseline rescued it."""
     tried = attempts.groupBy("instance_id", "baseline").agg(F.expr("bool_or(coalesce(resolved, false))").alias("rescued"))

@@ -140,3 +140,22 @@ def cluster_summary(events: DataFrame, members: DataFrame) -> DataFrame:
         F.min_by("error_class", "ord").alias("error_class"),
         F.min_by("top_frame", "ord").alias("top_frame"),
     )
+
+
+def cluster_frames(events: DataFrame, members: DataFrame) -> DataFrame:
+    """(run_id, cluster, shared_frames, root_cause, error_types, test_names) of failure_events() and cluster_failures().
+
+    Shared frames are those in the call chains of all members, in the order of the first member's
+    chain; a member alone shares its own chain. The root cause is the first of them, else the
+    first member's top frame. error_types counts exception types (``type:n``, sorted), test_names
+    are in order of the members.
+    """
+    both = events.join(members.select("run_id", "ord", "cluster").hint("merge"), ["run_id", "ord"])
+    key = ["run_id", "cluster"]
+    sizes = both.groupBy(*key).agg(F.count("*").alias("n"), F.min_by(F.struct("call_chain", "top_frame"), "ord").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "test_name"))), lambda x: x["test_name"]).alias("test_names"))
+    held = both.select(*key, F.explode(F.array_distinct("call_chain")).alias("frame")).groupBy(*key, "frame").agg(F.count("*").alias("held"))
+    common = held.join(sizes.select(*key, "n").hint("merge"), key).where("held = n").groupBy(*key).agg(F.collect_set("frame").alias("common"))
+    types = both.groupBy(*key, "exception_type").agg(F.count("*").alias("k")).groupBy(*key).agg(F.array_sort(F.collect_list(F.concat_ws(":", "exception_type", F.col("k").cast("string")))).alias("error_types"))
+    full = sizes.join(common.hint("merge"), key, "left").join(types.hint("merge"), key)
+    shared = F.filter("first.call_chain", lambda f: F.array_contains(F.coalesce("common", F.array().cast("array<string>")), f))
+    return full.withColumn("shared_frames", shared).select(*key, "shared_frames", F.coalesce(F.get("shared_frames", F.lit(0)), "first.top_frame").alias("root_cause"), "error_types", "test_names")

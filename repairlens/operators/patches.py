@@ -14,9 +14,12 @@ CONFIG_FILES = ["setup.py", "setup.cfg", "pyproject.toml", "tox.ini", "requireme
 
 
 def diff_lines(patches: DataFrame) -> DataFrame:
-    """(run_id, pos, file, hunk, kind, old_line, new_line, text): kind is header, hunk, added, removed or context."""
-    lines = patches.select("run_id", F.posexplode(F.split("patch_text", "\n")).alias("pos", "text"))
-    by = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    """(run_id, patch, pos, file, hunk, kind, old_line, new_line, text): kind is header, hunk, added, removed or context.
+
+    ``patch`` tells patches of one run_id apart; equal rows are one patch. Null texts have no lines.
+    """
+    lines = patches.select("run_id", F.xxhash64("patch_text").alias("patch"), "patch_text").distinct().select("run_id", "patch", F.posexplode(F.split("patch_text", "\n")).alias("pos", "text"))
+    by = Window.partitionBy("run_id", "patch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = F.col("text")
     number = lambda g: F.when(t.rlike(HUNK), F.regexp_extract(t, HUNK, g).cast("int"))
     marked = lines.withColumns({
@@ -26,18 +29,18 @@ def diff_lines(patches: DataFrame) -> DataFrame:
     }).withColumns({"hunk": F.count_if("is_hunk").over(by), "inside": F.coalesce(F.last(F.when(F.col("is_hunk"), True).when(F.col("ends"), False), True).over(by), F.lit(False))})
     kind = F.when(F.col("is_hunk"), "hunk").when(~F.col("inside"), "header").when(t.startswith("+"), "added").when(t.startswith("-"), "removed").when(t == "", "header").otherwise("context")
     kinds = marked.withColumn("kind", kind)
-    inner = Window.partitionBy("run_id", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("run_id", "patch", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     at = lambda g, gone: F.max(number(g)).over(inner) + F.count_if(F.col("kind").isin("context", gone)).over(inner) - 1
     old = F.when(F.col("kind").isin("context", "removed"), at(1, "removed"))
     new = F.when(F.col("kind").isin("context", "added"), at(3, "added"))
-    return kinds.select("run_id", "pos", "file", "hunk", "kind", old.alias("old_line"), new.alias("new_line"), "text")
+    return kinds.select("run_id", "patch", "pos", "file", "hunk", "kind", old.alias("old_line"), new.alias("new_line"), "text")
 
 
 def patch_stats(patches: DataFrame) -> DataFrame:
-    """(run_id, files, hunks, added, deleted, changed, chars, lines)."""
+    """(run_id, patch, files, hunks, added, deleted, changed, chars, lines) of each patch of each run."""
     n = lambda kind: F.expr(f"count_if(kind = '{kind}')")
-    per = diff_lines(patches).groupBy("run_id").agg(F.count_distinct("file").alias("files"), n("hunk").alias("hunks"), n("added").alias("added"), n("removed").alias("deleted"), F.count("*").alias("lines"))
-    return per.join(patches.select("run_id", F.length("patch_text").alias("chars")).hint("merge"), "run_id").withColumn("changed", F.col("added") + F.col("deleted"))
+    per = diff_lines(patches).groupBy("run_id", "patch").agg(F.count_distinct("file").alias("files"), n("hunk").alias("hunks"), n("added").alias("added"), n("removed").alias("deleted"), F.count("*").alias("lines"))
+    return per.join(patches.select("run_id", F.xxhash64("patch_text").alias("patch"), F.length("patch_text").alias("chars")).distinct().hint("merge"), ["run_id", "patch"]).withColumn("changed", F.col("added") + F.col("deleted"))
 
 
 def classify_files(files: DataFrame) -> DataFrame:
@@ -49,11 +52,11 @@ def classify_files(files: DataFrame) -> DataFrame:
 
 
 def hunks(patches: DataFrame) -> DataFrame:
-    """(run_id, hunk, file, old_start, new_start, removed, added): lines without their sign, in order, joined by line feeds."""
+    """(run_id, patch, hunk, file, old_start, new_start, removed, added): lines without their sign, in order, joined by line feeds."""
     lines = diff_lines(patches).where("hunk > 0")
     ordered = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", F.expr("substring(text, 2)").alias("line"))))), lambda x: x["line"]), "\n")
     start = lambda g: F.max(F.when(F.col("kind") == "hunk", F.regexp_extract("text", HUNK, g).cast("int")))
-    return lines.groupBy("run_id", "hunk").agg(F.max("file").alias("file"), start(1).alias("old_start"), start(3).alias("new_start"), ordered("removed").alias("removed"), ordered("added").alias("added"))
+    return lines.groupBy("run_id", "patch", "hunk").agg(F.max("file").alias("file"), start(1).alias("old_start"), start(3).alias("new_start"), ordered("removed").alias("removed"), ordered("added").alias("added"))
 
 
 def patch_hash(col: Column) -> Column:

@@ -42,11 +42,19 @@ def diagnosis_plan(diagnoses: DataFrame) -> DataFrame:
     return diagnoses.groupBy("run_id").agg(F.element_at(names, 1).alias("primary"), F.count("*").alias("n"), F.array_join(F.slice(names, 1, 3), "; ").alias("summary"))
 
 
-def error_visit_alignment(frames: DataFrame, views: DataFrame) -> DataFrame:
-    """(run_id, alignment): whether a run viewed a source file of its stack, only a test file of it, or none (frames: run_id, file, is_test)."""
+def error_visit_alignment(frames: DataFrame, views: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(run_id, alignment): whether a run viewed a source file of its stack, only a test file of it, or none (frames: run_id, file, is_test).
+
+    With runs (run_id, has_failure) each of them has a row: ``unknown`` where nothing failed, no
+    witness is there, or the stack is empty.
+    """
     seen = views.select("run_id", "file").distinct().withColumn("seen", F.lit(True))
-    flags = frames.join(seen, ["run_id", "file"], "left").groupBy("run_id").agg(F.max(F.coalesce("seen", F.lit(False)) & ~F.col("is_test")).alias("source"), F.max(F.coalesce("seen", F.lit(False)) & F.col("is_test")).alias("test"))
-    return flags.select("run_id", F.when(F.col("source"), "visited_error_file").when(F.col("test"), "visited_stack_frame").otherwise("visited_none").alias("alignment"))
+    flags = frames.join(seen.hint("merge"), ["run_id", "file"], "left").groupBy("run_id").agg(F.max(F.coalesce("seen", F.lit(False)) & ~F.col("is_test")).alias("source"), F.max(F.coalesce("seen", F.lit(False)) & F.col("is_test")).alias("test"))
+    told = flags.select("run_id", F.when(F.col("source"), "visited_error_file").when(F.col("test"), "visited_stack_frame").otherwise("visited_none").alias("alignment"))
+    if runs is None:
+        return told
+    known = F.when(F.coalesce("has_failure", F.lit(False)), F.coalesce("alignment", F.lit("unknown"))).otherwise("unknown")
+    return runs.select("run_id", "has_failure").join(told.hint("merge"), "run_id", "left").select("run_id", known.alias("alignment"))
 
 
 def hypotheses(diagnoses: DataFrame) -> DataFrame:
@@ -70,20 +78,32 @@ def evidence_conflicts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("evidence_id").agg(F.count_distinct(F.struct("run_id", "source", "location")).alias("n")).where("n > 1")
 
 
+# Why a contract that would be worth a search gets none.
+OVER_ACTIONS, OVER_RESULTS = "exceeds plan-level action budget", "exceeds plan-level result budget"
+
+
 def allocate_plan(contracts: DataFrame, max_actions: int = 8, max_budget: int = 40) -> DataFrame:
-    """(run_id, ord, accepted, reason) of contracts (run_id, ord, confidence, uncertainty, n_clusters, n_actions, budget): by confidence, certainty and clusters, each that still fits."""
+    """(run_id, ord, accepted, reason) of contracts (run_id, ord, confidence, uncertainty, n_clusters, n_actions, budget): by confidence, certainty and clusters, each that still fits.
+
+    The fold keeps only what changes the remaining budget, so no more entries than the budgets
+    have units; each contract then finds the last of them before it. Work is linear in a run's
+    contracts.
+    """
     key = F.struct(F.expr(CONFIDENCE).alias("c"), "uncertainty", (-F.col("n_clusters")).alias("k"), "ord", "n_actions", "budget")
-    out = "array<struct<ord:bigint,accepted:boolean,reason:string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.array().cast(out).alias("out"))
+    taken = "array<struct<at:int,a:bigint,b:bigint>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("at"), F.array().cast(taken).alias("out"))
 
     def step(acc, x):
-        reason = F.when(acc["a"] + x["n_actions"] > max_actions, "actions").when(acc["b"] + x["budget"] > max_budget, "results")
-        ok = reason.isNull()
-        row = F.array(F.struct(x["ord"].alias("ord"), ok.alias("accepted"), reason.alias("reason"))).cast(out)
-        return F.struct((acc["a"] + F.when(ok, x["n_actions"]).otherwise(0)).cast("bigint").alias("a"), (acc["b"] + F.when(ok, x["budget"]).otherwise(0)).cast("bigint").alias("b"), F.concat(acc["out"], row).alias("out"))
+        a, b = (acc["a"] + x["n_actions"]).cast("bigint"), (acc["b"] + x["budget"]).cast("bigint")
+        changes = (a <= max_actions) & (b <= max_budget) & ((x["n_actions"] > 0) | (x["budget"] > 0))
+        entry = F.array(F.struct(acc["at"].alias("at"), a.alias("a"), b.alias("b"))).cast(taken)
+        return F.struct(F.when(changes, a).otherwise(acc["a"]).alias("a"), F.when(changes, b).otherwise(acc["b"]).alias("b"), (acc["at"] + 1).alias("at"), F.when(changes, F.concat(acc["out"], entry)).otherwise(acc["out"]).alias("out"))
 
-    folded = contracts.groupBy("run_id").agg(F.array_sort(F.collect_list(key)).alias("x")).select("run_id", F.aggregate("x", start, step, lambda acc: acc["out"]).alias("o"))
-    return folded.select("run_id", F.explode("o").alias("o")).select("run_id", "o.*")
+    folded = contracts.groupBy("run_id").agg(F.array_sort(F.collect_list(key)).alias("x")).select("run_id", "x", F.aggregate("x", start, step, lambda acc: acc["out"]).alias("taken"))
+    each = folded.select("run_id", "taken", F.posexplode("x").alias("at", "x"))
+    last = F.element_at(F.filter(F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))), F.col("taken")), lambda t: t["at"] < F.col("at")), -1)
+    reason = F.when(F.col("s.a") + F.col("x.n_actions") > max_actions, OVER_ACTIONS).when(F.col("s.b") + F.col("x.budget") > max_budget, OVER_RESULTS)
+    return each.withColumn("s", last).select("run_id", "x.ord", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def plan_counts(plan: DataFrame) -> DataFrame:
@@ -124,25 +144,56 @@ def gold_audit(views: DataFrame, gold: DataFrame) -> DataFrame:
     return base(gold.distinct()).join(seen, ["instance_id", "base"], "left").groupBy("instance_id").agg(F.count("*").alias("n_gold"), F.count("step").alias("n_seen"), F.min("step").alias("first_step"))
 
 
+def gold_coverage(views: DataFrame, edits: DataFrame, gold: DataFrame) -> DataFrame:
+    """(instance_id, first_step, coverage, seen_then_dropped) of gold files (instance_id, path), all by base name: when the first was viewed (views: step, path), the share that was, and those viewed but not edited (edits: path), sorted. Instances without gold files have no row."""
+    base = lambda df: df.withColumn("base", F.substring_index("path", "/", -1))
+    names = base(gold).select("instance_id", "base").distinct()
+    seen = base(views).groupBy("instance_id", "base").agg(F.min("step").alias("step"))
+    edited = base(edits).select("instance_id", "base").distinct().withColumn("edited", F.lit(True))
+    full = names.join(seen.hint("merge"), ["instance_id", "base"], "left").join(edited.hint("merge"), ["instance_id", "base"], "left")
+    dropped = F.array_sort(F.collect_list(F.when(F.col("step").isNotNull() & F.col("edited").isNull(), F.col("base"))))
+    return full.groupBy("instance_id").agg(F.min("step").alias("first_step"), (F.count("step") / F.count("*")).alias("coverage"), dropped.alias("seen_then_dropped"))
+
+
 def compile_reports(reports: DataFrame) -> DataFrame:
     """(batch, n, resolved, failing) of reports (batch, resolved, failed_tests array)."""
     return reports.groupBy("batch").agg(F.count("*").alias("n"), F.expr("count_if(resolved)").alias("resolved"), F.sum(F.size("failed_tests")).alias("failing"))
 
 
 def pair_test_runs(tests: DataFrame, outputs: DataFrame, reach: int = 4) -> DataFrame:
-    """(run_id, out_step, test_step): each output (run_id, step) goes to the latest earlier test command within reach that no earlier output took."""
-    near = outputs.alias("o").join(tests.alias("t"), (F.col("o.run_id") == F.col("t.run_id")) & F.expr(f"t.step < o.step AND o.step - t.step <= {reach}"))
-    options = near.groupBy(F.col("o.run_id").alias("run_id"), F.col("o.step").alias("out_step")).agg(F.sort_array(F.collect_set("t.step"), False).alias("steps"))  # reach of them at most
-    pairs = "array<struct<out_step:bigint,test_step:bigint>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast(pairs).alias("out"))
-
-    def step(acc, x):
-        free = F.get(F.filter(x["steps"], lambda s: ~F.array_contains(acc["used"], s)), F.lit(0))
-        used = F.slice(F.concat(F.array(free), acc["used"]), 1, 2 * reach)  # older ones are out of reach
-        return F.when(free.isNull(), acc).otherwise(F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["out_step"].alias("out_step"), free.alias("test_step"))).cast(pairs)).alias("out")))
-
-    folded = options.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("out_step", "steps"))).alias("x")).select("run_id", F.aggregate("x", start, step, lambda acc: acc["out"]).alias("o"))
-    return folded.select("run_id", F.explode("o").alias("o")).select("run_id", "o.*")
+    """(run_id, out_step, test_step) of tests (run_id, step, and pos where a step has several commands) and outputs (run_id, step): each output goes to the latest earlier test command within reach that no earlier output took.
+
+    Commands and outputs match like brackets: a command opens a level, an output closes the one
+    that is open. What is out of reach is older than all that isn't, so pairs out of reach are
+    dropped at the end. Windows over a run's events do it; nothing is folded.
+    """
+    pos = F.col("pos").cast("long") if "pos" in tests.columns else F.lit(0).cast("long")
+    opened = tests.select("run_id", F.col("step").cast("long").alias("step"), pos.alias("pos"), F.lit(1).alias("sign"))
+    events = opened.unionByName(outputs.select("run_id", F.col("step").cast("long").alias("step"), F.lit(-1).cast("long").alias("pos"), F.lit(-1).alias("sign"))).distinct()
+    order = Window.partitionBy("run_id").orderBy("step", "pos")  # an output comes before the commands of its own step
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    depth = events.withColumn("sum", F.sum("sign").over(upto)).withColumn("depth", F.col("sum") - F.least(F.min("sum").over(upto), F.lit(0)))
+    before = F.coalesce(F.lag("depth").over(order), F.lit(0))
+    level = depth.withColumn("level", F.when(F.col("sign") > 0, F.col("depth")).otherwise(before)).where("level > 0")
+    beside = Window.partitionBy("run_id", "level").orderBy("step", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    paired = level.withColumn("t", F.last(F.when(F.col("sign") > 0, F.struct("step", "pos")), True).over(beside)).where("sign < 0")
+    near = paired.where(F.col("step") - F.col("t.step") <= reach).select("run_id", F.col("step").alias("out_step"), F.col("t.step").alias("test_step"), F.col("t.pos").alias("pos"))
+    return near if "pos" in tests.columns else near.drop("pos")
+
+
+# What a command's output looks like, and the failed nodes in it.
+RETURNED = r"(?i)<returncode>(-?\d+)</returncode>\s*<output>([\s\S]*?)</output>"
+FAILED_NODE = r"FAILED\s+(\S+?)::(\S+)"
+
+
+def test_run_results(commands: DataFrame, messages: DataFrame, reach: int = 4) -> DataFrame:
+    """(run_id, test_step, pos, cmd, out_step, returncode, failed_tests, excerpt): test commands (run_id, step, pos, cmd, is_test) with the output (messages: run_id, step, role, content) that answers each."""
+    told = messages.where(F.col("role") != "assistant").where(F.col("content").rlike(RETURNED)).select("run_id", F.col("step").cast("long").alias("out_step"), F.regexp_extract("content", RETURNED, 1).cast("int").alias("returncode"), F.regexp_extract("content", RETURNED, 2).alias("output"))
+    tests = commands.where("is_test").select("run_id", F.col("step").cast("long").alias("step"), F.col("pos").cast("long").alias("pos"), "cmd").distinct()
+    pairs = pair_test_runs(tests.select("run_id", "step", "pos"), told.select("run_id", F.col("out_step").alias("step")), reach)
+    nodes = F.array_distinct(F.zip_with(F.regexp_extract_all("output", F.lit(FAILED_NODE), F.lit(1)), F.regexp_extract_all("output", F.lit(FAILED_NODE), F.lit(2)), lambda a, b: F.concat(a, F.lit("::"), b)))
+    full = pairs.join(tests.withColumnRenamed("step", "test_step").hint("merge"), ["run_id", "test_step", "pos"]).join(told.hint("merge"), ["run_id", "out_step"])
+    return full.select("run_id", "test_step", "pos", "cmd", "out_step", "returncode", nodes.alias("failed_tests"), F.substring("output", 1, 1500).alias("excerpt"))
 
 
 def tool_events(calls: DataFrame) -> DataFrame:
@@ -157,6 +208,28 @@ def run_cost(messages: DataFrame) -> DataFrame:
     return messages.groupBy("run_id").agg(F.expr("count_if(role = 'assistant')").alias("n_calls"), F.min_by("ts", "step").alias("first_ts"), F.max_by("ts", "step").alias("last_ts"))
 
 
+def run_costs(messages: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, model, provider, api_calls, wall_seconds, usd, pricing): of runs (run_id, model_name, api_calls, instance_cost) with messages (run_id, step, ts).
+
+    The provider is what stands before a slash in the model's name. Wall time lies between the
+    first and the last message that has a time, in order of steps; null where fewer than two do.
+    A cost of nothing is unknown.
+    """
+    timed = messages.where("ts IS NOT NULL").groupBy("run_id").agg(F.count("*").alias("n"), F.min_by("ts", "step").alias("first"), F.max_by("ts", "step").alias("last"))
+    model = F.coalesce(F.nullif("model_name", F.lit("")), F.lit("unknown"))
+    cost = F.nullif(F.coalesce("instance_cost", F.lit(0.0)), F.lit(0.0))
+    wall = F.when(F.col("n") > 1, (F.col("last") - F.col("first")).cast("double"))
+    return runs.join(timed.hint("merge"), "run_id", "left").select(
+        "run_id", model.alias("model"), F.when(F.contains(model, F.lit("/")), F.split_part(model, F.lit("/"), F.lit(1))).otherwise("unknown").alias("provider"),
+        F.coalesce(F.col("api_calls").cast("long"), F.lit(0).cast("long")).alias("api_calls"), wall.alias("wall_seconds"), cost.alias("usd"), F.when(cost.isNotNull(), "instance_cost").otherwise("unavailable").alias("pricing"),
+    )
+
+
+def cost_by_model(costs: DataFrame) -> DataFrame:
+    """(provider, model, n, api_calls, wall_seconds, usd): sums of run_costs() over what is known."""
+    return costs.groupBy("provider", "model").agg(F.count("*").alias("n"), F.sum("api_calls").alias("api_calls"), F.sum("wall_seconds").alias("wall_seconds"), F.round(F.sum("usd"), 6).alias("usd"))
+
+
 def submission_of(sources: DataFrame) -> DataFrame:
     """(run_id, source, consistent): the first source in order (run_id, priority, source, patch) that holds a patch, and whether all that do agree."""
     held = sources.where("trim(coalesce(patch, '')) <> ''")

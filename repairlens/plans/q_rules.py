@@ -68,7 +68,7 @@ def _diagnosis(failures):
 
 def _contracts(orders):
     k = F.col("o_orderkey")
-    return pl.allocate_plan(orders.select((k % 200).alias("run_id"), k.alias("ord"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END").alias("confidence"), ((k % 10) / 10).alias("uncertainty"), (k % 4).alias("n_clusters"), (k % 3 + 1).alias("n_actions"), (k % 9 + 1).alias("budget")))
+    return pl.allocate_plan(orders.select(F.col("o_custkey").alias("run_id"), k.alias("ord"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END").alias("confidence"), ((k % 10) / 10).alias("uncertainty"), (k % 4).alias("n_clusters"), (k % 3 + 1).alias("n_actions"), (k % 9 + 1).alias("budget")))
 
 
 def _outcomes(orders):
@@ -144,7 +144,17 @@ f AS (SELECT run_id, 2 AS rule, 'DEPENDENCY' AS type, 'high' AS confidence FROM
   UNION SELECT run_id, 9, 'NO_RELIABLE_DEFICIENCY', 'low' FROM sg WHERE t NOT IN ('ImportError', 'AssertionError') AND NOT e),
 dg AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, rule) - 1 AS rank, type, confidence FROM f)"""
 
+_PLAN = """c AS (SELECT o_custkey AS run_id, o_orderkey AS ord, o_orderkey % 3 + 1 AS na, o_orderkey % 9 + 1 AS nb, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, (o_orderkey % 10) / 10, -(o_orderkey % 4), o_orderkey) AS i FROM orders),
+w AS (SELECT DISTINCT o_custkey AS run_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS reason FROM orders
+UNION ALL SELECT c.run_id, c.i, CASE WHEN a + na <= 8 AND b + nb <= 40 THEN a + na ELSE a END, CASE WHEN a + na <= 8 AND b + nb <= 40 THEN b + nb ELSE b END, c.ord, CASE WHEN a + na > 8 THEN 'exceeds plan-level action budget' WHEN b + nb > 40 THEN 'exceeds plan-level result budget' END
+FROM w JOIN c ON c.run_id = w.run_id AND c.i = w.i + 1)"""
 ORACLES = {
+    "allocate_plan": f"WITH RECURSIVE {_PLAN} SELECT run_id, ord, reason IS NULL AS accepted, reason FROM w WHERE i > 0",
+    "plan_counts": f"WITH RECURSIVE {_PLAN} SELECT run_id, count(*) FILTER (reason IS NULL) AS actionable, count(*) FILTER (reason IS NOT NULL) AS abstained FROM w WHERE i > 0 GROUP BY 1",
+    "pair_test_runs": oracle("messages", """e AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step, cmd) AS i FROM (SELECT DISTINCT run_id, step, false AS cmd FROM messages WHERE role = 'tool' OR step = 2 UNION ALL SELECT DISTINCT run_id, step, true FROM messages WHERE role = 'assistant')),
+w AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS free, CAST(NULL AS BIGINT) AS out_step, CAST(NULL AS BIGINT) AS test_step FROM e
+UNION ALL SELECT e.run_id, e.i, CASE WHEN cmd THEN list_append(free, step) WHEN len(free) > 0 AND free[-1] >= step - 4 THEN free[:len(free) - 1] ELSE free END, CASE WHEN NOT cmd AND len(free) > 0 AND free[-1] >= step - 4 THEN step END, CASE WHEN NOT cmd AND len(free) > 0 AND free[-1] >= step - 4 THEN free[-1] END
+FROM w JOIN e ON e.run_id = w.run_id AND e.i = w.i + 1) SELECT run_id, out_step, test_step FROM w WHERE out_step IS NOT NULL""").replace("WITH ", "WITH RECURSIVE ", 1),
     "instance_registry": """SELECT p_partkey AS instance_id, p_brand, 't' || p_size || ',u' AS tests, p_partkey IN (SELECT o_custkey FROM orders) AS known FROM part WHERE p_partkey % 3 <> 0""",
     "build_manifest": oracle("eval_records", """r AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY priority, ord) AS r, count(*) OVER (PARTITION BY instance_id) AS n_sources FROM eval_records)
 SELECT instance_id, 'p' || priority AS source, CASE WHEN resolved THEN 'solved' WHEN NOT resolved THEN 'failed' ELSE 'open' END AS status, n_sources FROM r WHERE r = 1"""),

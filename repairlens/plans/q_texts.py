@@ -78,10 +78,10 @@ QUERIES = {
     "normalize_frames": query(_frames, "spans"),
     "error_tokens": query(lambda l: lg.error_tokens(l, ["AssertionError"]), "logs"),
     "stage_authority": query(_authority, "logs"),
-    "diff_lines": query(pt.diff_lines, "patches"),
-    "patch_stats": query(pt.patch_stats, "patches"),
+    "diff_lines": query(lambda p: pt.diff_lines(p).drop("patch"), "patches"),
+    "patch_stats": query(lambda p: pt.patch_stats(p).drop("patch"), "patches"),
     "classify_files": query(lambda s: pt.classify_files(s.select(F.explode(F.array(F.col("path"), F.concat(F.lit("tests/"), "path"), F.lit("Setup.py"), F.lit("a/test_b.py"))).alias("file")).distinct()), "spans"),
-    "hunks": query(pt.hunks, "patches"),
+    "hunks": query(lambda p: pt.hunks(p).drop("patch"), "patches"),
     "patch_integrity": query(_submissions, "patches"),
     "patch_consistency": query(_other, "patches"),
     "same_hunk_shape": query(lambda s: pt.same_hunk_shape(s.select((F.col("instance_id") % 20).alias("run_id"), F.concat_ws(":", "path", "start_line").alias("file"))), "spans"),

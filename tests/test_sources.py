@@ -55,4 +55,4 @@ def test_outputs_take_the_latest_free_test(spark):
 def test_plan_skips_what_does_not_fit(spark):
     c = [(1, 0, "low", 0.1, 1, 1, 1), (1, 1, "high", 0.1, 1, 2, 5), (1, 2, "high", 0.0, 1, 2, 1), (1, 3, "medium", 0.0, 1, 3, 1)]
     plan = pl.allocate_plan(spark.createDataFrame(c, "run_id long, ord long, confidence string, uncertainty double, n_clusters long, n_actions long, budget long"), 5, 6)
-    assert {r.ord: (r.accepted, r.reason) for r in plan.collect()} == {2: (True, None), 1: (True, None), 3: (False, "actions"), 0: (False, "results")}
+    assert {r.ord: (r.accepted, r.reason) for r in plan.collect()} == {2: (True, None), 1: (True, None), 3: (False, pl.OVER_ACTIONS), 0: (False, pl.OVER_RESULTS)}
