@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repairlens.operators import anchors as an
+from repairlens.operators import contract_actions as ca
 from repairlens.operators import hints as hn
 from repairlens.operators import source_tree as st
 from repairlens.plans.fixtures import oracle, query
@@ -48,7 +49,22 @@ def _hints(runs, files):
     return hn.api_hints(runs, own.unionByName(gone).unionByName(tests), lines, skipped=["i7"])
 
 
+_CDTYPES = [ca.API, ca.INTERFACE, ca.TESTS, ca.CALLERS, ca.ROOT, ca.REGRESSION, ca.DEPENDENCY, "unknown"]
+
+
+def _typed(runs, spans):
+    own = _runs(runs).withColumn("cdtype", F.element_at(F.array(*(F.lit(t) for t in _CDTYPES)), (F.col("run_id") % 8 + 1).cast("int")))
+    parts = _parts(own, spans)
+    return ca.typed_actions(ca.run_anchors(own, an.resolve_anchors(*parts), parts[3]))
+
+
+def _inspected(runs, spans):
+    return ca.merge_inspections(_typed(runs, spans), _views(spans).distinct().select("run_id", F.regexp_extract("path", r"\d+", 0).cast("int").alias("pos"), F.col("path").alias("file"), F.lit("visited").alias("source")))
+
+
 QUERIES = {
+    "typed_actions": query(_typed, "anchored", "spans"),
+    "merge_inspections": query(_inspected, "anchored", "spans"),
     "api_hints": query(_hints, "hinted", "repo_files"),
     "resolve_anchors": query(lambda r, s: an.resolve_anchors(*_parts(_runs(r), s)), "anchored", "spans"),
     "anchor_summary": query(lambda r, s: an.anchor_summary(_runs(r), an.resolve_anchors(*_parts(_runs(r), s))), "anchored", "spans"),
@@ -81,7 +97,30 @@ anchors AS (SELECT run_id, 'file' AS kind, pos, path AS value, CAST(line AS INT)
 UNION ALL SELECT run_id, 'symbol', row_number() OVER (PARTITION BY run_id ORDER BY i) - 1, w, NULL, NULL, s FROM sy
 UNION ALL SELECT run_id, 'test', row_number() OVER (PARTITION BY run_id ORDER BY k) - 1, t, NULL, NULL, s FROM t1
 UNION ALL SELECT run_id, 'module', 0, regexp_extract(message, '''(\w+)''[^'']+''([\w.]+)''', 2), NULL, regexp_extract(message, '''(\w+)''[^'']+''([\w.]+)''', 1), 'import_error' FROM anchored WHERE has_failure AND run_id % 6 IN (3, 4))"""
+_SUMMARY = r"""tf AS (SELECT run_id, arg_min(path, CASE source WHEN 'stack_frame' THEN 0 ELSE 1000000 END + pos) AS p FROM files WHERE source NOT IN ('visited', 'edited') GROUP BY 1),
+tt AS (SELECT run_id, arg_min(string_split(value, ':')[1], pos) AS f, arg_min(string_split(value, '::')[-1], pos) FILTER (contains(value, '::')) AS m FROM anchors WHERE kind = 'test' GROUP BY 1),
+sm AS (SELECT run_id, coalesce(p, CASE WHEN has_failure THEN regexp_extract(message, '([^\s]+?)\.\w+:(\d+)', 1) ELSE '' END) AS top_file, coalesce(f, '') AS test_file, coalesce(m, '') AS test_method FROM anchored LEFT JOIN tf USING (run_id) LEFT JOIN tt USING (run_id))"""
+_TYPED = rf"""{_SUMMARY},
+sl AS (SELECT run_id, list(value ORDER BY pos) FILTER (kind = 'symbol') AS sy, list(value ORDER BY pos) FILTER (kind = 'symbol' AND source = 'issue_term') AS iss, list(value ORDER BY pos) FILTER (kind = 'file' AND NOT contains(lower(value), 'test')) AS so,
+  list(value ORDER BY pos) FILTER (kind = 'file') AS fi, list(value ORDER BY pos) FILTER (kind = 'file' AND source = 'stack_frame') AS sf, list(value) FILTER (kind = 'module') AS mo, list(detail) FILTER (kind = 'module') AS att FROM anchors GROUP BY 1),
+ed AS (SELECT instance_id AS run_id, list(string_split(path, '/')[-1] ORDER BY p, path) AS ed FROM (SELECT instance_id, path, min(start_line) * 100 + length('lib/' || path) AS p FROM spans WHERE kind = 'final' GROUP BY 1, 2) GROUP BY 1),
+rw AS (SELECT a.run_id, a.has_failure, a.message, (['API_DEFINITION_CONTEXT', 'INTERFACE_CONSTRAINT_CONTEXT', 'RELATED_TEST_CONTEXT', 'CALLER_CALLEE_CONTEXT', 'ROOT_CAUSE_RELOCALIZATION', 'REGRESSION_CONSTRAINT_CONTEXT', 'DEPENDENCY_CONTEXT', 'unknown'])[a.run_id % 8 + 1] AS cdtype,
+  sy[1] AS s1, sy[2] AS s2, iss[1] AS i1, iss[2] AS i2, so[1] AS o1, fi, sf[1] AS f1, mo[1] AS m1, att[1] AS a1, ed[1] AS e1, top_file, test_file, test_method FROM anchored a JOIN sm ON sm.run_id = a.run_id LEFT JOIN sl ON sl.run_id = a.run_id LEFT JOIN ed ON ed.run_id = a.run_id),
+ac AS (SELECT run_id, cdtype, unnest(CASE cdtype
+  WHEN 'API_DEFINITION_CONTEXT' THEN [(0, 'symbol_definition', s1, 'definition'), (1, 'symbol_definition', s2, 'definition'), (2, 'grep', split_part(s1, '.', 1), 'usage'), (3, 'symbol_definition', a1, ''), (4, 'grep', m1, ''), (5, 'inspect', o1, '')]
+  WHEN 'INTERFACE_CONSTRAINT_CONTEXT' THEN [(6, 'caller_search', s1, 'caller'), (7, 'grep', s1 || '(', 'interface_producer'), (8, 'inspect', f1, 'interface_consumer')]
+  WHEN 'RELATED_TEST_CONTEXT' THEN [(9, 'inspect', nullif(test_file, ''), 'failed_test'), (10, 'grep', s1, 'neighbor_test'), (11, 'grep', s2, 'neighbor_test'), (12, 'grep', test_method, 'neighbor_test')]
+  WHEN 'ROOT_CAUSE_RELOCALIZATION' THEN [(14, 'grep', i1, ''), (15, 'grep', i2, ''), (16, 'grep', regexp_replace(string_split(f1, '/')[-1], '\.[^.]*$', ''), ''), (17, 'inspect', nullif(top_file, ''), '')]
+  WHEN 'CALLER_CALLEE_CONTEXT' THEN [(18, 'caller_search', s1, 'caller'), (19, 'grep', regexp_replace(e1, '\.[^.]*$', '') || '(', 'usage'), (20, 'inspect', e1, 'callee')]
+  WHEN 'REGRESSION_CONSTRAINT_CONTEXT' THEN [(21, 'grep', regexp_replace(e1, '\.[^.]*$', ''), ''), (22, 'inspect', nullif(test_file, ''), ''), (23, 'grep', s1, '')]
+  WHEN 'DEPENDENCY_CONTEXT' THEN [(24, 'grep', 'import ' || split_part(coalesce(s1, m1), '.', 1), '')] ELSE [] END) AS a, fi FROM rw),
+ty AS (SELECT run_id, a[1] AS pos, cdtype, a[2] AS type, CASE WHEN a[2] = 'inspect' AND NOT contains(a[3], '/') THEN coalesce(list_filter(fi, lambda f: ends_with(f, '/' || a[3]))[1], a[3]) ELSE a[3] END AS target, a[4] AS role, CASE WHEN a[4] <> '' THEN 'pair_1' ELSE '' END AS pair
+  FROM ac WHERE a[3] IS NOT NULL AND (a[2] = 'inspect' OR length(a[3]) >= 2))"""
 ORACLES = {
+    "typed_actions": oracle("anchored spans", f"{_ALL}, {_TYPED} SELECT * FROM ty"),
+    "merge_inspections": oracle("anchored spans", rf"""{_ALL}, {_TYPED}, u AS (SELECT run_id, target AS file, 0 AS step, pos, 'cdtype_driven_action' AS source FROM ty WHERE type = 'inspect' UNION ALL SELECT DISTINCT instance_id, path, 1, CAST(regexp_extract(path, '\d+') AS INT), 'visited' FROM spans WHERE kind = 'viewed'),
+z AS (SELECT run_id, count(*) AS n, bool_or(step = 0) AS t FROM u GROUP BY 1), o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY run_id, file ORDER BY step, pos, source) = 1),
+r AS (SELECT o.*, row_number() OVER (PARTITION BY run_id ORDER BY step, pos, file) AS rank FROM o) SELECT run_id, rank, file, source FROM r JOIN z USING (run_id) WHERE rank <= CASE WHEN t THEN least(n, 12) ELSE 10 END"""),
     "api_hints": oracle("hinted", r"""h AS (SELECT *, CASE WHEN run_id % 3 = 0 THEN 1 WHEN run_id % 3 = 1 AND run_id % 2 = 0 THEN 2 WHEN run_id % 4 = 2 THEN 3 WHEN run_id % 4 = 0 THEN 4 WHEN run_id % 4 = 1 THEN 5 END AS p,
   CASE WHEN instance = 'i7' THEN 'needs_regression_witness' WHEN NOT has_failure THEN 'no_legal_api_hint' END AS off FROM hinted)
 SELECT run_id, coalesce(off, CASE WHEN p IS NULL THEN 'no_legal_api_hint' ELSE 'hint_generated' END) AS mode,
