@@ -10,12 +10,15 @@ nobody shares are skipped, and classes that share fewer than ``least`` tokens dr
 In each posting list the member whose tokens are the most widely shared is the hub. For each
 member and hub the colliding coordinates are counted over both whole signatures; pairs with
 ``least`` collisions or more are compared on full shingle sets, and links give components.
-What this leaves open are pairs of a list whose members came into different components. Those
-outside the hub's component meet each other and the rest in blocks of bounded size, each in
-one task: collisions are counted first, pairs above the match threshold are compared on full
-sets, and no more than a spanning forest returns. So no list of pairs within a group is ever
-made, members that already hang together are never compared with each other, and no link
-between different components is lost. Keys with many rows are dealt to several tasks.
+What this leaves open are pairs of a list whose members came into different components. These
+members are joined exactly on their shingle sets: shingles are ordered by how many of them have
+each, and a linked pair shares one among the rarest few per cent of both sets. So text that very
+many pages have in common is never posted unless pages agree in nearly all else. Length, place
+in the order and a byte of each signature coordinate thin the lists out before sets are
+fetched and compared. A list of any length is dealt to pairs of blocks of bounded size. So no
+list of pairs within a group is made, members that already hang together are never compared
+with each other, and no link between different components is lost. Keys with many rows are
+dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repairlens.llm import shared
@@ -149,78 +152,113 @@ def _compared(percent: int, batches):
         yield batch.select([0, 1]).filter(pa.array([_linked(percent, *(np.asarray(batch.column(c)[i].values) for c in ("mine", "theirs"))) for i in range(len(batch))], pa.bool_()))
 
 
-def _forest(percent: int, least: int, coords: int, rows: list[dict]) -> list[tuple[int, int]]:
-    """Links that span what the links among one block pair's members connect beyond their components."""
-    if len(rows) < 2:
-        return []
-    sets = [np.asarray(r["set"]) for r in rows]
-    sizes = np.array([len(s) for s in sets])
-    sig = _coordinates(np.concatenate(sets).view(np.uint64), np.cumsum(sizes) - sizes, coords)
-    parent = {r["component"]: r["component"] for r in rows}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
-    first = np.flatnonzero([r["b"] == r["i"] and not r["home"] for r in rows])
-    alone = rows[0]["i"] == rows[0]["j"]
-    others = first if alone else np.flatnonzero([r["b"] == r["j"] for r in rows])
-    for i in first:
-        second = others[others > i] if alone else others
-        collisions = np.zeros(len(second), np.int64)
-        for at in range(0, coords, 16):
-            collisions += (sig[second, at : at + 16] == sig[i, at : at + 16]).sum(axis=1)
-        for j in second[collisions >= least]:
-            x, y = root(rows[i]["component"]), root(rows[j]["component"])
-            if x != y and _linked(percent, sets[i], sets[j]):
-                parent[max(x, y)] = min(x, y)
-                edges.append((rows[i]["x"], rows[j]["x"]))
-    return edges
-
-
-def _blocks(percent: int, least: int, coords: int, batches):
-    """Members of a block pair stand together; each pair is worked on when its last member has come."""
-    key, rows = None, []
-
-    def out(edges):
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            if (r["h"], r["i"], r["j"]) != key:
-                yield out(_forest(percent, least, coords, rows))
-                key, rows = (r["h"], r["i"], r["j"]), []
-            rows.append(r)
-    yield out(_forest(percent, least, coords, rows))
-
-
-def open_blocks(pairs: DataFrame, labels: DataFrame, sizes: DataFrame, frequent: DataFrame | None, block: int, block_hashes: int) -> DataFrame | None:
-    """(h, i, j, b, x, component, home): members of hub groups that lie in several components, dealt to pairs of blocks. None if there is no such group.
-
-    Members outside the hub's component have blocks 0 to a - 1, those in it (home) have blocks
-    from a on; each of the former blocks meets each block, home blocks never meet each other.
-    """
+def open_members(pairs: DataFrame, labels: DataFrame, sizes: DataFrame, frequent: DataFrame | None) -> DataFrame | None:
+    """(rep, n, component) of the members of hub groups that lie in several components. None if there is no such group."""
     known = sizes.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component"))
     known = shared.written(known, "members")
     every = pairs.select("x", "h").unionByName(pairs.select(F.col("h").alias("x"), "h").distinct())
     sided = every.join(known.toDF("x", "n", "component").hint("merge"), "x")
     sided = shared.spread_join(sided, known.select(F.col("rep").alias("h"), F.col("component").alias("own")), ["h"], frequent, ["x"])
-    sided = shared.written(sided.select("h", "x", "n", "component", F.expr("component = own").alias("home")), "sided")
-    few = lambda home: F.greatest(F.ceil(F.count_if(home) / block), F.ceil(F.sum(F.when(home, F.col("n")).otherwise(0)) / block_hashes)).cast("int")
-    groups = shared.written(sided.groupBy("h").agg(few(~F.col("home")).alias("apart"), few(F.col("home")).alias("homes")).where("apart > 0"), "open")
+    sided = shared.written(sided.select("h", "x", "n", "component", F.expr("component <> own").alias("apart")), "sided")
+    groups = shared.written(sided.groupBy("h").agg(F.max("apart").alias("open")).where("open").select("h"), "open")
     if shared.fits(groups, 0):
         return None
-    dealt = shared.spread_join(sided, groups, ["h"], frequent, ["x"])
-    dealt = dealt.withColumn("b", F.when(F.col("home"), F.col("apart") + F.pmod(F.xxhash64("x"), "homes")).otherwise(F.pmod(F.xxhash64("x"), "apart")).cast("int"))
-    others = F.when(F.col("home"), F.expr("sequence(0, apart - 1)")).otherwise(F.expr("sequence(0, apart + homes - 1)"))
-    dealt = dealt.withColumn("o", F.explode(others)).select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "x", "component", "home")
-    return shared.written(dealt, "dealt")
+    return shared.written(shared.spread_join(sided, groups, ["h"], frequent, ["x"]).select(F.col("x").alias("rep"), "n", "component").distinct(), "open-members")
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64, percent: int = 80, block: int = 512, block_hashes: int = 400_000) -> DataFrame:
+def _reach(percent: int, n: Column) -> tuple[Column, Column]:
+    """How many of its rarest shingles a set of n must post to be found by larger ones, and must look up to find smaller ones."""
+    ceil = lambda up, down: F.expr(f"({up} + {down} - 1) DIV {down}")
+    return n - ceil(f"{2 * percent} * n", str(100 + percent)) + 1, n - ceil(f"{percent} * n", "100") + 1
+
+
+def prefix_posts(members: DataFrame, of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(token, members, rep, n, component, at, index, sketch): the rarest shared shingles of each open member under which members of different components stand.
+
+    Two linked sets share a shingle among the first ones of each in the order of rarity: as many
+    as _reach() says for the smaller set (index) and the larger one. ``at`` is the place in that
+    order; shingles that no other member has come first and aren't posted. sketch has a byte of
+    each signature coordinate.
+    """
+    tokens = members.select("rep").join(of.hint("merge"), "rep").select("rep", F.explode("set").alias("token"))
+    held = shared.written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
+    ranked = shared.spread_join(tokens, held, ["token"], shared.frequent_keys(held, ["token"], "df"), ["rep"])
+    ranked = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).join(members.hint("merge"), "rep")
+    index, probe = _reach(percent, F.col("n"))
+    alone = F.col("n") - F.size("t")
+    posted = ranked.withColumn("few", F.greatest(F.least(probe - alone, F.size("t")), F.lit(0)).cast("int")).where("few > 0")
+    posted = posted.select("rep", "n", "component", alone.alias("alone"), index.alias("reach"), F.posexplode(F.slice("t", 1, F.col("few"))).alias("k", "t"))
+    posted = posted.select(F.col("t.token").alias("token"), "rep", "n", "component", (F.col("alone") + F.col("k")).alias("at"), F.expr("alone + k < reach").alias("index"))
+    posted = shared.written(posted, "posted")
+    groups = posted.groupBy("token").agg(F.count("*").alias("members"), F.expr("min(component) <> max(component)").alias("open"), F.max("index").alias("found")).where("open AND found").drop("open", "found")
+    groups = shared.written(groups, "groups")
+    kept = shared.spread_join(posted, groups, ["token"], shared.frequent_keys(groups, ["token"], "members"), ["rep"])
+    sketch = F.transform("sig", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("byte"))
+    return kept.join(classes.select("rep", sketch.alias("sketch")).hint("merge"), "rep")
+
+
+def _pairs_of(percent: int, least: int, rows: list) -> list[tuple[int, int]]:
+    """Pairs of one posting list, or of two blocks of it, that length, place and sketch leave possible."""
+    rep, n, component, at, index, own, i, j, sketch = (np.concatenate(c) for c in zip(*rows))
+    first = np.flatnonzero(own == i[0])
+    second = first if i[0] == j[0] else np.flatnonzero(own == j[0])
+    out = []
+    for a in first:
+        others = second[second > a] if i[0] == j[0] else second
+        others = others[component[others] != component[a]]
+        smaller = (n[others] < n[a]) | ((n[others] == n[a]) & (rep[others] < rep[a]))
+        low, high = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
+        left = np.minimum(n[others] - at[others], n[a] - at[a])
+        ok = np.where(smaller, index[others], index[a]) & (100 * low >= percent * high) & ((100 + percent) * left >= percent * (low + high))
+        others = others[ok]
+        if len(others):
+            others = others[(sketch[others] == sketch[a]).sum(axis=1) >= least]
+            out += [(min(int(rep[a]), int(rep[b])), max(int(rep[a]), int(rep[b]))) for b in others]
+    return out
+
+
+def _candidates(percent: int, least: int, batches):
+    """The pairs of each list; rows of a list or pair of blocks stand together and are worked on when the last has come."""
+    key, rows = None, []
+
+    def out(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["x", "h"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        token, i, j = (batch.column(c).to_numpy() for c in ("token", "i", "j"))
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "component", "at", "index", "own", "i", "j")]
+        sketch = batch.column("sketch")
+        cols.append(sketch.flatten().to_numpy().reshape(len(batch), -1))
+        cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(batch))):
+            now = (token[lo], i[lo], j[lo])
+            if now != key and rows:
+                yield out(_pairs_of(percent, least, rows))
+                rows = []
+            key = now
+            rows.append([c[lo:hi] for c in cols])
+    if rows:
+        yield out(_pairs_of(percent, least, rows))
+
+
+def open_links(posts: DataFrame, of: DataFrame, percent: int, least: int, block: int) -> DataFrame:
+    """(a, b): linked pairs of different components among prefix_posts(). Long lists are dealt to pairs of blocks, each in one task; sets are fetched for the pairs that are left."""
+    spark = posts.sparkSession
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    dealt = posts.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = shared.written(dealt.select("token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "n", "component", "at", "index", "sketch"), "dealt")
+    parts = shared.partitions(spark, dealt.count(), 20_000)
+    found = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda b: _candidates(percent, least, b), "x long, h long")
+    pairs = shared.written(found.distinct(), "candidates")
+    often = {side: shared.frequent_keys(pairs.groupBy(side).agg(F.count("*").alias("pairs")), [side], "pairs") for side in ("x", "h")}
+    both = shared.spread_join(pairs, of.toDF("x", "mine"), ["x"], often["x"], ["h"])
+    both = shared.spread_join(both, of.toDF("h", "theirs"), ["h"], often["h"], ["x"]).select("x", "h", "mine", "theirs")
+    return shared.written(both.mapInArrow(lambda b: _compared(percent, b), "x long, h long").toDF("a", "b"), "links")
+
+
+def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64, percent: int = 80, block: int = 2_048) -> DataFrame:
     """(node, component) of the classes that are linked with others; docs are keyed()."""
     least = agreements(percent, coords)
     pairs = shared.written(hub_pairs(shared.written(posting_lists(classes, coords, least), "lists")), "pairs")
@@ -236,13 +274,10 @@ def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64,
     of = shared.written(held.mapInArrow(sets, "id long, row long, set array<long>").join(wanted.select("rep", "id", "row").hint("merge"), ["id", "row"]).select("rep", "set"), "sets")
     stars = beside(shared.written(matches(pairs, classes, least, frequent), "matches"), of, frequent)
     labels = shared.written(components(shared.written(stars.mapInArrow(lambda b: _compared(percent, b), "x long, h long").toDF("a", "b"), "links")), "labels")
-    dealt = open_blocks(pairs, labels, wanted.select("rep", "n"), frequent, block, block_hashes)
-    if dealt is None:
+    members = open_members(pairs, labels, wanted.select("rep", "n"), frequent)
+    if members is None:
         return labels
-    parts = shared.partitions(docs.sparkSession, dealt.count(), 2 * block)
-    ready = dealt.join(of.toDF("x", "set").hint("merge"), "x").select("h", "i", "j", "b", "x", "component", "home", "set")
-    rest = ready.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(lambda b: _blocks(percent, least, coords, b), "a long, b long")
-    rest = shared.written(rest, "links")
+    rest = open_links(prefix_posts(members, of, classes, percent), of, percent, least, block)
     return labels if shared.fits(rest, 0) else components(rest.unionByName(labels.toDF("a", "b")))
 
 

@@ -128,13 +128,48 @@ def test_hub_of_five_thousand_members_with_few_links(spark):
     assert got == {i: root(i) for i in texts}
 
 
-def test_blocks_find_what_hubs_leave_open():
-    """Two linked members of a group, neither of them linked with the hub."""
-    shingles = np.arange(1, 101, dtype=np.int64) * 7919**3
-    other = np.concatenate([shingles[:60], np.arange(200, 240) * 104729**3])
-    member = lambda x, component, s, home: {"h": 0, "i": 0, "j": 0, "b": 0, "x": x, "component": component, "home": home, "set": np.sort(s)}
-    got = near_dedup._forest(80, 34, 64, [member(1, 1, other, False), member(2, 2, other[:-5], False), member(3, 3, shingles[50:], False)])
-    assert got == [(1, 2)]
+@pytest.mark.parametrize("percent, block", [(80, 3), (85, 2_048), (60, 7)])
+def test_open_members_lose_no_link(spark, percent, block):
+    """All pairs of different components against brute force, with short blocks too."""
+    rng = np.random.default_rng(percent)
+    least = near_dedup.agreements(percent)
+    common = rng.integers(-(2**62), 2**62, 60)
+    sets = []
+    for i in range(160):
+        base = common[: int(rng.integers(30, 60))] if i % 3 else common[20:]
+        own = rng.integers(-(2**62), 2**62, int(rng.integers(0, 25)))
+        sets.append(np.unique(np.concatenate([base, own])))
+        if i % 4 == 0:
+            sets.append(np.unique(np.concatenate([sets[-1][: int(len(sets[-1]) * rng.uniform(0.7, 1))], rng.integers(-(2**62), 2**62, 3)])))
+    component = [i % 50 for i in range(len(sets))]
+    want = set()
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if component[a] != component[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                want.add((a, b))
+    assert len(want) > 20
+    sigs = [near_dedup._coordinates(x.view(np.uint64), np.array([0]), 64)[0] for x in sets]
+    members = spark.createDataFrame([(i, len(x), component[i]) for i, x in enumerate(sets)], "rep long, n long, component long")
+    of = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "rep long, set array<long>")
+    classes = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(sigs)], "rep long, sig array<long>")
+    posts = near_dedup.prefix_posts(members, of, classes, percent)
+    got = {(r["a"], r["b"]) for r in near_dedup.open_links(posts, of, percent, least, block).collect()}
+    assert got <= want
+    missed = [(a, b) for a, b in want - got if (sigs[a] == sigs[b]).sum() >= least]  # what the signatures tell apart isn't compared, by design
+    assert not missed
+
+
+def test_pages_of_one_template_are_not_compared(spark):
+    """8,000 texts of 400 common and 60 own words: none is linked, and no two of them meet."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(common[:200] + [f"o{rng.randrange(10**9)}" for _ in range(60)] + common[200:])) for i in range(8_000)]
+    d = table(spark, rows)
+    began = time.time()
+    got = near_duplicates(d, percent=85).collect()
+    assert all(r.kept for r in got) and len(got) == 8_000
+    assert time.time() - began < 240  # about 30 s where the machine is free; pairs in blocks took minutes for half as many
 
 
 def test_stages_judge_rows_and_not_ids(spark):
