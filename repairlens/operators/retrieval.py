@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repairlens.functions.joins import join_contains, join_list
 from repairlens.functions.text import strip
+from repairlens.operators.source_tree import mark_already_seen
 
 
 def _tokens(name: Column) -> Column:
@@ -222,6 +223,65 @@ def rehydrate_seen(views: DataFrame, kept: DataFrame, lines: DataFrame, keywords
     return ranked.where(F.col("rank") < k).select("instance_id", "rank", "path", "start_line", "end_line", "hits")
 
 
+# Scores and relations of failed tests, and of viewed spans by whether the final context has their file.
+REGRESSION, TARGET_FIX = (0.95, "visible_regression_test"), (0.78, "target_fix_test")
+DROPPED, UNCOVERED = "previously_seen_but_dropped", "previously_seen_uncovered_file"
+SHORTEST_KEYWORD = 4
+
+
+def failed_test_evidence(tests: DataFrame, names: DataFrame, views: DataFrame) -> DataFrame:
+    """(run_id, name, path, symbol, start_line, end_line, score, relation, seen): for each failed test of a run the first function of that name, else the first whose name holds it, else holds it without its test_; regressions score above target fixes.
+
+    tests (path, name, start_line, end_line), names (run_id, name, is_regression), views (run_id,
+    path, start_line, end_line). A name that is both counts as a regression; first is by path and line.
+    """
+    asked = names.where("name <> ''").groupBy("run_id", "name").agg(F.max("is_regression").alias("is_regression"))
+    bare = asked.select("name").distinct().withColumn("short", F.regexp_replace("name", "^test_", ""))
+    spot = F.struct("path", "start_line", "end_line", F.col("symbol"))
+    functions = tests.select("path", F.col("name").alias("symbol"), "start_line", "end_line")
+    exact = join_list(functions, bare.select("name"), F.col("symbol") == F.col("name")).groupBy("name").agg(F.min(spot).alias("t"), F.lit(0).alias("tier"))
+    held = join_contains(functions, F.col("symbol"), bare.select("name"), "name").groupBy("name").agg(F.min(spot).alias("t"), F.lit(1).alias("tier"))
+    short = join_contains(functions, F.col("symbol"), bare.where("short <> ''").select("short").distinct(), "short").groupBy("short").agg(F.min(spot).alias("t"))
+    short = bare.join(short.hint("merge"), "short").select("name", "t", F.lit(2).alias("tier"))
+    best = exact.unionByName(held).unionByName(short).groupBy("name").agg(F.min_by("t", "tier").alias("t"))
+    found = asked.join(best.hint("merge"), "name").select("run_id", "name", "is_regression", "t.*")
+    spans = found.select(F.col("run_id").alias("instance_id"), "path", "start_line", "end_line").distinct()
+    seen = mark_already_seen(spans, views.withColumnRenamed("run_id", "instance_id")).withColumnRenamed("instance_id", "run_id")
+    pick = lambda i: F.when(F.col("is_regression"), F.lit(REGRESSION[i])).otherwise(F.lit(TARGET_FIX[i]))
+    return found.join(seen.hint("merge"), ["run_id", "path", "start_line", "end_line"]).select("run_id", "name", "path", "symbol", "start_line", "end_line", pick(0).alias("score"), pick(1).alias("relation"), "seen")
+
+
+def covered_spans(spans: DataFrame, kept: DataFrame) -> DataFrame:
+    """Adds in_file and covered to distinct spans (run_id, path, start_line, end_line): whether kept (the same columns) has the file, and all lines of the span; a kept file without lines (null) covers all of it."""
+    file = ["run_id", "path"]
+    order = Window.partitionBy(*file).orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
+    marked = kept.where("start_line IS NOT NULL").distinct().withColumn("new", F.coalesce((F.col("start_line") > F.max("end_line").over(order) + 1).cast("int"), F.lit(1)))
+    upto = Window.partitionBy(*file).orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, 0)
+    merged = marked.withColumn("island", F.sum("new").over(upto)).groupBy(*file, "island").agg(F.min("start_line").alias("from"), F.max("end_line").alias("to"))
+    whole = kept.groupBy(*file).agg(F.max(F.col("start_line").isNull()).alias("whole"))
+    once = spans.select(*file, "start_line", "end_line").distinct()
+    inside = once.join(merged.hint("merge"), file).where("start_line >= from AND end_line <= to").select(*once.columns).distinct().withColumn("inside", F.lit(True))
+    full = once.join(whole.hint("merge"), file, "left").join(inside.hint("merge"), once.columns, "left")
+    return full.select(*once.columns, F.col("whole").isNotNull().alias("in_file"), (F.coalesce("whole", F.lit(False)) & F.lit(True) | F.coalesce("inside", F.lit(False))).alias("covered"))
+
+
+def rehydrate_spans(views: DataFrame, kept: DataFrame, lines: DataFrame, keywords: DataFrame, k: int = 4) -> DataFrame:
+    """(run_id, rank, path, start_line, end_line, relation, score, matched): viewed spans that the final context doesn't cover and whose path or code holds keywords (run_id, word): those of files that it has in part come first, then by matches and score.
+
+    A keyword counts by its last dotted part in small letters, if that has four letters or more.
+    """
+    span = ["run_id", "path", "start_line", "end_line"]
+    left = covered_spans(views, kept).where("NOT covered")
+    inside = left.select("path", "start_line", "end_line").distinct().alias("s").join(lines.alias("l").hint("merge"), F.col("s.path") == F.col("l.path")).where("ln BETWEEN start_line AND end_line")
+    code = inside.groupBy("s.path", "start_line", "end_line").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "text"))), lambda x: x["text"]), "\n")).alias("code"))
+    words = keywords.where("word <> ''").select("run_id", "word", F.lower(F.element_at(F.split("word", r"\."), -1)).alias("last")).where(F.length("last") >= SHORTEST_KEYWORD)
+    told = left.join(code.hint("merge"), ["path", "start_line", "end_line"], "left").join(words.hint("merge"), "run_id").where(F.contains(F.lower("path"), F.col("last")) | F.coalesce(F.contains("code", F.col("last")), F.lit(False)))
+    counted = told.groupBy(*span, "in_file").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("word")).alias("matched"))
+    score = F.when(F.col("in_file"), 85 + F.least(5 * F.col("n"), F.lit(10))).otherwise(65 + F.least(8 * F.col("n"), F.lit(20))) / 100
+    ranked = counted.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("in_file"), F.desc("n"), F.desc("score"), "path", "start_line", "end_line")) - 1)
+    return ranked.where(F.col("rank") < k).select("run_id", "rank", "path", "start_line", "end_line", F.when(F.col("in_file"), DROPPED).otherwise(UNCOVERED).alias("relation"), "score", "matched")
+
+
 def scope_constraints(runs: DataFrame) -> DataFrame:
     """(run_id, pos, constraint, severity) of runs (run_id, edited_files, unsupported_files, submitted_without_tests, patterns)."""
     rules = [("cap_files", "high", "edited_files >= 5"), ("drop_unsupported", "high", "unsupported_files > 0"), ("run_tests", "high", "submitted_without_tests"), ("no_repeated_edits", "medium", "patterns > 0")]

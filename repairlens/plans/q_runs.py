@@ -8,6 +8,8 @@ from repairlens.operators import conversations as cv
 from repairlens.operators import evaluation as ev
 from repairlens.operators import failures as fl
 from repairlens.operators import planning as pl
+from repairlens.operators import retrieval as rt
+from repairlens.operators import source_tree as st
 from repairlens.plans import q_analysis, q_conversations
 from repairlens.plans.fixtures import oracle, query
 
@@ -42,7 +44,22 @@ def _matrix(customer, records):
     return ev.eval_matrix(instances, _facts(records), records)
 
 
+def _evidence(spans):
+    tests = spans.where("kind = 'gold'").select("path", F.concat(F.lit("test_alpha_"), (F.col("start_line") % 30).cast("string")).alias("name"), F.lit(1).alias("start_line"), F.lit(4).alias("end_line")).distinct()
+    names = spans.where("kind = 'viewed'").select(F.col("instance_id").alias("run_id"), F.expr("CASE end_line % 3 WHEN 0 THEN 'test_alpha_3' WHEN 1 THEN 'alpha_2' ELSE 'test_pha_1' END").alias("name"), (F.col("start_line") % 7 == 0).alias("is_regression"))
+    return rt.failed_test_evidence(tests, names, spans.where("kind = 'final'").select(F.col("instance_id").alias("run_id"), "path", "start_line", "end_line"))
+
+
+def _rehydrated(spans, files):
+    part = lambda k: spans.where(F.col("kind") == k).select(F.col("instance_id").alias("run_id"), F.concat(F.lit("src"), (F.col("start_line") % 3).cast("string"), F.lit("/f"), (F.col("start_line") % 3).cast("string"), F.lit(".py")).alias("path"), (F.col("end_line") - F.col("start_line")).cast("long").alias("start_line"), (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("end_line"))
+    words = spans.select(F.col("instance_id").alias("run_id"), F.element_at(F.array(F.lit("x.return"), F.lit("SRC1"), F.lit("def")), (F.col("start_line") % 3 + 1).cast("int")).alias("word")).distinct()
+    kept = part("final").where("start_line > 2").unionByName(part("candidate").where("start_line = 7 AND run_id % 3 = 0").withColumns({"start_line": F.lit(None).cast("long"), "end_line": F.lit(None).cast("long")}))
+    return rt.rehydrate_spans(part("viewed"), kept, st.code_lines(files), words).withColumn("matched", F.array_join("matched", ","))
+
+
 QUERIES = {
+    "failed_test_evidence": query(_evidence, "spans"),
+    "rehydrate_spans": query(_rehydrated, "spans", "repo_files"),
     "test_run_results": query(_results, "messages"),
     "run_costs": query(_costs, "messages"),
     "cost_by_model": query(lambda m: pl.cost_by_model(_costs(m)), "messages"),
@@ -67,6 +84,22 @@ mc AS (SELECT *, CASE WHEN status IN ('ENV_ERROR', 'PATCH_APPLY_FAILED') THEN 'e
   WHEN submitted_without_tests THEN 'no-runtime-signal' WHEN patch_exists THEN 'hidden-failure' ELSE 'unknown' END AS failure_class FROM mx)"""
 _KINDS = "k AS (SELECT DISTINCT kind, instance_id AS run_id, path AS file FROM spans), p AS (SELECT run_id, file, bool_or(kind = 'viewed') AS v, bool_or(kind = 'final') AS f, bool_or(kind = 'candidate') AS c, bool_or(kind = 'gold') AS g FROM k GROUP BY 1, 2)"
 ORACLES = {
+    "failed_test_evidence": oracle("spans", """t AS (SELECT DISTINCT path, 'test_alpha_' || (start_line % 30) AS symbol FROM spans WHERE kind = 'gold'),
+b AS (SELECT n, coalesce((SELECT min(path) FROM t WHERE symbol = n), (SELECT min({'p': path, 's': symbol}).p FROM t WHERE contains(symbol, n)), (SELECT min({'p': path, 's': symbol}).p FROM t WHERE contains(symbol, regexp_replace(n, '^test_', '')))) AS path,
+  CASE n WHEN 'test_alpha_3' THEN n WHEN 'alpha_2' THEN (SELECT min({'p': path, 's': symbol}).s FROM t WHERE contains(symbol, n)) ELSE (SELECT min({'p': path, 's': symbol}).s FROM t WHERE contains(symbol, 'pha_1')) END AS symbol FROM (VALUES ('test_alpha_3'), ('alpha_2'), ('test_pha_1')) v(n)),
+r AS (SELECT instance_id AS run_id, CASE end_line % 3 WHEN 0 THEN 'test_alpha_3' WHEN 1 THEN 'alpha_2' ELSE 'test_pha_1' END AS name, bool_or(start_line % 7 = 0) AS g FROM spans WHERE kind = 'viewed' GROUP BY 1, 2)
+SELECT run_id, name, path, symbol, 1 AS start_line, 4 AS end_line, CASE WHEN g THEN 0.95 ELSE 0.78 END::DOUBLE AS score, CASE WHEN g THEN 'visible_regression_test' ELSE 'target_fix_test' END AS relation,
+  EXISTS (SELECT 1 FROM spans s WHERE s.kind = 'final' AND s.instance_id = r.run_id AND s.path = b.path AND s.start_line <= 14 AND s.end_line >= -9) AS seen FROM r JOIN b ON n = name WHERE path IS NOT NULL"""),
+    "rehydrate_spans": oracle("spans repo_files", r"""x AS (SELECT DISTINCT kind, instance_id AS run_id, 'src' || (start_line % 3) || '/f' || (start_line % 3) || '.py' AS path, end_line - start_line AS a, end_line - start_line + 1 AS b FROM spans),
+k AS (SELECT * FROM x WHERE (kind = 'final' AND a > 2) OR (kind = 'candidate' AND a = 7 AND run_id % 3 = 0)), kl AS (SELECT DISTINCT run_id, path, unnest(range(a, b + 1)) AS ln FROM k WHERE kind = 'final'),
+v AS (SELECT v.*, EXISTS (SELECT 1 FROM k WHERE k.run_id = v.run_id AND k.path = v.path) AS inf FROM x v WHERE kind = 'viewed' AND NOT EXISTS (SELECT 1 FROM k WHERE k.kind = 'candidate' AND k.run_id = v.run_id AND k.path = v.path)
+  AND (SELECT count(*) FROM kl WHERE kl.run_id = v.run_id AND kl.path = v.path AND kl.ln BETWEEN v.a AND v.b) < v.b - v.a + 1),
+l AS (SELECT path, string_split(content, chr(10)) AS t FROM repo_files WHERE path IN ('src0/f0.py', 'src1/f1.py', 'src2/f2.py')),
+w AS (SELECT DISTINCT instance_id AS run_id, (['x.return', 'SRC1', 'def'])[start_line % 3 + 1] AS word FROM spans),
+m AS (SELECT v.run_id, v.path, a, b, inf, word FROM v LEFT JOIN l ON l.path = v.path JOIN w ON w.run_id = v.run_id WHERE (word = 'SRC1' AND contains(v.path, 'src1')) OR (word <> 'def' AND contains(lower(array_to_string(t[greatest(a, 1) : b], chr(10))), CASE word WHEN 'SRC1' THEN 'src1' ELSE 'return' END))),
+c AS (SELECT run_id, path, a, b, inf, count(*) AS n, string_agg(word, ',' ORDER BY word) AS matched FROM m GROUP BY ALL), s AS (SELECT *, CASE WHEN inf THEN 85 + least(5 * n, 10) ELSE 65 + least(8 * n, 20) END / 100 AS score FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY inf DESC, n DESC, score DESC, path, a, b) - 1 AS rank FROM s)
+SELECT run_id, rank, path, a AS start_line, b AS end_line, CASE WHEN inf THEN 'previously_seen_but_dropped' ELSE 'previously_seen_uncovered_file' END AS relation, score, matched FROM r WHERE rank < 4"""),
     "test_run_results": oracle("messages", """SELECT t.run_id, t.step AS test_step, 'python -m pytest tests/test_' || (t.run_id % 7) || '.py' AS cmd, o.step AS out_step, CAST(o.step % 2 AS INT) AS returncode, '' AS failed,
   least(1500, length(regexp_extract(o.content, '<output>([\\s\\S]*?)</output>', 1))) AS chars FROM messages t JOIN messages o ON o.run_id = t.run_id AND o.role = 'tool' AND o.step = t.step + 1 WHERE t.role = 'assistant' AND t.step % 4 = 3"""),
     "run_costs": oracle("messages", f"{_COSTS} SELECT * FROM co"),

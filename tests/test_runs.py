@@ -7,6 +7,7 @@ from repairlens.operators import evaluation as ev
 from repairlens.operators import failures as fl
 from repairlens.operators import patches as pt
 from repairlens.operators import planning as pl
+from repairlens.operators import retrieval as rt
 
 
 def test_outputs_take_the_latest_free_command(spark):
@@ -99,3 +100,21 @@ def test_files_seen_and_left(spark):
     assert {r["run_id"]: (r["viewed_not_final"], r["edited_not_viewed"]) for r in got} == {1: (["a"], ["c"]), 2: ([], [])}
     left = cv.viewed_then_dropped(files([(1, "x/a.py"), (1, "b.py")]), files([(1, "y/b.py")]), files([(1, "z/a.py"), (1, "n.py"), (1, "b.py")])).collect()
     assert sorted((r["file"], r["reason"]) for r in left) == [("a.py", "dropped"), ("n.py", "unvisited")]
+
+
+def test_evidence_of_failed_tests(spark):
+    tests = spark.createDataFrame([("t/a.py", "test_x", 3, 9), ("t/b.py", "test_x", 1, 2), ("t/b.py", "test_long_name", 5, 8)], "path string, name string, start_line int, end_line int")
+    names = spark.createDataFrame([(1, "test_x", False), (1, "test_x", True), (1, "long_name", False), (2, "test_long", False), (2, "gone", True), (2, "test_name", False)], "run_id long, name string, is_regression boolean")
+    views = spark.createDataFrame([(1, "/testbed/t/a.py", 8, 20), (2, "t/b.py", 9, 9)], "run_id long, path string, start_line int, end_line int")
+    got = sorted((r["run_id"], r["name"], r["path"], r["symbol"], r["score"], r["seen"]) for r in rt.failed_test_evidence(tests, names, views).collect())
+    assert got == [(1, "long_name", "t/b.py", "test_long_name", 0.78, False), (1, "test_x", "t/a.py", "test_x", 0.95, True), (2, "test_long", "t/b.py", "test_long_name", 0.78, True), (2, "test_name", "t/b.py", "test_long_name", 0.78, True)]
+
+
+def test_dropped_spans_come_first(spark):
+    span = "run_id long, path string, start_line long, end_line long"
+    views = spark.createDataFrame([(1, "a.py", 1, 4), (1, "a.py", 2, 3), (1, "b.py", 1, 2), (1, "whole.py", 1, 2), (1, "widget.py", 1, 1)], span)
+    kept = spark.createDataFrame([(1, "a.py", 1, 2), (1, "a.py", 3, 3), (1, "whole.py", None, None)], span)
+    lines = spark.createDataFrame([("a.py", 1, "Parse it"), ("a.py", 4, "render"), ("b.py", 1, "parse and Render"), ("b.py", 2, "x"), ("whole.py", 1, "parse")], "path string, ln int, text string")
+    words = spark.createDataFrame([(1, "m.Parse"), (1, "render"), (1, "it"), (1, "Widget")], "run_id long, word string")
+    got = [(r["path"], r["start_line"], r["relation"], r["score"], r["matched"]) for r in rt.rehydrate_spans(views, kept, lines, words).orderBy("rank").collect()]
+    assert got == [("a.py", 1, rt.DROPPED, 0.95, ["m.Parse", "render"]), ("b.py", 1, rt.UNCOVERED, 0.81, ["m.Parse", "render"]), ("widget.py", 1, rt.UNCOVERED, 0.73, ["Widget"])]
