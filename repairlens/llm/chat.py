@@ -7,7 +7,9 @@ first character, and backslashes are doubled, so a text can always be told from
 restored. Segments are written out, and ``read_back`` parses them with the same template.
 
 A conversation may be of any length: both passes hold one turn at a time. Null text and null
-role count as empty; rows with a null conversation id form one conversation.
+role count as empty; rows with a null conversation id form one conversation. Rows that repeat are
+turns of their own; other columns are ignored, whatever their names; an empty table has no
+conversations.
 """
 
 from __future__ import annotations

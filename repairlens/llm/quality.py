@@ -5,7 +5,8 @@ rule. ``verdict`` applies a named policy (a set of rules) to the bits without me
 again; ``ablations`` says from the bits alone what each rule of a policy decides.
 
 Words are runs of characters other than ASCII white space. Null text has no words. Rows that
-repeat, null ids and extra columns are kept as they are.
+repeat and rows with a null id are judged each for itself; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
