@@ -103,7 +103,7 @@ def trajectory_features(messages: DataFrame) -> DataFrame:
 def viewed_edited_sets(views: DataFrame, edits: DataFrame) -> DataFrame:
     """(run_id, file, viewed, edited) of files that one of (run_id, file) inputs has."""
     flag = lambda df, name: df.select("run_id", "file").distinct().withColumn(name, F.lit(True))
-    both = flag(views, "viewed").join(flag(edits, "edited"), ["run_id", "file"], "full")
+    both = flag(views, "viewed").join(flag(edits, "edited").hint("merge"), ["run_id", "file"], "full")
     return both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("viewed", "edited")})
 
 

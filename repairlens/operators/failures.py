@@ -111,7 +111,7 @@ def cluster_failures(events: DataFrame) -> DataFrame:
     )
     yes = lambda c: F.coalesce(c, F.lit(False))
     holds = sizes.join(common.hint("merge"), key, "left").where("n > 1").where(yes(F.col("one_print")) | yes(F.col("one_frame")) | ((F.col("chains") > 1) & yes(F.col("widest") == F.col("chains")))).select(*key, F.lit(True).alias("merged"))
-    first = events.join(holds, key, "left").withColumn("p1", F.col("is_parameterized") & yes(F.col("merged")))
+    first = events.join(holds.hint("merge"), key, "left").withColumn("p1", F.col("is_parameterized") & yes(F.col("merged")))
     in_group = lambda done, value: F.count(F.when(~done, value)).over(Window.partitionBy("run_id", done, value))
     second = first.withColumn("print", informative).withColumn("p2", ~F.col("p1") & F.col("print").isNotNull() & (in_group(F.col("p1"), F.col("print")) > 1))
     done = F.col("p1") | F.col("p2")
@@ -132,7 +132,7 @@ def cluster_failures(events: DataFrame) -> DataFrame:
 def cluster_summary(events: DataFrame, members: DataFrame) -> DataFrame:
     """(run_id, cluster, cluster_id, n, n_types, error_class, top_frame): id from the sorted members; class and frame of the first one."""
     canonical = F.concat_ws("|", "test_name", "error_class", "fingerprint", "top_frame")
-    both = events.join(members, ["run_id", "ord"])
+    both = events.join(members.hint("merge"), ["run_id", "ord"])
     return both.groupBy("run_id", "cluster").agg(
         F.concat(F.lit("C"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(canonical)), "\n"), 256), 1, 7)).alias("cluster_id"),
         F.count("*").alias("n"),

@@ -45,7 +45,7 @@ def required_artifacts(runs: DataFrame, files: DataFrame, rules: list[tuple[str,
     need = F.array_compact(F.array(*(F.when(F.expr(cond), F.lit(name)) for name, cond in rules)))
     have = files.groupBy("run_id").agg(F.collect_set("name").alias("have"))
     missing = F.array_sort(F.array_except(need, F.coalesce("have", F.array().cast("array<string>"))))
-    return runs.join(have, "run_id", "left").select("run_id", F.size(need).alias("n_required"), F.array_join(missing, ",").alias("missing"), F.when(F.size(missing) > 0, "missing_artifacts").otherwise("ok").alias("status"))
+    return runs.join(have.hint("merge"), "run_id", "left").select("run_id", F.size(need).alias("n_required"), F.array_join(missing, ",").alias("missing"), F.when(F.size(missing) > 0, "missing_artifacts").otherwise("ok").alias("status"))
 
 
 def name_audit(files: DataFrame) -> DataFrame:

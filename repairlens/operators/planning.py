@@ -35,6 +35,15 @@ def rule_diagnosis(signals: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w) - 1).select("run_id", "rank", "type", "confidence")
 
 
+def rejected_assumptions(edited: DataFrame, errors: DataFrame, most: int = 3) -> DataFrame:
+    """(run_id, assumption, location) of runs whose edited files (run_id, pos, file) and error files (the same) have no base name in common: that the fault lies where the edits are. Both lists in order, as many as ``most``."""
+    base = lambda c: F.transform(c, lambda f: F.substring_index(f, "/", -1))
+    listed = lambda df, name: df.where("file <> ''").groupBy("run_id", "file").agg(F.min("pos").alias("pos")).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "file"))), lambda x: x["file"]).alias(name))
+    both = listed(edited, "e").join(listed(errors, "x").hint("merge"), "run_id").where(~F.arrays_overlap(base("e"), base("x")))
+    shown = lambda c, sep: F.array_join(F.slice(c, 1, most), sep)
+    return both.select("run_id", F.concat(F.lit("edited "), shown("e", ", "), F.lit(" but error is in "), shown("x", ", ")).alias("assumption"), shown("x", "; ").alias("location"))
+
+
 def diagnosis_plan(diagnoses: DataFrame) -> DataFrame:
     """(run_id, primary, n, summary): the most confident diagnosis, how many there are, and the first three."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "type")))

@@ -116,7 +116,7 @@ def route_actions(actions: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     out = actions.where(~F.col("action").isin(list(found))).select("action_id", "action", F.lit("UNSUPPORTED").alias("status"), F.lit(0).cast("long").alias("hits"))
     for kind, results in found.items():
         counted = results.groupBy("value").agg(F.count("*").alias("n"))
-        one = actions.where(F.col("action") == kind).join(counted, "value", "left")
+        one = actions.where(F.col("action") == kind).join(counted.hint("merge"), "value", "left")
         out = out.unionByName(one.select("action_id", "action", F.when(F.col("n") > 0, "FOUND").otherwise("NOT_FOUND").alias("status"), F.coalesce("n", F.lit(0).cast("long")).alias("hits")))
     return out
 

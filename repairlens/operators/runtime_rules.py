@@ -61,9 +61,10 @@ DEFICIENCIES = [
 
 # Words that say that a search is about the failure itself; words that are no hint; the longest list of hints.
 FAILURE_WORDS = "error|exception|warning|traceback|failed|fail"
-NO_HINTS = (
-    "the and for with this that from have should when while into them then what where which django issue patch test tests description error raise raises raised expected actual traceback"
-).split()
+NO_HINTS = [
+    "the", "and", "for", "with", "this", "that", "from", "have", "should", "when", "while", "into", "them", "then", "what", "where", "which",
+    "django", "issue", "patch", "test", "tests", "description", "error", "raise", "raises", "raised", "expected", "actual", "traceback",
+]
 MOST_HINTS = 40
 # By deficiency, the kinds of hints and the patterns that find them in an issue; group 1 where there is one.
 HINTS = {

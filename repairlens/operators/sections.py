@@ -170,7 +170,7 @@ def related_tests(files: DataFrame, targets: DataFrame, views: DataFrame, budget
     score = F.when(calls > 0, 100 + calls).when(F.contains("content", F.concat(F.lit("import "), "module")), 80).when(F.contains("path", F.concat(F.lit("/"), "target", F.lit("/"))), 60).otherwise(30)
     ranked = hits.select("target", "path", score.alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "path"))).where(F.col("r") <= budget)
     seen = views.select(F.col("file").alias("path")).distinct().withColumn("seen", F.lit(True))
-    return ranked.join(seen, "path", "left").select("target", "path", "score", F.coalesce("seen", F.lit(False)).alias("seen"))
+    return ranked.join(seen.hint("merge"), "path", "left").select("target", "path", "score", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
 def test_index(symbols: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def resolve_aliases(ids: DataFrame, pool: DataFrame) -> DataFrame:
     name = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("dir_name", "canonical_id", "instance_id")))
     index = pool.select(name.alias("canonical"), F.explode(F.array_distinct(F.array_compact(F.array("dir_name", "instance_id")))).alias("id")).where("id <> ''").groupBy("id").agg(F.min("canonical").alias("canonical"))
     last = F.when(F.col("canonical").endswith("-vnan"), F.element_at(F.split("canonical", "-"), -2)).otherwise(F.element_at(F.split("canonical", "-"), -1))
-    return ids.join(index, "id", "left").withColumn("short_hash", last.rlike("^[0-9a-f]{7,12}$"))
+    return ids.join(index.hint("merge"), "id", "left").withColumn("short_hash", last.rlike("^[0-9a-f]{7,12}$"))
 
 
 def retry_policy(decisions: DataFrame, pool: DataFrame) -> DataFrame:

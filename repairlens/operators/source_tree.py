@@ -46,7 +46,7 @@ def enclosing_definition(symbols: DataFrame, sites: DataFrame, around: int = 5)
 
 def file_definition(files: DataFrame, targets: DataFrame, chars: int = 2000) -> DataFrame:
     """(path, head, chars) of named files."""
-    return files.join(targets, "path", "left_semi").select("path", F.substring("content", 1, chars).alias("head"), F.length("content").alias("chars"))
+    return join_list(files, targets, "path", "left_semi").select("path", F.substring("content", 1, chars).alias("head"), F.length("content").alias("chars"))
 
 
 def find_imports(lines: DataFrame, modules: DataFrame) -> DataFrame:

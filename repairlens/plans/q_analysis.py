@@ -15,7 +15,7 @@ def _metrics(lines):
     n_gold = gold.groupBy("instance_id").agg(F.count("*").alias("gold"))
     marked = lines.where("kind <> 'gold'").join(gold.withColumn("g", F.lit(1)).hint("merge"), ["instance_id", "path", "line"], "left")
     per = marked.groupBy("instance_id", F.col("kind").alias("baseline")).agg(F.count("*").alias("cands"), F.count("g").alias("hits"))
-    return per.join(n_gold, "instance_id")
+    return per.join(n_gold.hint("merge"), "instance_id")
 
 
 def _matrix(records):

@@ -60,6 +60,7 @@ def _rehydrated(spans, files):
 QUERIES = {
     "failed_test_evidence": query(_evidence, "spans"),
     "rehydrate_spans": query(_rehydrated, "spans", "repo_files"),
+    "rejected_assumptions": query(lambda s: pl.rejected_assumptions(*(s.where(F.col("kind") == k).where("start_line % 40 = 0").select(F.col("instance_id").alias("run_id"), F.col("end_line").alias("pos"), F.concat(F.lit(r), "path").alias("file")) for k, r in (("final", "a/"), ("gold", "b/")))), "spans"),
     "test_run_results": query(_results, "messages"),
     "run_costs": query(_costs, "messages"),
     "cost_by_model": query(lambda m: pl.cost_by_model(_costs(m)), "messages"),
@@ -100,6 +101,9 @@ m AS (SELECT v.run_id, v.path, a, b, inf, word FROM v LEFT JOIN l ON l.path = v.
 c AS (SELECT run_id, path, a, b, inf, count(*) AS n, string_agg(word, ',' ORDER BY word) AS matched FROM m GROUP BY ALL), s AS (SELECT *, CASE WHEN inf THEN 85 + least(5 * n, 10) ELSE 65 + least(8 * n, 20) END / 100 AS score FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY inf DESC, n DESC, score DESC, path, a, b) - 1 AS rank FROM s)
 SELECT run_id, rank, path, a AS start_line, b AS end_line, CASE WHEN inf THEN 'previously_seen_but_dropped' ELSE 'previously_seen_uncovered_file' END AS relation, score, matched FROM r WHERE rank < 4"""),
+    "rejected_assumptions": oracle("spans", """q AS (SELECT kind, instance_id AS run_id, path, min(end_line) AS p FROM spans WHERE kind IN ('final', 'gold') AND start_line % 40 = 0 GROUP BY 1, 2, 3),
+l AS (SELECT run_id, list('a/' || path ORDER BY p, path) FILTER (kind = 'final') AS e, list('b/' || path ORDER BY p, path) FILTER (kind = 'gold') AS x, list(path) FILTER (kind = 'final') AS be, list(path) FILTER (kind = 'gold') AS bx FROM q GROUP BY 1)
+SELECT run_id, 'edited ' || array_to_string(e[1:3], ', ') || ' but error is in ' || array_to_string(x[1:3], ', ') AS assumption, array_to_string(x[1:3], '; ') AS location FROM l WHERE e IS NOT NULL AND x IS NOT NULL AND NOT list_has_any(be, bx)"""),
     "test_run_results": oracle("messages", """SELECT t.run_id, t.step AS test_step, 'python -m pytest tests/test_' || (t.run_id % 7) || '.py' AS cmd, o.step AS out_step, CAST(o.step % 2 AS INT) AS returncode, '' AS failed,
   least(1500, length(regexp_extract(o.content, '<output>([\\s\\S]*?)</output>', 1))) AS chars FROM messages t JOIN messages o ON o.run_id = t.run_id AND o.role = 'tool' AND o.step = t.step + 1 WHERE t.role = 'assistant' AND t.step % 4 = 3"""),
     "run_costs": oracle("messages", f"{_COSTS} SELECT * FROM co"),
