@@ -54,6 +54,16 @@ def name_audit(files: DataFrame) -> DataFrame:
     return files.groupBy("canonical").agg(F.count("*").alias("n_files"), F.count_if(F.col("name") != expected).alias("renames"), (F.count_distinct("name") == F.count("*")).alias("unique"))
 
 
+def name_gates(files: DataFrame, pool: DataFrame) -> DataFrame:
+    """(gate, description, ok): unique canonical ids of the pool (canonical_id; empty or null can't be resolved), files (canonical, name) under their expected names, files without errors (a canonical id is known), and no expected name twice."""
+    resolved = pool.agg((F.count(F.nullif("canonical_id", F.lit(""))) == F.count("*")).alias("all"), (F.count_distinct(F.nullif("canonical_id", F.lit(""))) == F.count(F.nullif("canonical_id", F.lit("")))).alias("once"))
+    expected = F.concat(F.replace("canonical", F.lit("/"), F.lit("__")), F.lit(".json"))
+    known = files.withColumn("canonical", F.nullif("canonical", F.lit(""))).withColumn("expected", expected)
+    told = known.agg((F.count_if(F.col("canonical").isNotNull() & F.coalesce(F.col("name") != F.col("expected"), F.lit(True))) == 0).alias("named"), (F.count_if(F.col("canonical").isNull()) == 0).alias("whole"), (F.count_distinct("expected") == F.count("expected")).alias("single"))
+    gates = lambda df, rows: df.select(F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.lit(d).alias("description"), ok.alias("ok")) for g, d, ok in rows))).alias("g")).select("g.*")
+    return gates(resolved, [("G1", "unique canonical ids", F.col("all") & F.col("once"))]).unionByName(gates(told, [("G2", "expected names", F.col("named")), ("G3", "no errors", F.col("whole")), ("G4", "no name twice", F.col("single"))]))
+
+
 def runtime_view(df: DataFrame, oracle_columns: list[str]) -> DataFrame:
     """Without the columns that only evaluation may read."""
     return df.drop(*oracle_columns)

@@ -252,6 +252,24 @@ def branch_verdict(comparisons: DataFrame) -> DataFrame:
     return comparisons.withColumn("verdict", verdict)
 
 
+def branch_fairness(branches: DataFrame) -> DataFrame:
+    """Adds fair, same_state, first_valid and second_valid to (base_sha, first_sha, second_sha, base_state, first_state, second_state, first_restored, second_restored, second_run, first_intact, second_intact, first_status, second_status).
+
+    Fair: both branches began from the first run's tracked code, by digests that are there, and
+    were restored; a branch that didn't run passes. same_state compares whole workspaces and
+    blocks nothing. A branch is valid if its patch is intact and the harness gave a verdict.
+    """
+    same = lambda a, b: (F.coalesce(a, F.lit("")) != "") & F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    ran, yes = F.coalesce("second_run", F.lit(False)), lambda c: F.coalesce(c, F.lit(False))
+    second = lambda cond: ~ran | cond
+    valid = lambda x: yes(f"{x}_intact") & F.coalesce(F.col(f"{x}_status").isin("RESOLVED", "UNRESOLVED"), F.lit(False))
+    return branches.withColumns({
+        "fair": same("base_sha", "first_sha") & yes("first_restored") & second(same("base_sha", "second_sha") & yes("second_restored")),
+        "same_state": same("base_sha", "first_sha") & same("base_state", "first_state") & second(same("base_sha", "second_sha") & same("base_state", "second_state")),
+        "first_valid": valid("first"), "second_valid": second(valid("second")),
+    })
+
+
 def packet_mode(runs: DataFrame) -> DataFrame:
     """Adds packet_mode to (trigger, family, pathology, repo_status, done, guards)."""
     mode = F.expr("""CASE WHEN trigger = 'NO_TRIGGER' THEN 'noop' WHEN family = 'ABSTAIN' OR pathology = 'INSUFFICIENT_RUNTIME_EVIDENCE' THEN 'abstain' WHEN repo_status <> 'resolved' THEN 'diagnostic_only_no_repo'

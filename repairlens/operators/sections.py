@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from repairlens.functions.joins import join_list
 from repairlens.functions.text import lines_nl, strip
 
+# Headers, error lines, frames and results of test logs.
 HEADER = r"^_{3,}\s+(.+?)\s+_{3,}"
 SUMMARY = r"^==+.*short test summary.*==+"
 ERROR = r"^\s*E\s+(\w+(?:Error|Exception|Failure))(?::\s*(.*))?"
@@ -23,8 +24,15 @@ DJANGO_ERROR = r"^((?:Assertion|Attribute|Type|Value|Import|ModuleNotFound|Key|I
 
 
 def _lines(logs: DataFrame) -> DataFrame:
+    """(run_id, log, pos, line): ``log`` tells the logs of one run apart; equal rows are one log."""
     plain = F.regexp_replace("log_text", r"\x1B\[[0-9;]*m", "")
-    return logs.select("run_id", F.posexplode(lines_nl(plain)).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"\r$", ""))
+    each = logs.select("run_id", F.xxhash64("log_text").alias("log"), "log_text").distinct()
+    return each.select("run_id", "log", F.posexplode(lines_nl(plain)).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"\r$", ""))
+
+
+def _renumbered(sections: DataFrame) -> DataFrame:
+    """Sections of several logs of a run counted on, one log after another."""
+    return sections.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("log", "ord")).cast("long"))
 
 
 def _frame(path: Column, line: Column, function: Column) -> Column:
@@ -45,7 +53,7 @@ def parse_pytest_failures(logs: DataFrame) -> DataFrame:
     The first error line of a section counts; of its assertion lines the first that compares,
     else the last. A frame of the form File "..." at column 0 is recorded once.
     """
-    w = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("run_id", "log").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = _lines(logs)
     trimmed = strip(F.col("line"))
     opened = lines.withColumn("name", F.when(trimmed.rlike(HEADER), F.regexp_extract(trimmed, HEADER, 1)))
@@ -57,7 +65,7 @@ def parse_pytest_failures(logs: DataFrame) -> DataFrame:
     long = F.when(F.col("line").rlike(r"^\s*" + FILE_FRAME), _frame(_grab(FILE_FRAME, 1), _grab(FILE_FRAME, 2), _grab(FILE_FRAME, 3)))
     compares = F.lower("line").rlike("assert_|assert |==|!=")
     frame = F.coalesce(short, long)
-    sections = body.groupBy("run_id", "ord").agg(
+    sections = body.groupBy("run_id", "log", "ord").agg(
         F.max("name").alias("test_name"),
         F.min(error).alias("e"),
         F.min(F.when(is_claim & compares, F.struct("pos", "line"))).alias("best"),
@@ -66,7 +74,7 @@ def parse_pytest_failures(logs: DataFrame) -> DataFrame:
     )
     frames = F.transform("placed", lambda x: x["f"])
     root = F.get(F.filter(frames, lambda f: f["is_repo_frame"] & ~f["is_test_file"]), F.lit(0))
-    return sections.select(
+    return _renumbered(sections).select(
         "run_id", "ord", "test_name", F.coalesce("e.type", F.lit("Unknown")).alias("exception_type"), F.coalesce("e.message", F.lit("")).alias("error_message"),
         F.coalesce("best.line", "last.line", F.lit("")).alias("assertion_line"), F.coalesce(F.concat(root["file"], F.lit(":"), root["line"].cast("string")), F.lit("")).alias("root_frame"), frames.alias("frames"),
     )
@@ -79,17 +87,17 @@ def summary_failures(logs: DataFrame) -> DataFrame:
 
 def parse_django_failures(logs: DataFrame) -> DataFrame:
     """(run_id, ord, test_name, exception_type, error_message, frames) of each ERROR or FAIL section."""
-    w = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("run_id", "log").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = _lines(logs).withColumn("line", strip(F.col("line")))
     head = F.when(F.col("line").rlike(DJANGO_HEADER), F.concat(_grab(DJANGO_HEADER, 3), F.lit("::"), _grab(DJANGO_HEADER, 2)))
     rule = F.contains("line", F.lit("---")) & (F.length("line") >= 60)
     numbered = lines.withColumn("name", head).withColumn("ord", F.count("name").over(w))
-    inner = Window.partitionBy("run_id", "ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("run_id", "log", "ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     body = numbered.where("ord > 0").withColumn("rules", F.count_if(rule).over(inner)).where("rules < 2")  # one rule stands below the header, the next one ends the section
     error = F.when(F.col("line").rlike(DJANGO_ERROR), F.struct("pos", _grab(DJANGO_ERROR, 1).alias("type"), F.concat(_grab(DJANGO_ERROR, 1), F.lit(": "), F.substring(_grab(DJANGO_ERROR, 2), 1, 200)).alias("message")))
     frame = F.when(F.col("line").rlike(FILE_FRAME), F.struct("pos", _frame(_grab(FILE_FRAME, 1), _grab(FILE_FRAME, 2), _grab(FILE_FRAME, 3)).alias("f")))
-    sections = body.groupBy("run_id", "ord").agg(F.max("name").alias("test_name"), F.min(error).alias("e"), F.array_sort(F.collect_list(frame)).alias("placed"))
-    return sections.select("run_id", "ord", "test_name", F.coalesce("e.type", F.lit("Unknown")).alias("exception_type"), F.coalesce("e.message", F.lit("")).alias("error_message"), F.transform("placed", lambda x: x["f"]).alias("frames"))
+    sections = body.groupBy("run_id", "log", "ord").agg(F.max("name").alias("test_name"), F.min(error).alias("e"), F.array_sort(F.collect_list(frame)).alias("placed"))
+    return _renumbered(sections).select("run_id", "ord", "test_name", F.coalesce("e.type", F.lit("Unknown")).alias("exception_type"), F.coalesce("e.message", F.lit("")).alias("error_message"), F.transform("placed", lambda x: x["f"]).alias("frames"))
 
 
 def django_results(logs: DataFrame) -> DataFrame:

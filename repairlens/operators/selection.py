@@ -13,6 +13,15 @@ def instance_registry(manifest: DataFrame, bench: DataFrame, canonical: DataFram
     return joined.withColumn("fail_to_pass", F.coalesce(tests, F.split("fail_to_pass", ""), F.array().cast("array<string>")))
 
 
+def filter_registry(registry: DataFrame, pools: list[str] | None = None, sources: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """The rows of a registry (pool, source, language) that are in every given list; languages in any case. A null value is in no list; no list takes all."""
+    out = registry
+    for column, values in (("pool", pools), ("source", sources)):
+        if values is not None:
+            out = out.where(F.col(column).isin(list(values)))
+    return out if languages is None else out.where(F.lower("language").isin([x.lower() for x in languages]))
+
+
 def build_manifest(sources: DataFrame) -> DataFrame:
     """(instance_id, source, status, n_sources): the entry of the source of highest precedence (lowest priority) for each instance."""
     w = Window.partitionBy("instance_id")

@@ -124,6 +124,21 @@ def keyword_queries(issues: DataFrame, stop: list[str], n: int = 8) -> DataFrame
     return issues.select("instance_id", F.posexplode(F.slice(words, 1, n)).alias("rank", "query"))
 
 
+def failure_queries(signals: DataFrame, n: int = 12) -> DataFrame:
+    """(instance_id, rank, query) of (instance_id, error_tokens array, trace): the tokens of three letters or more as they come, then exception names and dotted check codes of the trace that aren't among them."""
+    none = F.array().cast("array<string>")
+    tokens = F.transform(F.filter(F.coalesce("error_tokens", none), lambda t: F.length(t) >= 3), lambda t: F.trim(t))
+    trace = F.coalesce("trace", F.lit(""))
+    found = F.concat(F.regexp_extract_all(trace, F.lit(r"\b([A-Z][a-zA-Z]+(?:Error|Exception|Warning))\b"), F.lit(1)), F.regexp_extract_all(trace, F.lit(r"\b([a-z_]+\.[A-Z][0-9]{3,})\b"), F.lit(1)))
+    return signals.select("instance_id", F.posexplode(F.slice(F.concat(tokens, F.array_except(found, tokens)), 1, n)).alias("rank", "query"))
+
+
+def test_name_queries(signals: DataFrame, n: int = 12) -> DataFrame:
+    """(instance_id, rank, query) of (instance_id, test_failures array): the first distinct names of three letters or more."""
+    names = F.array_distinct(F.filter(F.transform(F.coalesce("test_failures", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: F.length(t) >= 3))
+    return signals.select("instance_id", F.posexplode(F.slice(names, 1, n)).alias("rank", "query"))
+
+
 def expand_context(sources: dict[str, DataFrame], order: list[str]) -> DataFrame:
     """(instance_id, source, priority, path, start_line, end_line): candidates of all sources, with the place of the source in the order."""
     out = None

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from repairlens.operators import conversations as cv
 from repairlens.operators import evaluation as ev
 from repairlens.operators import failures as fl
+from repairlens.operators import guards as gd
 from repairlens.operators import planning as pl
 from repairlens.operators import retrieval as rt
+from repairlens.operators import selection as sl
 from repairlens.operators import source_tree as st
 from repairlens.plans import q_analysis, q_conversations
 from repairlens.plans.fixtures import oracle, query
@@ -57,7 +59,19 @@ def _rehydrated(spans, files):
     return rt.rehydrate_spans(part("viewed"), kept, st.code_lines(files), words).withColumn("matched", F.array_join("matched", ","))
 
 
+def _branches(orders):
+    k = F.col("o_orderkey")
+    text = lambda n, name: F.when(k % n > 0, F.concat(F.lit("s"), (k % 3).cast("string"))).alias(name)
+    return pl.branch_fairness(orders.select(k.alias("run_id"), text(11, "base_sha"), F.concat(F.lit("s"), (F.col("o_custkey") % 3).cast("string")).alias("first_sha"), text(7, "second_sha"), text(5, "base_state"), text(13, "first_state"), text(4, "second_state"),
+        (k % 6 > 0).alias("first_restored"), (k % 8 > 0).alias("second_restored"), (k % 2 == 0).alias("second_run"), (k % 9 > 0).alias("first_intact"), (k % 10 > 0).alias("second_intact"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'UNRESOLVED' ELSE 'ERROR' END").alias("first_status"), F.lit("RESOLVED").alias("second_status")))
+
+
 QUERIES = {
+    "branch_fairness": query(lambda o: _branches(o).select("run_id", "fair", "same_state", "first_valid", "second_valid"), "orders"),
+    "name_gates": query(lambda d, p: gd.name_gates(d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("canonical"), F.concat("source", F.when(F.col("doc_id") % 50 == 7, "_").otherwise("__"), F.col("doc_id").cast("string"), F.lit(".json")).alias("name")), p.select(F.col("p_brand").alias("canonical_id"))), "documents", "part"),
+    "failure_queries": query(lambda i: st.failure_queries(i.select("instance_id", F.slice(F.split("issue", " "), 1, 4).alias("error_tokens"), F.concat(F.lit("AcmeError models.E0"), F.lpad((F.col("instance_id") % 90).cast("string"), 2, "0"), F.lit(" AcmeError ValueError")).alias("trace")), 6), "issues"),
+    "test_name_queries": query(lambda i: st.test_name_queries(i.select("instance_id", F.split("issue", " ").alias("test_failures"))), "issues"),
+    "filter_registry": query(lambda c: sl.filter_registry(c.select("c_custkey", F.col("c_mktsegment").alias("pool"), F.expr("CASE WHEN c_custkey % 3 > 0 THEN concat('s', CAST(c_custkey % 3 AS STRING)) END").alias("source"), F.expr("CASE c_custkey % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'GO' ELSE 'rust' END").alias("language")), None, ["s1", "s2"], ["python", "go"]), "customer"),
     "failed_test_evidence": query(_evidence, "spans"),
     "rehydrate_spans": query(_rehydrated, "spans", "repo_files"),
     "rejected_assumptions": query(lambda s: pl.rejected_assumptions(*(s.where(F.col("kind") == k).where("start_line % 40 = 0").select(F.col("instance_id").alias("run_id"), F.col("end_line").alias("pos"), F.concat(F.lit(r), "path").alias("file")) for k, r in (("final", "a/"), ("gold", "b/")))), "spans"),
@@ -85,6 +99,15 @@ mc AS (SELECT *, CASE WHEN status IN ('ENV_ERROR', 'PATCH_APPLY_FAILED') THEN 'e
   WHEN submitted_without_tests THEN 'no-runtime-signal' WHEN patch_exists THEN 'hidden-failure' ELSE 'unknown' END AS failure_class FROM mx)"""
 _KINDS = "k AS (SELECT DISTINCT kind, instance_id AS run_id, path AS file FROM spans), p AS (SELECT run_id, file, bool_or(kind = 'viewed') AS v, bool_or(kind = 'final') AS f, bool_or(kind = 'candidate') AS c, bool_or(kind = 'gold') AS g FROM k GROUP BY 1, 2)"
 ORACLES = {
+    "branch_fairness": """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 > 0 THEN 's' || (o_orderkey % 3) END AS b, 's' || (o_custkey % 3) AS f, CASE WHEN o_orderkey % 7 > 0 THEN 's' || (o_orderkey % 3) END AS s FROM orders),
+c AS (SELECT k, coalesce(b = f, false) AS bf, coalesce(b = s, false) AS bs, k % 5 > 0 AND k % 13 > 0 AS st1, k % 5 > 0 AND k % 4 > 0 AS st2, k % 2 = 0 AS ran FROM o)
+SELECT k AS run_id, bf AND k % 6 > 0 AND (NOT ran OR (bs AND k % 8 > 0)) AS fair, bf AND st1 AND (NOT ran OR (bs AND st2)) AS same_state, k % 9 > 0 AND k % 3 < 2 AS first_valid, NOT ran OR k % 10 > 0 AS second_valid FROM c""",
+    "name_gates": "SELECT 'G1' AS gate, 'unique canonical ids' AS description, count(DISTINCT p_brand) = count(*) AS ok FROM part UNION ALL SELECT 'G2', 'expected names', count(*) FILTER (doc_id % 50 = 7) = 0 FROM documents UNION ALL SELECT 'G3', 'no errors', true UNION ALL SELECT 'G4', 'no name twice', count(DISTINCT source || doc_id) = count(*) FROM documents",
+    "failure_queries": oracle("issues", """t AS (SELECT instance_id, list_transform(list_filter(string_split(issue, ' ')[1:4], lambda x: length(x) >= 3), lambda x: trim(x, ' ')) AS a, ['AcmeError', 'ValueError', 'models.E0' || lpad(CAST(instance_id % 90 AS VARCHAR), 2, '0')] AS f FROM issues),
+q AS (SELECT instance_id, (a || list_filter(f, lambda x: NOT list_contains(a, x)))[1:6] AS q FROM t) SELECT instance_id, unnest(range(len(q))) AS rank, unnest(q) AS query FROM q"""),
+    "test_name_queries": oracle("issues", """t AS (SELECT instance_id, list_filter(list_transform(string_split(issue, ' '), lambda x: trim(x, ' ')), lambda x: length(x) >= 3) AS a FROM issues),
+q AS (SELECT instance_id, list_filter(a, lambda x, i: list_position(a, x) = i)[1:12] AS q FROM t) SELECT instance_id, unnest(range(len(q))) AS rank, unnest(q) AS query FROM q"""),
+    "filter_registry": "SELECT c_custkey, c_mktsegment AS pool, 's' || (c_custkey % 3) AS source, CASE c_custkey % 4 WHEN 0 THEN 'Python' ELSE 'GO' END AS language FROM customer WHERE c_custkey % 3 > 0 AND c_custkey % 4 < 2",
     "failed_test_evidence": oracle("spans", """t AS (SELECT DISTINCT path, 'test_alpha_' || (start_line % 30) AS symbol FROM spans WHERE kind = 'gold'),
 b AS (SELECT n, coalesce((SELECT min(path) FROM t WHERE symbol = n), (SELECT min({'p': path, 's': symbol}).p FROM t WHERE contains(symbol, n)), (SELECT min({'p': path, 's': symbol}).p FROM t WHERE contains(symbol, regexp_replace(n, '^test_', '')))) AS path,
   CASE n WHEN 'test_alpha_3' THEN n WHEN 'alpha_2' THEN (SELECT min({'p': path, 's': symbol}).s FROM t WHERE contains(symbol, n)) ELSE (SELECT min({'p': path, 's': symbol}).s FROM t WHERE contains(symbol, 'pha_1')) END AS symbol FROM (VALUES ('test_alpha_3'), ('alpha_2'), ('test_pha_1')) v(n)),

@@ -79,3 +79,11 @@ def test_related_tests(spark):
     targets = spark.createDataFrame([("foo", "pkg")], "target string, module string")
     views = spark.createDataFrame([("tests/test_a.py",)], "file string")
     assert sorted((r.path, r.score, r.seen) for r in sc.related_tests(files, targets, views).collect()) == [("tests/test_a.py", 102, True)]
+
+
+def test_logs_of_one_run_stay_apart(spark):
+    log = lambda name, error: f"==== FAILURES ====\n____ {name} ____\n>   assert f() == 1\nE   {error}: bad {name}\n"
+    logs = spark.createDataFrame([(1, log("test_a", "ValueError")), (1, log("test_b", "KeyError") + log("test_c", "TypeError")), (1, log("test_a", "ValueError")), (2, None)], "run_id long, log_text string")
+    got = sc.parse_pytest_failures(logs).collect()
+    assert sorted((r.test_name, r.exception_type, r.error_message) for r in got) == [("test_a", "ValueError", "ValueError: bad test_a"), ("test_b", "KeyError", "KeyError: bad test_b"), ("test_c", "TypeError", "TypeError: bad test_c")]
+    assert sorted(r.ord for r in got) == [1, 2, 3]
