@@ -155,12 +155,9 @@ def _compared(percent: int, batches):
 def open_members(pairs: DataFrame, labels: DataFrame, sizes: DataFrame, frequent: DataFrame | None) -> DataFrame | None:
     """(rep, n, component) of the members of hub groups that lie in several components. None if there is no such group."""
     known = sizes.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component"))
-    known = shared.written(known, "members")
     every = pairs.select("x", "h").unionByName(pairs.select(F.col("h").alias("x"), "h").distinct())
-    sided = every.join(known.toDF("x", "n", "component").hint("merge"), "x")
-    sided = shared.spread_join(sided, known.select(F.col("rep").alias("h"), F.col("component").alias("own")), ["h"], frequent, ["x"])
-    sided = shared.written(sided.select("h", "x", "n", "component", F.expr("component <> own").alias("apart")), "sided")
-    groups = shared.written(sided.groupBy("h").agg(F.max("apart").alias("open")).where("open").select("h"), "open")
+    sided = shared.written(every.join(known.toDF("x", "n", "component").hint("merge"), "x"), "sided")
+    groups = shared.written(sided.groupBy("h").agg(F.expr("min(component) <> max(component)").alias("open")).where("open").select("h"), "open")
     if shared.fits(groups, 0):
         return None
     return shared.written(shared.spread_join(sided, groups, ["h"], frequent, ["x"]).select(F.col("x").alias("rep"), "n", "component").distinct(), "open-members")
@@ -172,7 +169,7 @@ def _reach(percent: int, n: Column) -> tuple[Column, Column]:
     return n - ceil(f"{2 * percent} * n", str(100 + percent)) + 1, n - ceil(f"{percent} * n", "100") + 1
 
 
-def prefix_posts(members: DataFrame, of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def prefix_posts(members: DataFrame, of: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """(token, members, rep, n, component, at, index, sketch): the rarest shared shingles of each open member under which members of different components stand.
 
     Two linked sets share a shingle among the first ones of each in the order of rarity: as many
@@ -192,6 +189,8 @@ def prefix_posts(members: DataFrame, of: DataFrame, classes: DataFrame, percent:
     posted = shared.written(posted, "posted")
     groups = posted.groupBy("token").agg(F.count("*").alias("members"), F.expr("min(component) <> max(component)").alias("open"), F.max("index").alias("found")).where("open AND found").drop("open", "found")
     groups = shared.written(groups, "groups")
+    if shared.fits(groups, 0):
+        return None
     kept = shared.spread_join(posted, groups, ["token"], shared.frequent_keys(groups, ["token"], "members"), ["rep"])
     sketch = F.transform("sig", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("byte"))
     return kept.join(classes.select("rep", sketch.alias("sketch")).hint("merge"), "rep")
@@ -252,7 +251,8 @@ def open_links(posts: DataFrame, of: DataFrame, percent: int, least: int, block:
     parts = shared.partitions(spark, dealt.count(), 20_000)
     found = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda b: _candidates(percent, least, b), "x long, h long")
     pairs = shared.written(found.distinct(), "candidates")
-    often = {side: shared.frequent_keys(pairs.groupBy(side).agg(F.count("*").alias("pairs")), [side], "pairs") for side in ("x", "h")}
+    many = not shared.fits(pairs, shared.KEY_ROWS)  # else no key can have more
+    often = {side: shared.frequent_keys(pairs.groupBy(side).agg(F.count("*").alias("pairs")), [side], "pairs") if many else None for side in ("x", "h")}
     both = shared.spread_join(pairs, of.toDF("x", "mine"), ["x"], often["x"], ["h"])
     both = shared.spread_join(both, of.toDF("h", "theirs"), ["h"], often["h"], ["x"]).select("x", "h", "mine", "theirs")
     return shared.written(both.mapInArrow(lambda b: _compared(percent, b), "x long, h long").toDF("a", "b"), "links")
@@ -277,8 +277,9 @@ def links(docs: DataFrame, classes: DataFrame, size: int = 5, coords: int = 64,
     members = open_members(pairs, labels, wanted.select("rep", "n"), frequent)
     if members is None:
         return labels
-    rest = open_links(prefix_posts(members, of, classes, percent), of, percent, least, block)
-    return labels if shared.fits(rest, 0) else components(rest.unionByName(labels.toDF("a", "b")))
+    posts = prefix_posts(members, of, classes, percent)
+    rest = None if posts is None else open_links(posts, of, percent, least, block)
+    return labels if rest is None or shared.fits(rest, 0) else components(rest.unionByName(labels.toDF("a", "b")))
 
 
 def judged(docs: DataFrame, size: int = 5, coords: int = 64, percent: int = 80) -> DataFrame:
