@@ -129,6 +129,12 @@ _LN = r"ln AS (SELECT path, unnest(range(1, len(l) + 1)) AS ln, unnest(l) AS tex
 _CAND = "cand AS (" + " UNION ALL ".join(f"SELECT DISTINCT instance_id, '{k}' AS source, {i} AS priority, path, start_line, end_line FROM spans WHERE kind = '{k}'" for i, k in enumerate(("final", "viewed", "candidate"))) + ")"
 
 ORACLES = {
+    "enforce_budget": oracle("spans", """e AS (SELECT instance_id, CASE kind WHEN 'final' THEN 0 WHEN 'viewed' THEN 1 ELSE 2 END AS priority, kind AS source, path, start_line, least(end_line, start_line + 5) AS end_line FROM (SELECT DISTINCT instance_id, kind, path, start_line, end_line FROM spans) WHERE kind <> 'gold'),
+g AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY priority, path, start_line, end_line, source) AS i FROM e),
+w AS (SELECT DISTINCT instance_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS files, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS lines, false AS take FROM g
+UNION ALL SELECT instance_id, i, CASE WHEN room AND NOT list_contains(files, path) THEN list_append(files, path) ELSE files END, CASE WHEN room AND lines + size <= 20 THEN n + 1 ELSE n END, CASE WHEN room AND lines + size <= 20 THEN lines + size ELSE lines END, room AND lines + size <= 20
+FROM (SELECT g.instance_id, g.i, g.path, g.end_line - g.start_line AS size, w.files, w.n, w.lines, w.n < 6 AND (list_contains(w.files, g.path) OR len(w.files) < 4) AS room FROM w JOIN g ON g.instance_id = w.instance_id AND g.i = w.i + 1))
+SELECT g.instance_id, row_number() OVER (PARTITION BY g.instance_id ORDER BY g.i) - 1 AS rank, priority, path, start_line, end_line, source FROM w JOIN g ON g.instance_id = w.instance_id AND g.i = w.i WHERE take""").replace("WITH ", "WITH RECURSIVE ", 1),
     "class_index": oracle("repo_files", "SELECT path, kind, name, parent, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM repo_files, (VALUES ('class', 'A', NULL, 1, 19), ('function', 'A.run', 'A', 7, 12), ('async_function', 'A.go', 'A', 17, 19), ('class', 'B', NULL, 18, 19), ('function', 'B.run', 'B', 19, 19)) v(kind, name, parent, a, b)"),
     "normalize_logs": oracle("logs", f"{_NORM} SELECT * FROM norm"),
     "failure_stage": oracle("logs", f"SELECT run_id, {_case(lg.STAGES, 'unknown_failure')} AS stage FROM logs"),
