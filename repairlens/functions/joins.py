@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Terms shorter than this have no index entry of their own.
 GRAM = 3
+#: Up to so many terms are compared with every text: that costs less than its runs of letters.
+FEW = 64
 
 
 def join_list(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = 100_000) -> DataFrame:
@@ -30,12 +32,14 @@ def grams(text: Column) -> Column:
 
 
 def join_contains(left: DataFrame, text: Column, terms: DataFrame, term: str) -> DataFrame:
-    """left joined with the terms (column ``term``) that its text holds, through an inverted index of runs of three letters.
+    """left joined with the terms (column ``term``) that its text holds: a few by comparison, more through an inverted index of runs of three letters.
 
-    Each term is looked up under the rarest of its runs, counted over all texts, so a text meets
-    only terms that share one; ``contains`` decides on these. Terms of one or two letters are
-    compared with every text, in blocks.
+    The terms are counted first. In the index each term is looked up under the rarest of its runs,
+    counted over all texts, so a text meets only terms that share one; ``contains`` decides on
+    these. Terms of one or two letters are compared with every text, in blocks.
     """
+    if terms.limit(FEW + 1).count() <= FEW:
+        return left.join(F.broadcast(terms), F.contains(text, F.col(term))).select(*left.columns, *terms.columns)
     short, long = terms.where(F.length(term) < GRAM), terms.where(F.length(term) >= GRAM)
     named = long.select(term).distinct().select(term, F.explode(grams(F.col(term))).alias("gram__"))
     held = left.select(F.explode(grams(text)).alias("gram__"))

@@ -17,9 +17,13 @@ def lines_nl(col: Column) -> Column:
 
 
 def lines_py(col: Column) -> Column:
-    """Lines by every Unicode line end; a final empty line is dropped."""
-    parts = F.split(F.regexp_replace(col, r"\r\n|[\r\x0B\f\x1C-\x1E\x85  ]", "\n"), "\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """Lines by every Unicode line end; a final empty line is dropped.
+
+    The lines of a text are made once, and only a text with other line ends than the line feed is rewritten.
+    """
+    other = r"[\r\x0B\f\x1C-\x1E\x85  ]"
+    plain = F.when(col.rlike(other), F.regexp_replace(col, r"\r\n|" + other, "\n")).otherwise(col)
+    return let(F.split(plain, "\n"), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def let(value: Column, body) -> Column:
