@@ -31,6 +31,13 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
 
 
+def holding(left: DataFrame, text: Column, terms: DataFrame, term: str) -> DataFrame:
+    """left without the texts that hold none of the terms, if these are a few; else left as it is. A filter before texts are cut into lines."""
+    if terms.limit(FEW + 1).count() > FEW:
+        return left
+    return left.join(F.broadcast(terms), F.contains(text, F.col(term)), "left_semi")
+
+
 def join_contains(left: DataFrame, text: Column, terms: DataFrame, term: str) -> DataFrame:
     """left joined with the terms (column ``term``) that its text holds: a few by comparison, more through an inverted index of runs of three letters.
 

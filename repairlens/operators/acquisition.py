@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repairlens.functions.joins import join_contains, join_list
+from repairlens.functions.joins import holding, join_contains, join_list
 from repairlens.operators import source_tree as st
 
 # Folders that are skipped, scores of the ways in which a test bears on a target, and what nearness adds.
@@ -21,6 +21,11 @@ FILE_CHARS, TEST_CHARS, AROUND = 2_000, 1_500, 5
 _HIT = ["action_id", "rank", "path", "start_line", "end_line", "symbol", "method"]
 
 
+def _n_lines() -> Column:
+    text = F.coalesce("content", F.lit(""))
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
@@ -49,7 +54,7 @@ def symbol_definitions(files: DataFrame, actions: DataFrame, scan: int | None =
     last = F.element_at(F.split("value", r"\."), -1)
     asked = actions.where(F.col("kind").isin("SYMBOL", "TYPE_NAME")).select("action_id", "budget", last.alias("symbol")).where("symbol <> ''")
     forms = asked.select("symbol").distinct().select("symbol", F.explode(F.array(F.concat(F.lit("def "), "symbol", F.lit("(")), F.concat(F.lit("class "), "symbol"))).alias("form"))
-    lines = st.code_lines(_sources(files))
+    lines = st.code_lines(holding(_sources(files), F.col("content"), forms, "form"))
     if scan is not None:
         places = _sources(files).select("path").distinct().orderBy("path").limit(scan * (actions.agg(F.coalesce(F.max("budget"), F.lit(0))).first()[0])).withColumn("place", F.row_number().over(Window.orderBy("path")))
         lines = lines.join(places.hint("merge"), "path")
@@ -65,12 +70,13 @@ def failure_sites(files: DataFrame, actions: DataFrame) -> DataFrame:
     """Hits of FAILURE_SITE actions: the smallest function or class around the line, else the lines around it; none where the file is missing or the line no number."""
     site = F.split("value", ":", 2)
     asked = actions.where("kind = 'FAILURE_SITE'").select("action_id", site[0].alias("path"), F.expr("try_cast(get(split(value, ':', 2), 1) AS INT)").alias("line")).where("line IS NOT NULL")
-    wanted = files.join(asked.select("path").distinct().hint("merge"), "path", "left_semi")
-    known = asked.join(wanted.select("path", F.size(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\n$", ""), "\n")).alias("n")).hint("merge"), "path")
-    inner = known.join(st.definitions(wanted).hint("merge"), "path").where("line BETWEEN start_line AND end_line")
-    best = inner.groupBy("action_id").agg(F.min_by(F.struct("start_line", "end_line", "name"), F.struct(F.col("end_line") - F.col("start_line"), "start_line")).alias("d"))
+    last = asked.groupBy("path").agg(F.max("line").alias("until"))
+    size = F.size(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\n$", ""), "\n"))
+    wanted = files.select("path", "content").join(last.hint("merge"), "path").select("path", "content", size.alias("n"), "until")  # the one shuffle of texts
+    known = asked.join(st.definitions_by(wanted).hint("merge"), "path")
+    inner = F.filter("defs", lambda d: F.col("line").between(d["start_line"], d["end_line"]))
+    full = known.withColumn("d", F.array_min(F.transform(inner, lambda d: F.struct((d["end_line"] - d["start_line"]).alias("size"), d["start_line"].alias("start_line"), d["end_line"].alias("end_line"), d["name"].alias("name")))))
     idx = F.greatest(F.col("line") - 1, F.lit(0))
-    full = known.join(best.hint("merge"), "action_id", "left")
     return full.select(
         "action_id", F.lit(1).alias("rank"), "path", F.coalesce("d.start_line", F.greatest(idx - AROUND, F.lit(0)) + 1).alias("start_line"), F.coalesce("d.end_line", F.least("n", idx + AROUND)).alias("end_line"),
         F.coalesce("d.name", F.lit("")).alias("symbol"), F.when(F.col("d").isNotNull(), "ast_enclosing_node").otherwise("ast_fallback_lines").alias("method"),
@@ -80,8 +86,8 @@ def failure_sites(files: DataFrame, actions: DataFrame) -> DataFrame:
 def named_files(files: DataFrame, actions: DataFrame) -> DataFrame:
     """Hits of FILE actions: the file itself."""
     asked = actions.where("kind = 'FILE'").select("action_id", F.col("value").alias("path"))
-    lines = F.regexp_count(F.coalesce("content", F.lit("")), F.lit("\n")) + 1
-    return asked.join(files.hint("merge"), "path").select("action_id", F.lit(1).alias("rank"), "path", F.lit(1).alias("start_line"), lines.alias("end_line"), F.lit("").alias("symbol"), F.lit("file_read").alias("method"))
+    found = join_list(files.select("path", _n_lines().alias("end_line")), asked, "path")
+    return found.select("action_id", F.lit(1).alias("rank"), "path", F.lit(1).alias("start_line"), "end_line", F.lit("").alias("symbol"), F.lit("file_read").alias("method"))
 
 
 def rank_tests(files: DataFrame, actions: DataFrame, failed: DataFrame) -> DataFrame:
@@ -113,7 +119,7 @@ def rank_tests(files: DataFrame, actions: DataFrame, failed: DataFrame) -> DataF
     scored = join_list(best.join(asked.hint("merge"), "action_id").withColumn("folder", _folder(F.col("path"))), near, "folder", "left")
     score = F.col("base") + F.when((F.col("kind") == "FILE") & (F.col("folder") == _folder(F.col("value"))), SAME_FOLDER).otherwise(0) + F.when(F.col("near"), NEAR_FAILED).otherwise(0)
     first = scored.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("action_id").orderBy(F.desc("score"), "path"))).where(F.col("rank") <= F.col("budget"))
-    size = tests.select("path", (F.regexp_count("content", F.lit("\n")) + 1).alias("end_line"))
+    size = tests.select("path", _n_lines().alias("end_line"))
     shown = F.when(F.col("base") >= BODY, F.col("symbol")).otherwise(F.regexp_replace(F.substring_index("path", "/", -1), r"\.py$", ""))
     return first.join(size.hint("merge"), "path").select("action_id", "rank", "path", "score", shown.alias("symbol"), "end_line")
 

@@ -190,6 +190,21 @@ def definitions(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, kind string, name string, parent string, start_line int, end_line int")
 
 
+def definitions_by(files: DataFrame) -> DataFrame:
+    """(path, n, defs) of files (path, content, n, until): the functions and classes (start_line, end_line, name) that begin by line ``until``, found as definitions() does.
+
+    The scan of a file ends with the last of their blocks; n is passed on.
+    """
+    kind = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("name", pa.string())]))
+
+    def run(batches):
+        for batch in batches:
+            found = [[{"start_line": d[3], "end_line": d[4], "name": d[1]} for d in python_lines.definitions(content or "", until)] for content, until in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kind)], ["path", "n", "defs"])
+
+    return files.select("path", "content", "n", "until").mapInArrow(run, "path string, n int, defs array<struct<start_line:int,end_line:int,name:string>>")
+
+
 def symbol_index(files: DataFrame) -> DataFrame:
     """(path, name, kind, start_line, end_line): functions (def) and classes of Python sources; the longest of a name stays."""
     spans = definitions(files).withColumn("kind", F.replace("kind", F.lit("async_"), F.lit("")))

@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from repairlens.functions import joins
+from repairlens.functions import joins, python_lines
 from repairlens.functions.text import lines_py
+from repairlens.operators import acquisition as aq
 from repairlens.operators import source_tree as st
 
 
@@ -48,3 +49,36 @@ def test_lines_of_a_text_are_made_once(spark):
         got.setdefault(int(r["path"]), []).append(r["text"])
     assert got == {i: t.splitlines() for i, t in enumerate(texts) if t and t.splitlines()}
     assert plan_of(files.select(lines_py(F.col("content")).alias("lines"))).count("split(") == 1
+
+
+def test_scan_ends_with_the_blocks_that_are_asked_for():
+    """route_plan: a failure site at the top of a long file costs its own block, not the whole file."""
+    rng = random.Random(9)
+    parts = ["def f(x):", "class A:", "    def g(self):", "        return (1,", "2)", "    x = '''a", "b'''", "# c", "", "y = [", "]", "    async def h(): pass", "it's"]
+    for _ in range(300):
+        source = "\n".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        for until in (0, 1, 3, 9, 99):
+            assert python_lines.definitions(source, until) == [d for d in python_lines.definitions(source) if d[3] <= until]
+    seen = []
+    scan = python_lines.logical_lines
+    python_lines.logical_lines = lambda source: (seen.append(x[1]) or x for x in scan(source))
+    try:
+        assert python_lines.definitions("def f(x):\n    return 1\n" + "y = 1\n" * 100_000, 2) == [("def", "f", None, 1, 2)]
+    finally:
+        python_lines.logical_lines = scan
+    assert seen == [1, 2, 3]
+
+
+def test_plan_shuffles_texts_once(spark):
+    """route_plan: only the join of failure sites with their files carries texts, and few symbols are sought before texts are cut into lines."""
+    files = spark.createDataFrame([("a.py", "def go():\n    def go_on():\n        pass\n    x = 1\n"), ("b.py", "x = 'go'\n")], "path string, content string")
+    action = "action_id string, action string, kind string, value string, module string, budget int"
+    actions = spark.createDataFrame([("s", "FIND_DEFINITION", "SYMBOL", "go", "", 2), ("f", "FIND_DEFINITION", "FILE", "b.py", "", 1), *((f"l{i}", "FIND_DEFINITION", "FAILURE_SITE", f"a.py:{i}", "", 1) for i in (1, 3, 4, 9))], action)
+    results, hits = aq.route_plan(actions, files, spark.createDataFrame([], "name string"))
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in hits.collect()) == [
+        ("f", "b.py", 1, 2, "", "file_read"), ("l1", "a.py", 1, 4, "go", "ast_enclosing_node"), ("l3", "a.py", 2, 3, "go_on", "ast_enclosing_node"),
+        ("l4", "a.py", 1, 4, "go", "ast_enclosing_node"), ("l9", "a.py", 4, 4, "", "ast_fallback_lines"), ("s", "a.py", 1, 1, "go", "grep_symbol"),
+    ]
+    plan = plan_of(aq.failure_sites(files, actions))
+    assert plan.count("MapInArrow") == 1
+    assert "Join LeftSemi" in plan_of(aq.symbol_definitions(files, actions))
