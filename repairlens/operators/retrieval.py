@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,14 +123,56 @@ def route_actions(actions: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
 CHAIN = r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)\b"
 
 
+def _shared(x: str, y: str) -> int:
+    """How many letters two texts have in common at their beginnings."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+    return low
+
+
+def _block(x: str, y: str) -> tuple[int, int, int] | None:
+    """The longest common run (start in x, start in y, length), the first in x and then in y, as the standard library's matcher finds it; whether a length occurs is asked of substring searches."""
+    occurs = lambda n: any(x[i : i + n] in y for i in range(len(x) - n + 1))
+    low = max(_shared(x, y), _shared(x[::-1], y[::-1]))
+    step, high = 1, min(len(x), len(y)) + 1
+    while low + step < high:  # a longer run is rare: lengths near the known one are asked for first
+        if occurs(low + step):
+            low, step = low + step, 2 * step
+        else:
+            high, step = low + step, 1
+    if low == 0:
+        return None
+    i = next(i for i in range(len(x)) if x[i : i + low] in y)
+    return i, y.index(x[i : i + low]), low
+
+
+def _stretch(x: str, y: str) -> tuple[str, str] | tuple[None, None]:
+    """The one stretch in which two lines differ, as the matching blocks of the standard library place it; nothing if there are several, or none."""
+    p = _shared(x, y)
+    s = min(_shared(x[::-1], y[::-1]), len(x) - p, len(y) - p)
+    if x == y or not set(x[p : len(x) - s]).isdisjoint(y[p : len(y) - s]):
+        return None, None  # what is left between common beginning and end would match again
+    todo, changed = [(0, len(x), 0, len(y))], []
+    while todo:
+        a, b, c, d = todo.pop()
+        found = _block(x[a:b], y[c:d])
+        if found:
+            i, j, n = found
+            todo += [(a + i + n, b, c + j + n, d), (a, a + i, c, c + j)]
+        elif a < b or c < d:
+            changed.append((x[a:b], y[c:d]))
+            if len(changed) > 1:
+                return None, None
+    return changed[0]
+
+
 def _segment(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    """The one stretch in which two lines differ, as the matching blocks of the standard library place it; null if there are several, or none."""
-    out = []
-    for x, y in zip(before, after):
-        ops = [] if x == y else difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_opcodes()
-        changed = [op for op in ops if op[0] != "equal"]
-        out.append((x[changed[0][1] : changed[0][2]], y[changed[0][3] : changed[0][4]]) if len(changed) == 1 else (None, None))
-    return pd.DataFrame(out, columns=["before", "after"])
+    """_stretch() of each pair of lines; equal pairs of a batch are compared once."""
+    pairs = list(zip(before, after))
+    known = {pair: _stretch(*pair) for pair in set(pairs)}
+    return pd.DataFrame([known[pair] for pair in pairs], columns=["before", "after"])
 
 
 def line_changes(hunks: DataFrame) -> DataFrame:
@@ -162,6 +202,9 @@ def repeated_edits(hunks: DataFrame, files: int = 2) -> DataFrame:
 
     A change is the one stretch in which two lines differ, or a dotted name that gains a link.
     """
+    parts = hunks.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    # Few bytes, much work: a small file would be one task. The second condition always holds and keeps the filters of both branches behind the shuffle.
+    hunks = hunks.repartition(int(parts), "run_id", "file").where(F.spark_partition_id() >= 0)
     every = line_changes(hunks).unionByName(chain_changes(hunks)).where("before <> '' OR after <> ''")
     return every.groupBy("run_id", "before", "after").agg(F.count_distinct("file").alias("n_files")).where(F.col("n_files") >= files)
 

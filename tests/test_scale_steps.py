@@ -1,5 +1,6 @@
 """Steps whose work must grow no faster than their input: plans and results on small tables."""
 
+import difflib
 import random
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from repairlens.functions import joins, python_lines
 from repairlens.functions.text import lines_py
 from repairlens.operators import acquisition as aq
+from repairlens.operators import retrieval as rt
 from repairlens.operators import source_tree as st
 
 
@@ -82,3 +84,24 @@ def test_plan_shuffles_texts_once(spark):
     plan = plan_of(aq.failure_sites(files, actions))
     assert plan.count("MapInArrow") == 1
     assert "Join LeftSemi" in plan_of(aq.symbol_definitions(files, actions))
+
+
+def test_stretches_are_those_of_the_matching_blocks():
+    """repeated_edits: substring searches place the one stretch where the standard library's matcher does, at a tenth of its time."""
+    rng = random.Random(11)
+    for t in range(20_000):
+        letters = ("ab", "abcd", "abcdefgh(). ")[t % 3]
+        x = "".join(rng.choice(letters) for _ in range(rng.randrange(14)))
+        i, k = rng.randrange(len(x) + 1), rng.randrange(4)
+        y = x[:i] + "".join(rng.choice(letters + "xyz") for _ in range(rng.randrange(5))) + x[i + k :] if t % 2 else "".join(rng.choice(letters) for _ in range(rng.randrange(14)))
+        changed = [op for op in difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_opcodes() if op[0] != "equal"] if x != y else []
+        want = (x[changed[0][1] : changed[0][2]], y[changed[0][3] : changed[0][4]]) if len(changed) == 1 else (None, None)
+        assert rt._stretch(x, y) == want, (x, y)
+
+
+def test_small_files_of_hunks_are_dealt_out(spark):
+    hunks = spark.range(600).coalesce(1).selectExpr("id % 3 AS run_id", "concat('f', id) AS file", "concat('a = old', id, '(x)') AS removed", "concat('a = new', id, '(x)') AS added")
+    edits = rt.repeated_edits(hunks)
+    assert sorted(tuple(r) for r in edits.collect()) == [(i, "old", "new", 200) for i in range(3)]
+    below = plan_of(edits).split("Repartition")[1:]
+    assert below and not any("split(" in x.split("Filter (SPARK_PARTITION_ID")[0] for x in below)
