@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repairlens.functions import joins, python_lines
 from repairlens.functions.text import lines_py
 from repairlens.operators import acquisition as aq
+from repairlens.operators import hints as hn
 from repairlens.operators import retrieval as rt
 from repairlens.operators import source_tree as st
 
@@ -103,5 +104,18 @@ def test_small_files_of_hunks_are_dealt_out(spark):
     hunks = spark.range(600).coalesce(1).selectExpr("id % 3 AS run_id", "concat('f', id) AS file", "concat('a = old', id, '(x)') AS removed", "concat('a = new', id, '(x)') AS added")
     edits = rt.repeated_edits(hunks)
     assert sorted(tuple(r) for r in edits.collect()) == [(i, "old", "new", 200) for i in range(3)]
-    below = plan_of(edits).split("Repartition")[1:]
-    assert below and not any("split(" in x.split("Filter (SPARK_PARTITION_ID")[0] for x in below)
+    lines = plan_of(edits).split("\n")
+    dealt = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]
+    assert dealt and not any("Filter" in lines[i + 1] for i in dealt)
+
+
+def test_hints_make_the_lines_of_a_file_once_a_pass(spark):
+    """api_hints: each of its passes over the files rewrites and splits a text once."""
+    files = spark.createDataFrame([("a/x.py", "class Foo:\n    def html(self): pass\ndef g():\n    return 1\n")], "path string, content string")
+    lines = st.code_lines(files).withColumn("repo", F.lit("r"))
+    witnesses = spark.createDataFrame([(1, "r", "i1", True, "FooTests.test_x failed"), (2, "r", "i2", True, "")], "run_id long, repo string, instance string, has_failure boolean, message string")
+    frames = spark.createDataFrame([(2, 0, "/testbed/a/x.py", 4, "g")], "run_id long, pos int, file string, line int, function string")
+    hints = hn.api_hints(witnesses, frames, lines)
+    plan = plan_of(hints)
+    assert plan.count("split(") == plan.count("Generate posexplode") > 0
+    assert sorted((r["run_id"], r["source"], r["target"]) for r in hints.collect()) == [(1, "issue_keyword_api_match", "a/x.py::Foo.html"), (2, "repo_source_signature", "a/x.py::g")]
