@@ -59,6 +59,12 @@ def failure_events(failures: DataFrame, depth: int = 5) -> DataFrame:
     )
 
 
+def distinct_frames(chain: Column) -> Column:
+    """The distinct frames of a chain, sorted, null last; only a chain that has a null is sorted by comparing in turn, which is slow."""
+    once = F.array_distinct(chain)
+    return F.when(F.exists(once, lambda x: x.isNull()), F.array_sort(once)).otherwise(F.sort_array(once))
+
+
 def seed_groups(events: DataFrame, shared: int = 2) -> DataFrame:
     """(run_id, error_class, chain, seed) of events (run_id, ord, error_class, call_chain): in order of ord, each event that is left opens a group, named by its ord, and takes the later ones that share two frames or more with it.
 
@@ -72,7 +78,8 @@ def seed_groups(events: DataFrame, shared: int = 2) -> DataFrame:
     if shared != 2:
         raise ValueError("events meet under pairs of frames")
     key = ["run_id", "error_class"]
-    chains = events.select(*key, "ord", F.array_sort(F.array_distinct("call_chain")).alias("chain")).where("size(chain) > 1").groupBy(*key, "chain").agg(F.min("ord").alias("ord"))
+    given = events.groupBy(*key, "call_chain").agg(F.min("ord").alias("ord"))  # most events repeat a chain: frames are sorted once for each
+    chains = given.select(*key, "ord", distinct_frames(F.col("call_chain")).alias("chain")).groupBy(*key, "chain").agg(F.min("ord").alias("ord"), F.max(F.size("chain")).alias("n")).where("n > 1").drop("n")
     pairs = F.flatten(F.transform("chain", lambda x, i: F.transform(F.slice("chain", i + 2, F.size("chain")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     held = checkpointed(chains.select(*key, "chain", "ord", F.struct("ord", F.xxhash64("chain").alias("h")).alias("who")))
     under = lambda df: df.select(*key, "who", F.explode(pairs).alias("pair"))
@@ -116,7 +123,7 @@ def cluster_failures(events: DataFrame) -> DataFrame:
     second = first.withColumn("print", informative).withColumn("p2", ~F.col("p1") & F.col("print").isNotNull() & (in_group(F.col("p1"), F.col("print")) > 1))
     done = F.col("p1") | F.col("p2")
     third = second.withColumn("done", done).withColumn("frame", frame).withColumn("p3", ~F.col("done") & F.col("frame").isNotNull() & (in_group(F.col("done"), F.col("frame")) > 1))
-    rest = third.withColumn("waits", ~F.col("done") & ~F.col("p3")).withColumn("chain", F.when(F.col("waits"), F.array_sort(F.array_distinct("call_chain"))))
+    rest = third.withColumn("waits", ~F.col("done") & ~F.col("p3")).withColumn("chain", F.when(F.col("waits"), distinct_frames(F.col("call_chain"))))
     seeds = seed_groups(rest.where("waits").select("run_id", "ord", "error_class", "call_chain"))
     joined = rest.join(seeds.hint("merge"), ["run_id", "error_class", "chain"], "left")
     stage = F.when(F.col("p1"), 1).when(F.col("p2"), 2).when(F.col("p3"), 3).otherwise(4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from repairlens.functions.joins import join_list
 from repairlens.operators import evaluation as ev
 from repairlens.operators import failures as fl
 from repairlens.plans.fixtures import oracle, query
@@ -45,7 +46,7 @@ def _chained(lineitem):
 
 def _seeded(lineitem):
     events, groups = _chained(lineitem)
-    own = events.withColumn("chain", F.array_sort(F.array_distinct("call_chain"))).join(groups.hint("merge"), ["run_id", "error_class", "chain"])
+    own = join_list(events.withColumn("chain", fl.distinct_frames(F.col("call_chain"))), groups, ["run_id", "error_class", "chain"], rows=500_000)
     return own.select("run_id", "error_class", "ord", "seed")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repairlens.functions import joins, python_lines
 from repairlens.functions.text import lines_py
 from repairlens.operators import acquisition as aq
+from repairlens.operators import failures as fl
 from repairlens.operators import hints as hn
 from repairlens.operators import retrieval as rt
 from repairlens.operators import source_tree as st
@@ -119,3 +120,13 @@ def test_hints_make_the_lines_of_a_file_once_a_pass(spark):
     plan = plan_of(hints)
     assert plan.count("split(") == plan.count("Generate posexplode") > 0
     assert sorted((r["run_id"], r["source"], r["target"]) for r in hints.collect()) == [(1, "issue_keyword_api_match", "a/x.py::Foo.html"), (2, "repo_source_signature", "a/x.py::g")]
+
+
+def test_repeated_chains_are_sorted_once(spark):
+    """seed_groups: frames are sorted after events of the same chain are one, and without comparing in turn; order and nulls stay."""
+    chains = [["b", "a", "b"], [], ["c", None, "a", None], None, ["é", "z", "Z"], [None]]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(chains)], "i int, call_chain array<string>")
+    both = rows.select(fl.distinct_frames(F.col("call_chain")).alias("new"), F.array_sort(F.array_distinct("call_chain")).alias("old")).collect()
+    assert [r["new"] for r in both] == [r["old"] for r in both]
+    events = spark.range(300).selectExpr("1L AS run_id", "id AS ord", "'X' AS error_class", "CASE id % 3 WHEN 0 THEN array('a', 'b') WHEN 1 THEN array('b', 'a', 'a') ELSE array('b', 'c') END AS call_chain")
+    assert sorted((r["chain"], r["seed"]) for r in fl.seed_groups(events).collect()) == [(["a", "b"], 0), (["b", "c"], 2)]
