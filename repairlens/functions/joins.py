@@ -26,6 +26,16 @@ def join_terms(left: DataFrame, terms: DataFrame, condition: Column, rows: int =
     return reduce(DataFrame.unionByName, (left.join(F.broadcast(terms.where(block == i) if blocks > 1 else terms), condition) for i in range(blocks)))
 
 
+def few(terms: DataFrame) -> bool:
+    """Whether these are few enough to be compared with every text."""
+    return terms.limit(FEW + 1).count() <= FEW
+
+
+def with_list(left: DataFrame, terms: DataFrame, name: str) -> DataFrame:
+    """left with all terms, counted as few, in an array column."""
+    return left.crossJoin(F.broadcast(terms.agg(F.collect_list(F.struct(*terms.columns)).alias(name))))
+
+
 def grams(text: Column) -> Column:
     """The distinct runs of three letters of a text."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
@@ -33,7 +43,7 @@ def grams(text: Column) -> Column:
 
 def holding(left: DataFrame, text: Column, terms: DataFrame, term: str) -> DataFrame:
     """left without the texts that hold none of the terms, if these are a few; else left as it is. A filter before texts are cut into lines."""
-    if terms.limit(FEW + 1).count() > FEW:
+    if not few(terms):
         return left
     return left.join(F.broadcast(terms), F.contains(text, F.col(term)), "left_semi")
 
@@ -45,7 +55,7 @@ def join_contains(left: DataFrame, text: Column, terms: DataFrame, term: str) ->
     counted over all texts, so a text meets only terms that share one; ``contains`` decides on
     these. Terms of one or two letters are compared with every text, in blocks.
     """
-    if terms.limit(FEW + 1).count() <= FEW:
+    if few(terms):
         return left.join(F.broadcast(terms), F.contains(text, F.col(term))).select(*left.columns, *terms.columns)
     short, long = terms.where(F.length(term) < GRAM), terms.where(F.length(term) >= GRAM)
     named = long.select(term).distinct().select(term, F.explode(grams(F.col(term))).alias("gram__"))

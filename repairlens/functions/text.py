@@ -11,6 +11,10 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
+#: Every Unicode line end but the line feed.
+OTHER_END = r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
 def lines_nl(col: Column) -> Column:
     """Lines by line feed only; a final empty line is kept."""
     return F.split(col, "\n")
@@ -21,8 +25,7 @@ def lines_py(col: Column) -> Column:
 
     The lines of a text are made once, and only a text with other line ends than the line feed is rewritten.
     """
-    other = r"[\r\x0B\f\x1C-\x1E\x85  ]"
-    plain = F.when(col.rlike(other), F.regexp_replace(col, r"\r\n|" + other, "\n")).otherwise(col)
+    plain = F.when(col.rlike(OTHER_END), F.regexp_replace(col, r"\r\n|" + OTHER_END, "\n")).otherwise(col)
     return let(F.split(plain, "\n"), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 

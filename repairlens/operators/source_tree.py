@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,19 +192,47 @@ def definitions(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, kind string, name string, parent string, start_line int, end_line int")
 
 
+#: A line feed that Spark's regular expression \n$ finds in the last three characters of a text.
+_FINAL = re.compile("\n(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\\Z)")
+_DEFS = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("name", pa.string())]))
+_DEFS_DDL = "array<struct<start_line:int,end_line:int,name:string>>"
+
+
+def _blocks(content: str, until: int) -> list[dict]:
+    return [{"start_line": d[3], "end_line": d[4], "name": d[1]} for d in python_lines.definitions(content, until)]
+
+
+def scanned(files: DataFrame, until: int) -> DataFrame:
+    """files with (n_lines, n, defs) in place of content: the lines, those before final line feeds, and what definitions_by finds up to line ``until``.
+
+    Texts are read where they lie, in whatever partition that is; none is shuffled.
+    """
+    kept = [c for c in files.columns if c != "content"]
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            lines = [t.count("\n") + 1 for t in texts]
+            n = [k - len(_FINAL.findall(t[-3:])) for k, t in zip(lines, texts)]
+            found = [_blocks(t, until) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, pa.int32()), pa.array(n, pa.int32()), pa.array(found, _DEFS)], [*kept, "n_lines", "n", "defs"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.select(*kept).schema)
+    return files.select(*kept, "content").mapInArrow(run, f"{types}, n_lines int, n int, defs {_DEFS_DDL}")
+
+
 def definitions_by(files: DataFrame) -> DataFrame:
     """(path, n, defs) of files (path, content, n, until): the functions and classes (start_line, end_line, name) that begin by line ``until``, found as definitions() does.
 
     The scan of a file ends with the last of their blocks; n is passed on.
     """
-    kind = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("name", pa.string())]))
 
     def run(batches):
         for batch in batches:
-            found = [[{"start_line": d[3], "end_line": d[4], "name": d[1]} for d in python_lines.definitions(content or "", until)] for content, until in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kind)], ["path", "n", "defs"])
+            found = [_blocks(content or "", until) for content, until in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, _DEFS)], ["path", "n", "defs"])
 
-    return files.select("path", "content", "n", "until").mapInArrow(run, "path string, n int, defs array<struct<start_line:int,end_line:int,name:string>>")
+    return files.select("path", "content", "n", "until").mapInArrow(run, f"path string, n int, defs {_DEFS_DDL}")
 
 
 def symbol_index(files: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ ACTIONS = [
 
 
 def _tree(files):
-    return files.unionByName(files.select(F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/tests/test_"), F.substring_index("path", "/", -1)).alias("path"), "content"))
+    test = F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/tests/test_"), F.substring_index("path", "/", -1))
+    return files.select(F.explode(F.array("path", test)).alias("path"), "content")  # texts are read once
 
 
 def _plan(files):

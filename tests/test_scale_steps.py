@@ -130,3 +130,48 @@ def test_repeated_chains_are_sorted_once(spark):
     assert [r["new"] for r in both] == [r["old"] for r in both]
     events = spark.range(300).selectExpr("1L AS run_id", "id AS ord", "'X' AS error_class", "CASE id % 3 WHEN 0 THEN array('a', 'b') WHEN 1 THEN array('b', 'a', 'a') ELSE array('b', 'c') END AS call_chain")
     assert sorted((r["chain"], r["seed"]) for r in fl.seed_groups(events).collect()) == [(["a", "b"], 0), (["b", "c"], 2)]
+
+
+def test_scan_of_a_beginning_is_that_of_the_text():
+    """route_plan: a long logical line behind the site isn't scanned, and what a cut text can't tell is read from more of it."""
+    rng = random.Random(13)
+    parts = ["def f(x):", "class\n  Abcdefgh:", "async  def", "  name()", "    def g(self): return (1,", "2)", "x = '''a", "b'''", "\\", "", "  it's (", "y" * 90, "\r", "# c " * 30, ")"]
+    for _ in range(3000):
+        source = "\n".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        for until in (0, 1, 2, 5):
+            assert python_lines.definitions(source, until) == python_lines._definitions(source, until)[0]
+    seen = []
+    scan = python_lines.logical_lines
+    python_lines.logical_lines = lambda source: seen.append(len(source)) or scan(source)
+    try:
+        assert python_lines.definitions("def f(x):\n    return 1\n(" + "word, " * 100_000 + ")\n", 2) == [("def", "f", None, 1, 2)]
+    finally:
+        python_lines.logical_lines = scan
+    assert sum(seen) < 1_000
+
+
+def test_plan_reads_texts_once_and_shuffles_none(spark, monkeypatch):
+    """route_plan: one pass over the texts serves all operators; sites far down and more terms than FEW are found too."""
+    body = "def go():\n    def go_on():\n        pass\n    x = 1\n"
+    files = spark.createDataFrame([("a.py", body), ("b.py", "x = 'go'\r\ny = 1\u2028class Go(go): pass\n\n"), ("c.py", None), ("tests/test_go.py", "go go\nimport m.x"), ("d.py", "z = 1\n" * 1_200 + body), ("go/tests/test_m.py", "pass")], "path string, content string")
+    action = "action_id string, action string, kind string, value string, module string, budget int"
+    find = [("s", "SYMBOL", "go", 3), ("g", "TYPE_NAME", "x.Go", 1), ("w", "SYMBOL", "a\nb", 1), ("f", "FILE", "b.py", 1), *((f"l{i}", "FAILURE_SITE", f"a.py:{i}", 1) for i in (1, 3, 9)), ("d2", "FAILURE_SITE", "d.py:1203", 1), ("d1", "FAILURE_SITE", "d.py:2", 1), ("c9", "FAILURE_SITE", "c.py:9999", 1)]
+    actions = spark.createDataFrame([(i, "FIND_DEFINITION", k, v, "", n) for i, k, v, n in find] + [("t", "FIND_RELATED_TESTS", "SYMBOL", "m.go", "m.x", 3)], action)
+    want = [
+        ("c9", 1, "c.py", 9994, 1, ""), ("d1", 1, "d.py", 1, 6, ""), ("d2", 1, "d.py", 1202, 1203, "go_on"), ("f", 1, "b.py", 1, 4, ""), ("g", 1, "b.py", 3, 3, "Go"),
+        ("l1", 1, "a.py", 1, 4, "go"), ("l3", 1, "a.py", 2, 3, "go_on"), ("l9", 1, "a.py", 4, 4, ""), ("s", 1, "a.py", 1, 1, "go"), ("s", 2, "d.py", 1201, 1201, "go"),
+        ("t", 1, "tests/test_go.py", 1, 2, "go"), ("t", 2, "go/tests/test_m.py", 1, 1, "test_m"),
+    ]
+    failed = spark.createDataFrame([], "name string")
+    for few in (joins.FEW, 0):
+        monkeypatch.setattr(joins, "FEW", few)
+        hits = aq.route_plan(actions, files, failed)[1]
+        assert sorted(tuple(r)[:6] for r in hits.collect()) == want
+    monkeypatch.undo()
+    near = actions.where("action_id NOT IN ('d2', 'c9')")
+    plan = plan_of(aq.route_plan(near, files, failed)[1])
+    assert "content" not in plan and "MapInArrow" not in plan
+    odd = ["", "\n", "a\n\n", "a\n\r", "a\n\r\n", "\n\n\n", "a\r\n", "a\n ", "a\n\x85", "\n\nb", None]
+    texts = spark.createDataFrame([(str(i), t) for i, t in enumerate(odd)], "path string, content string")
+    size = F.size(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\n$", ""), "\n"))
+    assert sorted(tuple(r) for r in st.scanned(texts, 2).select("path", "n", "n_lines").collect()) == sorted(tuple(r) for r in texts.select("path", size, aq._n_lines()).collect())
