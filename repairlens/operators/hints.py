@@ -6,6 +6,8 @@ may not be read at run time is refused before it is weighed, so it never hides a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +39,55 @@ def _own_frames(frames: DataFrame) -> DataFrame:
     return own.withColumn("depth", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("pos"))) - 1)
 
 
+def _marks(lines: DataFrame) -> DataFrame:
+    """(repo, path, at, sig, cls, m, last) of lines (repo, path, ln, text): a row for each line that begins a class or function, and one with no ``at`` for the others of a file; last is the last line of them.
+
+    sig: the name that begins in column 0; cls: a class that a test class may be named after; m: the name of an indented function, '' at a class, null where neither begins.
+    """
+    text = F.col("text")
+    class_, def_ = F.startswith(text, F.lit("class")), F.contains(text, F.lit("def"))  # these cost less than a pattern
+    sig = F.when((class_ | F.startswith(text, F.lit("def"))) & text.rlike(SIGNATURE), F.regexp_extract(text, SIGNATURE, 2))
+    cls = F.when(class_ & F.col("path").endswith(".py") & text.rlike(r"^class \w"), F.regexp_extract(text, r"^class (\w+)", 1))
+    m = F.when(class_ & text.rlike(r"^class\s+\w"), "").when(def_ & text.rlike(r"^\s+def\s+\w"), F.regexp_extract(text, r"^\s+def\s+(\w+)", 1))
+    told = lines.select("repo", "path", "ln", sig.alias("sig"), cls.alias("cls"), m.alias("m"))
+    at = F.when(F.coalesce("sig", "m").isNotNull(), F.col("ln"))
+    return told.groupBy("repo", "path", at.alias("at"), "sig", "cls", "m").agg(F.max("ln").alias("last"))
+
+
+def from_lines(lines: DataFrame, frames: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Hints of from_signatures (of frames) and from_test_classes (of wanted: run_id, repo, name), both from one pass over the lines."""
+    asked = []
+    if frames is not None:
+        asked.append(_own_frames(frames.where("line IS NOT NULL")).select(F.lit("sig").alias("kind"), "repo", F.col("path").alias("key"), "line", "run_id", "depth"))
+    if wanted is not None:
+        asked.append(wanted.select(F.lit("cls").alias("kind"), "repo", F.col("name").alias("key"), F.lit(0).alias("line"), "run_id", F.lit(0).alias("depth")))
+    asks = reduce(DataFrame.unionByName, asked)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("sig", "string"), ("cls", "string"), ("m", "string"), ("last", "int"))]
+    spots = asks.where("kind = 'sig'").select("repo", F.col("key").alias("path"), "line").distinct().select("repo", "path", *none, "line")
+    marked = _marks(lines).select("*", F.lit(None).cast("int").alias("line")).unionByName(spots)
+    file = Window.partitionBy("repo", "path")
+    end = F.max("last").over(file)
+    placed = marked.withColumn("end", end).where("end IS NOT NULL").withColumn("at", F.when(F.col("line").isNotNull(), F.greatest(F.lit(1), F.least("line", "end"))).otherwise(F.col("at"))).where("at IS NOT NULL")
+    near = file.orderBy("at")  # one pass over the heads and sites of a file
+    telling = F.exists(F.array(*(F.lit(w) for w in METHOD_WORDS)), lambda w: F.contains(F.lower("m"), w))
+    head = F.max_by("sig", F.when(F.col("sig").isNotNull(), F.col("at"))).over(near.rangeBetween(-REACH + 1, 0))
+    stop = F.min(F.when(F.col("m") == "", F.col("at"))).over(near.rangeBetween(2, REACH))
+    first = F.min(F.when((F.col("m") != "") & telling, F.struct("at", "m"))).over(near.rangeBetween(1, REACH))
+    seen = placed.withColumn("head", head).withColumn("stop", stop).withColumn("first", first).where("line IS NOT NULL AND head IS NOT NULL OR cls IS NOT NULL")
+    hit = F.when(F.col("stop").isNull() | (F.col("first.at") < F.col("stop")), F.col("first.m"))
+    test = F.concat(F.lit("/"), "path").rlike("/tests/|/test_")
+    sig = F.col("line").isNotNull()
+    found = seen.select(F.when(sig, "sig").otherwise("cls").alias("kind"), "repo", F.when(sig, F.col("path")).otherwise(F.col("cls")).alias("key"), F.coalesce("line", F.lit(0)).alias("line"), F.struct(test.alias("test"), "path", "at", F.when(sig, F.col("head")).otherwise(hit).alias("name")).alias("c"))
+    best = found.groupBy("kind", "repo", "key", "line").agg(F.min("c").alias("c"))
+    known = asks.join(best.hint("merge"), ["kind", "repo", "key", "line"]).groupBy("run_id", "kind").agg(F.min_by(F.struct("key", "line", "c"), F.struct("depth", "c")).alias("b")).select("run_id", "kind", "b.key", "b.line", "b.c.*")
+    sig = F.col("kind") == "sig"
+    target = F.when(sig, F.concat("path", F.lit("::"), "name")).otherwise(F.concat("path", F.lit("::"), "key", F.coalesce(F.concat(F.lit("."), "name"), F.lit(""))))
+    return known.select("run_id", F.when(sig, "repo_source_signature").otherwise("test_class_to_impl").alias("source"), F.concat("path", F.lit(":"), F.when(sig, F.col("line")).otherwise(F.col("at"))).alias("artifact"), target.alias("target"), F.when(sig, "repo_file_signature_extraction").otherwise("test_class_to_impl_class_resolution").alias("method"))
+
+
 def from_signatures(frames: DataFrame, lines: DataFrame) -> DataFrame:
     """The class or function that begins in column 0 above the deepest frame (run_id, repo, pos, file, line, function) whose file (repo, path, ln, text) has one no further than REACH lines up. A line beyond the end counts as the last."""
-    wanted = _own_frames(frames.where("line IS NOT NULL"))
-    heads = lines.where(F.col("text").rlike(SIGNATURE)).select("repo", "path", "ln", F.rtrim("text").alias("text"))
-    length = lines.groupBy("repo", "path").agg(F.max("ln").alias("last"))
-    sites = wanted.join(length.hint("merge"), ["repo", "path"]).withColumn("at", F.greatest(F.lit(1), F.least("line", "last")))
-    spots = sites.select("repo", "path", "at").distinct()
-    marked = heads.select("repo", "path", "ln", "text").unionByName(spots.select("repo", "path", F.col("at").alias("ln"), F.lit(None).cast("string").alias("text")))
-    above = Window.partitionBy("repo", "path").orderBy("ln").rangeBetween(-REACH + 1, 0)  # one pass over the heads and sites of a file
-    told = marked.withColumn("head", F.max_by("text", F.when(F.col("text").isNotNull(), F.col("ln"))).over(above)).where("text IS NULL AND head IS NOT NULL").select("repo", "path", F.col("ln").alias("at"), "head").distinct()
-    best = sites.join(told.hint("merge"), ["repo", "path", "at"]).groupBy("run_id").agg(F.min_by(F.struct("path", "line", "head"), "depth").alias("b"))
-    return best.select("run_id", F.lit("repo_source_signature").alias("source"), F.concat("b.path", F.lit(":"), "b.line").alias("artifact"), F.concat("b.path", F.lit("::"), F.regexp_extract("b.head", SIGNATURE, 2)).alias("target"), F.lit("repo_file_signature_extraction").alias("method"))
+    return from_lines(lines, frames=frames)
 
 
 def from_frames(frames: DataFrame) -> DataFrame:
@@ -59,24 +98,16 @@ def from_frames(frames: DataFrame) -> DataFrame:
     return best.select("run_id", F.lit("runtime_introspection").alias("source"), F.concat("file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit(""))).alias("artifact"), F.when(bare != "", F.concat(bare, F.lit("::"), func)).otherwise(func).alias("target"), F.lit("top_repo_frame_extraction").alias("method"))
 
 
-def from_test_classes(witnesses: DataFrame, frames: DataFrame, lines: DataFrame) -> DataFrame:
-    """The class that a test class is named after, in the first file that defines it, one of no test before others, with its first method of a telling name."""
+def _test_classes(witnesses: DataFrame, frames: DataFrame) -> DataFrame:
+    """(run_id, repo, name): the class that a test class in a message, or else in a frame, is named after."""
     said = frames.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("function", F.lit("")).alias("f")))), lambda x: x["f"]), "\n").alias("functions"))
     text = F.concat(F.coalesce("message", F.lit("")), F.lit("\n"), F.coalesce("functions", F.lit("")))
-    wanted = witnesses.join(said.hint("merge"), "run_id", "left").select("run_id", "repo", F.regexp_extract(text, TEST_CLASS, 1).alias("name")).where("name <> ''")
-    heads = lines.where(F.col("path").endswith(".py") & F.col("text").rlike(r"^class \w")).select("repo", "path", "ln", F.regexp_extract("text", r"^class (\w+)", 1).alias("name"))
-    first = heads.join(wanted.select("repo", "name").distinct().hint("merge"), ["repo", "name"], "left_semi").groupBy("repo", "name", "path").agg(F.min("ln").alias("ln"))
-    test = F.concat(F.lit("/"), "path").rlike("/tests/|/test_")
-    chosen = first.groupBy("repo", "name").agg(F.min(F.struct(test.alias("test"), "path", "ln")).alias("c")).select("repo", "name", "c.path", "c.ln")
-    inner = lines.join(chosen.select("repo", "path").distinct().hint("merge"), ["repo", "path"], "left_semi").where(F.col("text").rlike(r"^class\s+\w+|^\s+def\s+\w+"))
-    method = F.regexp_extract("text", r"^\s+def\s+(\w+)", 1)
-    telling = F.exists(F.array(*(F.lit(w) for w in METHOD_WORDS)), lambda w: F.contains(F.lower("m"), w))
-    after = inner.select("repo", "path", F.col("ln").alias("at"), method.alias("m")).join(chosen.hint("merge"), ["repo", "path"]).where(f"at > ln AND at <= ln + {REACH}")
-    ends = after.groupBy("repo", "name").agg(F.min(F.when((F.col("m") == "") & (F.col("at") > F.col("ln") + 1), F.col("at"))).alias("stop"), F.array_sort(F.collect_list(F.when((F.col("m") != "") & telling, F.struct("at", "m")))).alias("methods"))
-    hit = F.get(F.filter("methods", lambda x: F.col("stop").isNull() | (x["at"] < F.col("stop"))), F.lit(0))["m"]
-    known = chosen.join(ends.select("repo", "name", hit.alias("hit")).hint("merge"), ["repo", "name"], "left")
-    target = F.concat("path", F.lit("::"), "name", F.coalesce(F.concat(F.lit("."), "hit"), F.lit("")))
-    return wanted.join(known.hint("merge"), ["repo", "name"]).select("run_id", F.lit("test_class_to_impl").alias("source"), F.concat("path", F.lit(":"), "ln").alias("artifact"), target.alias("target"), F.lit("test_class_to_impl_class_resolution").alias("method"))
+    return witnesses.join(said.hint("merge"), "run_id", "left").select("run_id", "repo", F.regexp_extract(text, TEST_CLASS, 1).alias("name")).where("name <> ''")
+
+
+def from_test_classes(witnesses: DataFrame, frames: DataFrame, lines: DataFrame) -> DataFrame:
+    """The class that a test class is named after, in the first file that defines it, one of no test before others, with its first method of a telling name."""
+    return from_lines(lines, wanted=_test_classes(witnesses, frames))
 
 
 def _known_message(witnesses: DataFrame, when: Column, source: str, artifact: str, target: str, method: str) -> DataFrame:
@@ -98,7 +129,7 @@ def api_hints(witnesses: DataFrame, frames: DataFrame, lines: DataFrame, more: D
     """
     failed = witnesses.where("has_failure")
     own = frames.join(failed.select("run_id", "repo").hint("merge"), "run_id")
-    every = from_signatures(own, lines).unionByName(from_frames(own)).unionByName(from_test_classes(failed, own, lines)).unionByName(from_messages(failed))
+    every = from_lines(lines, own, _test_classes(failed, own)).unionByName(from_frames(own)).unionByName(from_messages(failed))
     if more is not None:
         every = every.unionByName(more.select(*_HINT))
     shown = F.when(F.col("source") == "test_class_to_impl", "issue_keyword_api_match").otherwise(F.col("source"))

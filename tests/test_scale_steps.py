@@ -175,3 +175,17 @@ def test_plan_reads_texts_once_and_shuffles_none(spark, monkeypatch):
     texts = spark.createDataFrame([(str(i), t) for i, t in enumerate(odd)], "path string, content string")
     size = F.size(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\n$", ""), "\n"))
     assert sorted(tuple(r) for r in st.scanned(texts, 2).select("path", "n", "n_lines").collect()) == sorted(tuple(r) for r in texts.select("path", size, aq._n_lines()).collect())
+
+
+def test_hints_read_lines_once(spark):
+    """api_hints: frames and test classes are resolved in one pass over the lines."""
+    body = "class Foo:\n    x = 1\n    def text(self): pass\nclass\tBar(Foo):\n\n    def html(self): pass\n    def frame(self): pass\n" + "y = 1\n" * 300 + "def g():\n    return 1\n"
+    lines = st.code_lines(spark.createDataFrame([("a/x.py", body), ("a/test_x.py", body), ("a/empty.py", None), ("a/x.txt", "class Baz:")], "path string, content string")).withColumn("repo", F.lit("r"))
+    runs = [(i, "r", f"i{i}", True, m) for i, m in enumerate(["FooTests.test_x", "BarTests.test_x", "BazTests.test_x", "", "", "", ""])]
+    witnesses = spark.createDataFrame(runs, "run_id long, repo string, instance string, has_failure boolean, message string")
+    frames = spark.createDataFrame([(3, 0, "a/x.py", 5, ""), (4, 0, "a/x.py", 9999, ""), (5, 0, "a/x.py", 290, ""), (5, -1, "a/x.py", -4, ""), (6, 0, "a/gone.py", 3, "f"), (6, -1, "a/empty.py", 1, "")], "run_id long, pos int, file string, line int, function string")
+    hints = hn.api_hints(witnesses, frames, lines)
+    assert plan_of(hints).count("Generate posexplode") == 1
+    assert {r["run_id"]: (r["artifact"], r["target"]) for r in hints.collect()} == {
+        0: ("a/x.py:1", "a/x.py::Foo.text"), 1: ("", ""), 2: ("", ""), 3: ("a/x.py:5", "a/x.py::Bar"), 4: ("a/x.py:9999", "a/x.py::g"), 5: ("a/x.py:-4", "a/x.py::Foo"), 6: ("a/gone.py:3", "a/gone::f"),
+    }
