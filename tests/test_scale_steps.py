@@ -189,3 +189,11 @@ def test_hints_read_lines_once(spark):
     assert {r["run_id"]: (r["artifact"], r["target"]) for r in hints.collect()} == {
         0: ("a/x.py:1", "a/x.py::Foo.text"), 1: ("", ""), 2: ("", ""), 3: ("a/x.py:5", "a/x.py::Bar"), 4: ("a/x.py:9999", "a/x.py::g"), 5: ("a/x.py:-4", "a/x.py::Foo"), 6: ("a/gone.py:3", "a/gone::f"),
     }
+
+
+def test_line_ends_are_sought_without_a_pattern(spark):
+    """api_hints: a text is split as Python does at every line end, and no pattern is run over a text that has none but line feeds."""
+    texts = [f"a{e}b{e}" for e in ("\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\u2027", "\xe2", "\xc2", "\x1f")]
+    lines = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines_py(F.col("t")).alias("lines"))
+    assert "RLIKE" not in plan_of(lines)
+    assert {r["t"]: r["lines"] for r in lines.collect()} == {t: t.splitlines() for t in texts}
